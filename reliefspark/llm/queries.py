@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import exact_dedup, mixing, packing, topk
+from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, packing, token_counts, topk, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_topk": topk.op9_topk,
 }
 
 SQL = {
+    "op3_chat_format": chat_format.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op9_topk": topk.SQL,
