@@ -31,9 +31,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     out = None
     for h, p, verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r)):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
-        value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(len(h)).alias("host_size"), F.lit(len(p)).alias("path_size"))
+        value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
         out = F.when(fits, value) if out is None else out.when(fits, value)
-    return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string,host_size:int,path_size:int>")
+    return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
 def grams(urls: DataFrame, order: int) -> DataFrame:
@@ -89,8 +89,8 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str =
     URLs that a rule decides are the models' examples, accepted or rejected; one in FOLDS, by the URL's crc32,
     calibrates instead. Where no rule fits, a URL is blocked if its length-normalised log-likelihood difference exceeds
     the calibrated threshold; without examples of both classes all such URLs are allowed. The models read what follows
-    ://, A-Z lower-cased, but of an example not the host and path of the rule that decided it: they learn what else
-    tells the classes apart. Null URLs, those without :// and empty ones have empty host and path and are allowed unless
+    ://, A-Z lower-cased, without what rules look at (as many last host labels and first path segments as the rules
+    have at most): they learn what else tells the classes apart. Null URLs, those without :// and empty ones have empty host and path and are allowed unless
     a rule fits. Rows repeated with one id are judged each. Other columns are never read. An empty table gives no rows.
 
     Equal URLs are scored once. Counts are summed by task before they are shuffled; no key keeps its rows together.
@@ -98,9 +98,9 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str =
     host, path = parts(F.col(url_col))
     tail = F.coalesce(F.translate(F.substring(F.col(url_col), F.instr(F.col(url_col), "://") + 3 + F.length(host), F.length(url_col)), UPPER, LOWER), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.when(F.instr(F.col(url_col), "://") > 0, tail).otherwise("").alias("tail"))
+    labels, segments = max([h.count(".") + 1 for h, _, _ in rules], default=0), max([p.strip("/").count("/") + 1 for _, p, _ in rules if p.strip("/")], default=0)
+    said = F.concat(F.regexp_replace("host", rf"(?:(?:^|\.)[^.]*){{0,{labels}}}$", ""), F.regexp_replace("tail", rf"^(?:/[^/?#]*){{0,{segments}}}", ""))
     rows = rows.withColumn("decided", rule_of(F.col("host"), F.col("path"), rules))
-    cut = lambda c: F.coalesce(F.col(f"decided.{c}_size"), F.lit(0))
-    said = F.concat(F.substring("host", F.lit(1), F.length("host") - cut("host")), F.substring("tail", cut("path") + 1, F.length("tail")))
     rows = written(rows.withColumn("url", said).drop("tail"), "urls")
     verdict = F.col("decided.verdict")
     urls = rows.groupBy("url").agg(F.sum((verdict == "allow").cast("long")).alias("accepted"), F.sum((verdict == "block").cast("long")).alias("rejected"))
