@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, packing, token_counts, topk, url_filter
+from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, token_counts, topk, url_filter
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
     "op9_topk": topk.op9_topk,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
 SQL = {

@@ -12,6 +12,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORDS, CORES = 300_000, 500_000
 #: Marks that the vocabulary never joins with a letter before them.
 MARKS = ".,!?;:%$&*#|"
+#: Characters at which Python splits words, but which the tokenizers take for marks.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class Memory:
@@ -65,6 +67,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
+        odd = {k: t for k, t in enumerate(texts) if any(c in t for c in SEPARATORS)}
+        if odd:
+            plain = iter(self.encode([t for k, t in enumerate(texts) if k not in odd]))
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if k in odd else next(plain) for k, t in enumerate(texts)]
         # capital sigma and dotted capital I lower-case by context in Python, but not in the tokenizer
         split = [(t if "Σ" in t or "İ" in t else t.lower()).split() for t in texts]
         self.words.age()
