@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, token_counts, topk, url_filter
+from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_packing": packing.op2_packing,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
