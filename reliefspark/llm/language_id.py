@@ -17,7 +17,7 @@ from reliefspark.llm.tokens import Memory
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Added to each piece's count; documents of which one fold in FOLDS is held out.
 SMOOTHING, FOLDS = 0.1, 5
-#: Words whose log-probabilities a worker keeps in each of two generations.
+#: Words whose pieces a worker keeps in each of two generations; twice as many log-probabilities are kept.
 WORDS = 300_000
 SPACE = "▁"
 
@@ -51,20 +51,20 @@ def piece_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, texts in pdf.groupby("lang")["text"]:
-                for k in range(0, len(texts), 256):
+                for k in range(0, len(texts), 1024):
                     words: Counter[str] = Counter()
-                    for t in texts.iloc[k : k + 256]:
+                    for t in texts.iloc[k : k + 1024]:
                         words.update(t.split())
                     memory.age()
                     new = [w for w in words if not memory.known(w)]
                     for w, ids in zip(new, vocabulary.processor.encode(new, num_threads=1)):
-                        memory.young[w] = np.array(ids, np.int32)
+                        memory.young[w] = np.array(ids, np.int32).tobytes()
                     n = np.fromiter(words.values(), np.int64, len(words))
                     ids = [memory.young[w] for w in words]
                     if not ids:
                         continue
-                    flat = np.concatenate(ids)
-                    at = np.repeat(n, [len(x) for x in ids])
+                    flat = np.frombuffer(b"".join(ids), np.int32)
+                    at = np.repeat(n, np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
                     total = np.bincount(flat, weights=at, minlength=vocabulary.size)
                     sums[lang] = sums[lang] + total if lang in sums else total
         for lang, total in sums.items():
@@ -78,7 +78,9 @@ class Scorer:
     """Log-probabilities of words in each language, by the forward algorithm over all segmentations."""
 
     def __init__(self, path: str, table: np.ndarray):
-        self.pieces, self.table, self.memory = pieces(path), table, Memory(WORDS)
+        self.pieces, self.table = pieces(path), table
+        self.rows: dict[str, int] = {}
+        self.logs = np.zeros((2 * WORDS, table.shape[1]))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """log P of each word in each language. A character that is no piece is spelt by its bytes."""
@@ -133,18 +135,22 @@ class Scorer:
     def texts(self, texts: list[str]) -> np.ndarray:
         """Sum of the words' log-probabilities of each text."""
         split = [t.split() for t in texts]
-        self.memory.age()
-        new = [w for w in set().union(*split) if not self.memory.known(w)]
-        get = self.memory.young
-        new.sort(key=len)  # words of like length share their arrays
+        words = set().union(*split)
+        if len(self.rows) + len(words) > len(self.logs):
+            self.rows.clear()
+            if len(words) > len(self.logs):
+                self.logs = np.zeros((len(words), self.table.shape[1]))
+        new = sorted(words - self.rows.keys(), key=len)  # words of like length share their arrays
         k = 0
         while k < len(new):
-            n = max(1, min(4096, 400_000 // (len(new[min(k + 4095, len(new) - 1)]) + 2) ** 1))
+            n = max(1, min(4096, 400_000 // (len(new[min(k + 4095, len(new) - 1)]) + 2)))
             part = new[k : k + n]
-            for w, row in zip(part, self.forward(part)):
-                get[w] = row
+            at = len(self.rows)
+            self.logs[at : at + len(part)] = self.forward(part)
+            self.rows.update(zip(part, range(at, at + len(part))))
             k += n
-        return np.array([np.sum([get[w] for w in words], axis=0) if words else np.zeros(self.table.shape[1]) for words in split])
+        row = self.rows.__getitem__
+        return np.array([self.logs[np.fromiter(map(row, w), np.int64, len(w))].sum(0) for w in split])
 
 
 def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
@@ -181,8 +187,8 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
             texts = [t or "" for t in pdf["text"].tolist()]
             letters = [any(c.isalpha() for c in t) for t in texts]
             best, score = ["und"] * len(texts), np.zeros(len(texts))
-            for k in range(0, len(texts) if langs else 0, 64):
-                logs = scorer.texts(texts[k : k + 64])
+            for k in range(0, len(texts) if langs else 0, 256):
+                logs = scorer.texts(texts[k : k + 256])
                 top = logs.argmax(1)
                 share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                 for i in range(len(logs)):
