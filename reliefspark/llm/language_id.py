@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.llm.common import read_table
-from reliefspark.llm.tokens import Memory
+from reliefspark.llm.tokens import MARKS, Memory
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Added to each piece's count; documents of which one fold in FOLDS is held out.
@@ -30,6 +30,8 @@ class Pieces:
         n = self.processor.get_piece_size()
         self.size = n
         self.ids = {self.processor.id_to_piece(k): k for k in range(n) if not (self.processor.is_control(k) or self.processor.is_byte(k) or self.processor.is_unknown(k))}
+        # where a piece has a letter before a closing mark, the two may not be summed apart
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1) if p[k].isalpha() and p[k + 1] in MARKS}
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.bytes = [self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
@@ -83,13 +85,16 @@ class Scorer:
         self.logs = np.zeros((2 * WORDS, table.shape[1]))
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """log P of each word in each language. A character that is no piece is spelt by its bytes."""
+        """log P of each word (those that begin with white space: of what follows) in each language.
+
+        A character that is no piece is spelt by its bytes.
+        """
         ids, starts, spelt = self.pieces.ids, self.pieces.starts, self.pieces.bytes
         w_at, j_at, i_at, p_at = [], [], [], []
         lone: list[tuple[int, int, list[int]]] = []
         longest = 0
-        for w, word in enumerate(words):
-            word = SPACE + word
+        spelled = [w[1:] if w[0] == " " else SPACE + w for w in words]
+        for w, word in enumerate(spelled):
             n = len(word)
             longest = max(longest, n)
             for j in range(n):
@@ -128,27 +133,38 @@ class Scorer:
             peak = np.maximum(sums.max(1), 1e-300)
             alpha[i, w[first]] = np.maximum(sums / peak[:, None], 1e-300)
             scale[i, w[first]] = top + np.log(peak)
-        ends = np.array([len(x) + 1 for x in words])
+        ends = np.array([len(x) for x in spelled])
         at = np.arange(len(words))
         return np.log(alpha[ends, at]) + scale[ends, at][:, None]
 
-    def texts(self, texts: list[str]) -> np.ndarray:
-        """Sum of the words' log-probabilities of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        if len(self.rows) + len(words) > len(self.logs):
-            self.rows.clear()
-            if len(words) > len(self.logs):
-                self.logs = np.zeros((len(words), self.table.shape[1]))
-        new = sorted(words - self.rows.keys(), key=len)  # words of like length share their arrays
+    def learn(self, new: list[str]) -> None:
         k = 0
         while k < len(new):
             n = max(1, min(4096, 400_000 // (len(new[min(k + 4095, len(new) - 1)]) + 2)))
-            part = new[k : k + n]
-            at = len(self.rows)
+            part, at = new[k : k + n], len(self.rows)
             self.logs[at : at + len(part)] = self.forward(part)
             self.rows.update(zip(part, range(at, at + len(part))))
             k += n
+
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """Sum of the words' log-probabilities of each text; closing marks are summed apart where no piece spans the place."""
+        split = [t.split() for t in texts]
+        words = set().union(*split)
+        if len(self.rows) + 2 * len(words) > len(self.logs):
+            self.rows.clear()
+            if 2 * len(words) > len(self.logs):
+                self.logs = np.zeros((2 * len(words), self.table.shape[1]))
+        new = words - self.rows.keys()
+        parts: dict[str, tuple[str, str]] = {}
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core and len(core) < len(w) and core[-1].isalpha() and core[-1] + w[len(core)] not in self.pieces.joined:
+                parts[w] = (core, " " + w[len(core) :])
+        whole = (new - parts.keys()).union(*parts.values()) - self.rows.keys()
+        self.learn(sorted(whole, key=len))  # words of like length share their arrays
+        at = len(self.rows)
+        self.logs[at : at + len(parts)] = self.logs[[self.rows[c] for c, _ in parts.values()]] + self.logs[[self.rows[m] for _, m in parts.values()]]
+        self.rows.update(zip(parts, range(at, at + len(parts))))
         row = self.rows.__getitem__
         return np.array([self.logs[np.fromiter(map(row, w), np.int64, len(w))].sum(0) for w in split])
 
