@@ -76,12 +76,16 @@ def odds(id_col: Column, pi: Column, seed: int) -> Column:
     return (u / (1 - u)) / (pi / (1 - pi))
 
 
-def draws(p: DataFrame, id_col: Column, seed: int) -> Column:
-    """How often a row joined with its source's plan is taken."""
-    q = odds(id_col, F.col("pi"), seed)
+def with_draws(rows: DataFrame, p: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """rows with mix_plan (their source's plan) and mix_draws, how often each is taken; names of their own don't matter."""
+    right = p.select(F.col("source").alias("mix_source"), F.struct(*[c for c in p.columns if c != "source"]).alias("mix_plan"))
+    joined = rows.withColumn("mix_key", F.col(source_col)).join(small(right), F.col("mix_key").eqNullSafe(F.col("mix_source")))
+    of = lambda c: F.col(f"mix_plan.{c}")
+    doc_id = F.col(id_col)
+    q = odds(doc_id, of("pi"), seed)
     bucket = F.floor(q / (q + 1) * BUCKETS)
-    below = F.when(F.col("at_start"), bucket < F.col("f") * BUCKETS).otherwise((q < F.col("cut_q")) | ((q == F.col("cut_q")) & (id_col <= F.col("cut_id"))))
-    return F.coalesce(F.col("copies"), F.lit(0)) + F.when((F.col("pi") > 0) & below, 1).otherwise(0)
+    below = F.when(of("at_start"), bucket < of("f") * BUCKETS).otherwise((q < of("cut_q")) | ((q == of("cut_q")) & (doc_id <= of("cut_id"))))
+    return joined.withColumn("mix_draws", F.coalesce(of("copies"), F.lit(0)) + F.when((of("pi") > 0) & below, 1).otherwise(0)).drop("mix_key", "mix_source")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -98,10 +102,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     return sized, plan(sized, weights, most, seed)
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    _, p = mix(docs, weights, most, seed, id_col, text_col, source_col)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)  # so that no column can clash with those of the plan
+    at = {c: names[docs.columns.index(c)] for c in (id_col, source_col)}
+    taken = with_draws(plain, p, seed, at[id_col], at[source_col]).filter("mix_draws > 0")
+    taken = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_draws").cast("long"))))
+    return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized, p = mix(read_table(spark, sf_dir, "documents"))
-    both = sized.join(small(p.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * draws(p, F.col("doc_id"), 7)).cast("long").alias("taken"))
+    taken = (F.col("size") * F.col("mix_draws")).cast("long").alias("taken")
+    return with_draws(sized, p, 7).select("doc_id", "size", "mix_plan.source_size", "mix_plan.target", taken)
 
 
 SQL = r"""
