@@ -122,12 +122,16 @@ def pdf(values: DataFrame, bin_step: float | None = None, filter_p98: bool | Non
     bound = abs(found) if filter_p98 else found
     edges = max(0, math.ceil(2 * bound / step))
     if edges >= LEAST_BINS:
-        n, low, high = edges - 1, -bound, -bound + (edges - 1) * step
+        n, low, step = edges - 1, -bound, (step - bound) + bound  # the step as edges added up have it
+        high = low + n * step
     else:
         n, low, high = LEAST_BINS, -abs(bound), abs(bound)
         step = (high - low) / n or 1.0
     inside = v.filter((F.col("z") >= low) & (F.col("z") <= high))
-    cell = F.least(F.floor((F.col("z") - low) / step), F.lit(n - 1)).cast("long")
+    cell = F.floor((F.col("z") - low) / step)
+    # the edges decide, not the quotient
+    cell = cell + F.when(F.col("z") >= (cell + 1) * step + low, 1).when(F.col("z") < cell * step + low, -1).otherwise(0)
+    cell = F.least(cell, F.lit(n - 1)).cast("long")
     counts = inside.groupBy(cell.alias("bin")).agg(F.count("*").alias("n"))
     bins = values.sparkSession.range(n).withColumnRenamed("id", "bin").join(counts, "bin", "left")
     share = F.coalesce("n", F.lit(0)) / F.sum(F.coalesce("n", F.lit(0))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
