@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.functions import metrics
+from reliefspark.functions import metrics, quantiles
 from reliefspark.grid import Grid
 from reliefspark.operators.classify import Layer, classes_table, in_modes
 
@@ -21,6 +21,23 @@ def inliers(df: DataFrame) -> DataFrame:
     return df.withColumn("inlier", F.coalesce((F.col("z") > low) & (F.col("z") < high), F.lit(False)))
 
 
+def narrowed(df: DataFrame, keys: list[str], z, plain: list[str], about: list[str]) -> DataFrame:
+    """keys, nbpts and the metrics, with medians and percentiles by passes that narrow them down."""
+    simple = [m for m in plain if m != "median"]
+    out = df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *[metrics.scalar_metric(m)[0](z(m), None, None).alias(m) for m in simple])
+    for m in [m for m in plain if m == "median"]:
+        out = out.join(F.broadcast(quantiles.quantile(df, keys, z(m), 0.5, m)), keys, "left")
+    for m in about:
+        if metrics.scalar_metric(m)[1] == "mean":
+            centre = df.groupBy(*keys).agg(F.avg(z(m)).alias("__c"))
+        else:
+            centre = quantiles.quantile(df, keys, z(m), 0.5, "__c")
+        away = F.abs(z(m) - F.col("__c"))
+        q = quantiles.quantile(df.join(F.broadcast(centre), keys), keys, away, {"nmad": 0.5, "percentil_90": 0.9}[m], m)
+        out = out.join(F.broadcast(q.withColumn(m, F.col(m) * (1.4826 if m == "nmad" else 1.0))), keys, "left")
+    return out
+
+
 def class_stats(grid: Grid, layer: Layer, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False, total: int | None = None) -> DataFrame:
     """mode, class_idx, set_name, the chosen scalar metrics, nbpts, percent_valid_points; empty classes are null.
 
@@ -35,12 +52,15 @@ def class_stats(grid: Grid, layer: Layer, chosen: tuple[str, ...] = metrics.DEFA
     about = [m for m in chosen if metrics.scalar_metric(m)[1]]
     aggregates: list[Column] = [metrics.scalar_metric(m)[0](z(m), None, None).alias(m) for m in plain]
     aggregates += [(F.avg if metrics.scalar_metric(m)[1] == "mean" else F.median)(z(m)).alias(f"__{m}") for m in about]
-    first = df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *aggregates)
-    if about:
+    total = total or grid.meta.nrows * grid.meta.ncols
+    if total > quantiles.LARGE:
+        first = narrowed(df, keys, z, plain, about)
+    else:
+        first = df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *aggregates)
+    if about and total <= quantiles.LARGE:
         centre = first.select(*keys, *[f"__{m}" for m in about])
         second = df.join(F.broadcast(centre), keys).groupBy(*keys).agg(*[metrics.scalar_metric(m)[0](z(m), F.col(f"__{m}"), F.col(f"__{m}")).alias(m) for m in about])
         first = first.join(second, keys)
-    total = total or grid.meta.nrows * grid.meta.ncols
     out = F.broadcast(classes_table(df, layer)).join(first, keys, "left")
     return out.select(
         "mode", "class_idx", F.concat_ws(":", "class_name", "class_value").alias("set_name"), *[F.round(m, DIGITS).alias(m) for m in chosen],

@@ -297,3 +297,20 @@ def test_incremental_statistics(spark, tmp_path):
     for k in range(3):
         v = np.array([z for c, z in rows if c == k])
         assert got[k]["mean"] == pytest.approx(v.mean()) and got[k]["std"] == pytest.approx(v.std()) and got[k]["nbpts"] == 20
+
+
+def test_quantiles_narrow_down(spark, monkeypatch):
+    from reliefspark.functions import quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {0: rng.normal(size=500), 1: np.repeat(3.0, 40), 2: rng.integers(0, 3, 300).astype(float), 3: np.array([5.0]), 4: np.r_[np.zeros(200), np.ones(200)], 5: np.r_[rng.normal(size=99), 1e12]}
+    df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g], "g int, v double")
+    for share in (0.0, 0.3, 0.5, 0.9, 1.0):
+        got = {r["g"]: r["q"] for r in quantiles.quantile(df, ["g"], df["v"], share, "q", cells=5, most=7).collect()}
+        assert got == pytest.approx({k: np.quantile(g, share) for k, g in groups.items()})
+    g = grid(spark, rng.normal(size=(12, 15)).tolist(), seg_ref=rng.integers(0, 3, (12, 15)).tolist())
+    layer = classify.segmentation("seg", {"classes": {"a": [0], "b": [1, 2], "none": [9]}}, g.df.columns)
+    want = [tuple(r) for r in stats.class_stats(g, layer).orderBy("class_idx").collect()]
+    monkeypatch.setattr(quantiles, "LARGE", 1)
+    got = [tuple(r) for r in stats.class_stats(g, layer).orderBy("class_idx").collect()]
+    assert got == want
