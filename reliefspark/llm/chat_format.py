@@ -48,7 +48,7 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         hop = written(hop.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("turns") + F.coalesce("turns2", F.lit(0))).alias("turns")), "hop")
     ranked = leaves.join(hop.filter("up is null"), ["tree", "node"]).withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy((F.col("total") / F.col("turns")).desc(), "node")))
     paths = ranked.filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("distance"))
-    for k, h in enumerate(hops):
+    for k, h in reversed(list(enumerate(hops))):  # widest first: few rows pass the early joins
         paths = paths.join(h, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("from")), "left")
         here, above = F.struct("node", "distance"), F.struct(F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance"))
         paths = paths.select("tree", "leaf", "rank", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))).alias("x")).select("tree", "leaf", "rank", "x.*")
