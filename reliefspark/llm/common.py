@@ -11,11 +11,24 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few plain columns (at most about 40 bytes a row) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Rows of texts in a batch that goes to Python.
+ARROW_ROWS = 500
 #: Letters that the contracts fold; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps between tasks, such as memories of words; those of one kind only, whatever runs later."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,6 +37,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; whole texts go to Python in batches of ARROW_ROWS, unless the session's number was set to another than Spark's."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import read_table, small, written
+from reliefspark.llm.common import read_table, small, small_batches, written
 from reliefspark.llm.tokens import VOCABULARY, encoder
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, path: str = VOCABULARY, id_col
                         out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Lengths:

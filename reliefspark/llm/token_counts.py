@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import read_table, written
+from reliefspark.llm.common import read_table, small_batches, written
 from reliefspark.llm.tokens import VOCABULARY, encoder
 
 #: Lengths that one block of the histogram spans.
@@ -15,19 +15,19 @@ BLOCK = 1024
 
 
 def lengths(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """length, n: partial histograms of the encoded lengths of all rows' whole texts (null: 0), one for each batch."""
+    """length, n: partial histograms of the encoded lengths of all rows' whole texts (null: 0), one for each task."""
 
     def count(batches):
         encode = encoder(path)
+        found: dict[int, int] = {}
         for pdf in batches:
             texts = [t or "" for t in pdf["text"].tolist()]
-            found: dict[int, int] = {}
             for k in range(0, len(texts), 64):
                 for data in encode.encode(texts[k : k + 64]):
                     found[len(data) // 4] = found.get(len(data) // 4, 0) + 1
-            yield pd.DataFrame({"length": list(found.keys()), "n": list(found.values())})
+        yield pd.DataFrame({"length": list(found.keys()), "n": list(found.values())}).astype("int64")
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(count, "length long, n long")
+    return small_batches(docs).select(F.col(text_col).alias("text")).mapInPandas(count, "length long, n long")
 
 
 def histogram(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text") -> DataFrame:

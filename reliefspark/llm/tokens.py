@@ -6,6 +6,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from reliefspark.llm.common import held
+
 #: The default vocabulary: its tokens never cross white space, so a text's ids are its words' ids in a row.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words, and words without closing marks, that a worker keeps in each of two generations (results don't depend on it).
@@ -87,11 +89,6 @@ class WordEncoder:
         return [b"".join([get[w] for w in words]) for words in split]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str = VOCABULARY) -> WordEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: WordEncoder(path))
