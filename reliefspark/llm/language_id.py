@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import read_table
+from reliefspark.llm.common import held, read_table, small_batches
 from reliefspark.llm.tokens import MARKS, Memory
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -36,13 +36,8 @@ class Pieces:
         self.bytes = [self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return held(f"pieces {path}", lambda: Pieces(path))
 
 
 def piece_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -154,13 +149,13 @@ class Scorer:
             self.rows.clear()
             if 2 * len(words) > len(self.logs):
                 self.logs = np.zeros((2 * len(words), self.table.shape[1]))
-        new = words - self.rows.keys()
+        new = {w for w in words if w not in self.rows}
         parts: dict[str, tuple[str, str]] = {}
         for w in new:
             core = w.rstrip(MARKS)
             if core and len(core) < len(w) and core[-1].isalpha() and core[-1] + w[len(core)] not in self.pieces.joined:
                 parts[w] = (core, " " + w[len(core) :])
-        whole = (new - parts.keys()).union(*parts.values()) - self.rows.keys()
+        whole = {w for w in (new - parts.keys()).union(*parts.values()) if w not in self.rows}
         self.learn(sorted(whole, key=len))  # words of like length share their arrays
         at = len(self.rows)
         self.logs[at : at + len(parts)] = self.logs[[self.rows[c] for c, _ in parts.values()]] + self.logs[[self.rows[m] for _, m in parts.values()]]
@@ -192,7 +187,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
     id are judged each. Null ids are never held out. Other columns are never read. An empty table gives no rows.
     """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(1))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, table = train(rows.filter("not held_out and text is not null and lang is not null"), path)
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
 
