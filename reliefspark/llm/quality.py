@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import read_table, written
+from reliefspark.llm.common import held, read_table, small_batches, written
 from reliefspark.llm.tokens import Memory
 
 #: Words that a worker keeps in each of two generations, and buckets of hashed features (the last ones tell of the whole text).
-WORDS, BUCKETS, OF_TEXT = 500_000, 4096, 64
+WORDS, BUCKETS, OF_TEXT = 250_000, 4096, 64
 #: Documents, of the least hashes, on which the scorer is fitted, and steps of its fit.
 TRAIN_ROWS, STEPS, L2 = 3000, 300, 1e-4
 SYMBOLS = frozenset("#$%&*@^~{}<>\\=+_")
@@ -25,32 +25,49 @@ ALARMS = 7
 SYMBOL, BAR, CAPITAL, EXCLAIMED, STOP, SHORT, PLAIN = (1 << k for k in range(7))
 
 
-def look(word: str) -> tuple[int, int, int]:
-    """What a word shows: flags, bucket of the word, bucket of its shape."""
-    flags = 0
-    if any(c in SYMBOLS for c in word):
-        flags |= SYMBOL
-    if "|" in word:
-        flags |= BAR
-    letters = sum(c.isalpha() for c in word)
-    if letters > 1 and word.upper() == word:
-        flags |= CAPITAL
-    if word.rstrip(".,;:?!").isalpha():
-        flags |= PLAIN
-    if word.endswith("!!"):
-        flags |= EXCLAIMED
-    elif word[-1] in ".,":
-        flags |= STOP
-    if letters and letters <= 3:
-        flags |= SHORT
+def shape_of(word: str) -> str:
+    """Runs of capitals, small letters and digits by one sign each; other characters as they are, runs once."""
+    if word.isalpha():
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
     shape, before = [], ""
     for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind != before:
             shape.append(kind)
         before = kind
+    return "".join(shape)[:24]
+
+
+def look(word: str) -> int:
+    """What a word shows: flags, bucket of the word << 8, bucket of its shape << 24."""
+    core = word.rstrip(".,;:?!")
+    flags = 0
+    if core.isalpha():
+        flags = PLAIN
+        letters = len(core)
+    else:
+        letters = sum(map(str.isalpha, word))
+        if not SYMBOLS.isdisjoint(word):
+            flags = SYMBOL
+        if "|" in word:
+            flags |= BAR
+    if letters:
+        if letters > 1 and word.isupper():
+            flags |= CAPITAL
+        if letters <= 3:
+            flags |= SHORT
+    if word.endswith("!!"):
+        flags |= EXCLAIMED
+    elif word[-1] in ".,":
+        flags |= STOP
     buckets = BUCKETS - OF_TEXT
-    return flags, zlib.crc32(word.lower().encode("utf-8", "replace")) % buckets, zlib.crc32(("shape " + "".join(shape)[:24]).encode("utf-8", "replace")) % buckets
+    shape = shape_of(core) + word[len(core) :][:8] if core else word[:8]
+    return flags | zlib.crc32(word.lower().encode("utf-8", "replace")) % buckets << 8 | zlib.crc32(shape.encode("utf-8", "replace"), 1) % buckets << 24
 
 
 class Reader:
@@ -59,18 +76,17 @@ class Reader:
     def __init__(self):
         self.memory = Memory(WORDS)
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Votes, feature buckets and their values; no features without words."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Votes, codes of the words, and buckets of the whole text; None without words."""
         words = text.split()
         n = len(words)
         if not n:
-            return np.zeros(len(LABELLERS), np.int8), np.empty(0, np.int64), np.empty(0)
+            return None
         memory = self.memory
         memory.age()
         for w in set(words):
-            if not memory.known(w):
-                a, b, c = look(w)
-                memory.young[w] = a | b << 8 | c << 24
+            if w not in memory.young and not memory.known(w):
+                memory.young[w] = look(w)
         codes = np.fromiter(map(memory.young.__getitem__, words), np.int64, n)
         flags = codes & 255
         share = {f: np.count_nonzero(flags & f) / n for f in (SYMBOL, BAR, CAPITAL, EXCLAIMED, STOP, SHORT, PLAIN)}
@@ -83,11 +99,15 @@ class Reader:
             bad(share[SYMBOL], 0.1), bad(share[BAR], 0.1), bad(share[CAPITAL], 0.25), bad(share[EXCLAIMED], 0.1), bad(repeats, 0.15), bad(0.4, variety), bad(doubled, 0.4) if len(lines) > 3 else 0,
             0 if n < 20 else 1 if 0.02 < share[STOP] < 0.4 else -1, 0 if n < 20 else 1 if 0.1 < share[SHORT] < 0.75 else -1, 1 if share[PLAIN] > 0.8 else -1 if share[PLAIN] < 0.6 else 0,
         ], np.int8)
-        found, value = np.unique(np.concatenate([codes >> 8 & 0xFFFF, codes >> 24]), return_counts=True)
         # shares of the text fall into four cells each
         whole = [share[SYMBOL], share[BAR], share[CAPITAL], share[EXCLAIMED], repeats, doubled, share[STOP], share[SHORT], share[PLAIN]]
-        cells = BUCKETS - OF_TEXT + np.arange(len(whole)) * 4 + np.searchsorted([0.02, 0.1, 0.4], whole)
-        return votes, np.r_[found, cells], np.r_[value / n, np.ones(len(cells))]
+        return votes, codes, BUCKETS - OF_TEXT + np.arange(len(whole)) * 4 + np.searchsorted([0.02, 0.1, 0.4], whole)
+
+
+def features(codes: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and their values: shares of words and shapes, and 1 for the cells of the whole text."""
+    found, count = np.unique(np.concatenate([codes >> 8 & 0xFFFF, codes >> 24]), return_counts=True)
+    return np.r_[found, cells], np.r_[count / len(codes), np.ones(len(cells))]
 
 
 def pattern(votes: np.ndarray) -> int:
@@ -145,10 +165,10 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, buckets: np.ndarray, values: np.ndarray) -> float:
-        if not len(buckets):
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.weights[buckets] @ values + self.bias, -50, 50))))
+    def score(self, codes: np.ndarray, cells: np.ndarray) -> float:
+        w = self.weights
+        z = (w[codes >> 8 & 0xFFFF].sum() + w[codes >> 24].sum()) / len(codes) + w[cells].sum() + self.bias
+        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
@@ -156,18 +176,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
 
     The scorer learns the posteriors of `train_rows` rows, those of least xxhash64 of their id and of at least one word.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def vote(batches):
-        reader = Reader()
+        reader = held("quality", Reader)
+        found: dict[int, int] = {}
         for pdf in batches:
-            found: dict[int, int] = {}
             for t in pdf["text"].tolist():
-                votes, buckets, _ = reader.read(t or "")
-                if len(buckets):
-                    p = pattern(votes)
+                if (seen := reader.read(t or "")) is not None:
+                    p = pattern(seen[0])
                     found[p] = found.get(p, 0) + 1
-            yield pd.DataFrame({"pattern": list(found.keys()), "n": list(found.values())}).astype("int64")
+        yield pd.DataFrame({"pattern": list(found.keys()), "n": list(found.values())}).astype("int64")
 
     table = rows.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
     patterns, counts = table["pattern"].to_numpy(np.int64), table["n"].to_numpy(float)
@@ -175,18 +194,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_r
 
     sample = written(rows.filter(F.length("text") > 0).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_rows), "sample")
 
-    def features(batches):
-        reader = Reader()
+    def describe(batches):
+        reader = held("quality", Reader)
         for pdf in batches:
             out = []
             for t in pdf["text"].tolist():
-                votes, buckets, values = reader.read(t or "")
-                if len(buckets):
-                    out.append((pattern(votes), buckets.astype("<u2").tobytes(), values.astype("<f4").tobytes()))
+                if (seen := reader.read(t or "")) is not None:
+                    buckets, values = features(*seen[1:])
+                    out.append((pattern(seen[0]), buckets.astype("<u2").tobytes(), values.astype("<f4").tobytes()))
             yield pd.DataFrame(out, columns=["pattern", "buckets", "feature_values"])
 
     # at most train_rows rows (more only if ids repeat) of at most BUCKETS features
-    got = rows.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").select("text").mapInPandas(features, "pattern long, buckets binary, feature_values binary").limit(2 * train_rows).toPandas()
+    got = rows.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").select("text").mapInPandas(describe, "pattern long, buckets binary, feature_values binary").limit(2 * train_rows).toPandas()
     if not len(got):
         return Model(posterior, np.zeros(BUCKETS), 0.0)
     vectors = [(np.frombuffer(b, "<u2"), np.frombuffer(v, "<f4")) for b, v in zip(got["buckets"], got["feature_values"])]
@@ -204,13 +223,13 @@ def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, train_rows))
 
     def judge(batches):
-        reader, m = Reader(), model.value
+        reader, m = held("quality", Reader), model.value
         for pdf in batches:
             weak, score = [], []
             for t in pdf["text"].tolist():
-                votes, buckets, values = reader.read(t or "")
-                weak.append(m.posterior.get(pattern(votes), 0.5) if len(buckets) else None)
-                score.append(m.score(buckets, values))
+                seen = reader.read(t or "")
+                weak.append(m.posterior.get(pattern(seen[0]), 0.5) if seen else None)
+                score.append(m.score(*seen[1:]) if seen else 0.0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "weak_label": pd.Series(weak, dtype=float), "score": pd.Series(score, dtype=float), "keep": [s >= threshold for s in score]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -222,10 +241,11 @@ def kept(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, train_rows))
 
     def judge(batches):
-        reader, m = Reader(), model.value
+        reader, m = held("quality", Reader), model.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
-            keep = [m.score(*reader.read(t or "")[1:]) >= threshold for t in column.to_pylist()]
+            seen = map(reader.read, (t or "" for t in column.to_pylist()))
+            keep = [x is not None and m.score(*x[1:]) >= threshold for x in seen]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)
