@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import read_table, small, written
+from reliefspark.llm.common import held, read_table, small, small_batches, written
 
 #: Times that a task must meet a shingle for it to be counted, and counted documents from which it comes last in order.
 SEEN, FREQUENT = 2, 20
@@ -19,6 +19,8 @@ MOST_FREQUENT = 2_000_000
 LISTED = 128
 #: Documents of a group of the matrix.
 GROUP = 512
+#: Words whose hashes a worker keeps, and shingles that a task counts at a time.
+WORDS, COUNTED = 200_000, 2_000_000
 #: Odd factors and shifts of the shingle hash (splitmix64's finaliser).
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
@@ -32,9 +34,6 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
-
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's k-word shingles; of the whole sequence, if it is shorter.
 
@@ -44,11 +43,12 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    if len(_words) > 500_000:
-        _words.clear()
     if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64).view(np.int64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = held("word hashes", _Words)
+    if len(known) > WORDS:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(words) - k + 1
     s = np.zeros(n, np.uint64)
     for i in range(k):
@@ -65,11 +65,11 @@ def set_id(tokens: np.ndarray) -> int:
 def sets_and_frequent(docs: DataFrame, k: int) -> DataFrame:
     """Rows (0, doc_id, set id, size) of all documents, and (1, shingle, count, 0) of shingles met SEEN times by a task.
 
-    A task counts the shingles of all its distinct sets, some millions at a time.
+    A task counts the shingles of all its distinct sets, COUNTED at a time.
     """
 
     def scan(batches):
-        pending, held, seen = [], 0, set()
+        pending, waiting, seen = [], 0, set()
 
         def flush():
             tokens, counts = np.unique(np.concatenate(pending), return_counts=True)
@@ -88,11 +88,11 @@ def sets_and_frequent(docs: DataFrame, k: int) -> DataFrame:
                         if len(seen) < 1_000_000:
                             seen.add(sid)
                         pending.append(tokens)
-                        held += len(tokens)
+                        waiting += len(tokens)
                 yield pd.DataFrame({"kind": np.int32(0), "a": part["doc_id"].to_numpy(), "b": np.array(ids, np.int64), "n": np.array(sizes, np.int64)})
-                if held > 4_000_000:
+                if waiting > COUNTED:
                     yield flush()
-                    pending, held = [], 0
+                    pending, waiting = [], 0
         if pending:
             yield flush()
 
@@ -221,13 +221,14 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
 
     1. Rows with equal sets form a class (by a 64-bit hash and the size); from here on, classes stand for them.
     2. All shingles have one order, frequent ones last. Linked sets share a shingle within their first
-       n - ceil(num/den n) + 1; of sets that share one, those pairs are kept whose sizes and positions allow a link.
+       n - ceil(num/den n) + 1; of sets that share one, those pairs are kept whose sizes, positions and number of
+       common prefix shingles allow a link.
        A shingle with over LISTED sets lists no pairs: each of its sets is paired with a few leaders only.
     3. Kept pairs are verified on the whole sets and give components.
     4. Sets that share such heavy shingles, directly or by others, form a supergroup. Where a supergroup has more than
        one component left, all sets outside its largest component query the groups of the token-group matrix.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(sets_and_frequent(rows, k), "sets")
     classes = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("n").cast("int").alias("n"))
     heads = written(classes.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")), "heads")
@@ -236,13 +237,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     several = p.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
     shared = written(p.join(written(several, "several"), "token").dropDuplicates(["token", "sid"]), "shared")
     counts = written(shared.groupBy("token").agg(F.count("*").alias("df"), *[F.min(F.col("sid").bitwiseXOR(F.lit(x))).alias(f"p{i}") for i, x in enumerate(PERMUTATIONS)]), "df")
-    listed = written(shared.join(counts.filter(f"df <= {LISTED}").select("token"), "token"), "listed")
-    other = listed.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos")])
+    heavy = shared.join(counts.filter(f"df > {LISTED}").drop("df"), "token")
+    heavies = small(written(heavy.groupBy("sid").agg(F.count("*").alias("h")), "heavies"))
+    listed = shared.join(counts.filter(f"df <= {LISTED}").select("token"), "token").join(heavies, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("h", F.lit(0)).alias("h"))
+    listed = written(listed, "listed")
+    other = listed.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "h")])
     need = (F.col("n") + F.col("n2")) * num
     fits = (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + 1) * (num + den) >= need
-    near = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & fits & (F.col("sid") < F.col("sid2"))
-    pairs = listed.join(other, ["token"]).filter(near).select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
-    heavy = shared.join(counts.filter(f"df > {LISTED}").drop("df"), "token")
+    near = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.col("sid") < F.col("sid2"))
+    pairs = listed.join(other, "token").filter(near).groupBy("sid", "sid2", "n", "n2", F.least("h", "h2").alias("h")).agg(F.count("*").alias("c"), F.max(fits).alias("fits"))
+    # the set whose prefix ends first has no more in common with the other than what the prefixes share and its own rest
+    rest = F.ceil(F.greatest("n", "n2") * num / F.lit(den)) - 1
+    pairs = pairs.filter(F.col("fits") & ((F.col("c") + F.col("h") + rest) * (num + den) >= need)).select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
     leader = F.element_at(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(PERMUTATIONS)]), (F.pmod("token", F.lit(len(PERMUTATIONS))) + 1).cast("int"))
     stars = written(heavy.select("sid", "n", leader.alias("leader")).distinct().filter("sid <> leader"), "stars")
     pairs = written(pairs.unionByName(stars.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"))).distinct(), "pairs")
