@@ -1,7 +1,7 @@
 """Spectral operators: curvature by a filter in the frequency domain.
 
 The mirrored grid's Fourier transform is the grid's cosine transform, so the filter runs along rows, then along
-columns: a row or a column is in one task, never a grid.
+columns: a task holds a few rows or columns, never a grid.
 """
 
 from __future__ import annotations
@@ -15,34 +15,39 @@ from reliefspark.grid import Grid
 from reliefspark.operators.resample import nearest_fill
 
 
+#: Pixels of the lines that are transformed together; a longer line is alone.
+PIXELS = 65_536
+
+
 def cosine(x: np.ndarray) -> np.ndarray:
-    """Unnormalised cosine transform (type II) of a line, by a Fourier transform of its mirror image."""
-    n = len(x)
-    return (np.fft.rfft(np.r_[x, x[::-1]])[:n] * np.exp(-0.5j * np.pi * np.arange(n) / n)).real
+    """Unnormalised cosine transforms (type II) of lines (the last axis), by Fourier transforms of their mirror images."""
+    n = x.shape[-1]
+    return (np.fft.rfft(np.concatenate([x, x[..., ::-1]], -1))[..., :n] * np.exp(-0.5j * np.pi * np.arange(n) / n)).real
 
 
 def inverse_cosine(c: np.ndarray) -> np.ndarray:
-    n = len(c)
-    spectrum = np.r_[c * np.exp(0.5j * np.pi * np.arange(n) / n), 0]
-    return np.fft.irfft(spectrum, 2 * n)[:n]
+    n = c.shape[-1]
+    spectrum = np.concatenate([c * np.exp(0.5j * np.pi * np.arange(n) / n), np.zeros((*c.shape[:-1], 1))], -1)
+    return np.fft.irfft(spectrum, 2 * n)[..., :n]
 
 
-def along(df: DataFrame, key: str, index: str, f) -> DataFrame:
-    """f of each line: the values of one key in the order of the index."""
+def along(df: DataFrame, key: str, index: str, f, length: int) -> DataFrame:
+    """f of each line: the values of one key in the order of the index. Lines have `length` values; short ones come to a task together."""
 
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        return pdf.assign(z=f(pdf["z"].to_numpy()))
+    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, index])
+        return pdf.assign(z=f(pdf["z"].to_numpy().reshape(-1, length)).ravel())
 
-    return df.select("row", "col", "z").groupBy(key).applyInPandas(line, "row long, col long, z double")
+    block = F.floor(F.col(key) / max(1, PIXELS // length))
+    return df.select("row", "col", "z").groupBy(block.alias("block")).applyInPandas(lines, "row long, col long, z double")
 
 
 def filtered(grid: Grid, filter_intensity: float = 0.9) -> DataFrame:
     """row, col, z of the grid, missing pixels filled, with each frequency times its length to the given power."""
     m = grid.meta
-    spectrum = along(along(nearest_fill(grid), "row", "col", cosine), "col", "row", cosine)
+    spectrum = along(along(nearest_fill(grid), "row", "col", cosine, m.ncols), "col", "row", cosine, m.nrows)
     length = F.pow(F.pow(F.col("row") * np.pi / m.nrows, 2) + F.pow(F.col("col") * np.pi / m.ncols, 2), filter_intensity / 2)
-    return along(along(spectrum.withColumn("z", F.col("z") * length), "col", "row", inverse_cosine), "row", "col", inverse_cosine)
+    return along(along(spectrum.withColumn("z", F.col("z") * length), "col", "row", inverse_cosine, m.nrows), "row", "col", inverse_cosine, m.ncols)
 
 
 def curvature(grid: Grid, filter_intensity: float = 0.9) -> DataFrame:

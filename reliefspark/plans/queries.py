@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions import metrics
 from reliefspark.functions.pixel import no_data, x_of, y_of
-from reliefspark.grid import UNITS, Grid, GridMeta, crop, crop_box, crop_offset, roi_bounds
+from reliefspark.grid import UNITS, Grid, GridMeta, crop_box, crop_offset, roi_bounds
 from reliefspark.operators import classify, processing, resample, spectral, stats, stencil, tiling
 from reliefspark.operators.coregister import LEAST_SLOPE, coregister, offsets_of, slices
 from reliefspark.operators.coregister import fit as fit_shift
@@ -319,24 +319,20 @@ def coreg_counts(spark, sf_dir):
     return one(ref, "ref").unionByName(one(sec, "sec"))
 
 
-def smooth_64(spark, sf_dir):
-    return smooth_grid(spark, sf_dir, rows=64)
-
-
 @query
 def curvature(spark, sf_dir):
-    return rounded(spectral.curvature(smooth_64(spark, sf_dir)), digits=4)
+    return rounded(spectral.curvature(smooth_grid(spark, sf_dir)), digits=4)
 
 
 @query
 def svf(spark, sf_dir):
-    return rounded(spectral.sky_view(smooth_64(spark, sf_dir)), digits=3)
+    return rounded(spectral.sky_view(smooth_grid(spark, sf_dir)), digits=3)
 
 
 @query
 def sec_curvature(spark, sf_dir):
     """The filter over a grid with holes, filled from their nearest pixels first."""
-    sec = crop(sec_grid(spark, sf_dir), (0, 12), (0, 20))
+    sec = sec_grid(spark, sf_dir)
     return rounded(processing.process("sec-curvature", sec, sec).z(), digits=4)
 
 

@@ -36,10 +36,9 @@ def sec_grid(spark: SparkSession, sf_dir: str, width: int = 100, px: float = 1.0
     return Grid(df, GridMeta(nrows, ncols, (0.0, px, 0.0, 0.0, 0.0, -px), crs, name="sec"), ("priority",))
 
 
-def smooth_grid(spark: SparkSession, sf_dir: str, rows: int | None = None) -> Grid:
+def smooth_grid(spark: SparkSession, sf_dir: str) -> Grid:
     """One row a vector, one column a component."""
     e = table(spark, sf_dir, "embeddings")
-    e = e.filter(F.col("vec_id") < rows) if rows else e
     size = e.agg(F.max("vec_id").alias("r"), F.max(F.size("embedding")).alias("c")).first()
     df = e.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "z")).select("row", F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"))
     return Grid(df, GridMeta(size["r"] + 1, size["c"], (0.0, 1.0, 0.0, 0.0, 0.0, -1.0), "EPSG:32631", name="smooth"))

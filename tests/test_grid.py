@@ -9,8 +9,8 @@ import pytest
 from reliefspark.functions import metrics
 from reliefspark.grid import Grid, GridMeta, box_intersection, check_has_data, create_grid, crop_box, crop_offset_ranges, roi_bounds
 from reliefspark.operators import classify, coregister, processing, resample, spectral, stats, stencil, tiling
-from reliefspark.plans import config, pipeline
-from reliefspark.sources.grids import add_geoid, load_grid
+from reliefspark.plans import config, pipeline, queries
+from reliefspark.sources.grids import add_geoid, load_grid, sec_grid, smooth_grid
 from reliefspark.streaming import incremental
 
 N = None
@@ -314,3 +314,32 @@ def test_quantiles_narrow_down(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "LARGE", 1)
     got = [tuple(r) for r in stats.class_stats(g, layer).orderBy("class_idx").collect()]
     assert got == want
+
+
+def brute_filtered(v):
+    """The whole grid's cosine transform by matrices, each frequency times its length to the power 0.9, and back."""
+    def basis(n):
+        return np.cos(np.pi * np.outer(np.arange(n), np.arange(n) + 0.5) / n)
+
+    (r, c), (a, b) = v.shape, map(basis, v.shape)
+    length = ((np.arange(r)[:, None] * np.pi / r) ** 2 + (np.arange(c) * np.pi / c) ** 2) ** 0.45
+    weight = np.where(np.arange(r) > 0, 2, 1)[:, None] * np.where(np.arange(c) > 0, 2, 1) / (r * c)
+    return a.T @ (a @ v @ b.T * length * weight) @ b
+
+
+def test_curvature_queries_read_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    want = brute_filtered(array(smooth_grid(spark, sf).df))
+    assert want.shape == (500, 64)
+    assert np.allclose(array(queries.curvature(spark, sf)), want, atol=1e-4)
+    low = np.minimum(want, 0)
+    a, b = np.quantile(low, [0.09, 0.91])
+    assert np.allclose(array(queries.svf(spark, sf)), np.clip((low - a) / (b - a), 0, 1) * 255, atol=1e-2)
+    sec = sec_grid(spark, sf)
+    v = array(sec.df)
+    filled, valid = v.copy(), np.argwhere(~np.isnan(v))
+    for p in np.argwhere(np.isnan(v)):
+        filled[tuple(p)] = v[tuple(min(valid.tolist(), key=lambda q: ((q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2, q)))]
+    got = array(queries.sec_curvature(spark, sf))
+    assert got.shape == v.shape == (sec.meta.nrows, sec.meta.ncols) == (15, 100)
+    assert np.allclose(got, np.where(np.isnan(v), np.nan, brute_filtered(filled)), atol=1e-4, equal_nan=True)
