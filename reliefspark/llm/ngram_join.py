@@ -167,8 +167,11 @@ def linked(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame
 
 
 def open_groups(members: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links between members (super, sid, comp, main, tokens) of different components of a supergroup, by the token-group matrix.
+    """a, b, n of members (super, sid, rows, comp, main, tokens) of a supergroup, by the token-group matrix.
 
+    Rows of n = 0 are links between different components, one of a query to each other component in a group; others have
+    a = b and n, the rows of the other members that a links with in one tile. If no member is main, the n of a member
+    sum to all its links in the supergroup.
     Members are dealt to groups of about GROUP. Queries are the members outside the supergroup's main component; each
     group of queries meets every group once. A group is opened for a query only if the group's token union holds as many
     of the query's tokens as a link needs; then the query's overlaps with the members come from one sparse product.
@@ -177,18 +180,19 @@ def open_groups(members: DataFrame, num: int, den: int) -> DataFrame:
     m = members.join(size, "super")
     of = lambda c: F.greatest(F.ceil(F.col(c) / GROUP), F.lit(1))
     own = F.pmod(F.xxhash64("sid"), F.when(F.col("main"), of("rest")).otherwise(of("queries")))
-    m = m.select("super", "sid", "comp", "main", "tokens", own.alias("own"), of("queries").cast("long").alias("q"), of("rest").cast("long").alias("r"), "rest", "queries").filter("queries > 0")
+    m = m.select("super", "sid", "rows", "comp", "main", "tokens", own.alias("own"), of("queries").cast("long").alias("q"), of("rest").cast("long").alias("r"), "rest", "queries").filter("queries > 0")
     all_q = F.sequence(F.lit(0).cast("long"), F.col("q") - 1)
     # tiles: (query group, other group); main groups count after the query groups
     as_query = F.transform(F.sequence(F.col("own"), F.col("q") + F.when(F.col("rest") > 0, F.col("r")).otherwise(0) - 1), lambda g: F.struct(F.col("own").alias("x"), g.alias("y"), F.lit(True).alias("asks")))
     as_group = F.transform(F.filter(all_q, lambda g: g < F.col("own")), lambda g: F.struct(g.alias("x"), F.col("own").alias("y"), F.lit(False).alias("asks")))
     as_main = F.transform(all_q, lambda g: F.struct(g.alias("x"), (F.col("q") + F.col("own")).alias("y"), F.lit(False).alias("asks")))
-    tiles = m.withColumn("t", F.explode(F.when(F.col("main"), as_main).otherwise(F.concat(as_query, as_group)))).select("super", "t.*", "sid", "comp", "tokens")
+    tiles = m.withColumn("t", F.explode(F.when(F.col("main"), as_main).otherwise(F.concat(as_query, as_group)))).select("super", "t.*", "sid", "rows", "comp", "tokens")
 
     def tile(key, pdf):
+        pdf = pdf.drop_duplicates(["asks", "sid"])  # rows repeated with one id bring their set again
         q = pdf[pdf["asks"]]
         g = q if key[1] == key[2] else pdf[~pdf["asks"]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         if not len(q) or not len(g):
             return none
         parts = g["tokens"].tolist()
@@ -197,27 +201,55 @@ def open_groups(members: DataFrame, num: int, den: int) -> DataFrame:
         order = np.argsort(column, kind="stable")
         rows, starts = rows[order], np.r_[0, np.cumsum(np.bincount(column, minlength=len(union)))]
         sizes, sids, comps = np.array([len(p) for p in parts]), g["sid"].to_numpy(), g["comp"].to_numpy()
-        out = []
-        for sid, comp, tokens in zip(q["sid"].tolist(), q["comp"].tolist(), q["tokens"].tolist()):
+        weights, back, out = g["rows"].to_numpy(), np.zeros(len(g), np.int64), []
+        for sid, weight, comp, tokens in zip(q["sid"].tolist(), q["rows"].tolist(), q["comp"].tolist(), q["tokens"].tolist()):
             at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
             at = at[union[at] == tokens]
             if len(at) * den < num * len(tokens):
                 continue  # the group's union holds too few of the query's tokens
             hits = np.bincount(np.concatenate([rows[starts[c] : starts[c + 1]] for c in at]), minlength=len(g))
-            ok = (hits * den >= (sizes + len(tokens) - hits) * num) & (comps != comp)
+            ok = (hits * den >= (sizes + len(tokens) - hits) * num) & (sids != sid)
+            if ok.any():
+                out.append((sid, sid, int(weights[ok].sum())))
+                back[ok] += weight
+            ok &= comps != comp
             found, first = np.unique(comps[ok], return_index=True)  # a link to each other component is enough
-            out += [(sid, s) for s in sids[ok][first].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64") if out else none
+            out += [(sid, s, 0) for s in sids[ok][first].tolist()]
+        if g is not q:  # in a group's tile with itself each member asks
+            out += [(s, s, n) for s, n in zip(sids[back > 0].tolist(), back[back > 0].tolist())]
+        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64") if out else none
 
-    return tiles.groupBy("super", "x", "y").applyInPandas(tile, "a long, b long")
+    return tiles.groupBy("super", "x", "y").applyInPandas(tile, "a long, b long, n long")
 
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def open_members(m: DataFrame, by: DataFrame) -> DataFrame:
+    """The members (super, sid, comp) of supergroups that have several components, with main: whether theirs is the largest."""
+    main = by.groupBy("super").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("super", F.col("top.comp").alias("largest"))
+    return m.join(written(main, "open-supergroups"), "super").select("super", "sid", "comp", (F.col("comp") == F.col("largest")).alias("main"))
+
+
+def degrees(links: DataFrame, weights: DataFrame, supers: DataFrame | None, counted: DataFrame | None) -> DataFrame:
+    """sid, links: the rows of other sets that a set links with: by links outside supergroups, and as counted (a, n) within."""
+    links = links.distinct()
+    if supers is not None:
+        of = lambda c: supers.select(F.col("node").alias(c), F.col("label").alias(f"super_{c}"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("super_a is null or super_b is null or super_a <> super_b")
+    ends = links.select(F.col("a").alias("of"), F.col("b").alias("sid")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("sid")))
+    found = ends.join(weights, "sid").select("of", F.col("rows").alias("n"))
+    if counted is not None:
+        found = found.unionByName(counted.select(F.col("a").alias("of"), "n"))
+    return found.groupBy(F.col("of").alias("sid")).agg(F.sum("n").alias("links"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: components of the links den x intersection >= num x union.
 
+    With count_links also n_links: the other rows whose sets link with the row's, equal sets included. Without it, links
+    that can't change components aren't looked for.
+
     component_id is the smallest id reachable by links, a row's own included. Texts without words (null, empty, white
     space) have size 0, link with nothing and are their own component. Rows repeated with one id are rows with equal
-    sets. Other columns are never read. An empty table gives no rows. No link between different sets is lost:
+    sets. Other columns are never read. An empty table gives no rows. No link between components is lost:
 
     1. Rows with equal sets form a class (by a 64-bit hash and the size); from here on, classes stand for them.
     2. All shingles have one order, frequent ones last. Linked sets share a shingle within their first
@@ -227,6 +259,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     3. Kept pairs are verified on the whole sets and give components.
     4. Sets that share such heavy shingles, directly or by others, form a supergroup. Where a supergroup has more than
        one component left, all sets outside its largest component query the groups of the token-group matrix.
+       With count_links all sets of all supergroups do: the matrix counts all links within supergroups, the kept pairs
+       give all others.
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = written(sets_and_frequent(rows, k), "sets")
@@ -265,26 +299,36 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     tokens = written(rows.join(small(reps), "doc_id", "left_semi").select("text").mapInPandas(again, "sid long, tokens array<long>"), "tokens")
     links = written(linked(pairs, tokens, num, den), "links")
     labels = components(links)
+    weights = heads.select("sid", "rows")
+    supers = more = None
     if stars.limit(1).count():
         supers = components(stars.select(F.col("sid").alias("a"), F.col("leader").alias("b")))
         m = supers.select(F.col("node").alias("sid"), F.col("label").alias("super")).join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
         m = written(m.select("super", "sid", F.coalesce("label", "sid").alias("comp")), "supergroups")
         by = written(m.groupBy("super", "comp").agg(F.count("*").alias("c")), "supergroup-components")
-        main = by.groupBy("super").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("super", F.col("top.comp").alias("largest"))
-        m = m.join(written(main, "open-supergroups"), "super").select("super", "sid", "comp", (F.col("comp") == F.col("largest")).alias("main"))
-        more = written(open_groups(m.join(tokens, "sid"), num, den), "more-links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+        if count_links:
+            m = m.withColumn("main", F.lit(False))
+        else:
+            m = open_members(m, by)
+        more = written(open_groups(m.join(weights, "sid").join(tokens, "sid"), num, den), "more-links")
+        between = more.filter("n = 0").select("a", "b")
+        if between.limit(1).count():
+            labels = components(links.unionByName(between))
 
     grouped = labels.select(F.col("node").alias("sid"), "label").join(heads, "sid")
     least = written(grouped.groupBy("label").agg(F.min("head").alias("component_id")), "least")
-    of_linked = grouped.join(least, "label").select("sid", "n", "component_id")
-    alone = heads.filter("rows > 1").join(labels.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", "n", F.col("head").alias("component_id"))
-    named = written(of_linked.unionByName(alone), "named")
-    result = classes.filter("n > 0").join(small(named), ["sid", "n"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    empty = classes.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return result.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    of_linked = grouped.join(least, "label").select("sid", "n", "rows", "component_id")
+    alone = heads.filter("rows > 1").join(labels.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", "n", "rows", F.col("head").alias("component_id"))
+    named = of_linked.unionByName(alone)
+    more_columns = []
+    if count_links:
+        named = named.join(degrees(links, weights, supers, more), "sid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1)
+        more_columns = ["n_links"]
+    named = written(named.select("sid", "n", "component_id", *more_columns), "named")
+    result = classes.filter("n > 0").join(small(named), ["sid", "n"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in more_columns])
+    empty = classes.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more_columns])
+    return result.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", *more_columns)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return join(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100, count_links=True)

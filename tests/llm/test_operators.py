@@ -406,3 +406,22 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.join(documents(spark, EMPTY)).count() == 0
     got = ngram_join.join(documents(spark, [(1, None, None, None), (2, "", None, None), (3, "a b", None, None), (4, "A b", None, None)])).collect()
     assert {tuple(r) for r in got} == {(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3)}
+
+
+@pytest.mark.parametrize("listed,group,num", [(128, 512, 85), (4, 3, 70)])
+def test_ngram_join_counts_links(spark, monkeypatch, listed, group, num):
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 10)
+    rows = fixture()
+    sets = []
+    for _, text, *_ in rows:
+        w = words_of(folded(text))
+        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else []))
+    want = Counter()
+    for i, a in enumerate(sets):
+        links = sum(bool(a & b) and 100 * len(a & b) >= num * len(a | b) for j, b in enumerate(sets) if j != i)
+        want[rows[i][0], links] += 1
+    got = ngram_join.join(documents(spark, rows), 4, num, 100, count_links=True).collect()
+    assert Counter((r["doc_id"], r["n_links"]) for r in got) == want and max(n for _, n in want) > 5
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, num, 100)
