@@ -271,6 +271,16 @@ def test_url_filter_models(spark):
     assert url_filter.threshold([(0, 5, 0)]) == math.inf
 
 
+def test_url_filter_scores_whole_urls(spark):
+    urls = [f"https://cheap-pills{k}.shop.net/x/buy-pills{k}.html" for k in range(60)] + [f"https://library{k}.town.org/fr/livres{k}.html" for k in range(60)]
+    urls += ["https://cheap-pills.biz/buy", "https://library.biz/livres"]
+    p = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(p).collect()}
+    bad, good = got[120], got[121]
+    assert len(got) == 122 and bad["rule"] is None and good["rule"] is None and got[0]["whole_ratio"] is None
+    assert bad["whole_ratio"] > 0 > good["whole_ratio"] and (bad["verdict"], good["verdict"]) == ("block", "allow")
+
+
 # op7
 
 
