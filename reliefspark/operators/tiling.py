@@ -1,4 +1,4 @@
-"""Tiles that overlap: which pixels they hold, their statistics and their shifts."""
+"""Tiles that overlap: which pixels they hold and the statistics of these. Tiles aren't coregistered."""
 
 from __future__ import annotations
 
