@@ -38,7 +38,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when their bytes are, after folding A-Z; of equal texts the row with the largest id stays. Null
     text counts as empty, so null and empty texts form one group. Rows repeated with one id share their fate and
-    each counts in group_size. Columns other than the two named are never read. An empty table gives no rows.
+    each counts in group_size. Null ids are less than all others; where all ids of a group are null, keep_id and kept are
+    null. Columns other than the two named are never read. An empty table gives no rows.
 
     The index (id, key, digest) lies on shared files, sorted by key range; its directory has at most 65,536 slots.
     Owner tasks gather each key's head (largest id) and count; the texts of keys with several entries are compared
@@ -68,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while first or left.limit(1).count():
         head = left.groupBy(F.col("key").alias("head_key")).agg(F.max("doc_id").alias("keep_id"))
         # several rows may hold the head's id: the least text among them is the head
-        head_text = left.join(head, (F.col("key") == F.col("head_key")) & (F.col("doc_id") == F.col("keep_id"))).groupBy("key", "keep_id").agg(F.min("norm").alias("head_norm"))
+        head_text = left.join(head, (F.col("key") == F.col("head_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("key", "keep_id").agg(F.min("norm").alias("head_norm"))
         compared = written(left.join(head_text, "key").select("doc_id", "key", "keep_id", (F.col("norm") == F.col("head_norm")).alias("same"), F.when(F.col("norm") != F.col("head_norm"), F.col("norm")).alias("norm"), F.when(F.col("norm") == F.col("head_norm"), F.sha2("norm", 256)).alias("text_sha256")), "compared")
         same = compared.filter("same")
         sizes = written(same.groupBy("key").agg(F.count("*").alias("group_size")), "sizes")

@@ -435,3 +435,9 @@ def test_ngram_join_counts_links(spark, monkeypatch, listed, group, num):
     got = ngram_join.join(documents(spark, rows), 4, num, 100, count_links=True).collect()
     assert Counter((r["doc_id"], r["n_links"]) for r in got) == want and max(n for _, n in want) > 5
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, num, 100)
+
+
+def test_exact_dedup_of_null_ids(spark):
+    rows = [(None, "a"), (None, "A"), (None, "b"), (3, "b"), (None, "c")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == Counter([(None, None, 2, None)] * 2 + [(None, 3, 2, None), (3, 3, 2, True), (None, None, 1, None)])
