@@ -20,7 +20,7 @@ def read(path: str) -> dict:
         cfg = json.load(f)
     folder = os.path.dirname(os.path.abspath(path))
     for name in ("input_ref", "input_sec"):
-        for part in [cfg.get(name), *((cfg.get(name) or {}).get("classification_layers") or {}).values()]:
+        for part in [cfg.get(name), (cfg.get(name) or {}).get("geoid"), *((cfg.get(name) or {}).get("classification_layers") or {}).values()]:
             for key in ("path", "map_path"):
                 if part and key in part and os.path.exists(os.path.join(folder, part[key])):
                     part[key] = os.path.join(folder, part[key])
@@ -42,6 +42,14 @@ def check_coregistration(cfg: dict) -> dict:
     return out
 
 
+def check_metrics(items: list) -> None:
+    """KeyError for an unknown metric, ValueError for one of vectors or matrices: runs give scalars only."""
+    for m in items:
+        name = m if isinstance(m, str) else next(iter(m))
+        if metrics.kind(name) != "scalar":
+            raise ValueError(f"{name} isn't computed by a run: it is no scalar metric")
+
+
 def check_layers(layers: dict) -> dict:
     for name, layer in layers.items():
         kind = layer.get("type")
@@ -56,8 +64,7 @@ def check_layers(layers: dict) -> dict:
             missing = [x for x in fused if x not in layers]
             if missing or len(fused) < 2:
                 raise ValueError(f"a fusion needs two layers of the configuration; missing: {missing}")
-        for m in layer.get("metrics", []):
-            metrics.kind(m if isinstance(m, str) else next(iter(m)))
+        check_metrics(layer.get("metrics", []))
     return layers
 
 
@@ -81,6 +88,7 @@ def check(cfg: dict) -> dict:
                 raise KeyError(f"no processing method named {method}")
             if "input_sec" not in cfg and method not in ("ref", "ref-curvature"):
                 raise ValueError(f"{method} needs input_sec")
+            check_metrics(s.get("metrics", []))
             layers = s.get("classification_layers", {})
             if "curvature" in method and "Slope0" in layers:
                 raise ValueError("curvature has no layer named Slope0")

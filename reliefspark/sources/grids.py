@@ -55,7 +55,8 @@ def events_grid(spark: SparkSession, sf_dir: str) -> Grid:
 
 
 def load_grid(spark: SparkSession, cfg: dict) -> Grid:
-    """A grid file as a configuration names it: path, format (parquet, csv, json or orc), nodata, zunit, crs, transform, roi, labels.
+    """A grid file as a configuration names it: path, format (parquet, csv, json or orc), nodata, zunit, crs, transform, roi, labels,
+    geoid (a grid file of the same kind, whose heights are added).
 
     The file has a row a pixel: row, col, z. Label planes are files of the same kind (row, col, z), joined by pixel.
     """
@@ -68,7 +69,8 @@ def load_grid(spark: SparkSession, cfg: dict) -> Grid:
         df = df.join(plane, ["row", "col"], "left")
     more = {k: (tuple(v) if k == "transform" else v) for k, v in cfg.items() if k in ("transform", "crs")}
     grid = check_has_data(create_grid(df, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels, **more))
-    return crop_box(grid, roi_bounds(grid.meta, cfg["roi"])) if cfg.get("roi") else grid
+    grid = crop_box(grid, roi_bounds(grid.meta, cfg["roi"])) if cfg.get("roi") else grid
+    return add_geoid(grid, load_grid(spark, cfg["geoid"])) if cfg.get("geoid") else grid
 
 
 def add_geoid(grid: Grid, geoid: Grid) -> Grid:

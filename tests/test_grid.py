@@ -343,3 +343,18 @@ def test_curvature_queries_read_whole_tables(spark):
     got = array(queries.sec_curvature(spark, sf))
     assert got.shape == v.shape == (sec.meta.nrows, sec.meta.ncols) == (15, 100)
     assert np.allclose(got, np.where(np.isnan(v), np.nan, brute_filtered(filled)), atol=1e-4, equal_nan=True)
+
+
+def test_load_grid_adds_its_geoid(spark, tmp_path):
+    grid(spark, [[1, 2], [N, 4]]).df.write.parquet(str(tmp_path / "dem.parquet"))
+    grid(spark, [[10, 20, 30], [10, 20, 30], [10, 20, 30]]).df.write.parquet(str(tmp_path / "geoid.parquet"))
+    where = {"crs": "EPSG:32631", "transform": [0.0, 1.0, 0.0, 0.0, 0.0, -1.0]}
+    got = load_grid(spark, {"path": str(tmp_path / "dem.parquet"), "geoid": {"path": str(tmp_path / "geoid.parquet"), **where}, **where})
+    assert np.allclose(array(got.df), nan([[11, 22], [N, 24]]), equal_nan=True)
+
+
+def test_metrics_that_a_run_lacks_are_refused():
+    for name in ("cdf", "ratio_above_threshold", "hillshade", "svf"):
+        for s in ({"metrics": [name]}, {"classification_layers": {"Slope0": {"type": "slope", "metrics": [{name: {}}]}}}):
+            with pytest.raises(ValueError):
+                config.check({"input_ref": {}, "statistics": {"ref": s}})
