@@ -22,6 +22,10 @@ SYMBOLS = frozenset("#$%&*@^~{}<>\\=+_")
 #: Labellers vote 1 (good), -1 (bad) or 0 (abstain), in this order.
 LABELLERS = ("symbols", "bars", "capitals", "exclamations", "repeats", "variety", "lines", "punctuation", "short words", "plain words")
 ALARMS = 7
+#: Chances (labeller; good, bad) that a labeller that judges votes bad, towards which the estimates are pulled by as many
+#: documents as PULL of all; the share of good documents likewise, and the shares at which the estimation starts.
+ANCHORS = np.array([[0.02, 0.3]] * ALARMS + [[0.2, 0.5]] * (len(LABELLERS) - ALARMS))
+PULL, GOOD, STARTS = 0.05, 0.8, (0.5, 0.8, 0.95)
 SYMBOL, BAR, CAPITAL, EXCLAIMED, STOP, SHORT, PLAIN = (1 << k for k in range(7))
 
 
@@ -40,7 +44,7 @@ def shape_of(word: str) -> str:
         if kind != before:
             shape.append(kind)
         before = kind
-    return "".join(shape)[:24]
+    return "".join(shape)
 
 
 def look(word: str) -> int:
@@ -66,7 +70,7 @@ def look(word: str) -> int:
     elif word[-1] in ".,":
         flags |= STOP
     buckets = BUCKETS - OF_TEXT
-    shape = shape_of(core) + word[len(core) :][:8] if core else word[:8]
+    shape = shape_of(core) + word[len(core) :] if core else word
     return flags | zlib.crc32(word.lower().encode("utf-8", "replace")) % buckets << 8 | zlib.crc32(shape.encode("utf-8", "replace"), 1) % buckets << 24
 
 
@@ -118,29 +122,55 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
+def rates(votes: np.ndarray, weights: np.ndarray, pseudo: float) -> np.ndarray:
+    """(labeller, class) chances that a labeller that judges votes bad; class 0 is good, class 1 bad.
+
+    weights: (pattern, class) counts. `pseudo` counts of each class's ANCHORS pull the estimates. A labeller that would
+    be less of an alarm among bad documents than among good ones is no better than chance: its two chances become one.
+    """
+    judges = np.where(np.arange(len(LABELLERS)) < ALARMS, True, votes != 0)  # a silent alarm judges, too
+    bad, all_ = (votes == -1).T.astype(float) @ weights, judges.T.astype(float) @ weights
+    chance = (bad + pseudo * ANCHORS) / (all_ + pseudo)
+    pooled = ((bad + pseudo * ANCHORS).sum(1) / (all_ + pseudo).sum(1))[:, None]
+    return np.where(chance[:, :1] > chance[:, 1:], pooled, chance)
+
+
+def log_joint(votes: np.ndarray, chance: np.ndarray, good: float) -> np.ndarray:
+    """Log joint chances (pattern, class) of votes with the class, labellers being independent given the class."""
+    judges = np.where(np.arange(len(LABELLERS)) < ALARMS, True, votes != 0).astype(float)
+    bad = (votes == -1).astype(float)
+    return bad @ np.log(chance) + (judges - bad) @ np.log1p(-chance) + np.log([good, 1 - good])
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """P(good) of each pattern of votes. Labellers are independent given the class.
 
-    Each labeller votes good, bad or abstains with probabilities of its own in either class: its accuracies. That the
-    first ALARMS labellers are silent tells for a text; the others abstain on what they can't judge, which tells nothing.
-    The probabilities are estimated from the posteriors in turn with the share of good documents. At first, a pattern counts as good in the
-    measure that its votes are.
+    Each labeller votes bad with a chance of its own in either class: its accuracies. That the first ALARMS labellers are
+    silent tells for a text; the others abstain on what they can't judge, which tells nothing. The chances and the share of
+    good documents are estimated from the posteriors in turn, as the most likely ones a posteriori: a share PULL of all
+    documents counts as if it were as ANCHORS and GOOD have it, and no labeller may be worse than chance (rates()). So
+    the classes can't swap, and documents that agree on everything, whatever it is, don't split into two classes. Of
+    several starts, the one with the best posterior stands.
     """
     votes = votes_of(patterns)
-    start = ((votes == 1).sum(1) + 1) / ((votes == 1).sum(1) + 6 * (votes == -1).sum(1) + 1.2)
-    posterior = start
-    for _ in range(rounds):
-        prior = float(np.clip(((counts * posterior).sum() + 1) / (counts.sum() + 2), 0.02, 0.98))
-        logs = []
-        for p, w in ((prior, counts * posterior), (1 - prior, counts * (1 - posterior))):
-            log = np.full(len(patterns), np.log(p))
-            for v in (-1, 0, 1):
-                chance = ((w[:, None] * (votes == v)).sum(0) + 1) / (w.sum() + 3)
-                tells = (votes == v) & ((v != 0) | (np.arange(len(LABELLERS)) < ALARMS))
-                log += (tells * np.log(chance)).sum(1)
-            logs.append(log)
-        posterior = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
-    return posterior
+    total = counts.sum()
+    if not total:
+        return np.full(len(patterns), GOOD)
+    pseudo = PULL * total
+    best = None
+    for good in STARTS:
+        chance = ANCHORS
+        for _ in range(rounds):
+            log = log_joint(votes, chance, good)
+            top = np.logaddexp(log[:, 0], log[:, 1])
+            posterior = np.exp(log - top[:, None])
+            prior = (pseudo * (ANCHORS * np.log(chance) + (1 - ANCHORS) * np.log1p(-chance))).sum() + pseudo * (GOOD * np.log(good) + (1 - GOOD) * np.log1p(-good))
+            fit_ = float((counts * top).sum() + prior)
+            weights = counts[:, None] * posterior
+            chance, good = rates(votes, weights, pseudo), float((weights[:, 0].sum() + pseudo * GOOD) / (total + pseudo))
+        if best is None or fit_ > best[0]:
+            best = (fit_, posterior[:, 0])
+    return best[1]
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -174,51 +204,61 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
     """The labellers vote on every row's whole text; the counts of their patterns (at most 3**10) give the accuracies.
 
-    The scorer learns the posteriors of `train_rows` rows, those of least xxhash64 of their id and of at least one word.
+    The scorer learns the posteriors of `train_rows` different texts, those of least xxhash64 among all that have a word:
+    each task keeps its own least ones, so copies of one text, however many, are one example.
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
 
     def vote(batches):
         reader = held("quality", Reader)
         found: dict[int, int] = {}
+        least = np.empty(0, np.int64)
         for pdf in batches:
+            worded = []
             for t in pdf["text"].tolist():
-                if (seen := reader.read(t or "")) is not None:
+                seen = reader.read(t or "")
+                worded.append(seen is not None)
+                if seen is not None:
                     p = pattern(seen[0])
                     found[p] = found.get(p, 0) + 1
-        yield pd.DataFrame({"pattern": list(found.keys()), "n": list(found.values())}).astype("int64")
+            least = np.unique(np.concatenate([least, pdf["h"].to_numpy(np.int64)[worded]]))[:train_rows]
+        yield pd.DataFrame({"kind": 0, "value": list(found.keys()), "n": list(found.values())}).astype("int64")
+        yield pd.DataFrame({"kind": 1, "value": least, "n": 1}).astype("int64")
 
-    table = rows.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
-    patterns, counts = table["pattern"].to_numpy(np.int64), table["n"].to_numpy(float)
+    seen = written(rows.mapInPandas(vote, "kind long, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "votes")
+    table = seen.filter("kind = 0").toPandas()  # at most 3**10 rows
+    patterns, counts = table["value"].to_numpy(np.int64), table["n"].to_numpy(float)
     posterior = dict(zip(patterns.tolist(), expectation_maximisation(patterns, counts).tolist())) if len(table) else {}
-
-    sample = written(rows.filter(F.length("text") > 0).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(train_rows), "sample")
+    sample = written(seen.filter("kind = 1").select(F.col("value").alias("h")).orderBy("h").limit(train_rows), "sample")
 
     def describe(batches):
         reader = held("quality", Reader)
+        known: set[int] = set()
         for pdf in batches:
             out = []
-            for t in pdf["text"].tolist():
-                if (seen := reader.read(t or "")) is not None:
+            for h, t in zip(pdf["h"].tolist(), pdf["text"].tolist()):
+                if h not in known and (seen := reader.read(t or "")) is not None:
+                    known.add(h)
                     buckets, values = features(*seen[1:])
-                    out.append((pattern(seen[0]), buckets.astype("<u2").tobytes(), values.astype("<f4").tobytes()))
-            yield pd.DataFrame(out, columns=["pattern", "buckets", "feature_values"])
+                    out.append((h, pattern(seen[0]), buckets.astype("<u2").tobytes(), values.astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["h", "pattern", "buckets", "feature_values"])
 
-    # at most train_rows rows (more only if ids repeat) of at most BUCKETS features
-    got = rows.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").select("text").mapInPandas(describe, "pattern long, buckets binary, feature_values binary").limit(2 * train_rows).toPandas()
+    # at most train_rows rows of at most BUCKETS features
+    described = rows.join(F.broadcast(sample), "h", "left_semi").mapInPandas(describe, "h long, pattern long, buckets binary, feature_values binary")
+    got = described.groupBy("h").agg(F.max(F.struct("pattern", "buckets", "feature_values")).alias("x")).select("h", "x.*").toPandas().sort_values("h")
     if not len(got):
         return Model(posterior, np.zeros(BUCKETS), 0.0)
     vectors = [(np.frombuffer(b, "<u2"), np.frombuffer(v, "<f4")) for b, v in zip(got["buckets"], got["feature_values"])]
-    order = sorted(range(len(vectors)), key=lambda k: (got["pattern"].iloc[k], got["buckets"].iloc[k], got["feature_values"].iloc[k]))
-    weights, bias = fit_scorer([vectors[k] for k in order], np.array([posterior[int(got["pattern"].iloc[k])] for k in order]))
+    weights, bias = fit_scorer(vectors, np.array([posterior[p] for p in got["pattern"].tolist()]))
     return Model(posterior, weights, bias)
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, weak_label (the labellers' posterior), score (the scorer's), keep (score >= threshold) of every row.
 
-    Each row is judged by its whole text. Null texts and those without words have no votes and score 0: they aren't
-    kept. Rows repeated with one id are judged each. Other columns are never read. An empty table gives no rows.
+    Each row is judged by its whole text, however long: a task holds the words of one text at a time. Null texts and those without words have no votes and score 0: they aren't
+    kept. Rows repeated with one id are judged each, and
+    null ids stay null. Other columns are never read. An empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, train_rows))
 
