@@ -81,7 +81,8 @@ class WordEncoder:
         parts = []
         for w in new:
             core = w.rstrip(MARKS)
-            parts.append((core, w[len(core) :]) if core and core[-1].isalpha() else (w, ""))
+            # small letters of a dotted capital I end in a combining dot, which marks may join
+            parts.append((core, w[len(core) :]) if core and core[-1].isalpha() and "İ" not in w else (w, ""))
         self._encode(list({p for pair in parts for p in pair if p and not self.cores.known(p)}))
         cores, get = self.cores.young, self.words.young
         for w, (core, marks) in zip(new, parts):
