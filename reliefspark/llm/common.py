@@ -46,9 +46,11 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='corpus-')}"
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -58,7 +60,7 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: lineage ends here and lost executors lose nothing.
 
-    The table goes when the application ends (or when release() is called).
+    The table goes when the application ends, or when release() is called.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -67,10 +69,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes all tables that written() has made."""
-    while _written:
-        spark, path = _written.pop()
+def tables() -> int:
+    """How many written tables there are now: release(tables()) later deletes those written since."""
+    return len(_written)
+
+
+def release(since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that written() has made after the first `since`, but for the last `keep` of them."""
+    last = len(_written) - keep
+    gone, _written[since:last] = _written[since:last], []
+    for spark, path in gone:
         if spark.sparkContext._jsc is None:
             continue
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
