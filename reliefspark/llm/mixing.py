@@ -41,33 +41,58 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def measure(size: Column) -> Column:
+    """What a document's inclusion grows with: the whole root of its words, plus 1."""
+    return F.floor(F.sqrt(size)) + 1
+
+
+def levels(sized: DataFrame, t: DataFrame) -> DataFrame:
+    """source, level: documents of a source are included with min(1, level x measure), which sums to rest words.
+
+    The largest measures reach 1 first. Words are summed by (source, measure), so the windows run over as many rows a
+    source as texts have different roots of sizes, whatever the number of documents.
+    """
+    h = sized.filter("size > 0").groupBy("source", measure(F.col("size")).alias("x")).agg(F.sum("size").alias("words"))
+    h = h.withColumnRenamed("source", "s").join(small(t.filter("rest > 0").select("source", "rest")), F.col("s").eqNullSafe(F.col("source")))
+    down = W.partitionBy("s").orderBy(F.col("x").desc())
+    larger = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(F.col("words") * F.col("x")).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    h = h.withColumn("level", (F.col("rest") - larger) / below)
+    # of those whose measure stays below 1, the one of the largest measure
+    return h.filter(F.col("level") * F.col("x") < 1).groupBy(F.col("s").alias("source")).agg(F.max(F.struct("x", "level"))["level"].alias("level"))
+
+
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """For each source of sized (doc_id, source, size): target, whole copies, inclusion probability and the cut.
+    """For each source of sized (doc_id, source, size): target, whole copies, level of inclusion, and the cut.
 
-    A document is drawn when (q, doc_id) <= (cut_q, cut_id), with q its random odds divided by its inclusion odds.
-    Every task reads part of a source only: words are summed by (source, bucket of q), the bucket in which a source
-    fills its remainder is found from these sums, and only its documents are put in order.
+    Documents of level x measure >= 1 are certain. Of the others, one is drawn when (q, doc_id) <= (cut_q, cut_id), with q
+    its random odds divided by its inclusion odds. Every task reads part of a source only: words are summed by (source,
+    bucket of q), the bucket in which a source fills its remainder is found from these sums, and only its documents are
+    put in order.
     """
-    t = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
+    t = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = t.withColumn("copies", F.floor(ratio)).withColumn("pi", ratio - F.floor(ratio)).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    drawn = sized.join(small(t.filter("pi > 0")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "rest", odds(F.col("doc_id"), F.col("pi"), seed).alias("q"))
-    drawn = drawn.withColumn("bucket", F.floor(F.col("q") / (F.col("q") + 1) * BUCKETS))
-    order = W.partitionBy("source").orderBy("bucket")
+    t = written(t.withColumn("copies", F.floor(ratio)).withColumn("rest", F.col("target") - F.floor(ratio) * F.col("source_size")), "targets")
+    level = written(levels(sized, t).withColumnRenamed("source", "s"), "levels")
+    t = written(t.join(small(level), t["source"].eqNullSafe(level["s"]), "left").drop("s"), "levelled")
+    asked = sized.filter("size > 0").join(small(t.filter("level is not null")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    pi = F.col("level") * measure(F.col("size"))
+    asked = asked.select("doc_id", "source", "size", "rest", pi.alias("pi"), odds(F.col("doc_id"), pi, seed).alias("q"))
+    drawn = asked.filter("pi < 1").withColumn("bucket", F.floor(F.col("q") / (F.col("q") + 1) * BUCKETS))
+    certain = asked.filter("pi >= 1").groupBy("source").agg(F.sum("size").alias("certain")).withColumnRenamed("source", "s")
     sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    sums = sums.withColumn("done", F.sum("words").over(order) - F.col("words"))
-    last = sums.filter("done < rest").groupBy("source").agg(F.max("bucket").alias("b"), F.max("done").alias("done"))
-    inner = W.partitionBy("source").orderBy("q", "doc_id")
-    last = last.withColumnRenamed("source", "s")
-    near = drawn.join(small(written(last, "brackets")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    sums = sums.join(small(written(certain, "certain")), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rest", F.col("rest") - F.coalesce("certain", F.lit(0))).drop("s")
+    sums = sums.withColumn("done", F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words"))
+    last = written(sums.filter("done < rest").groupBy(F.col("source").alias("s")).agg(F.max("bucket").alias("b"), F.max("done").alias("done"), F.max("rest").alias("room")), "brackets")
+    inner = W.partitionBy("source").orderBy("q", "doc_id", "size")
+    near = drawn.join(small(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     near = near.withColumn("before", F.col("done") + F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     # the document that crosses the remainder is taken if at least half of it fits; an earlier bracket is taken whole
-    taken = near.filter(F.col("before") + F.col("size") / 2 <= F.col("rest"))
+    taken = near.filter(F.col("before") + F.col("size") / 2 <= F.col("room"))
     cut = taken.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("cut"))
-    low = last.select("s", (F.col("b") / BUCKETS).alias("f"))
-    cut = low.join(cut.withColumnRenamed("source", "c"), F.col("s").eqNullSafe(F.col("c")), "left")
+    cut = last.join(cut.withColumnRenamed("source", "c"), F.col("s").eqNullSafe(F.col("c")), "left")
     # with none taken in its bracket, a source's cut lies at the bracket's start
-    cut = cut.select("s", F.coalesce("cut.q", F.lit(-1.0)).alias("cut_q"), F.col("cut.doc_id").alias("cut_id"), F.col("cut").isNull().alias("at_start"), "f")
+    cut = cut.select("s", F.coalesce("cut.q", F.lit(-1.0)).alias("cut_q"), F.col("cut.doc_id").alias("cut_id"), F.col("cut").isNull().alias("at_start"), "b")
     return written(t.join(cut, t["source"].eqNullSafe(cut["s"]), "left").drop("s"), "mix-plan")
 
 
@@ -76,29 +101,37 @@ def odds(id_col: Column, pi: Column, seed: int) -> Column:
     return (u / (1 - u)) / (pi / (1 - pi))
 
 
-def with_draws(rows: DataFrame, p: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def with_draws(rows: DataFrame, p: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
     """rows with mix_plan (their source's plan) and mix_draws, how often each is taken; names of their own don't matter."""
     right = p.select(F.col("source").alias("mix_source"), F.struct(*[c for c in p.columns if c != "source"]).alias("mix_plan"))
     joined = rows.withColumn("mix_key", F.col(source_col)).join(small(right), F.col("mix_key").eqNullSafe(F.col("mix_source")))
     of = lambda c: F.col(f"mix_plan.{c}")
-    doc_id = F.col(id_col)
-    q = odds(doc_id, of("pi"), seed)
+    doc_id, pi = F.col(id_col), of("level") * measure(F.col(size_col))
+    q = odds(doc_id, pi, seed)
     bucket = F.floor(q / (q + 1) * BUCKETS)
-    below = F.when(of("at_start"), bucket < of("f") * BUCKETS).otherwise((q < of("cut_q")) | ((q == of("cut_q")) & (doc_id <= of("cut_id"))))
-    return joined.withColumn("mix_draws", F.coalesce(of("copies"), F.lit(0)) + F.when((of("pi") > 0) & below, 1).otherwise(0)).drop("mix_key", "mix_source")
+    known = doc_id.isNull() | (F.coalesce(doc_id <= of("cut_id"), F.lit(False)))  # null ids come first
+    below = F.when(of("at_start"), bucket < of("b")).otherwise((q < of("cut_q")) | ((q == of("cut_q")) & known))
+    more = F.when((pi >= 1) | ((pi < 1) & below), 1).otherwise(0)
+    return joined.withColumn("mix_draws", F.when(F.col(size_col) > 0, of("copies") + more).otherwise(0)).drop("mix_key", "mix_source")
+
+
+def words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(sized, plan): doc_id, source, size of each row of docs, and the plan of each source.
 
     Size is the number of words of a text (null: 0). Null is a source of its own, last in order. Sources of no words
-    get and give none. A source whose target is r times its size is taken floor(r) times whole; for the rest, documents
-    are drawn by Pareto order sampling of a fixed number of words: in the order of random odds over inclusion odds, the
-    latter those of r - floor(r), until the remainder is filled (to within half of the document at the cut). The random
-    odds come from the id and the seed, so reruns agree; rows repeated with one id share their draw, and are counted
-    in turn. Other columns are never read. An empty table gives no rows.
+    get and give none, nor do documents of none. A source whose target is r times its size is taken floor(r) times
+    whole. For the rest, a document's inclusion probability grows with the root of its size, so that longer documents
+    are likelier, but short ones stay: those that would reach 1 are certain copies, and the others are drawn by Pareto
+    order sampling of a fixed number of words: in the order of random odds over inclusion odds, until the remainder is
+    filled (to within half of the document at the cut). The random odds come from the id and the seed, so reruns
+    agree; rows repeated with one id (null ids, too) share their random number, and are counted in turn. Other columns
+    are never read. An empty table gives no rows.
     """
-    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sized")
+    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sized")
     return sized, plan(sized, weights, most, seed)
 
 
@@ -106,9 +139,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     """The rows of docs, with all their columns, each as often as the mix takes it."""
     _, p = mix(docs, weights, most, seed, id_col, text_col, source_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
-    plain = docs.toDF(*names)  # so that no column can clash with those of the plan
-    at = {c: names[docs.columns.index(c)] for c in (id_col, source_col)}
-    taken = with_draws(plain, p, seed, at[id_col], at[source_col]).filter("mix_draws > 0")
+    at = {c: names[docs.columns.index(c)] for c in (id_col, text_col, source_col)}
+    plain = docs.toDF(*names).withColumn("mix_size", words(F.col(at[text_col])))  # so that no column can clash with those of the plan
+    taken = with_draws(plain, p, seed, at[id_col], at[source_col], "mix_size").filter("mix_draws > 0")
     taken = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_draws").cast("long"))))
     return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
@@ -136,16 +169,27 @@ WITH d AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target,
          CASE WHEN source_size > 0 THEN least(cap, coalesce(level * weight, cap)) / source_size ELSE 0 END AS r FROM w CROSS JOIN v
 ), p AS (
-  SELECT *, floor(r) AS copies, r - floor(r) AS pi, target - floor(r) * source_size AS rest FROM t
+  SELECT *, floor(r) AS copies, target - floor(r) * source_size AS rest FROM t
+), x AS (
+  SELECT *, (floor(sqrt(size)) + 1)::BIGINT AS x FROM d
+), h AS (
+  SELECT source, x, sum(size)::BIGINT AS words FROM x WHERE size > 0 GROUP BY 1, 2
+), g AS (
+  SELECT h.source, x, (rest - coalesce(sum(words) OVER (PARTITION BY h.source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(words * x) OVER (PARTITION BY h.source ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source WHERE rest > 0
+), k AS (
+  SELECT source, max_by(level, x) AS level FROM g WHERE level * x < 1 GROUP BY 1
 ), u AS (
-  SELECT d.doc_id, d.size, p.*, (('0x' || substr(md5('7:' || d.doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT x.doc_id, x.size, p.*, k.level * x.x AS pi, (('0x' || substr(md5('7:' || x.doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+  FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source LEFT JOIN k ON x.source IS NOT DISTINCT FROM k.source
 ), q AS (
-  SELECT *, CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM u
+  SELECT *, CASE WHEN pi < 1 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q,
+         rest - coalesce(sum(size) FILTER (pi >= 1) OVER (PARTITION BY source), 0) AS room FROM u
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM q
+  SELECT *, sum(CASE WHEN size > 0 AND pi < 1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM q
 )
 SELECT doc_id, size, source_size, target,
-       (size * (copies + CASE WHEN pi > 0 AND before + size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (copies + CASE WHEN pi >= 1 OR (pi < 1 AND before + size / 2.0 <= room) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c
 """
