@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from reliefspark.llm.tokens import VOCABULARY, encoder
 
 #: Tokens of a sequence, and the id that ends a document.
 SEQUENCE, END = 4096, 1
-#: Fillings tried for a bin, and bins opened by the search, before its best incumbent stands.
-FILLINGS, NODES = 8, 20_000
+#: Steps of the search before its best incumbent stands, and states of it that are remembered (which only saves time).
+STEPS, SEEN = 300_000, 200_000
 #: Rows of one length that are put in order together.
 RANKED = 500_000
 
@@ -42,150 +43,168 @@ def pieces(docs: DataFrame, size: int = SEQUENCE, path: str = VOCABULARY, id_col
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class Lengths:
-    """Lengths with counts; finds the largest length present that is at most x."""
-
-    def __init__(self, counts: dict[int, int]):
-        self.count = dict(counts)
-        self.sorted = sorted(k for k, v in counts.items() if v)
-
-    def take(self, length: int, n: int) -> None:
-        self.count[length] -= n
-        if not self.count[length]:
-            self.sorted.pop(bisect_right(self.sorted, length) - 1)
-
-    def floor(self, x: int) -> int:
-        k = bisect_right(self.sorted, x) - 1
-        while k >= 0 and not self.count[self.sorted[k]]:  # borrowed by the bin at hand
-            k -= 1
-        return self.sorted[k] if k >= 0 else 0
-
-
-def best_fit(left: Lengths, room: int) -> list[int]:
-    """The largest that fits, again and again."""
-    out: list[int] = []
-    while room > 0:
-        k = bisect_right(left.sorted, room) - 1
-        while k >= 0 and left.count[left.sorted[k]] <= out.count(left.sorted[k]):
-            k -= 1
-        if k < 0:
-            break
-        out.append(left.sorted[k])
-        room -= left.sorted[k]
-    return out
-
-
-def fillings(left: Lengths, room: int, waste: int, most: int = FILLINGS) -> list[list[int]]:
-    """Undominated fillings of the room beside a bin's largest document, least waste first, none over `waste` if others are there.
-
-    A single length that fits exactly dominates all others. A filling to which a present length could be added is
-    dominated by the one with it, as is one whose part could be swapped for a single larger length within the room:
-    so each filling takes the largest length that fits what a chosen first length has left, first lengths going
-    down from the largest, and ends when no length fits.
+def best_fit(left: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """Bins as (lengths, how many such bins): the largest length left, then the largest that fits, again and again."""
+    count, order, plan = dict(left), sorted(k for k, v in left.items() if v), []
+    while order:
+        full, room = [], size
+        k = len(order) - 1
+        while k >= 0:
+            fits = min(room // order[k], count[order[k]])
+            full += [order[k]] * fits
+            room -= order[k] * fits
+            k = min(k - 1, bisect_right(order, room) - 1)
+        uses = Counter(full)
+        n = min(count[x] // u for x, u in uses.items())
+        for x, u in uses.items():
+            count[x] -= n * u
+            if not count[x]:
+                order.pop(bisect_right(order, x) - 1)
+        plan.append((full, n))
+    return plan
+
+
+def bound(counts: dict[int, int], size: int) -> int:
+    """No packing has fewer bins: by volume, and for each k by what must lie apart from lengths over size - k."""
+    x = np.array(sorted(k for k, v in counts.items() if v), np.int64)
+    if not len(x):
+        return 0
+    n = np.array([counts[int(k)] for k in x], np.int64)
+    items, volume = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * x)]
+    least = -(-int(volume[-1]) // size)
+    half = int(np.searchsorted(x, size // 2, side="right"))  # from here on, no two lie in one bin
+    for at in range(half + 1):
+        k = int(x[at]) if at < half else size // 2 + 1
+        apart = int(np.searchsorted(x, size - k, side="right"))
+        alone, shared = int(items[-1] - items[apart]), int(items[apart] - items[half]) if apart > half else 0
+        free = shared * size - int(volume[apart] - volume[half]) if apart > half else 0
+        least = max(least, alone + shared + max(0, -(-(int(volume[half] - volume[at]) - free) // size)))
+    return least
+
+
+def fillings(left: dict[int, int], room: int, waste: int, spend):
+    """The undominated fillings of a bin's room beside its largest document, those of least waste first, none over `waste`.
+
+    left: lengths and counts, without that document. A filling is dominated, and left out, if a length still there could
+    be added, or could take the place of one or two smaller ones within the room: what another solution has there could
+    be swapped. spend() is called once a step and ends the search when it returns False.
     """
-    exact = left.floor(room)
-    if exact == room or not exact:
-        return [[exact] if exact else []]
-    found: dict[tuple[int, ...], int] = {}
-    k = bisect_right(left.sorted, room) - 1
-    tried = 0
-    while k >= 0 and tried < 512:
-        first = left.sorted[k]
-        if not left.count[first]:
-            k -= 1
+    order = sorted((k for k, v in left.items() if v and k <= room), reverse=True)
+    spend(2 * len(order))
+    # what lengths from each place on add up to at most, and every sum that they reach
+    most, reach = [0] * (len(order) + 1), [1] * (len(order) + 1)
+    full = (1 << (room + 1)) - 1
+    for i in range(len(order) - 1, -1, -1):
+        x, n = order[i], min(left[order[i]], room // order[i])
+        most[i], bits, part = most[i + 1] + x * n, reach[i + 1], 1
+        while n > 0:  # n copies by powers of two
+            take = min(part, n)
+            bits |= bits << (x * take) & full
+            n, part = n - take, part * 2
+        reach[i] = bits
+
+    def dominated(filling: list[int], rest: int) -> bool:
+        used = Counter(filling)
+        spare = sorted(x for x in order if left[x] > used[x])
+        if spare and spare[0] <= rest:
+            return True
+        kinds = sorted(used)
+        sums = [(x, False) for x in kinds] + [(x + y, True) for i, x in enumerate(kinds) for y in kinds[i:] if x != y or used[x] > 1]
+        for total, two in sums:
+            k = bisect_right(spare, total + rest) - 1
+            if k >= 0 and (spare[k] > total or (two and spare[k] == total)):
+                return True
+        return False
+
+    for over in range(min(waste, room) + 1):
+        if not reach[0] >> (room - over) & 1:
             continue
-        rest = room - first
-        second = left.floor(rest)
-        if second == first and left.count[first] < 2:
-            second = left.floor(first - 1)
-        filling = [first]
-        if rest and second:
-            left.count[first] -= 1
-            filling += best_fit(left, rest)
-            left.count[first] += 1
-        key = tuple(sorted(filling, reverse=True))
-        found[key] = room - sum(key)
-        if found[key] == 0 and (len(key) <= 2 or tried > 64):
-            break
-        k -= 1
-        tried += 1
-    ranked = sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-v for v in x[0]]))
-    ok = [list(f) for f, w in ranked if w <= waste] or [list(f) for f, _ in ranked[:1]]
-    return ok[:most] or [[]]
-
-
-def complete(counts: dict[int, int], size: int = SEQUENCE, nodes: int = NODES) -> list[tuple[list[int], int]]:
+        stack = [(0, room - over, ())]
+        while stack:
+            i, want, chosen = stack.pop()
+            if not spend(1):
+                return
+            if not want:
+                filling = [x for x, n in chosen for _ in range(n)]
+                if not dominated(filling, over):
+                    yield filling
+                continue
+            while i < len(order) and order[i] > want:
+                i += 1
+            if i == len(order) or most[i] < want or not reach[i] >> want & 1:
+                continue
+            for n in range(0, min(left[order[i]], want // order[i]) + 1):  # the most copies come off the stack first
+                stack.append((i + 1, want - n * order[i], (*chosen, (order[i], n)) if n else chosen))
+
+
+def complete(counts: dict[int, int], size: int = SEQUENCE, steps: int | None = STEPS) -> list[tuple[list[int], int]]:
     """Bins as (lengths, how many such bins), as few bins as the search finds.
 
-    Bin completion: the largest length left is filled up, as many bins at once as the counts allow, so the plan has
-    at most as many entries as there are lengths and doesn't grow with the documents. The best-fit solution is the
-    first incumbent; a branch ends when its bins so far and the bound ceil(rest / size) can't beat the incumbent, that
-    is, when the waste of its full bins exceeds what the incumbent leaves; the search ends when an incumbent meets the
-    bound, or after `nodes` bins were opened.
+    Bin completion: bins are filled around the largest document left, in turn by each undominated filling, by as many
+    bins of it at once as the counts allow, then by fewer, so a plan has a few entries a length and doesn't grow with the
+    documents. Best fit gives the first incumbent, and at each node what best fit makes of the rest gives another. A
+    branch ends when its waste exceeds what beating the incumbent leaves; the search ends when an incumbent meets the lower
+    bound, when all branches have ended (the incumbent is then optimal), or after `steps` steps. None sets no limit: the
+    result is optimal, whatever that takes.
     """
-    total = sum(k * v for k, v in counts.items())
-    bound = -(-total // size)
-    budget = [nodes]
-
-    def run(choose) -> tuple[int, list[tuple[list[int], int]]]:
-        left, plan, bins = Lengths(counts), [], 0
-        while left.sorted:
-            top = left.sorted[-1]
-            left.count[top] -= 1
-            fill = choose(left, size - top)
-            left.count[top] += 1
-            full = [top, *fill]
-            uses: dict[int, int] = {}
-            for x in full:
-                uses[x] = uses.get(x, 0) + 1
-            n = min(left.count[x] // u for x, u in uses.items())
-            for x, u in uses.items():
-                left.take(x, n * u)
-            plan.append((full, n))
-            bins += n
-        return bins, plan
-
-    best = run(best_fit)
-    if best[0] > bound:
-        best = min(best, run(lambda left, room: fillings(left, room, size)[0]), key=lambda x: x[0])
-
-    # depth-first over alternatives; a node holds the counts left, the bins so far and the plan so far
-    stack = [(dict(counts), 0, ())] if best[0] > bound else []
-    while stack and best[0] > bound and budget[0] > 0:
-        now, bins, plan = stack.pop()
-        left = Lengths({k: v for k, v in now.items() if v})
-        if not left.sorted:
-            if bins < best[0]:
-                out, p = [], plan
-                while p:
-                    p, entry = p
-                    out.append(entry)
-                best = (bins, out[::-1])
+    counts = {k: v for k, v in counts.items() if v}
+    total, least = sum(k * v for k, v in counts.items()), bound(counts, size)
+    best = best_fit(counts, size)
+    bins = sum(n for _, n in best)
+    taken = 0
+
+    def spend(work: int) -> bool:
+        nonlocal taken
+        taken += work
+        return steps is None or taken <= steps
+
+    def options(left: dict[int, int], waste: int):
+        """(filling with the largest, bins of it) for a node, the most bins first."""
+        top = max(left)
+        beside = {**left, top: left[top] - 1}
+        for filling in fillings(beside, size - top, waste, spend):
+            full = [top, *filling]
+            uses, lost = Counter(full), size - sum(full)
+            n = min(left[x] // u for x, u in uses.items())
+            for k in range(min(n, waste // lost) if lost else n, 0, -1):
+                yield full, k
+
+    seen: dict[tuple, int] = {}
+    # a node: its options still to try, what is left, its waste, its bins, its plan
+    stack = [(options(counts, (bins - 1) * size - total), counts, 0, 0, None)] if bins > least and counts else []
+    while stack and bins > least and (steps is None or taken <= steps):
+        todo, left, lost, used, plan = stack[-1]
+        got = next(todo, None)
+        if got is None:
+            stack.pop()
             continue
-        rest = sum(k * v for k, v in left.count.items())
-        if bins + -(-rest // size) >= best[0]:
+        spend(2 * len(left))
+        full, n = got
+        lost, used, plan = lost + n * (size - sum(full)), used + n, (plan, got)
+        allowed = (bins - 1) * size - total - lost
+        if allowed < 0:
             continue
-        budget[0] -= 1
-        allowed = (best[0] - 1 - bins) * size - rest
-        top = left.sorted[-1]
-        left.count[top] -= 1
-        options = fillings(left, size - top, allowed)
-        left.count[top] += 1
-        for fill in reversed(options):
-            full = [top, *fill]
-            if size - sum(full) > allowed:
-                continue
-            uses: dict[int, int] = {}
-            for x in full:
-                uses[x] = uses.get(x, 0) + 1
-            n = min(left.count[x] // u for x, u in uses.items())
-            waste = size - sum(full)
-            n = max(1, min(n, allowed // waste)) if waste else n
-            after = dict(left.count)
-            for x, u in uses.items():
-                after[x] -= n * u
-            stack.append((after, bins + n, (plan, (full, n))))
-    return best[1]
+        uses = Counter(full)
+        left = {k: rest for k, v in left.items() if (rest := v - n * uses[k])}
+        state = tuple(sorted(left.items()))
+        if seen.get(state, used + 1) <= used:
+            continue
+        if len(seen) < SEEN:
+            seen[state] = used
+        tail = best_fit(left, size)
+        if (found := used + sum(k for _, k in tail)) < bins:
+            head = []
+            while plan:
+                plan, entry = plan
+                head.append(entry)
+            best, bins = head[::-1] + tail, found
+            allowed -= size
+            plan = None
+            for entry in head[::-1]:
+                plan = (plan, entry)
+        if left and allowed >= 0:
+            stack.append((options(left, allowed), left, lost, used, plan))
+    return best
 
 
 def places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -210,11 +229,13 @@ def places(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*r)) for x, r in runs.items()}
 
 
-def pack(docs: DataFrame, size: int = SEQUENCE, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = SEQUENCE, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", steps: int | None = STEPS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every row's pieces, placed in as few sequences as found.
 
-    Null and empty texts have one piece, the end id. Rows repeated with one id are packed each. Only texts of over
-    `size` tokens are cut, into full pieces but for the last. Other columns are never read. An empty table gives no rows.
+    Null and empty texts have one piece, the end id. Rows repeated with one id are packed each; null
+    ids stay null. Only texts of over
+    `size` tokens are cut, into full pieces but for the last. Other columns are never read. An empty table gives no rows. `steps` limits the
+    search for fewer sequences (complete()); None finds the fewest.
 
     Only the histogram of lengths (at most `size` rows) comes to the driver, and only the plan made from it (at most a
     few runs for each length) goes out. Pieces of a length get ranks within salted groups, so that a length shared by a
@@ -223,7 +244,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, path: str = VOCABULARY, id_col:
     p = written(pieces(docs, size, path, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     salts = max(16, -(-sum(counts.values()) // RANKED))
-    runs = p.sparkSession.sparkContext.broadcast(places(complete(counts, size)))
+    runs = p.sparkSession.sparkContext.broadcast(places(complete(counts, size, steps)))
     salted = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     groups = groups.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
