@@ -12,8 +12,6 @@ from reliefspark.llm.common import read_table, written
 OPEN, MIDDLE, CLOSE, LOSS_ROLE = "<turn ", ">", "</turn>\n", "assistant"
 #: The template's control strings all hold one of these, so escaped texts hold none.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
-#: Doublings tried before what is left must be a cycle: paths of 2**40 turns.
-DOUBLINGS = 40
 
 
 def escape(text: Column) -> Column:
@@ -28,28 +26,37 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def same(tree: str, node: str) -> Column:
+    """Whether a row's (tree, node) is (t, key), the names that the other side of a join has; null is a tree of its own."""
+    return F.col(tree).eqNullSafe(F.col("t")) & (F.col(node) == F.col("key"))
+
+
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """tree, leaf, rank, node, distance: the nodes of the best root-to-leaf paths of each tree.
 
-    nodes: tree, node, parent (null, or not in the tree: a root), score (null: 0). A branch's score is the mean over
-    its path; ties go to the smaller leaf. Each self-join doubles the stretch that a node's pointer spans, so paths of
-    n turns take log2(n) joins; sums of scores ride along, so only the chosen branches are ever spelt out. Nodes on a
-    cycle have no root and no path. Keys are single nodes: a tree with a third of all rows is dealt to all tasks.
+    nodes: tree, node, parent (null, or not in the tree: a root), score (null: 0). Null is a tree like others. A branch's
+    score is the mean over its path; ties go to the smaller leaf. Each self-join doubles the stretch that a node's pointer
+    spans, so paths of n turns take log2(n) joins; sums of scores ride along, so only the chosen branches are ever spelt
+    out. Nodes on a cycle have no root and no path: no path is longer than its tree has nodes, so the doubling ends there.
+    Keys of the joins are single nodes: a tree with a third of all rows is dealt to all tasks, until its branches are ranked.
     """
     n = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    ids = n.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    hop = written(n.join(ids, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("turns")), "hop")
-    leaves = hop.select("tree", "node").join(hop.filter("up is not null").select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    ids = n.select(F.col("tree").alias("t"), F.col("node").alias("key"))
+    hop = written(n.join(ids, same("tree", "parent"), "left").select("tree", "node", F.col("key").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("turns")), "hop")
+    largest = hop.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parents = hop.filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("key")).distinct()
+    leaves = hop.select("tree", "node").join(parents, same("tree", "node"), "left_anti")
     hops = []
-    while hop.filter("up is not null").limit(1).count() and len(hops) < DOUBLINGS:
-        hops.append(hop.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("from"), "up"))
-        further = hop.select(F.col("tree").alias("t"), F.col("node").alias("at"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("turns").alias("turns2"))
-        hop = hop.join(further, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("at")), "left")
+    while 2 ** len(hops) < largest and hop.filter("up is not null").limit(1).count():
+        hops.append(hop.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("key"), "up"))
+        further = hop.select(F.col("tree").alias("t"), F.col("node").alias("key"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("turns").alias("turns2"))
+        hop = hop.join(further, same("tree", "up"), "left")
         hop = written(hop.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("turns") + F.coalesce("turns2", F.lit(0))).alias("turns")), "hop")
-    ranked = leaves.join(hop.filter("up is null"), ["tree", "node"]).withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy((F.col("total") / F.col("turns")).desc(), "node")))
+    rooted = hop.filter("up is null").select(F.col("tree").alias("t"), F.col("node").alias("key"), "total", "turns")
+    ranked = leaves.join(rooted, same("tree", "node")).withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy((F.col("total") / F.col("turns")).desc(), "node")))
     paths = ranked.filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("distance"))
     for k, h in reversed(list(enumerate(hops))):  # widest first: few rows pass the early joins
-        paths = paths.join(h, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("from")), "left")
+        paths = paths.join(h, same("tree", "node"), "left")
         here, above = F.struct("node", "distance"), F.struct(F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance"))
         paths = paths.select("tree", "leaf", "rank", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))).alias("x")).select("tree", "leaf", "rank", "x.*")
     return paths
@@ -59,11 +66,12 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """tree, leaf, rank, formatted, loss: one conversation for each of the best branches of each reply tree.
 
     messages: tree, node, parent, role, text, score. loss is an array of (start, end), code points in formatted, of the
-    texts under the loss mask. Null roles and texts count as empty. Nodes repeated in a tree aren't allowed: number
-    them first. An empty table gives no rows; columns of other names are never read.
+    texts under the loss mask. Null roles and texts count as empty; a null tree is a tree like others. Nodes repeated in a
+    tree aren't allowed: number them first. An empty table gives no rows; columns of other names are never read. A
+    formatted conversation is one value, so one task puts it together: its texts may have 2 GB at most.
     """
-    turn = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"))
-    p = best_paths(messages, branches).join(turn, ["tree", "node"])
+    turn = messages.select(F.col("tree").alias("t"), F.col("node").alias("key"), F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("body"))
+    p = best_paths(messages, branches).join(turn, same("tree", "node"))
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
     p = p.select("tree", "leaf", "rank", "distance", "role", F.length(head).alias("lead"), F.length("body").alias("size"), F.concat(head, F.col("body"), F.lit(CLOSE)).alias("segment"))
     before = W.partitionBy("tree", "leaf").orderBy(F.col("distance").desc()).rowsBetween(W.unboundedPreceding, -1)
@@ -86,7 +94,7 @@ def read_back(formatted: Column) -> Column:
 
 
 def conversations_as_trees(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as reply trees without branches; turns that several rows share follow by role and text."""
+    """Rows by turn as reply trees without branches; turns that several rows share follow by role and text. Rows of a null id are one tree."""
     order = W.partitionBy("tree").orderBy("turn", "role", "text")
     rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
