@@ -12,8 +12,10 @@ from reliefspark.llm.common import LOWER, UPPER, read_table, small, written
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Characters of context; one fold in FOLDS of the URLs that rules decide calibrates the ratio.
 ORDER, FOLDS = 4, 5
-#: Share of calibrating accepted URLs that may be rejected, and the grid of ratios.
-FALSE_BLOCKS, STEP, WIDEST = 0.01, 0.01, 20.0
+#: Share of calibrating accepted URLs that may be rejected, and the step of the ratios' histogram.
+FALSE_BLOCKS, STEP = 0.01, 0.01
+#: Rows of ratios, by gram or by URL, that may be broadcast.
+RATIOS = 300_000
 PAD = "\x02"
 
 
@@ -69,7 +71,8 @@ def model(counts: DataFrame, order: int) -> DataFrame:
 def threshold(hist: list[tuple[int, int, int]]) -> float:
     """The least ratio, not below 0, beyond which at most FALSE_BLOCKS of the accepted URLs lie; infinite without either class.
 
-    hist: (cell of STEP, accepted, rejected), at most 2 x WIDEST / STEP + 1 rows.
+    hist: (cell of STEP, accepted, rejected). A ratio is a mean of differences of logarithms of at most order + 1 products
+    of shares of counts, so cells lie within some thousands of 0.
     """
     accepted, rejected = sum(a for _, a, _ in hist), sum(r for _, _, r in hist)
     if not accepted or not rejected:
@@ -84,49 +87,37 @@ def threshold(hist: list[tuple[int, int, int]]) -> float:
 
 
 def scores(urls: DataFrame, order: int) -> DataFrame:
-    """urls (url, accepted, rejected, learns) with the ratio of each by models of those that learn; 0 for empty ones."""
+    """urls (url, accepted, rejected, learns) with the ratio of each by models of those that learn."""
     counts = grams(urls, order).groupBy("gram").agg(*[F.sum(F.col(c) * F.col("learns")).alias(c) for c in ("accepted", "rejected")])
     ratios = written(model(written(counts, "grams"), order), "ratios")
-    scored = grams(urls.select("url"), order).join(small(ratios), "gram").groupBy("url").agg(F.avg("ratio").alias("ratio"))
-    return written(urls.join(scored, "url", "left").select("url", "accepted", "rejected", "learns", F.coalesce("ratio", F.lit(0.0)).alias("ratio")), "scored")
+    scored = grams(urls.select("url"), order).join(small(ratios, RATIOS), "gram").groupBy("url").agg(F.avg("ratio").alias("ratio"))
+    return written(urls.join(scored, "url"), "scored")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, ratio, whole_ratio of every row.
+    """page_id, host, path, rule, verdict, ratio of every row.
 
     URLs that a rule decides are the models' examples, accepted or rejected; one in FOLDS, by the URL's crc32,
-    calibrates instead. Where no rule fits, a URL is blocked if its length-normalised log-likelihood difference exceeds
-    the calibrated threshold; without examples of both classes all such URLs are allowed. The models learn from what
-    follows ://, A-Z lower-cased, without what rules look at (as many last host labels and first path segments as the
-    rules have at most): they learn what else tells the classes apart. URLs that no rule decides are judged by
-    whole_ratio, of all that follows :// (null for the others); ratio is that of the remainder, of every row. Null URLs,
-    those without :// and empty ones have empty host and path and are allowed unless
-    a rule fits. Rows repeated with one id are judged each. Other columns are never read. An empty table gives no rows.
-
-    Equal URLs are scored once. Counts are summed by task before they are shuffled; no key keeps its rows together.
+    calibrates instead. Where no rule fits, a URL is blocked if its length-normalised log-likelihood difference (ratio)
+    exceeds the calibrated threshold; without examples of both classes all such URLs are allowed. URLs are learned and
+    scored whole: all that follows ://, A-Z lower-cased. Null URLs, those without :// and empty ones have empty host and
+    path, ratio 0, and are allowed unless a rule fits. Rows repeated with one id are judged each; null ids stay null.
+    Other columns are never read. An empty table gives no rows.
+
+    Equal URLs are scored once, and empty ones take no part in any join. Counts are summed by task before they are
+    shuffled; no key keeps its rows together.
     """
     host, path = parts(F.col(url_col))
-    tail = F.coalesce(F.translate(F.substring(F.col(url_col), F.instr(F.col(url_col), "://") + 3 + F.length(host), F.length(url_col)), UPPER, LOWER), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.when(F.instr(F.col(url_col), "://") > 0, tail).otherwise("").alias("tail"))
-    labels, segments = max([h.count(".") + 1 for h, _, _ in rules], default=0), max([p.strip("/").count("/") + 1 for _, p, _ in rules if p.strip("/")], default=0)
-    said = F.concat(F.regexp_replace("host", rf"(?:(?:^|\.)[^.]*){{0,{labels}}}$", ""), F.regexp_replace("tail", rf"^(?:/[^/?#]*){{0,{segments}}}", ""))
-    rows = rows.withColumn("decided", rule_of(F.col("host"), F.col("path"), rules))
-    rows = written(rows.withColumn("url", said).withColumn("whole", F.concat("host", "tail")).drop("tail"), "urls")
+    said = F.when(F.instr(F.col(url_col), "://") > 0, F.translate(F.substring(F.col(url_col), F.instr(F.col(url_col), "://") + 3, F.length(url_col)), UPPER, LOWER)).otherwise("")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), F.coalesce(said, F.lit("")).alias("url"))
+    rows = written(rows.withColumn("decided", rule_of(F.col("host"), F.col("path"), rules)), "urls")
     verdict = F.col("decided.verdict")
-    urls = rows.groupBy("url").agg(F.sum((verdict == "allow").cast("long")).alias("accepted"), F.sum((verdict == "block").cast("long")).alias("rejected"))
-    urls = urls.select("url", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("rejected", F.lit(0)).alias("rejected"), (F.crc32(F.col("url").cast("binary")) % FOLDS != 0).cast("long").alias("learns"))
-    urls = written(urls, "distinct-urls")
-    scored = scores(urls, order)
-    # what no rule decides is scored whole, by models and a threshold that know its characters
-    whole = rows.filter("decided is null").select(F.col("whole").alias("url"), *[F.lit(0).cast("long").alias(c) for c in ("accepted", "rejected", "learns")]).distinct()
-    every = urls.unionByName(whole).groupBy("url").agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected", "learns")])
-    judged = scores(written(every, "whole-urls"), order)
-    cell = F.round(F.least(F.greatest(F.col("ratio"), F.lit(-WIDEST)), F.lit(WIDEST)) / STEP).cast("int")
-    hist = judged.filter("learns = 0 and accepted + rejected > 0").groupBy(cell.alias("cell")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect()
+    urls = rows.filter("url <> ''").groupBy("url").agg(*[F.coalesce(F.sum((verdict == v).cast("long")), F.lit(0)).alias(c) for c, v in (("accepted", "allow"), ("rejected", "block"))])
+    judged = scores(written(urls.withColumn("learns", (F.crc32(F.col("url").cast("binary")) % FOLDS != 0).cast("long")), "distinct-urls"), order)
+    hist = judged.filter("learns = 0 and accepted + rejected > 0").groupBy(F.round(F.col("ratio") / STEP).cast("int").alias("cell")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect()
     cut = threshold([(x["cell"], x["a"], x["r"]) for x in hist])
-    asked = judged.select(F.col("url").alias("whole"), F.col("ratio").alias("whole_ratio"))
-    out = rows.join(scored.select("url", "ratio"), "url").join(asked, F.when(F.col("decided").isNull(), rows["whole"]) == asked["whole"], "left")
-    return out.select("page_id", "host", "path", F.col("decided.rule").alias("rule"), F.coalesce(verdict, F.when(F.col("whole_ratio") > F.lit(cut), "block").otherwise("allow")).alias("verdict"), "ratio", "whole_ratio")
+    out = rows.filter("url <> ''").join(small(judged.select("url", "ratio"), RATIOS), "url").unionByName(rows.filter("url = ''").withColumn("ratio", F.lit(0.0)))
+    return out.select("page_id", "host", "path", F.col("decided.rule").alias("rule"), F.coalesce(verdict, F.when(F.col("ratio") > F.lit(cut), "block").otherwise("allow")).alias("verdict"), "ratio")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
