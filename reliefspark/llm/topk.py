@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reliefspark.llm.common import read_table, written
 
 #: Rows of a query block and of a shard; lists merged at a node of the tree.
-QUERIES, SHARD, FAN_IN = 2048, 8192, 8
+QUERIES, SHARD, FAN_IN = 8192, 8192, 8
 SCHEMA = "block long, shard long, query_id long, vec_id long, score long"
 
 
@@ -47,18 +47,20 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     Queries are the rows whose id is divisible by `every`; ties go to the smaller id. Vectors null or holding null or
     non-finite components take no part; vectors meet those of their own length only. A row is no candidate for a query
     of its own id, so rows repeated with one id don't find each other; each takes part otherwise, and a query id
-    that is repeated is answered once. Other columns are never read. An empty table gives no rows.
+    that is repeated is answered once, for the least of its vectors. Null ids take no part. Other columns are never read.
+    An empty table gives no rows.
 
-    Rows are dealt by a hash of the id to shards, queries to blocks; a task multiplies one block with one shard and
+    Rows are dealt by their place in the table to shards, so that an id or vector with a third of all rows fills no
+    shard; queries are dealt by a hash of their id to blocks; a task multiplies one block with one shard and
     keeps k for each query. The lists are merged in a tree, FAN_IN lists of a block at a node. Nothing is broadcast.
     """
     v = written(quantised(vectors, scale, id_col, vector_col), "vectors")
     n = v.count()
     queries = v.filter(F.col("vec_id") % every == 0)
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-queries.count() // QUERIES))
-    spread = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m))
-    left = queries.dropDuplicates(["vec_id", "dim"]).select(F.lit(True).alias("is_query"), spread(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), "dim", "vec_id", "v")
-    right = v.select(F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), spread(shards, 2).alias("shard"), "dim", "vec_id", "v")
+    asked = queries.groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
+    left = asked.select(F.lit(True).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), "dim", "vec_id", "v")
+    right = v.select(F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), "dim", "vec_id", "v")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
