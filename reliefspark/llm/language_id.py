@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import held, read_table, small_batches
+from reliefspark.llm.common import held, read_table, small_batches, written
 from reliefspark.llm.tokens import MARKS, Memory
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,8 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SMOOTHING, FOLDS = 0.1, 5
 #: Words whose pieces a worker keeps in each of two generations; twice as many log-probabilities are kept.
 WORDS = 300_000
+#: Bytes of log-probabilities that a worker keeps: with many languages, of fewer words; and languages that can be told apart.
+KEPT_BYTES, LANGUAGES = 100_000_000, 2000
 SPACE = "▁"
 
 
@@ -77,7 +79,8 @@ class Scorer:
     def __init__(self, path: str, table: np.ndarray):
         self.pieces, self.table = pieces(path), table
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((2 * WORDS, table.shape[1]))
+        self.kept = max(1, min(2 * WORDS, KEPT_BYTES // (8 * table.shape[1])))
+        self.logs = np.zeros((self.kept, table.shape[1]))
 
     def forward(self, words: list[str]) -> np.ndarray:
         """log P of each word (those that begin with white space: of what follows) in each language.
@@ -135,7 +138,7 @@ class Scorer:
     def learn(self, new: list[str]) -> None:
         k = 0
         while k < len(new):
-            n = max(1, min(4096, 400_000 // (len(new[min(k + 4095, len(new) - 1)]) + 2)))
+            n = max(1, min(4096, 1_600_000 // self.table.shape[1] // (len(new[min(k + 4095, len(new) - 1)]) + 2)))
             part, at = new[k : k + n], len(self.rows)
             self.logs[at : at + len(part)] = self.forward(part)
             self.rows.update(zip(part, range(at, at + len(part))))
@@ -147,8 +150,8 @@ class Scorer:
         words = set().union(*split)
         if len(self.rows) + 2 * len(words) > len(self.logs):
             self.rows.clear()
-            if 2 * len(words) > len(self.logs):
-                self.logs = np.zeros((2 * len(words), self.table.shape[1]))
+            if 2 * len(words) > len(self.logs) or len(self.logs) > self.kept:  # room for these texts' words at least
+                self.logs = np.zeros((max(self.kept, 2 * len(words)), self.table.shape[1]))
         new = {w for w in words if w not in self.rows}
         parts: dict[str, tuple[str, str]] = {}
         for w in new:
@@ -167,9 +170,13 @@ class Scorer:
 def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities (piece x language), from docs (lang, text) without nulls.
 
-    What comes to the driver is one count a language and piece: at most (languages x 32,000) small rows.
+    What comes to the driver is one count a language and piece: at most (languages x 32,000) small rows. ValueError if
+    there are more than LANGUAGES languages.
     """
-    rows = piece_counts(docs, path).toPandas()
+    counts = written(piece_counts(docs, path), "piece-counts")
+    if counts.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    rows = counts.toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.full((pieces(path).size, max(1, len(langs))), SMOOTHING)
     np.add.at(table, (rows["piece"].to_numpy(np.int64), rows["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)), rows["n"].to_numpy(float))
@@ -184,7 +191,8 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
     likelihood is the sum over all its segmentations into pieces (words are summed apart, as pieces never cross white
     space). score is the posterior of the predicted language under equal priors; ties go to the first in order. Null
     texts, texts without a letter, and all texts if nothing was learned, get `und` and score 0. Rows repeated with one
-    id are judged each. Null ids are never held out. Other columns are never read. An empty table gives no rows.
+    id are judged each. Null ids are never held out. Other columns are never read. An empty table gives no rows. Texts
+    are summed by distinct word, so a very long one takes memory for its different words only.
     """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(1))
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
