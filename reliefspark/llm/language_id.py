@@ -195,7 +195,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
     are summed by distinct word, so a very long one takes memory for its different words only.
     """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(1))
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, table = train(rows.filter("not held_out and text is not null and lang is not null"), path)
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
 
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
                         best[k + i], score[k + i] = langs[top[i]], share[i]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": best, "score": score})
 
-    return rows.select("doc_id", "held_out", "text").mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "held_out", "text").mapInPandas(predict, "doc_id string, held_out boolean, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,18 +15,15 @@ from reliefspark.llm.common import held, read_table, small, small_batches, writt
 SEEN, FREQUENT = 2, 20
 #: Frequent shingles that are sent to all tasks (16 MB); with more, only the most frequent are. Results don't depend on it.
 MOST_FREQUENT = 2_000_000
-#: Documents sharing a prefix shingle whose pairs are listed; beyond, the shingle's documents go to the matrix.
-LISTED = 128
-#: Documents of a group of the matrix.
-GROUP = 512
+#: Sets of a group of the token-group matrix, and shingles of a group or of a task's part of the matrix.
+GROUP, TOKENS = 512, 2_000_000
+#: Queries that a group meets together, and parts into which a frequent shingle's sets are dealt.
+ASKING, SALTS = 2048, 32
 #: Words whose hashes a worker keeps, and shingles that a task counts at a time.
 WORDS, COUNTED = 200_000, 2_000_000
 #: Odd factors and shifts of the shingle hash (splitmix64's finaliser).
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
-#: Orders in which a frequent shingle's leader is picked: by id xor one of these.
-PERMUTATIONS = [(k * 0x9E3779B97F4A7C15) % 2**63 for k in range(8)]
-
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -63,9 +60,10 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def sets_and_frequent(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (0, doc_id, set id, size) of all documents, and (1, shingle, count, 0) of shingles met SEEN times by a task.
+    """Rows (0, doc_id, set id, size, key, mark) of all documents, kind 2 for null ids, and (1, shingle, count) of shingles met SEEN times by a task.
 
-    A task counts the shingles of all its distinct sets, COUNTED at a time.
+    mark is a set's least shingle: similar sets are likely to have the same. A task counts the shingles of all its
+    distinct sets, COUNTED at a time.
     """
 
     def scan(batches):
@@ -74,29 +72,30 @@ def sets_and_frequent(docs: DataFrame, k: int) -> DataFrame:
         def flush():
             tokens, counts = np.unique(np.concatenate(pending), return_counts=True)
             often = counts >= SEEN
-            return pd.DataFrame({"kind": np.int32(1), "a": tokens[often], "b": counts[often].astype(np.int64), "n": np.int64(0)})
+            return pd.DataFrame({"kind": np.int32(1), "a": tokens[often], "b": counts[often].astype(np.int64), "n": np.int64(0), "key": np.int64(0), "mark": np.int64(0)})
 
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
-                ids, sizes = [], []
+                ids, sizes, marks = [], [], []
                 for text in part["text"].tolist():
                     tokens = shingles(text, k)
                     ids.append(sid := set_id(tokens))
                     sizes.append(len(tokens))
+                    marks.append(int(tokens[0]) if len(tokens) else 0)
                     if len(tokens) and sid not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(sid)
                         pending.append(tokens)
                         waiting += len(tokens)
-                yield pd.DataFrame({"kind": np.int32(0), "a": part["doc_id"].to_numpy(), "b": np.array(ids, np.int64), "n": np.array(sizes, np.int64)})
+                yield pd.DataFrame({"kind": np.where(part["no_id"], 2, 0).astype(np.int32), "a": part["doc_id"].to_numpy(np.int64), "b": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "key": part["key"].to_numpy(np.int64), "mark": np.array(marks, np.int64)})
                 if waiting > COUNTED:
                     yield flush()
                     pending, waiting = [], 0
         if pending:
             yield flush()
 
-    return docs.mapInPandas(scan, "kind int, a long, b long, n long")
+    return docs.mapInPandas(scan, "kind int, a long, b long, n long, key long, mark long")
 
 
 def frequent(found: DataFrame) -> np.ndarray:
@@ -115,33 +114,35 @@ def frequent(found: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> DataFrame:
-    """token, sid, n, pos: the first shingles of each set, so many that two linked sets share one; frequent ones come last in order."""
+    """token, sid, n, mark, hot: the first shingles of each set, so many that two linked sets share one; frequent (hot) ones come last in order."""
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def scan(batches):
         last, seen = shared.value, set()
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
+            for at in range(0, len(pdf), 500):
                 out = []
-                for text in pdf["text"].iloc[at : at + 2000].tolist():
+                for text in pdf["text"].iloc[at : at + 500].tolist():
                     tokens = shingles(text, k)
                     n = len(tokens)
                     if not n or (sid := set_id(tokens)) in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(sid)
+                    mark, first, hot = tokens[0], n + (-num * n) // den + 1, np.zeros(n, bool)
                     if len(last):
                         hot = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
-                        tokens = np.concatenate([tokens[~hot], tokens[hot]])
-                    out.append((tokens[: n + (-num * n) // den + 1], sid, n))
+                        order = np.argsort(hot, kind="stable")[:first]
+                        tokens, hot = tokens[order], hot[order]
+                    out.append((tokens[:first], sid, n, mark, hot[:first]))
                 if out:
                     sizes = [len(x[0]) for x in out]
                     yield pd.DataFrame({
-                        "token": np.concatenate([x[0] for x in out]), "sid": np.repeat(np.array([x[1] for x in out], np.int64), sizes),
-                        "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes), "pos": np.concatenate([np.arange(1, s + 1, dtype=np.int32) for s in sizes]),
+                        "token": np.concatenate([x[0] for x in out]), "sid": np.repeat(np.array([x[1] for x in out], np.int64), sizes), "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes),
+                        "mark": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "hot": np.concatenate([x[4] for x in out]),
                     })
 
-    return docs.select("text").mapInPandas(scan, "token long, sid long, n int, pos int")
+    return docs.select("text").mapInPandas(scan, "token long, sid long, n int, mark long, hot boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,177 +159,198 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets have den x intersection >= num x union."""
-    left = tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    return both.filter(F.col("i") * den >= (F.size("ta") + F.size("tb") - F.col("i")) * num).select("a", "b")
+def band(num: int, den: int):
+    """Sets of one band have sizes within a fifth of what a link allows."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(0.2 * np.log(den / num) + 0.01)).cast("long")
 
 
-def open_groups(members: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, n of members (super, sid, rows, comp, main, tokens) of a supergroup, by the token-group matrix.
+def grouped(sets: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (sid, n, mark, ...) with g, their group: similar sets share their least shingle and their band of sizes.
 
-    Rows of n = 0 are links between different components, one of a query to each other component in a group; others have
-    a = b and n, the rows of the other members that a links with in one tile. If no member is main, the n of a member
-    sum to all its links in the supergroup.
-    Members are dealt to groups of about GROUP. Queries are the members outside the supergroup's main component; each
-    group of queries meets every group once. A group is opened for a query only if the group's token union holds as many
-    of the query's tokens as a link needs; then the query's overlaps with the members come from one sparse product.
+    large: mark, band, parts of such groups that are over GROUP sets or TOKENS shingles; a hash of the set deals them.
+    """
+    x = sets.withColumn("band", band(num, den)).join(small(large), ["mark", "band"], "left")
+    return x.withColumn("g", F.xxhash64("mark", "band", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))))).drop("mark", "band", "parts")
+
+
+def large_groups(heads: DataFrame, num: int, den: int) -> DataFrame:
+    sizes = heads.withColumn("band", band(num, den)).groupBy("mark", "band").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    return sizes.withColumn("parts", F.ceil(F.greatest(F.col("c") / GROUP, F.col("t") / TOKENS))).filter("parts > 1").select("mark", "band", "parts")
+
+
+def gap(n, m, num: int, den: int):
+    """Prefix shingles that sets of n and m shingles have in common if they are linked are more than this.
+
+    A link has num (n + m) / (num + den) common shingles; of these, at most num max(n, m) / den lie beyond the prefix that
+    ends first.
+    """
+    return (n + m) * F.lit(num / (num + den)) - F.greatest(n, m) * F.lit(num / den) - 1e-6
+
+
+def asks(p: DataFrame, num: int, den: int) -> DataFrame:
+    """sid, g: the groups of the matrix in which a set may have links; of two groups, the one of lesser number asks.
+
+    p: token, sid, n, hot, g of the prefixes. The matrix has a row for each group and each shingle in the prefixes of
+    its sets: how many sets have it, and their least and greatest sizes. A set asks a group if they share so many
+    shingles as a link with sizes like these needs. Shingles of a single set are told by a window; a shingle met by few
+    tasks only has few sets, and frequent shingles need no window, so they are dealt by (shingle, set).
+    """
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0).cast("int")
+    same = W.partitionBy("token", "salt")
+    several = p.withColumn("salt", salt).withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same))
+    shared = written(several.filter("hot or lo <> hi").dropDuplicates(["token", "salt", "sid"]).select("token", "salt", "sid", "n", "g", "hot"), "shared")
+    matrix = shared.groupBy("token", "g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("hot").alias("hot"))
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    matrix = written(matrix.select("token", F.col("g").alias("group"), "sets", "least", "most", F.explode(every).alias("salt")), "matrix")
+    near = ((F.col("group") > F.col("g")) | ((F.col("group") == F.col("g")) & (F.col("sets") > 1))) & (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
+    pairs = shared.select("token", "salt", "sid", "n", "g").join(matrix, ["token", "salt"]).filter(near).groupBy("sid", "n", "group").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    n = F.col("n")
+    least, most = F.greatest(F.col("least"), n * F.lit(num / den)), F.least(F.col("most"), n * F.lit(den / num))
+    return pairs.filter(F.col("c") > F.least(gap(n, least, num, den), gap(n, most, num, den))).select("sid", F.col("group").alias("g"))
+
+
+def stored(members: DataFrame) -> DataFrame:
+    """g, sids, weights, sizes, tokens, starts, sets: one row for each group of members (g, sid, rows, tokens).
+
+    tokens is the group's token union; the sets that have its i-th token are sets[starts[i] : starts[i + 1]].
     """
-    size = members.groupBy("super").agg(F.sum((~F.col("main")).cast("long")).alias("queries"), F.sum(F.col("main").cast("long")).alias("rest"))
-    m = members.join(size, "super")
-    of = lambda c: F.greatest(F.ceil(F.col(c) / GROUP), F.lit(1))
-    own = F.pmod(F.xxhash64("sid"), F.when(F.col("main"), of("rest")).otherwise(of("queries")))
-    m = m.select("super", "sid", "rows", "comp", "main", "tokens", own.alias("own"), of("queries").cast("long").alias("q"), of("rest").cast("long").alias("r"), "rest", "queries").filter("queries > 0")
-    all_q = F.sequence(F.lit(0).cast("long"), F.col("q") - 1)
-    # tiles: (query group, other group); main groups count after the query groups
-    as_query = F.transform(F.sequence(F.col("own"), F.col("q") + F.when(F.col("rest") > 0, F.col("r")).otherwise(0) - 1), lambda g: F.struct(F.col("own").alias("x"), g.alias("y"), F.lit(True).alias("asks")))
-    as_group = F.transform(F.filter(all_q, lambda g: g < F.col("own")), lambda g: F.struct(g.alias("x"), F.col("own").alias("y"), F.lit(False).alias("asks")))
-    as_main = F.transform(all_q, lambda g: F.struct(g.alias("x"), (F.col("q") + F.col("own")).alias("y"), F.lit(False).alias("asks")))
-    tiles = m.withColumn("t", F.explode(F.when(F.col("main"), as_main).otherwise(F.concat(as_query, as_group)))).select("super", "t.*", "sid", "rows", "comp", "tokens")
-
-    def tile(key, pdf):
-        pdf = pdf.drop_duplicates(["asks", "sid"])  # rows repeated with one id bring their set again
-        q = pdf[pdf["asks"]]
-        g = q if key[1] == key[2] else pdf[~pdf["asks"]]
-        none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
-        if not len(q) or not len(g):
-            return none
-        parts = g["tokens"].tolist()
-        union, column = np.unique(np.concatenate(parts), return_inverse=True)
-        rows = np.repeat(np.arange(len(g)), [len(p) for p in parts])
-        order = np.argsort(column, kind="stable")
-        rows, starts = rows[order], np.r_[0, np.cumsum(np.bincount(column, minlength=len(union)))]
-        sizes, sids, comps = np.array([len(p) for p in parts]), g["sid"].to_numpy(), g["comp"].to_numpy()
-        weights, back, out = g["rows"].to_numpy(), np.zeros(len(g), np.int64), []
-        for sid, weight, comp, tokens in zip(q["sid"].tolist(), q["rows"].tolist(), q["comp"].tolist(), q["tokens"].tolist()):
-            at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-            at = at[union[at] == tokens]
-            if len(at) * den < num * len(tokens):
-                continue  # the group's union holds too few of the query's tokens
-            hits = np.bincount(np.concatenate([rows[starts[c] : starts[c + 1]] for c in at]), minlength=len(g))
-            ok = (hits * den >= (sizes + len(tokens) - hits) * num) & (sids != sid)
-            if ok.any():
-                out.append((sid, sid, int(weights[ok].sum())))
-                back[ok] += weight
-            ok &= comps != comp
-            found, first = np.unique(comps[ok], return_index=True)  # a link to each other component is enough
-            out += [(sid, s, 0) for s in sids[ok][first].tolist()]
-        if g is not q:  # in a group's tile with itself each member asks
-            out += [(s, s, n) for s, n in zip(sids[back > 0].tolist(), back[back > 0].tolist())]
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64") if out else none
 
-    return tiles.groupBy("super", "x", "y").applyInPandas(tile, "a long, b long, n long")
+    def build(pdf):
+        out = []
+        for g, part in pdf.groupby("g", sort=False):
+            parts = part["tokens"].tolist()
+            union, column = np.unique(np.concatenate(parts), return_inverse=True)
+            order = np.argsort(column, kind="stable")
+            sets = np.repeat(np.arange(len(parts)), [len(x) for x in parts])[order]
+            out.append((g, part["sid"].to_numpy(np.int64), part["rows"].to_numpy(np.int64), np.array([len(x) for x in parts], np.int32), union, np.r_[0, np.cumsum(np.bincount(column, minlength=len(union)))].astype(np.int32), sets.astype(np.int32)))
+        return pd.DataFrame(out, columns=["g", "sids", "weights", "sizes", "tokens", "starts", "sets"])
 
+    schema = "g long, sids array<long>, weights array<long>, sizes array<int>, tokens array<long>, starts array<int>, sets array<int>"
+    return members.groupBy("bucket").applyInPandas(build, schema)
 
-def open_members(m: DataFrame, by: DataFrame) -> DataFrame:
-    """The members (super, sid, comp) of supergroups that have several components, with main: whether theirs is the largest."""
-    main = by.groupBy("super").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("super", F.col("top.comp").alias("largest"))
-    return m.join(written(main, "open-supergroups"), "super").select("super", "sid", "comp", (F.col("comp") == F.col("largest")).alias("main"))
 
+def open_groups(groups: DataFrame, queries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+    """a, b, n: rows of n = 0 join what is linked, others have a = b and n rows that a links with in one group.
 
-def degrees(links: DataFrame, weights: DataFrame, supers: DataFrame | None, counted: DataFrame | None) -> DataFrame:
-    """sid, links: the rows of other sets that a set links with: by links outside supergroups, and as counted (a, n) within."""
-    links = links.distinct()
-    if supers is not None:
-        of = lambda c: supers.select(F.col("node").alias(c), F.col("label").alias(f"super_{c}"))
-        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").filter("super_a is null or super_b is null or super_a <> super_b")
-    ends = links.select(F.col("a").alias("of"), F.col("b").alias("sid")).unionByName(links.select(F.col("b").alias("of"), F.col("a").alias("sid")))
-    found = ends.join(weights, "sid").select("of", F.col("rows").alias("n"))
-    if counted is not None:
-        found = found.unionByName(counted.select(F.col("a").alias("of"), "n"))
-    return found.groupBy(F.col("of").alias("sid")).agg(F.sum("n").alias("links"))
+    queries: g, sid, rows, tokens. A group is opened for a query only if its token union holds as many of the query's
+    tokens as a link needs; the overlaps with its sets then come from the union's lists. ASKING queries meet a group at
+    a time, and a task has many groups, or one of many queries' parts.
+    """
+    size = queries.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.size("tokens")).alias("t"))
+    salts = written(size.withColumn("salts", F.ceil(F.greatest(F.col("c") / ASKING, F.col("t") / TOKENS))).select("g", "salts"), "salts")
+    none = lambda t: F.lit(None).cast(t)
+    g = groups.join(small(salts), "g").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    g = g.select("g", "salt", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("sid"), F.lit(0).cast("long").alias("rows"), "tokens", "sids", "weights", "sizes", "starts", "sets")
+    q = queries.join(small(salts), "g").withColumn("salt", F.pmod(F.xxhash64("sid"), "salts")).select("g", "salt", F.lit(True).alias("asks"), "sid", "rows", "tokens", *[none(f"array<{t}>").alias(c) for c, t in (("sids", "long"), ("weights", "long"), ("sizes", "int"), ("starts", "int"), ("sets", "int"))])
+    bucket = F.pmod(F.xxhash64("g", "salt"), F.lit(parts))
+
+    def opened(pdf):
+        out = []
+        for (_, _), tile in pdf.groupby(["g", "salt"], sort=False):
+            head = tile[~tile["asks"]].iloc[0]
+            union, starts, sets, sids, weights, sizes = (np.asarray(head[c]) for c in ("tokens", "starts", "sets", "sids", "weights", "sizes"))
+            back, part, touched = np.zeros(len(sids), np.int64), np.arange(len(sids)), np.zeros(len(sids), bool)
+            asking, own = tile[tile["asks"]], set(sids.tolist())
+            for sid, weight, tokens in zip(asking["sid"].tolist(), asking["rows"].tolist(), asking["tokens"].tolist()):
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                at = at[union[at] == tokens]
+                if len(at) * den < num * len(tokens):
+                    continue  # the group's union holds too few of the query's tokens
+                hits = np.bincount(np.concatenate([sets[starts[c] : starts[c + 1]] for c in at]), minlength=len(sids))
+                ok = (hits * den >= (sizes + len(tokens) - hits) * num) & (sids != sid)
+                if not ok.any():
+                    continue
+                out.append((sid, sid, int(weights[ok].sum())))
+                if sid not in own:  # in their own group, both sets of a link ask
+                    back[ok] += weight
+                touched |= ok
+                roots = np.unique(part[ok])  # part: for each set a place that it is joined with
+                out.append((sid, int(sids[roots[0]]), 0))
+                if len(roots) > 1:
+                    part[np.isin(part, roots)] = roots[0]
+            out += [(s, s, n) for s, n in zip(sids[back > 0].tolist(), back[back > 0].tolist())]
+            out += [(s, r, 0) for s, r in zip(sids[touched].tolist(), sids[part[touched]].tolist()) if s != r]
+        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
 
+    return g.unionByName(q).withColumn("bucket", bucket).groupBy("bucket").applyInPandas(opened, "a long, b long, n long")
 
-def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: components of the links den x intersection >= num x union.
 
-    With count_links also n_links: the other rows whose sets link with the row's, equal sets included. Without it, links
-    that can't change components aren't looked for.
+def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, key, kept of every row: components of the links den x intersection >= num x union.
 
-    component_id is the smallest id reachable by links, a row's own included. Texts without words (null, empty, white
-    space) have size 0, link with nothing and are their own component. Rows repeated with one id are rows with equal
-    sets. Other columns are never read. An empty table gives no rows. No link between components is lost:
+    component_id is the smallest id reachable by links, a row's own included (null ids are never it, unless a
+    component has no other); n_links is the number of other rows whose sets link with the row's, equal sets included. key
+    is the xxhash64 of the text, and kept tells the rows of least (id, key) of each component, null ids first. Texts
+    without words (null, empty, white space) have size 0, link with nothing and are their own component. Rows repeated with one id are judged
+    each by their text. A text may be long: one at a time is cut into shingles, 8 bytes each. Other columns are never
+    read. An empty table gives no rows. No link is lost, and each is verified on whole sets:
 
     1. Rows with equal sets form a class (by a 64-bit hash and the size); from here on, classes stand for them.
-    2. All shingles have one order, frequent ones last. Linked sets share a shingle within their first
-       n - ceil(num/den n) + 1; of sets that share one, those pairs are kept whose sizes, positions and number of
-       common prefix shingles allow a link.
-       A shingle with over LISTED sets lists no pairs: each of its sets is paired with a few leaders only.
-    3. Kept pairs are verified on the whole sets and give components.
-    4. Sets that share such heavy shingles, directly or by others, form a supergroup. Where a supergroup has more than
-       one component left, all sets outside its largest component query the groups of the token-group matrix.
-       With count_links all sets of all supergroups do: the matrix counts all links within supergroups, the kept pairs
-       give all others.
+    2. Sets are dealt to groups of similar ones (grouped()).
+    3. All shingles have one order, frequent ones last. Linked sets share shingles within their first
+       n - ceil(num/den n) + 1: the token-group matrix over these tells which groups a set asks (asks()).
+    4. Groups that are asked are stored with their token unions (stored()). A query opens a group if the union holds
+       enough of its tokens, and then counts its overlap with each of the group's sets (open_groups()).
     """
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = written(sets_and_frequent(rows, k), "sets")
-    classes = found.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("n").cast("int").alias("n"))
-    heads = written(classes.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")), "heads")
-
-    p = written(prefixes(rows, k, num, den, frequent(found)), "prefixes")
-    several = p.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
-    shared = written(p.join(written(several, "several"), "token").dropDuplicates(["token", "sid"]), "shared")
-    counts = written(shared.groupBy("token").agg(F.count("*").alias("df"), *[F.min(F.col("sid").bitwiseXOR(F.lit(x))).alias(f"p{i}") for i, x in enumerate(PERMUTATIONS)]), "df")
-    heavy = shared.join(counts.filter(f"df > {LISTED}").drop("df"), "token")
-    heavies = small(written(heavy.groupBy("sid").agg(F.count("*").alias("h")), "heavies"))
-    listed = shared.join(counts.filter(f"df <= {LISTED}").select("token"), "token").join(heavies, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("h", F.lit(0)).alias("h"))
-    listed = written(listed, "listed")
-    other = listed.select("token", *[F.col(c).alias(f"{c}2") for c in ("sid", "n", "pos", "h")])
-    need = (F.col("n") + F.col("n2")) * num
-    fits = (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) + 1) * (num + den) >= need
-    near = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (F.col("sid") < F.col("sid2"))
-    pairs = listed.join(other, "token").filter(near).groupBy("sid", "sid2", "n", "n2", F.least("h", "h2").alias("h")).agg(F.count("*").alias("c"), F.max(fits).alias("fits"))
-    # the set whose prefix ends first has no more in common with the other than what the prefixes share and its own rest
-    rest = F.ceil(F.greatest("n", "n2") * num / F.lit(den)) - 1
-    pairs = pairs.filter(F.col("fits") & ((F.col("c") + F.col("h") + rest) * (num + den) >= need)).select(F.col("sid").alias("a"), F.col("sid2").alias("b"))
-    leader = F.element_at(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(PERMUTATIONS)]), (F.pmod("token", F.lit(len(PERMUTATIONS))) + 1).cast("int"))
-    stars = written(heavy.select("sid", "n", leader.alias("leader")).distinct().filter("sid <> leader"), "stars")
-    pairs = written(pairs.unionByName(stars.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b"))).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    reps = written(heads.join(wanted, "sid", "left_semi").select(F.col("head").alias("doc_id")).distinct(), "reps")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    found = written(sets_and_frequent(rows.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"]), k), "sets")
+    classes = found.filter("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("sid"), F.col("n").cast("int").alias("n"), "key", "mark")
+    least_row, least_id = F.min(F.struct("doc_id", "key")), F.min("doc_id")
+    heads = written(classes.filter("n > 0").groupBy("sid", "n").agg(least_row.alias("head"), least_id.alias("least"), F.max("mark").alias("mark"), F.count("*").alias("rows")), "heads")
+
+    large = written(large_groups(heads, num, den), "large-groups")
+    pairs = written(asks(grouped(prefixes(rows, k, num, den, frequent(found)), large, num, den), num, den), "asks")
+    asked = written(pairs.select("g").distinct(), "asked")
+    members = written(grouped(heads.select("sid", "n", "mark", "rows"), large, num, den).join(small(asked), "g", "left_semi"), "members")
+    wanted = written(pairs.select("sid").unionByName(members.select("sid")).distinct(), "wanted")
+    reps = written(heads.join(small(wanted), "sid", "left_semi").select(F.col("head.doc_id").alias("rep_id"), F.col("head.key").alias("rep_key")), "reps")
 
     def again(batches):
+        seen = set()
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 sets = [shingles(t, k) for t in pdf["text"].iloc[at : at + 500].tolist()]
-                yield pd.DataFrame({"sid": [set_id(s) for s in sets], "tokens": sets})
-
-    tokens = written(rows.join(small(reps), "doc_id", "left_semi").select("text").mapInPandas(again, "sid long, tokens array<long>"), "tokens")
-    links = written(linked(pairs, tokens, num, den), "links")
-    labels = components(links)
-    weights = heads.select("sid", "rows")
-    supers = more = None
-    if stars.limit(1).count():
-        supers = components(stars.select(F.col("sid").alias("a"), F.col("leader").alias("b")))
-        m = supers.select(F.col("node").alias("sid"), F.col("label").alias("super")).join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
-        m = written(m.select("super", "sid", F.coalesce("label", "sid").alias("comp")), "supergroups")
-        by = written(m.groupBy("super", "comp").agg(F.count("*").alias("c")), "supergroup-components")
-        if count_links:
-            m = m.withColumn("main", F.lit(False))
-        else:
-            m = open_members(m, by)
-        more = written(open_groups(m.join(weights, "sid").join(tokens, "sid"), num, den), "more-links")
-        between = more.filter("n = 0").select("a", "b")
-        if between.limit(1).count():
-            labels = components(links.unionByName(between))
-
-    grouped = labels.select(F.col("node").alias("sid"), "label").join(heads, "sid")
-    least = written(grouped.groupBy("label").agg(F.min("head").alias("component_id")), "least")
-    of_linked = grouped.join(least, "label").select("sid", "n", "rows", "component_id")
-    alone = heads.filter("rows > 1").join(labels.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", "n", "rows", F.col("head").alias("component_id"))
-    named = of_linked.unionByName(alone)
-    more_columns = []
-    if count_links:
-        named = named.join(degrees(links, weights, supers, more), "sid", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("rows") - 1)
-        more_columns = ["n_links"]
-    named = written(named.select("sid", "n", "component_id", *more_columns), "named")
-    result = classes.filter("n > 0").join(small(named), ["sid", "n"], "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"), *[F.coalesce(c, F.lit(0)).alias(c) for c in more_columns])
-    empty = classes.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), *[F.lit(0).cast("long").alias(c) for c in more_columns])
-    return result.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", *more_columns)
+                new = [(set_id(s), s) for s in sets]
+                new = list({sid: s for sid, s in new if sid not in seen}.items())
+                if len(seen) < 1_000_000:
+                    seen.update(sid for sid, _ in new)
+                yield pd.DataFrame({"sid": [sid for sid, _ in new], "tokens": [s for _, s in new]})
+
+    head_rows = rows.join(small(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")), "left_semi")
+    tokens = written(head_rows.select("text").mapInPandas(again, "sid long, tokens array<long>").dropDuplicates(["sid"]), "tokens")
+    whole = members.agg(F.sum("n")).first()[0] or 0
+    of_group = F.pmod(F.xxhash64("g"), F.lit(max(8, -(-whole // TOKENS))))
+    groups = written(stored(members.select("g", "sid", "rows").join(tokens, "sid").withColumn("bucket", of_group)), "groups")
+    queries = written(pairs.join(heads.select("sid", "rows"), "sid").join(tokens, "sid"), "queries")
+    parts = max(8, -(-(queries.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TOKENS))
+    links = written(open_groups(groups, queries, num, den, parts), "links")
+
+    labels = components(links.filter("n = 0"))
+    counted = links.filter("n > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("links"))
+    linked = labels.select(F.col("node").alias("sid"), "label").join(heads, "sid")
+    of_label = small(written(linked.groupBy("label").agg(F.min("head").alias("top"), F.min("least").alias("component_id")), "least"))
+    linked = linked.drop("least").join(of_label, "label").join(counted, "sid", "left")
+    several = heads.filter("rows > 1").join(labels.select(F.col("node").alias("sid")), "sid", "left_anti")
+    named = linked.select("sid", "n", "rows", "top", "component_id", "links").unionByName(several.select("sid", "n", "rows", F.col("head").alias("top"), F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links")))
+    named = written(named.select("sid", "n", "top", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "named")
+    result = classes.filter("n > 0").drop("mark").join(small(named), ["sid", "n"], "left")
+    kept = F.col("top").isNull() | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("key") == F.col("top.key")))
+    result = result.select("doc_id", "n", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key", kept.alias("kept"))
+    empty = classes.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "key", F.lit(True).alias("kept"))
+    return result.unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links", "key", "kept")
+
+
+def kept_rows(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that join() keeps: of each component the row of least id.
+
+    Rows go by their id and text together: a row that shares its id with a dropped one stays. Rows equal in both stay or
+    go together.
+    """
+    gone = join(docs, k, num, den, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
+    gone = written(gone.distinct(), "near-copies")
+    on = docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs[text_col]) == gone["gone_key"])
+    return docs.join(small(gone), on, "left_anti")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100, count_links=True)
+    return join(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")

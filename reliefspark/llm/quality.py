@@ -272,8 +272,8 @@ def classify(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
                 score.append(m.score(*seen[1:]) if seen else 0.0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "weak_label": pd.Series(weak, dtype=float), "score": pd.Series(score, dtype=float), "keep": [s >= threshold for s in score]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(judge, "doc_id long, weak_label double, score double, keep boolean")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(judge, "doc_id string, weak_label double, score double, keep boolean").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def kept(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
