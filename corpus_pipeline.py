@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reliefspark.llm import exact_dedup, mixing, ngram_join, packing, quality
-from reliefspark.llm.common import read_table, without, written
+from reliefspark.llm.common import read_table, release, tables, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,15 +14,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for the case of A-Z, the one with the largest id stays; rows repeated with its id stay, too."""
-    decisions = exact_dedup.exact_dedup(docs)
-    return without(docs, written(decisions.filter("not kept").select("doc_id"), "exact-copies"))
+    """Of documents equal but for the case of A-Z, one of the largest id stays; a row that only shares its id with a dropped one stays."""
+    return exact_dedup.kept_rows(docs)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, directly or by others, that with the least id stays."""
-    groups = ngram_join.join(docs, k=5, num=80, den=100)
-    return without(docs, written(groups.filter("doc_id <> component_id").select("doc_id"), "near-copies"))
+    return ngram_join.kept_rows(docs, k=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and reread."""
+    """All stages in turn, each written to the shared folder and reread; a stage's own tables go when it is written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = tables()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        release(since=before, keep=1)
     return docs
