@@ -1,7 +1,7 @@
 """Metrics of a set of heights, by name.
 
-A scalar metric is an aggregate over a column z, given its group's mean and median where it asks for them; a vector
-metric makes a table of bins from a table of values.
+A scalar metric is an aggregate over a column z, or the exact quantile of an expression of z, given its group's mean or
+median where it asks for it; a vector metric makes a table of bins from a table of values; a matrix metric makes a grid.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reliefspark.functions.quantiles import quantile
 from reliefspark.grid import UNITS, Grid
 
 LEAST_BINS = 25
 
 _scalars: dict[str, tuple[Callable[[Column, Column, Column], Column], str]] = {}
+_quantiles: dict[str, tuple[Callable[[Column, Column, Column], Column], str, float, float]] = {}
 _vectors: dict[str, Callable] = {}
 _matrices: dict[str, Callable] = {}
 
@@ -32,6 +34,16 @@ def scalar(name: str, needs: str = ""):
     return add
 
 
+def ranked(name: str, share: float, needs: str = "", scale: float = 1.0):
+    """Registers f(z, mean, median) -> value: the metric is scale times the value's quantile at this share."""
+
+    def add(f):
+        _quantiles[name] = (f, needs, share, scale)
+        return f
+
+    return add
+
+
 def vector(name: str):
     def add(f):
         _vectors[name] = f
@@ -49,22 +61,29 @@ def matrix(name: str):
 
 
 def names() -> list[str]:
-    return sorted([*_scalars, *_vectors, *_matrices])
+    return sorted([*_scalars, *_quantiles, *_vectors, *_matrices])
 
 
 def kind(name: str) -> str:
     """scalar, vector or matrix2D; KeyError for an unknown metric."""
-    for kinds, of in (("scalar", _scalars), ("vector", _vectors), ("matrix2D", _matrices)):
+    for kinds, of in (("scalar", _scalars), ("scalar", _quantiles), ("vector", _vectors), ("matrix2D", _matrices)):
         if name in of:
             return kinds
     raise KeyError(f"no metric named {name}")
 
 
 def scalar_metric(name: str) -> tuple[Callable[[Column, Column, Column], Column], str]:
+    """(aggregate, what it needs of its group) of a metric that Spark aggregates."""
     kind(name)
     return _scalars[name]
 
 
+def ranked_metric(name: str) -> tuple[Callable[[Column, Column, Column], Column], str, float, float] | None:
+    """(value, what it needs of its group, share, scale) of a metric that is a quantile; None for others."""
+    kind(name)
+    return _quantiles.get(name)
+
+
 def vector_metric(name: str) -> Callable:
     kind(name)
     return _vectors[name]
@@ -80,12 +99,14 @@ scalar("max")(lambda z, mean, median: F.max(z))
 scalar("min")(lambda z, mean, median: F.min(z))
 scalar("std")(lambda z, mean, median: F.stddev_pop(z))
 scalar("rmse")(lambda z, mean, median: F.sqrt(F.avg(z * z)))
-scalar("median")(lambda z, mean, median: F.median(z))
-scalar("nmad", "median")(lambda z, mean, median: F.median(F.abs(z - median)) * 1.4826)
+ranked("median", 0.5)(lambda z, mean, median: z)
+ranked("nmad", 0.5, "median", 1.4826)(lambda z, mean, median: F.abs(z - median))
 scalar("sum")(lambda z, mean, median: F.sum(z))
 scalar("squared_sum")(lambda z, mean, median: F.sum(z * z))
-scalar("percentil_90", "mean")(lambda z, mean, median: F.percentile(F.abs(z - mean), 0.9))
+ranked("percentil_90", 0.9, "mean")(lambda z, mean, median: F.abs(z - mean))
 
+#: Vector metrics that read a grid and not its values.
+GRID_VECTORS = frozenset({"slope-orientation-histogram"})
 #: What is computed where nothing is chosen.
 DEFAULT = ("mean", "median", "max", "min", "sum", "percentil_90", "squared_sum", "nmad", "rmse", "std")
 #: Of these, what keeps outliers although they are to be removed.
@@ -115,7 +136,7 @@ def pdf(values: DataFrame, bin_step: float | None = None, filter_p98: bool | Non
     equal bins.
     """
     v = values.select("z").filter("z is not null")
-    found = v.agg(F.percentile("z", 0.98) if filter_p98 else F.max("z")).first()[0]
+    found = quantile(v, F.col("z"), 0.98) if filter_p98 else v.agg(F.max("z")).first()[0]
     if found is None:
         return values.sparkSession.createDataFrame([], "bin long, edge double, value double")
     step = bin_step or 1.0
@@ -177,6 +198,11 @@ def svf(grid: Grid, filter_intensity: float = 0.9, quantiles: tuple[float, float
 
 
 def all_zero(values: DataFrame, total: int) -> bool:
-    """Whether a class covers all pixels and all are zero to 6 decimals: vector metrics are then left out."""
+    """Whether values cover all of the grid's pixels and all are zero to 6 decimals: their vector metrics are then left out."""
     got = values.agg(F.count("z").alias("n"), F.max(F.abs(F.round("z", 6))).alias("m")).first()
     return got["n"] == total and got["m"] == 0
+
+
+def rounded_bins(bins: DataFrame, digits: int = 5) -> DataFrame:
+    """bin, edge, value, rounded as results are."""
+    return bins.select("bin", F.round("edge", digits).alias("edge"), F.round(F.col("value").cast("double"), digits).alias("value"))

@@ -1,8 +1,8 @@
 """Exact quantiles of groups that no task could hold.
 
 Spark's own exact percentile keeps all distinct values of a group in one task. Here each pass counts values in equal
-cells of the interval that holds the wanted ranks, with partial sums in every task, and narrows the interval to one cell,
-until few enough values are left to be sorted together.
+cells of the interval that holds a wanted rank, with partial sums in every task, and narrows the interval to the least
+and greatest value of that rank's cell, until few enough values are left to be sorted together.
 """
 
 from __future__ import annotations
@@ -10,53 +10,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows beyond which statistics by class take this way, cells of a pass, and values sorted together.
-LARGE, CELLS, SORTED = 20_000_000, 4096, 500_000
+#: Cells of a pass, and values of an interval that are sorted together.
+CELLS, SORTED = 4096, 2000
 
 
-def quantile(df: DataFrame, keys: list[str], value: Column, share: float, name: str, cells: int = CELLS, most: int = SORTED) -> DataFrame:
-    """keys and the quantile, interpolated between order statistics, of the values that aren't null.
+def quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, Column, float]], cells: int = CELLS, most: int = SORTED) -> dict[tuple, dict[str, float | None]]:
+    """name -> quantile by key, for each wanted (name, value, share): interpolated between order statistics of values that aren't null.
 
-    What comes to the driver is a few numbers a group; groups are classes, so they are few.
+    Groups are classes, so they are few; what comes to the driver is a few numbers a group in each pass, and at last at
+    most `most` values a rank. Groups without values are None. df is read about four times: persist it if it is dear.
     """
-    v = df.select(*keys, value.cast("double").alias("v")).filter("v is not null")
+    names = [n for n, _, _ in wanted]
+    shares = {n: s for n, _, s in wanted}
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v, _ in wanted])).alias("x")
+    rows = df.select(*keys, pairs).select(*keys, "x.*")
+    v = rows.filter("v is not null")
     spark = df.sparkSession
-    groups = [r.asDict() for r in v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()]
-    for g in groups:
-        g |= {"rank": share * (g["n"] - 1), "before": 0, "inside": g["n"]}
-    schema = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + ", low double, high double, step double"
-
-    def intervals(of: list[dict]) -> DataFrame:
-        table = spark.createDataFrame([(*[g[k] for k in keys], g["low"], g["high"], (g["high"] - g["low"]) / cells) for g in of], schema)
-        return v.join(F.broadcast(table), keys).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-
-    while wide := [g for g in groups if g["inside"] > most and g["high"] > g["low"]]:
-        cell = F.least(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(cells - 1))
-        counts: dict[tuple, list] = {}
-        # at most `cells` rows a group, with the cells' own least and greatest values as new bounds
-        for r in intervals(wide).groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
-            counts.setdefault(tuple(r[k] for k in keys), []).append((r["cell"], r["n"], r["lo"], r["hi"]))
-        for g in wide:
-            before, first, last, inside, start = g["before"], None, None, 0, 0
-            for _, n, lo, hi in sorted(counts[tuple(g[k] for k in keys)]):
-                # cells that hold the ranks below and above the wanted one
-                if before + n > int(g["rank"]) and before <= int(g["rank"]) + 1:
-                    first, start = (lo, before) if first is None else (first, start)
-                    last, inside = hi, inside + n
+    of = lambda r: (tuple(r[k] for k in keys), r["name"])
+    sizes = {of(r): r.asDict() for r in rows.groupBy(*keys, "name").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    ranks = {}  # (group, name, order statistic) -> its interval
+    for (group, name), g in sizes.items():
+        if g["n"]:
+            below = int(shares[name] * (g["n"] - 1))
+            for rank in {below, min(below + 1, g["n"] - 1)}:
+                ranks[group, name, rank] = {"low": g["low"], "high": g["high"], "before": 0, "inside": g["n"]}
+    schema = "".join(f"{k} {dict(df.dtypes)[k]}, " for k in keys) + "name string, rank long, low double, high double, step double"
+
+    def inside(of_ranks: list) -> DataFrame:
+        table = spark.createDataFrame([(*g, name, rank, i["low"], i["high"], i["high"] / cells - i["low"] / cells) for (g, name, rank), i in of_ranks], schema)
+        return v.join(F.broadcast(table), [*keys, "name"]).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+
+    while wide := [(k, i) for k, i in ranks.items() if i["inside"] > most and i["high"] > i["low"]]:
+        by_step = F.least(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(cells - 1))
+        # with neighbours among the doubles, the step may be 0
+        cell = F.when(F.col("v") == F.col("low"), 0).when(F.col("v") == F.col("high"), cells - 1).when(F.col("step") > 0, by_step).otherwise(cells // 2)
+        found: dict[tuple, list] = {}
+        for r in inside(wide).groupBy(*keys, "name", "rank", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # at most `cells` rows a rank
+            found.setdefault((*of(r), r["rank"]), []).append((r["cell"], r["n"], r["lo"], r["hi"]))
+        for key, i in wide:
+            before = i["before"]
+            for _, n, lo, hi in sorted(found[key]):
+                if before + n > key[2]:
+                    ranks[key] = {"low": lo, "high": hi, "before": before, "inside": n}
+                    break
+                before += n
+    at: dict[tuple, float] = {k: i["low"] for k, i in ranks.items() if i["high"] == i["low"]}
+    if few := [(k, i) for k, i in ranks.items() if k not in at]:
+        values: dict[tuple, list] = {}
+        for r in inside(few).groupBy(*keys, "name", "rank", "v").agg(F.count("*").alias("n")).collect():  # at most `most` rows a rank
+            values.setdefault((*of(r), r["rank"]), []).append((r["v"], r["n"]))
+        for key, i in few:
+            before = i["before"]
+            for x, n in sorted(values[key]):
+                if before + n > key[2]:
+                    at[key] = x
+                    break
                 before += n
-            if (first, last) == (g["low"], g["high"]):
-                g["inside"] = 0  # nothing left to narrow: two values, or neighbours among the doubles
-            else:
-                g |= {"low": first, "high": last, "before": start, "inside": inside}
-    done = []
-    for g in groups:
-        rows = intervals([g]).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").limit(most + 1).collect()  # at most `most` distinct values
-        at, below, above = g["before"], None, None
-        for r in rows:
-            at += r["n"]
-            below = r["v"] if below is None and at > int(g["rank"]) else below
-            if above is None and at > min(int(g["rank"]) + 1, g["n"] - 1):
-                above = r["v"]
-        above = below if above is None else above
-        done.append((*[g[k] for k in keys], below + (above - below) * (g["rank"] - int(g["rank"]))))
-    return spark.createDataFrame(done, ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys) + f", {name} double")
+    out: dict[tuple, dict[str, float | None]] = {}
+    for (group, name), g in sizes.items():
+        if g["n"]:
+            place = shares[name] * (g["n"] - 1)
+            below, above = at[group, name, int(place)], at[group, name, min(int(place) + 1, g["n"] - 1)]
+            out.setdefault(group, dict.fromkeys(names))[name] = below + (above - below) * (place - int(place))
+        else:
+            out.setdefault(group, dict.fromkeys(names))
+    return out
+
+
+def quantile(df: DataFrame, value: Column, share: float) -> float | None:
+    """The quantile of all values of df; None without any."""
+    return quantiles(df, [], [("q", value, share)]).get((), {}).get("q")

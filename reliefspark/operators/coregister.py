@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefspark.functions.quantiles import quantile, quantiles
 from reliefspark.grid import Grid, GridMeta, crop_offset
 from reliefspark.operators.resample import reproject_grids, shifted
 from reliefspark.operators.stencil import slope_aspect
@@ -58,6 +59,9 @@ class Coregistered:
     ref: Grid
     transformation: Transformation
     results: dict
+    reproj_sec: Grid
+    reproj_ref: Grid
+    coreg_sec: Grid
 
 
 def slices(pixels: DataFrame) -> DataFrame:
@@ -67,10 +71,17 @@ def slices(pixels: DataFrame) -> DataFrame:
     """
     width = math.pi / 36
     t = pixels.filter(F.col("dh").isNotNull() & (F.col("slope") >= LEAST_SLOPE)).select(F.floor(F.col("aspect") / width).cast("int").alias("slice"), "aspect", (F.col("dh") / F.col("slope")).alias("t"))
-    t = t.filter((F.col("aspect") > F.col("slice") * width) & (F.col("slice") < SLICES))
-    spread = t.groupBy("slice").agg(F.avg("t").alias("m"), F.stddev_pop("t").alias("s"))  # SLICES rows
-    kept = t.join(F.broadcast(spread), "slice").filter((F.col("t") >= F.col("m") - SIGMAS * F.col("s")) & (F.col("t") <= F.col("m") + SIGMAS * F.col("s")))
-    return kept.groupBy("slice").agg(F.count("*").alias("n"), F.median("t").alias("median"))
+    t = t.filter((F.col("aspect") > F.col("slice") * width) & (F.col("slice") < SLICES)).select("slice", "t").persist()
+    try:
+        spread = t.groupBy("slice").agg(F.avg("t").alias("m"), F.stddev_pop("t").alias("s"))  # SLICES rows
+        inside = (F.col("t") >= F.col("m") - SIGMAS * F.col("s")) & (F.col("t") <= F.col("m") + SIGMAS * F.col("s"))
+        kept = t.join(F.broadcast(spread), "slice").filter(inside).select("slice", "t").persist()
+        counts = {r["slice"]: r["n"] for r in kept.groupBy("slice").agg(F.count("*").alias("n")).collect()}  # SLICES rows
+        medians = quantiles(kept, ["slice"], [("median", F.col("t"), 0.5)])
+        kept.unpersist()
+    finally:
+        t.unpersist()
+    return pixels.sparkSession.createDataFrame([(k, n, medians[(k,)]["median"]) for k, n in sorted(counts.items())], "slice int, n long, median double")
 
 
 def fit(rows: list[tuple[int, float]]) -> tuple[float, float, float]:
@@ -82,15 +93,18 @@ def fit(rows: list[tuple[int, float]]) -> tuple[float, float, float]:
     return float(east), float(north), float(c)
 
 
-def offsets_of(ref: Grid, sec: Grid, bias: float) -> DataFrame:
-    """dh, slope, aspect of the pixels: sec - (ref - bias), slope and aspect of sec."""
-    a = slope_aspect(Grid(sec.z(), sec.meta)).select("row", "col", "z", "slope", "aspect")
-    b = ref.z().withColumnRenamed("z", "r")
-    return a.join(b, ["row", "col"]).select((F.col("z") - (F.col("r") - F.lit(bias))).alias("dh"), "slope", "aspect")
+def pair(ref: Grid, sec: Grid) -> DataFrame:
+    """row, col, z (of sec), r (of ref)."""
+    return sec.z().join(ref.z().withColumnRenamed("z", "r"), ["row", "col"])
+
 
+def offsets_of(pixels: DataFrame, meta: GridMeta, bias: float) -> DataFrame:
+    """dh, slope, aspect of a pair's pixels: sec - (ref - bias), slope and aspect of sec."""
+    return slope_aspect(Grid(pixels, meta)).select((F.col("z") - (F.col("r") - F.lit(bias))).alias("dh"), "slope", "aspect")
 
-def bias_of(ref: Grid, sec: Grid) -> float:
-    d = ref.z().withColumnRenamed("z", "r").join(sec.z(), ["row", "col"]).agg(F.median(F.col("r") - F.col("z"))).first()[0]
+
+def bias_of(pixels: DataFrame) -> float:
+    d = quantile(pixels, F.col("r") - F.col("z"), 0.5)
     if d is None:
         raise ValueError("the grids have no valid pixel in common")
     return d
@@ -98,20 +112,27 @@ def bias_of(ref: Grid, sec: Grid) -> float:
 
 @register("nuth_kaab_internal")
 def nuth_kaab(sec: Grid, ref: Grid, iterations: int = 6) -> tuple[float, float, float, Grid, Grid]:
-    """east, north, dz, and both grids moved together. Every iteration resamples the grids as given, so plans don't grow."""
+    """east, north, dz, and both grids moved together. Every iteration resamples the grids as given, so plans don't grow.
+
+    The grids as given, and each iteration's pair of grids, are persisted while they are read several times.
+    """
     base_ref, base_sec = Grid(ref.df.persist(), ref.meta, ref.labels), Grid(sec.df.persist(), sec.meta, sec.labels)
     x = y = 0.0
     now_ref, now_sec = base_ref, base_sec
+    pixels = pair(now_ref, now_sec).persist()
     try:
-        bias = bias_of(base_ref, base_sec)
+        bias = bias_of(pixels)
         for _ in range(iterations):
-            east, north, _ = fit([(r["slice"], r["median"]) for r in slices(offsets_of(now_ref, now_sec, bias)).collect()])  # SLICES rows
+            east, north, _ = fit([(r["slice"], r["median"]) for r in slices(offsets_of(pixels, now_sec.meta, bias)).collect()])  # SLICES rows
             x, y = x + east, y + north
             moved = Grid(shifted(base_ref, x, y, ("z", *base_ref.labels)), base_ref.meta, base_ref.labels)
             now_ref, now_sec = crop_offset(moved, x, y), crop_offset(base_sec, x, y)
-            bias = bias_of(now_ref, now_sec)
-        dz = now_ref.z().withColumnRenamed("z", "r").join(now_sec.z(), ["row", "col"]).agg(F.avg(F.col("r") - F.col("z"))).first()[0]
+            pixels.unpersist()
+            pixels = pair(now_ref, now_sec).persist()
+            bias = bias_of(pixels)
+        dz = pixels.agg(F.avg(F.col("r") - F.col("z"))).first()[0]
     finally:
+        pixels.unpersist()
         base_ref.df.unpersist()
         base_sec.df.unpersist()
     return x, y, dz, now_sec, now_ref
@@ -142,4 +163,4 @@ def coregister(sec: Grid, ref: Grid, method: str = "nuth_kaab_internal", iterati
         "gdal_translate_bounds": translate_bounds(sec.meta, t.total_offset_y, t.total_offset_x),
         "reproj_coreg_ref": counts(moved_ref), "reproj_coreg_sec": counts(moved_sec),
     }
-    return Coregistered(moved_sec, moved_ref, t, results)
+    return Coregistered(moved_sec, moved_ref, t, results, sec_on, ref_on, t.apply(sec))

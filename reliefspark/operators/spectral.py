@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefspark.functions.quantiles import quantiles as exact
 from reliefspark.grid import Grid
 from reliefspark.operators.resample import nearest_fill
 
@@ -58,8 +59,9 @@ def curvature(grid: Grid, filter_intensity: float = 0.9) -> DataFrame:
 
 def sky_view(grid: Grid, filter_intensity: float = 0.9, quantiles: tuple[float, float] = (0.09, 0.91)) -> DataFrame:
     """row, col, z: the negative part of the filtered grid, 0 to 255 between its quantiles; null where the grid is."""
-    low = filtered(grid, filter_intensity).withColumn("z", F.least("z", F.lit(0.0)))
-    a, b = low.agg(F.percentile("z", F.array(F.lit(quantiles[0]), F.lit(quantiles[1])))).first()[0]
+    low = filtered(grid, filter_intensity).withColumn("z", F.least("z", F.lit(0.0))).persist()
+    found = exact(low, [], [("a", F.col("z"), quantiles[0]), ("b", F.col("z"), quantiles[1])])[()]
+    a, b = found["a"], found["b"]
     has = grid.df.select("row", "col", F.col("z").isNotNull().alias("__has"))
     scaled = F.greatest(F.least((F.col("z") - a) / F.lit((b - a) or 1.0), F.lit(1.0)), F.lit(0.0)) * 255
     return low.join(has, ["row", "col"]).select("row", "col", F.when(F.col("__has"), scaled).alias("z"))

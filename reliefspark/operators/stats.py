@@ -1,4 +1,4 @@
-"""Statistics by class and mode: one pass for plain metrics, a second for those about a group's mean or median."""
+"""Statistics by class and mode: one pass for plain metrics, a few for quantiles and for metrics about a class's mean or median."""
 
 from __future__ import annotations
 
@@ -21,53 +21,90 @@ def inliers(df: DataFrame) -> DataFrame:
     return df.withColumn("inlier", F.coalesce((F.col("z") > low) & (F.col("z") < high), F.lit(False)))
 
 
-def narrowed(df: DataFrame, keys: list[str], z, plain: list[str], about: list[str]) -> DataFrame:
-    """keys, nbpts and the metrics, with medians and percentiles by passes that narrow them down."""
-    simple = [m for m in plain if m != "median"]
-    out = df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *[metrics.scalar_metric(m)[0](z(m), None, None).alias(m) for m in simple])
-    for m in [m for m in plain if m == "median"]:
-        out = out.join(F.broadcast(quantiles.quantile(df, keys, z(m), 0.5, m)), keys, "left")
-    for m in about:
-        if metrics.scalar_metric(m)[1] == "mean":
-            centre = df.groupBy(*keys).agg(F.avg(z(m)).alias("__c"))
-        else:
-            centre = quantiles.quantile(df, keys, z(m), 0.5, "__c")
-        away = F.abs(z(m) - F.col("__c"))
-        q = quantiles.quantile(df.join(F.broadcast(centre), keys), keys, away, {"nmad": 0.5, "percentil_90": 0.9}[m], m)
-        out = out.join(F.broadcast(q.withColumn(m, F.col(m) * (1.4826 if m == "nmad" else 1.0))), keys, "left")
-    return out
-
-
 def class_stats(grid: Grid, layer: Layer, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False, total: int | None = None) -> DataFrame:
     """mode, class_idx, set_name, the chosen scalar metrics, nbpts, percent_valid_points; empty classes are null.
 
     remove_outliers holds for all metrics, or by name. One aggregation, with conditions, gives all classes of all modes;
-    metrics about the class's mean or median take another, over a join with the few rows of the first.
+    quantiles narrow down in a few more, and what needs its class's mean or median follows. The heights and classes are
+    persisted meanwhile; what comes to the driver is a few numbers a class, of which the result is made.
     """
     without = remove_outliers if isinstance(remove_outliers, dict) else {m: remove_outliers and m not in metrics.KEEPS_OUTLIERS for m in chosen}
-    df = in_modes(inliers(grid.df) if any(without.values()) else grid.df, layer).filter("class_idx is not null")
+    flagged = any(without.get(m) for m in chosen)
+    df = in_modes(inliers(grid.df) if flagged else grid.df, layer).filter("class_idx is not null")
+    df = df.select("mode", "class_idx", "z", *(["inlier"] if flagged else [])).persist()
     z = lambda m: F.when(F.col("inlier"), F.col("z")) if without.get(m) else F.col("z")
-    keys = ["mode", "class_idx"]
-    plain = [m for m in chosen if not metrics.scalar_metric(m)[1]]
-    about = [m for m in chosen if metrics.scalar_metric(m)[1]]
-    aggregates: list[Column] = [metrics.scalar_metric(m)[0](z(m), None, None).alias(m) for m in plain]
-    aggregates += [(F.avg if metrics.scalar_metric(m)[1] == "mean" else F.median)(z(m)).alias(f"__{m}") for m in about]
+    keys, none = ["mode", "class_idx"], F.lit(None).cast("double")
+    of = {m: metrics.ranked_metric(m) for m in chosen}
+    needs = {m: of[m][1] if of[m] else metrics.scalar_metric(m)[1] for m in chosen}
     total = total or grid.meta.nrows * grid.meta.ncols
-    if total > quantiles.LARGE:
-        first = narrowed(df, keys, z, plain, about)
-    else:
-        first = df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *aggregates)
-    if about and total <= quantiles.LARGE:
-        centre = first.select(*keys, *[f"__{m}" for m in about])
-        second = df.join(F.broadcast(centre), keys).groupBy(*keys).agg(*[metrics.scalar_metric(m)[0](z(m), F.col(f"__{m}"), F.col(f"__{m}")).alias(m) for m in about])
-        first = first.join(second, keys)
-    out = F.broadcast(classes_table(df, layer)).join(first, keys, "left")
+    values: dict[tuple, dict] = {}
+    try:
+        plain = [metrics.scalar_metric(m)[0](z(m), none, none).alias(m) for m in chosen if not of[m] and not needs[m]]
+        plain += [F.avg(z(m)).alias(f"centre {m}") for m in chosen if needs[m] == "mean"]
+        for r in df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *plain).collect():
+            values[r["mode"], r["class_idx"]] = r.asDict()
+        ranks = [(m, of[m][0](z(m), none, none), of[m][2]) for m in chosen if of[m] and not needs[m]]
+        ranks += [(f"centre {m}", z(m), 0.5) for m in chosen if needs[m] == "median"]
+        for key, q in (quantiles.quantiles(df, keys, ranks) if ranks else {}).items():
+            values[key] |= {m: v if m not in of or v is None else v * of[m][3] for m, v in q.items()}
+        about = [m for m in chosen if needs[m]]
+        if about and values:
+            centres = df.sparkSession.createDataFrame([(*k, *[v[f"centre {m}"] for m in about]) for k, v in values.items()], "mode string, class_idx int, " + ", ".join(f"c{i} double" for i in range(len(about))))
+            centred = df.join(F.broadcast(centres), keys)
+            c = {m: F.col(f"c{i}") for i, m in enumerate(about)}
+            ranks = [(m, of[m][0](z(m), c[m], c[m]), of[m][2]) for m in about if of[m]]
+            for key, q in (quantiles.quantiles(centred, keys, ranks) if ranks else {}).items():
+                values[key] |= {m: None if v is None else v * of[m][3] for m, v in q.items()}
+            plain = [metrics.scalar_metric(m)[0](z(m), c[m], c[m]).alias(m) for m in about if not of[m]]
+            for r in centred.groupBy(*keys).agg(*plain).collect() if plain else []:
+                values[r["mode"], r["class_idx"]] |= r.asDict()
+    finally:
+        df.unpersist()
+    rows = [(*k, v["nbpts"], *[float(v[m]) if v[m] is not None else None for m in chosen]) for k, v in values.items()]
+    found = df.sparkSession.createDataFrame(rows, "mode string, class_idx int, nbpts long" + "".join(f", `{m}` double" for m in chosen))
+    out = classes_table(df, layer).join(F.broadcast(found), keys, "left")
     return out.select(
         "mode", "class_idx", F.concat_ws(":", "class_name", "class_value").alias("set_name"), *[F.round(m, DIGITS).alias(m) for m in chosen],
         F.coalesce("nbpts", F.lit(0)).alias("nbpts"), F.round(F.coalesce("nbpts", F.lit(0)) * 100.0 / total, DIGITS).alias("percent_valid_points"),
     )
 
 
+def class_vectors(grid: Grid, layer: Layer, metric: str, params: dict | None = None, remove_outliers: bool = False) -> DataFrame:
+    """mode, class_idx, set_name, bin, edge, value: a vector metric of every class of every mode, rounded.
+
+    Metrics of values read the class's heights; metrics of grids read the grid, null outside the class. Classes that cover
+    all pixels with zeros, and empty ones, have no rows. Classes are few; each is one aggregation over the persisted grid.
+    """
+    df = in_modes(inliers(grid.df) if remove_outliers else grid.df, layer)
+    z = F.when(F.col("inlier"), F.col("z")) if remove_outliers else F.col("z")
+    df = df.select("row", "col", "mode", "class_idx", z.alias("z")).persist()
+    of_grid = metric in metrics.GRID_VECTORS
+    made = []
+    try:
+        filled = {(r["mode"], r["class_idx"]) for r in df.filter("z is not null and class_idx is not null").select("mode", "class_idx").distinct().collect()}  # a few classes
+        total = grid.meta.nrows * grid.meta.ncols
+        for mode, k, name, value in sorted(classes_table(df, layer).collect()):
+            values = df.filter((F.col("mode") == mode) & (F.col("class_idx") == k))
+            if (mode, k) not in filled or metrics.all_zero(values, total):
+                continue
+            if of_grid:
+                own = grid.df.select("row", "col").join(values.select("row", "col", "z"), ["row", "col"], "left")
+                bins = metrics.vector_metric(metric)(Grid(own, grid.meta), **{"dx": grid.meta.xres, "dy": grid.meta.yres, **(params or {})})
+            else:
+                bins = metrics.vector_metric(metric)(values, **(params or {}))
+            made += [(mode, k, f"{name}:{value}", r["bin"], r["edge"], r["value"]) for r in metrics.rounded_bins(bins, DIGITS).collect()]  # bins of a class
+    finally:
+        df.unpersist()
+    return grid.df.sparkSession.createDataFrame(made, "mode string, class_idx int, set_name string, bin long, edge double, value double")
+
+
+def class_matrix(grid: Grid, layer: Layer, metric: str, params: dict | None = None, class_idx: int = 0, mode: str = "standard") -> DataFrame:
+    """row, col, z: a matrix metric of the grid with the pixels of one class only, the others being missing."""
+    own = in_modes(grid.df, layer).filter((F.col("mode") == mode) & (F.col("class_idx") == class_idx)).select("row", "col", "z")
+    own = grid.df.select("row", "col").join(own, ["row", "col"], "left")
+    return metrics.matrix_metric(metric)(Grid(own, grid.meta), **(params or {}))
+
+
 def long_form(stats: DataFrame, method: str, layer: str) -> DataFrame:
     """method, layer, mode, class_idx, set_name, metric, value."""
     values = [c for c in stats.columns if c not in ("mode", "class_idx", "set_name")]
@@ -77,13 +114,26 @@ def long_form(stats: DataFrame, method: str, layer: str) -> DataFrame:
 
 def save(stats: DataFrame, folder: str) -> None:
     """CSV and JSON of each mode, in folders stats_results[_mode].csv and .json, rows in order of class."""
-    for (mode,) in stats.select("mode").distinct().collect():  # three at most
+    for (mode,) in sorted(stats.select("mode").distinct().collect()):  # three at most
         rows = stats.filter(F.col("mode") == mode).orderBy("class_idx").withColumnRenamed("set_name", "Set Name").drop("mode", "class_idx").coalesce(1)
         name = f"{folder}/stats_results" + ("" if mode == "standard" else f"_{mode}")
         rows.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(f"{name}.csv")
         rows.write.mode("overwrite").json(f"{name}.json")
 
 
+#: Column names of the vector metrics' CSV files; other vector metrics have Bins and Values.
+VECTOR_HEADS = {"cdf": ("Bins", "CDF values"), "pdf": ("Bins", "Normalized PDF values"), "ratio_above_threshold": ("Thresholds", "Ratio above threshold")}
+
+
+def save_vectors(vectors: DataFrame, metric: str, folder: str) -> None:
+    """CSV of each class of each mode: bins by their left edges, in order."""
+    head = VECTOR_HEADS.get(metric, ("Bins", "Values"))
+    for mode, k in sorted(map(tuple, vectors.select("mode", "class_idx").distinct().collect())):  # a few classes
+        rows = vectors.filter((F.col("mode") == mode) & (F.col("class_idx") == k)).orderBy("bin").select(F.col("edge").alias(head[0]), F.col("value").alias(head[1]))
+        name = f"{folder}/{metric}_{k}" + ("" if mode == "standard" else f"_{mode}")
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{name}.csv")
+
+
 class Results:
     """Access to a long table of results by layer, mode, class and metric."""
 
