@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliefspark.functions.pixel import angle_between
 from reliefspark.grid import Grid
 from reliefspark.operators.spectral import curvature
-from reliefspark.operators.stencil import angular_difference, slope
+from reliefspark.operators.stencil import normals, slope
 
 _methods: dict[str, Callable[[Grid, Grid | None], Grid]] = {}
 SLOPE_BINS = 100
@@ -34,83 +35,101 @@ def process(name: str, ref: Grid, sec: Grid | None = None) -> Grid:
     return _methods[name](ref, sec)
 
 
-def planes(grid: Grid, support: str) -> DataFrame:
-    """row, col and the grid's labels and slope, named by their support."""
-    slope_column = [F.col("slope").alias(f"{support}_slope")] if "slope" in grid.df.columns else []
-    return grid.df.select("row", "col", *[F.col(c).alias(f"{c}_{support}") for c in grid.labels], *slope_column)
+def planes(grid: Grid, support: str) -> list[Column]:
+    """The grid's labels and slope, named by their support."""
+    return [F.col(c).alias(f"{c}_{support}") for c in grid.labels] + ([F.col("slope").alias(f"{support}_slope")] if "slope" in grid.df.columns else [])
 
 
-def with_labels(z: DataFrame, ref: Grid | None, sec: Grid | None, meta) -> Grid:
-    """z with the label planes of both supports, joined by pixel."""
-    labels = ()
-    for grid, support in ((ref, "ref"), (sec, "sec")):
-        if grid is not None:
-            z = z.join(planes(grid, support), ["row", "col"])
-            labels += tuple(f"{c}_{support}" for c in grid.labels)
-    return Grid(z, meta, labels)
+def beside(ref: Grid, sec: Grid, of_ref: tuple[str, ...] = ("z",), of_sec: tuple[str, ...] = ("z",), sec_planes: bool = True) -> DataFrame:
+    """Both grids pixel by pixel, by one join: row, col, ref_<c> and sec_<c> of the columns asked for, and all planes."""
+    a = ref.df.select("row", "col", *[F.col(c).alias(f"ref_{c}") for c in of_ref], *planes(ref, "ref"))
+    b = sec.df.select("row", "col", *[F.col(c).alias(f"sec_{c}") for c in of_sec], *(planes(sec, "sec") if sec_planes else []))
+    return a.join(b, ["row", "col"])
 
 
-def difference(ref: Grid, sec: Grid) -> DataFrame:
-    """row, col, z: ref - sec, null where either is."""
-    return ref.z().join(sec.z().withColumnRenamed("z", "__s"), ["row", "col"]).select("row", "col", (F.col("z") - F.col("__s")).alias("z"))
+def made(df: DataFrame, z: Column, ref: Grid, sec: Grid | None) -> Grid:
+    """The grid of z with the planes that df has."""
+    labels = tuple(f"{c}_{support}" for grid, support in ((ref, "ref"), (sec, "sec")) if grid is not None for c in grid.labels)
+    slopes = [c for c in ("ref_slope", "sec_slope") if c in df.columns]
+    return Grid(df.select("row", "col", z.alias("z"), *labels, *slopes), ref.meta, labels)
 
 
 @register("alti-diff")
 def alti_diff(ref: Grid, sec: Grid) -> Grid:
-    return with_labels(difference(ref, sec), ref, sec, ref.meta)
+    """ref - sec, null where either is."""
+    return made(beside(ref, sec), F.col("ref_z") - F.col("sec_z"), ref, sec)
 
 
-def slope_normalised(ref: Grid, sec: Grid, nbins: int = SLOPE_BINS) -> DataFrame:
-    """row, col, z: (difference - its mean) / (1 + b/a tan(slope of sec)).
+def normalised(ref: Grid, sec: Grid, nbins: int = SLOPE_BINS) -> tuple[DataFrame, Column]:
+    """Both grids' pixels, and (difference - its mean) / (1 + b/a tan(slope of sec)) of them.
 
     a and b are slope and intercept of the line through the differences' standard deviations in equal slope bins,
     open on the left, over the tangents of the bins' left edges; ValueError with fewer than two bins of two pixels.
     """
-    alpha = slope(Grid(sec.z(), sec.meta), unit_change=False, name="alpha").df.select("row", "col", "alpha")
-    d = difference(ref, sec).join(alpha, ["row", "col"])
-    valid = d.filter("z is not null and alpha is not null")
-    low, high, mean = valid.agg(F.min("alpha"), F.max("alpha"), F.avg("z")).first()
-    mean = d.agg(F.avg("z")).first()[0]
-    if low is None or high <= low:
-        raise ValueError("not enough pixels to fit")
-    width = (high - low) / nbins
-    # bin n holds edge n < alpha <= edge n + 1
-    cell = F.least(F.ceil((F.col("alpha") - low) / width) - 1, F.lit(nbins - 1))
-    bins = valid.filter(F.col("alpha") > low).groupBy(cell.alias("bin")).agg(F.stddev_pop("z").alias("s"), F.count("*").alias("n")).filter("n > 1")
-    edge = F.tan(F.col("bin") * width + low)
-    a, b, n = bins.agg(F.regr_slope("s", edge), F.regr_intercept("s", edge), F.count("*")).first()
+    sloped = slope(sec, unit_change=False, name="alpha")
+    pixels = beside(ref, sloped, of_sec=("z", "alpha"))
+    z, alpha = F.col("ref_z") - F.col("sec_z"), F.col("sec_alpha")
+    d = pixels.select(z.alias("z"), alpha.alias("alpha")).persist()  # two scalars and a fit
+    try:
+        both = F.col("z").isNotNull() & F.col("alpha").isNotNull()
+        low, high, mean = d.agg(F.min(F.when(both, F.col("alpha"))), F.max(F.when(both, F.col("alpha"))), F.avg("z")).first()
+        if low is None or high <= low:
+            raise ValueError("not enough pixels to fit")
+        width = (high - low) / nbins
+        # bin n holds edge n < alpha <= edge n + 1
+        cell = F.least(F.ceil((F.col("alpha") - low) / width) - 1, F.lit(nbins - 1))
+        bins = d.filter(both & (F.col("alpha") > low)).groupBy(cell.alias("bin")).agg(F.stddev_pop("z").alias("s"), F.count("*").alias("n")).filter("n > 1")
+        edge = F.tan(F.col("bin") * width + low)
+        a, b, n = bins.agg(F.regr_slope("s", edge), F.regr_intercept("s", edge), F.count("*")).first()
+    finally:
+        d.unpersist()
     if n < 2 or a is None:
         raise ValueError("not enough pixels to fit")
-    inside = (F.col("alpha") >= low) & (F.col("alpha") <= high)
-    return d.select("row", "col", F.when(inside, (F.col("z") - mean) / (1 + F.tan("alpha") * (b / a))).alias("z"))
+    inside = (alpha >= low) & (alpha <= high)
+    return pixels, F.when(inside, (z - mean) / (1 + F.tan(alpha) * (b / a)))
+
+
+def slope_normalised(ref: Grid, sec: Grid, nbins: int = SLOPE_BINS) -> DataFrame:
+    """row, col, z of normalised()."""
+    pixels, z = normalised(ref, sec, nbins)
+    return pixels.select("row", "col", z.alias("z"))
 
 
 @register("alti-diff-slope-norm")
 def alti_diff_slope_norm(ref: Grid, sec: Grid) -> Grid:
-    return with_labels(slope_normalised(ref, sec), ref, sec, ref.meta)
+    return made(*normalised(ref, sec), ref, sec)
 
 
 @register("angular-diff")
 def angular_diff(ref: Grid, sec: Grid) -> Grid:
-    return with_labels(angular_difference(ref, sec), ref, sec, ref.meta)
+    """The acute angle of both grids' normals."""
+    parts = ("n_x", "n_y", "n_z")
+    pixels = beside(Grid(normals(ref), ref.meta, ref.labels), Grid(normals(sec), sec.meta, sec.labels), parts, parts)
+    dot = F.col("ref_n_x") * F.col("sec_n_x") + F.col("ref_n_y") * F.col("sec_n_y") + F.col("ref_n_z") * F.col("sec_n_z")
+    return made(pixels, angle_between(dot), ref, sec)
+
+
+def angular_difference(ref: Grid, sec: Grid) -> DataFrame:
+    """row, col, z of angular_diff()."""
+    return angular_diff(Grid(ref.z(), ref.meta), Grid(sec.z(), sec.meta)).z()
 
 
 @register("ref")
 def ref_only(ref: Grid, sec: Grid | None = None) -> Grid:
-    return with_labels(ref.z(), ref, None, ref.meta)
+    return made(ref.df.select("row", "col", "z", *planes(ref, "ref")), F.col("z"), ref, None)
 
 
 @register("sec")
 def sec_only(ref: Grid, sec: Grid) -> Grid:
     """sec's heights with ref's labels."""
-    return with_labels(sec.z(), ref, None, ref.meta)
+    return made(beside(ref, sec, of_ref=(), sec_planes=False), F.col("sec_z"), ref, None)
 
 
 @register("ref-curvature")
 def ref_curvature(ref: Grid, sec: Grid | None = None) -> Grid:
-    return with_labels(curvature(ref), ref, None, ref.meta)
+    return sec_only(ref, Grid(curvature(ref), ref.meta))
 
 
 @register("sec-curvature")
 def sec_curvature(ref: Grid, sec: Grid) -> Grid:
-    return with_labels(curvature(sec), ref, None, ref.meta)
+    return sec_only(ref, Grid(curvature(sec), sec.meta))

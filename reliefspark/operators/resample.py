@@ -4,31 +4,39 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reliefspark.grid import Grid, box_intersection, crop_box
 
 
-def sample_at(points: DataFrame, grid: Grid, interp: str = "bilinear", value: str = "z") -> DataFrame:
-    """row, col, z of points (row, col, fx, fy): the grid's value at fractional column fx and row fy.
+#: A squared distance beyond all others.
+FAR = 2**62
 
-    Bilinear: positions clamp to the grid; the result is null if a pixel with weight is. Nearest: null outside.
+
+def sample_at(points: DataFrame, grid: Grid, interp: str = "bilinear", values: tuple[str, ...] = ("z",)) -> DataFrame:
+    """row, col and each value of the grid at points (row, col, fx, fy): fractional column fx and row fy, null for none.
+
+    Bilinear: positions clamp to the grid; a result is null if a pixel with weight is. Nearest: null outside. One join and
+    one aggregation serve all values.
     """
     m = grid.meta
-    cells = grid.df.select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).alias("__v"))
+    cells = grid.df.select(F.col("row").alias("__r"), F.col("col").alias("__c"), *[F.col(v).alias(f"__{v}") for v in values])
     if interp == "nearest":
         at = points.withColumn("__r", F.floor(F.col("fy") + 0.5)).withColumn("__c", F.floor(F.col("fx") + 0.5))
-        return at.join(cells, ["__r", "__c"], "left").select("row", "col", F.col("__v").alias("z"))
-    clamp = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(n - 1)))
+        return at.join(cells, ["__r", "__c"], "left").select("row", "col", *[F.col(f"__{v}").alias(v) for v in values])
+    clamp = lambda c, n: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(n - 1))))
     p = points.select("row", "col", clamp("fx", m.ncols).alias("fx"), clamp("fy", m.nrows).alias("fy"))
     p = p.withColumn("c0", F.floor("fx")).withColumn("r0", F.floor("fy")).withColumn("wx", F.col("fx") - F.col("c0")).withColumn("wy", F.col("fy") - F.col("r0"))
     corner = lambda dr, dc, w: F.struct((F.col("r0") + dr).alias("__r"), (F.col("c0") + dc).alias("__c"), w.alias("w"))
     wx, wy = F.col("wx"), F.col("wy")
     corners = F.array(corner(0, 0, (1 - wx) * (1 - wy)), corner(0, 1, wx * (1 - wy)), corner(1, 0, (1 - wx) * wy), corner(1, 1, wx * wy))
-    near = p.select("row", "col", F.explode(F.filter(corners, lambda x: x["w"] > 0)).alias("k")).select("row", "col", "k.*")
-    joined = near.join(cells, ["__r", "__c"], "left").groupBy("row", "col").agg(F.sum(F.col("w") * F.col("__v")).alias("s"), F.count("__v").alias("have"), F.count("w").alias("need"))
-    return joined.select("row", "col", F.when(F.col("have") == F.col("need"), F.col("s")).alias("z"))
+    near = p.select("row", "col", F.explode_outer(F.filter(corners, lambda x: x["w"] > 0)).alias("k")).select("row", "col", "k.*")
+    sums = [F.when((F.count(f"__{v}") == F.count("w")) & (F.count("w") > 0), F.sum(F.col("w") * F.col(f"__{v}"))).alias(v) for v in values]
+    return near.join(cells, ["__r", "__c"], "left").groupBy("row", "col").agg(*sums)
 
 
 def shifted(grid: Grid, x: float, y: float, values: tuple[str, ...] = ("z",)) -> DataFrame:
@@ -77,12 +85,9 @@ def reproject(grid: Grid, onto: Grid, interp: str = "bilinear") -> Grid:
     x, y = F.lit(c) + F.lit(a) * col + F.lit(b) * row - F.lit(gc), F.lit(f) + F.lit(d) * col + F.lit(e) * row - F.lit(gf)
     det = ga * ge - gb * gd
     at = onto.df.select("row", "col", ((x * ge - y * gb) / det).alias("px"), ((y * ga - x * gd) / det).alias("py"))
-    inside = at.filter((F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") <= grid.meta.ncols) & (F.col("py") <= grid.meta.nrows))
-    points = inside.select("row", "col", (F.col("px") - 0.5).alias("fx"), (F.col("py") - 0.5).alias("fy"))
-    out = onto.df.select("row", "col")
-    for v in ("z", *grid.labels):
-        out = out.join(sample_at(points, grid, interp, v).withColumnRenamed("z", v), ["row", "col"], "left")
-    return Grid(out, onto.meta, grid.labels)
+    inside = (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") <= grid.meta.ncols) & (F.col("py") <= grid.meta.nrows)
+    points = at.select("row", "col", F.when(inside, F.col("px") - 0.5).alias("fx"), F.when(inside, F.col("py") - 0.5).alias("fy"))
+    return Grid(sample_at(points, grid, interp, ("z", *grid.labels)), onto.meta, grid.labels)
 
 
 def reproject_grids(sec: Grid, ref: Grid, shift_x: float = 0.0, shift_y: float = 0.0, sampling_source: str = "sec", interp: str = "bilinear") -> tuple[Grid, Grid, tuple[float, float]]:
@@ -99,29 +104,59 @@ def reproject_grids(sec: Grid, ref: Grid, shift_x: float = 0.0, shift_y: float =
     return (static, moved, factor) if sampling_source == "sec" else (moved, static, factor)
 
 
+#: Pixels of the lines that a task fills together; a longer line is alone.
+PIXELS = 65_536
+
+
+def look_aside(rows: np.ndarray, found: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of lines (the last axis) whose pixels know the nearest valid pixel of their column: its row (-1: none) and value.
+
+    A missing pixel looks left and right until it is farther away than its best find.
+    """
+    height, width = found.shape
+    down2 = np.where(found >= 0, (found - rows[:, None]) ** 2, FAR)
+    at = np.flatnonzero(down2.ravel() > 0)  # valid pixels have found themselves
+    line, col = np.divmod(at, width)
+    best, best_row, best_col = down2[line, col], found[line, col], col.copy()
+    active = np.arange(len(at))
+    for k in range(1, width):
+        active = active[best[active] >= k * k]
+        if not len(active):
+            break
+        for aside in (-k, k):
+            c = col[active] + aside
+            some = active[(c >= 0) & (c < width)]
+            c = col[some] + aside
+            d2 = down2[line[some], c]
+            d2 = np.where(d2 < FAR, d2 + k * k, FAR)
+            row = found[line[some], c]
+            closer = (d2 < best[some]) | ((d2 == best[some]) & (d2 < FAR) & ((row < best_row[some]) | ((row == best_row[some]) & (c < best_col[some]))))
+            took = some[closer]
+            best[took], best_row[took], best_col[took] = d2[closer], row[closer], c[closer]
+    out = values.copy()
+    out[line, col] = np.where(best < FAR, values[line, best_col], np.nan)
+    return out
+
+
 def nearest_fill(grid: Grid) -> DataFrame:
     """row, col, z: missing pixels take the nearest valid one's value, of equally near ones that of least (row, col).
 
-    Missing pixels look in growing squares; a square is joined by cells of its size, so each pixel meets nine cells
-    only. A find within the square's half width is final. Only what is still missing goes on, to squares twice as wide.
+    Two passes over lines, each keyed by line: windows along columns find every pixel's nearest valid one of its column,
+    and along rows a missing pixel compares those of the columns beside it. A task holds a few rows, never the grid.
     """
     m = grid.meta
-    valid = grid.df.filter("z is not null").select(F.col("row").alias("vr"), F.col("col").alias("vc"), F.col("z").alias("v"))
-    missing = grid.df.filter("z is null").select("row", "col")
-    filled = grid.df.filter("z is not null").select("row", "col", "z")
-    size = 4
-    while missing.limit(1).count():
-        cell = lambda c: F.floor(F.col(c) / size)
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        asks = missing.withColumn("k", F.explode(around)).select("row", "col", (cell("row") + F.col("k.i")).alias("br"), (cell("col") + F.col("k.j")).alias("bc"))
-        has = valid.select("vr", "vc", "v", cell("vr").alias("br"), cell("vc").alias("bc"))
-        d2 = F.pow(F.col("vr") - F.col("row"), 2) + F.pow(F.col("vc") - F.col("col"), 2)
-        best = asks.join(has, ["br", "bc"]).groupBy("row", "col").agg(F.min(F.struct(d2.alias("d2"), "vr", "vc", "v")).alias("b"))
-        whole = size >= max(m.nrows, m.ncols)
-        found = best if whole else best.filter(F.col("b.d2") <= size * size)
-        filled = filled.unionByName(found.select("row", "col", F.col("b.v").alias("z")))
-        missing = missing.join(found.select("row", "col"), ["row", "col"], "left_anti")
-        if whole:
-            return filled.unionByName(missing.select("row", "col", F.lit(None).cast("double").alias("z")))
-        size *= 4
-    return filled
+    valid = F.when(F.col("z").isNotNull(), F.struct("row", "z"))
+    to_here = lambda order: W.partitionBy("col").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = grid.df.select("row", "col", F.last(valid, True).over(to_here(F.col("row"))).alias("above"), F.last(valid, True).over(to_here(F.col("row").desc())).alias("below"))
+    near = F.when(F.col("below").isNull() | (F.col("row") - F.col("above.row") <= F.col("below.row") - F.col("row")), F.col("above")).otherwise(F.col("below"))
+    d = d.withColumn("near", near).select("row", "col", F.coalesce("near.row", F.lit(-1).cast("long")).alias("found"), F.col("near.z").alias("v"))
+
+    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"])
+        shape = (-1, m.ncols)
+        z = look_aside(pdf["row"].to_numpy(np.int64)[:: m.ncols], pdf["found"].to_numpy(np.int64).reshape(shape), pdf["v"].to_numpy(float).reshape(shape))
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "z": z.ravel()})
+
+    block = F.floor(F.col("row") / max(1, PIXELS // m.ncols))
+    filled = d.groupBy(block.alias("block")).applyInPandas(lines, "row long, col long, z double")
+    return filled.withColumn("z", F.nanvl("z", F.lit(None).cast("double")))

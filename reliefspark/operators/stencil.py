@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reliefspark.functions.pixel import angle_between, orthodromic, shade, x_of, y_of
+from reliefspark.functions.pixel import orthodromic, shade, x_of, y_of
 from reliefspark.grid import Grid, GridMeta
 
 
@@ -81,14 +81,6 @@ def orientation(grid: Grid, dx: float | None = None, dy: float | None = None) ->
     return normals(grid, dx, dy).withColumn("orientation", F.when(angle < 0, angle + 2 * math.pi).otherwise(angle)).drop("n_x", "n_y", "n_z")
 
 
-def angular_difference(ref: Grid, sec: Grid) -> DataFrame:
-    """row, col, z: the acute angle of both grids' normals."""
-    a = normals(ref).select("row", "col", *[F.col(f"n_{k}").alias(f"a_{k}") for k in "xyz"])
-    b = normals(sec).select("row", "col", "n_x", "n_y", "n_z")
-    dot = F.col("a_x") * F.col("n_x") + F.col("a_y") * F.col("n_y") + F.col("a_z") * F.col("n_z")
-    return a.join(b, ["row", "col"]).select("row", "col", angle_between(dot).alias("z"))
-
-
 def hillshade(grid: Grid, azimuth: float = 315.0, angle_altitude: float = 45.0) -> DataFrame:
     """row, col, z: 0 to 255, null where the grid has no data."""
     df = gradient(grid)
