@@ -43,11 +43,12 @@ def check_coregistration(cfg: dict) -> dict:
 
 
 def check_metrics(items: list) -> None:
-    """KeyError for an unknown metric, ValueError for one of vectors or matrices: runs give scalars only."""
+    """KeyError for an unknown metric; ValueError for thresholds that are missing where parameters are given."""
     for m in items:
-        name = m if isinstance(m, str) else next(iter(m))
-        if metrics.kind(name) != "scalar":
-            raise ValueError(f"{name} isn't computed by a run: it is no scalar metric")
+        name, more = (m, {}) if isinstance(m, str) else next(iter(m.items()))
+        metrics.kind(name)
+        if name == "ratio_above_threshold" and (set(more) - {"remove_outliers"}) and "elevation_threshold" not in more:
+            raise ValueError("ratio_above_threshold needs elevation_threshold")
 
 
 def check_layers(layers: dict) -> dict:
@@ -60,10 +61,10 @@ def check_layers(layers: dict) -> dict:
         if kind == "slope":
             complete_ranges(layer.get("ranges", [0]))
         if kind == "fusion":
-            fused = [x for s in ("ref", "sec") for x in layer.get(s, [])]
-            missing = [x for x in fused if x not in layers]
-            if missing or len(fused) < 2:
-                raise ValueError(f"a fusion needs two layers of the configuration; missing: {missing}")
+            given = {s: layer[s] for s in ("ref", "sec") if layer.get(s)}
+            missing = [x for fused in given.values() for x in fused if x not in layers]
+            if missing or not given or any(len(fused) < 2 for fused in given.values()):
+                raise ValueError(f"a fusion needs two layers of the configuration on each support; missing: {missing}")
         check_metrics(layer.get("metrics", []))
     return layers
 

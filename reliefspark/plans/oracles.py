@@ -126,14 +126,39 @@ u AS (SELECT * FROM t WHERE aspect > slice * {math.pi / 36!r} AND slice < 72),
 sp AS (SELECT slice, avg(t) AS m, stddev_pop(t) AS s FROM u GROUP BY 1),
 sl AS (SELECT slice, count(*) AS n, median(t) AS med FROM u JOIN sp USING (slice) WHERE t >= m - 3 * s AND t <= m + 3 * s GROUP BY 1)"""
 
-COSINE = f"""
-cut AS (SELECT vec_id AS row, unnest(embedding)::DOUBLE AS z, unnest(generate_series(0, 63)) AS col FROM embeddings WHERE vec_id < 64),
-k AS (SELECT unnest(generate_series(0, 63)) AS k),
-a AS (SELECT row, k, sum(z * cos({math.pi!r} * k * (col + 0.5) / 64)) AS z FROM cut, k GROUP BY 1, 2),
-b AS (SELECT a.k AS kc, k.k AS kr, sum(z * cos({math.pi!r} * k.k * (row + 0.5) / 64)) AS z FROM a, k GROUP BY 1, 2),
-f AS (SELECT kc, kr, z * pow(pow({math.pi!r} * kr / 64, 2) + pow({math.pi!r} * kc / 64, 2), 0.45) * CASE WHEN kr = 0 THEN 1 ELSE 2 END * CASE WHEN kc = 0 THEN 1 ELSE 2 END / 4096 AS z FROM b),
-i1 AS (SELECT kc, k.k AS row, sum(z * cos({math.pi!r} * kr * (k.k + 0.5) / 64)) AS z FROM f, k GROUP BY 1, 2),
-cv AS (SELECT row, k.k AS col, sum(z * cos({math.pi!r} * kc * (k.k + 0.5) / 64)) AS z FROM i1, k GROUP BY 1, 2)"""
+SMOOTH = "smooth AS (SELECT vec_id AS row, unnest(embedding)::DOUBLE AS z, unnest(generate_series(0, len(embedding) - 1)) AS col FROM embeddings)"
+FILLED = """
+m AS (SELECT a.row, a.col, arg_min(b.z, (pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) * 1e12 + b.row * 1e5 + b.col) AS z FROM sec a, sec b WHERE a.z IS NULL AND b.z IS NOT NULL GROUP BY 1, 2),
+filled AS (SELECT row, col, z FROM sec WHERE z IS NOT NULL UNION ALL SELECT * FROM m)"""
+
+
+def cosine(source: str) -> str:
+    """CTEs that end in cv: row, col, z of the filtered grid, by cosine sums along rows and columns of the whole grid."""
+    pi = repr(math.pi)
+    return f"""
+dim AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM {source}),
+rs AS (SELECT unnest(generate_series(0, h - 1)) AS k FROM dim),
+cs AS (SELECT unnest(generate_series(0, w - 1)) AS k FROM dim),
+c1 AS (SELECT row, k AS kc, sum(z * cos({pi} * k * (col + 0.5) / w)) AS z FROM {source}, cs, dim GROUP BY 1, 2),
+c2 AS (SELECT kc, k AS kr, sum(z * cos({pi} * k * (row + 0.5) / h)) AS z FROM c1, rs, dim GROUP BY 1, 2),
+c3 AS (SELECT kc, kr, z * pow(pow({pi} * kr / h, 2) + pow({pi} * kc / w, 2), 0.45) * CASE WHEN kr = 0 THEN 1 ELSE 2 END * CASE WHEN kc = 0 THEN 1 ELSE 2 END / (h * w) AS z FROM c2, dim),
+c4 AS (SELECT kc, k AS row, sum(z * cos({pi} * kr * (k + 0.5) / h)) AS z FROM c3, rs, dim GROUP BY 1, 2),
+cv AS (SELECT row, k AS col, sum(z * cos({pi} * kc * (k + 0.5) / w)) AS z FROM c4, cs, dim GROUP BY 1, 2)"""
+
+
+BY_CLASS = f"""{DIFF},
+k AS (SELECT z, {PR} AS class_idx FROM d WHERE z IS NOT NULL),
+names AS (SELECT * FROM (VALUES (0, 'urgent:[1]'), (1, 'high:[2]'), (2, 'medium:[3]'), (3, 'rest:[4, 5]')) v(class_idx, set_name))"""
+
+
+def by_class(bins: str, where: str, value: str, share: str, edge: str = "low + bin * width") -> str:
+    """Histograms of each class: `bins` makes b (class_idx, n, low, width) from k."""
+    return f"""
+WITH {BY_CLASS}, {bins},
+cells AS (SELECT class_idx, least(floor(({value} - low) / width), n - 1)::BIGINT AS bin, count(*) AS c FROM k JOIN b USING (class_idx) WHERE {where} GROUP BY 1, 2),
+bins AS (SELECT class_idx, bin, coalesce(c, 0) AS c, low, width FROM (SELECT class_idx, low, width, unnest(generate_series(0, n - 1)) AS bin FROM b) LEFT JOIN cells USING (class_idx, bin))
+SELECT 'standard' AS mode, class_idx, set_name, bin, round(round({edge}, 5), 3) + 0.0 AS edge, round({share}, 5) + 0.0 AS value FROM bins JOIN names USING (class_idx)"""
+
 
 ORACLES = {
     "scan_grid_ref": f"WITH {REF} SELECT row, col, {z()} FROM ref",
@@ -208,10 +233,7 @@ SELECT row, col, {z('CASE WHEN alpha >= low AND alpha <= high THEN (z - mu) / (1
     "bilinear_shift": bilinear("row + 2.5", "col + 1.25") + f" SELECT row, col, {z(digits=8)} FROM v",
     "resample_affine": bilinear("(row + 0.5) / 1.5 - 0.5", "(col + 0.5) / 1.5 - 0.5", where="(row + 0.5) / 1.5 <= rm + 1 AND (col + 0.5) / 1.5 <= cm + 1") + f" SELECT r.row, r.col, {z('v.z', 7, 'z')} FROM ref r LEFT JOIN v USING (row, col)",
     "resample_nearest": f"WITH {REF}, {SEC} SELECT r.row, r.col, {z('s.z', alias='z')} FROM ref r LEFT JOIN sec s ON s.row = floor((r.row + 0.5) / 1.4) AND s.col = floor((r.col + 0.5) / 1.4)",
-    "nearest_fill": f"""
-WITH {SEC},
-m AS (SELECT a.row, a.col, arg_min(b.z, (pow(a.row - b.row, 2) + pow(a.col - b.col, 2)) * 1e12 + b.row * 1e5 + b.col) AS z FROM sec a, sec b WHERE a.z IS NULL AND b.z IS NOT NULL GROUP BY 1, 2)
-SELECT row, col, {z()} FROM (SELECT row, col, z FROM sec WHERE z IS NOT NULL UNION ALL SELECT * FROM m)""",
+    "nearest_fill": f"WITH {SEC}, {FILLED} SELECT row, col, {z()} FROM filled",
     "geoid_offset": f"WITH {REF} SELECT row, col, {z('z + row / 10.0 * 0.5 - col / 10.0 * 0.25', alias='z')} FROM ref",
     "nk_slices": f"WITH {NK} SELECT slice, n, {z('med', alias='median')} FROM sl",
     "nk_single_iter": f"""
@@ -223,8 +245,21 @@ SELECT {z('(cc * (sy * n - s1 * y1) - cy * (cs * n - s1 * c1) + c1 * (cs * y1 -
        {z('(cy * (ss * n - s1 * s1) - cs * (sy * n - s1 * y1) + c1 * (sy * s1 - ss * y1)) / det', 3, 'north')},
        {z('(cc * (ss * y1 - sy * s1) - cs * (cs * y1 - sy * c1) + cy * (cs * s1 - ss * c1)) / det', 3, 'c')} FROM det""",
     "coreg_counts": f"WITH {REF}, {SEC} SELECT 'ref' AS support, count(*) AS nb_points, count(z) AS nb_valid_points, round(count(z) / count(*), 5) AS percentage_valid_points FROM ref UNION ALL SELECT 'sec', count(*), count(z), round(count(z) / count(*), 5) FROM sec",
-    "curvature": f"WITH {COSINE} SELECT row, col, {z(digits=4)} FROM cv",
-    "svf": f"WITH {COSINE}, n AS (SELECT row, col, least(z, 0) AS z FROM cv), q AS (SELECT quantile_cont(z, 0.09) AS a, quantile_cont(z, 0.91) AS b FROM n) SELECT row, col, {z('greatest(least((z - a) / (b - a), 1), 0) * 255', 3, 'z')} FROM n, q",
+    "curvature": f"WITH {SMOOTH}, {cosine('smooth')} SELECT row, col, {z(digits=4)} FROM cv",
+    "svf": f"WITH {SMOOTH}, {cosine('smooth')}, n AS (SELECT row, col, least(z, 0) AS z FROM cv), q AS (SELECT quantile_cont(z, 0.09) AS a, quantile_cont(z, 0.91) AS b FROM n) SELECT row, col, {z('greatest(least((z - a) / (b - a), 1), 0) * 255', 3, 'z')} FROM n, q",
+    "ref_curvature": f"WITH {REF}, {cosine('ref')} SELECT row, col, {z(digits=4)} FROM cv",
+    "sec_curvature": f"WITH {SEC}, {FILLED}, {cosine('filled')} SELECT row, col, {z('CASE WHEN s.z IS NOT NULL THEN cv.z END', 4, 'z')} FROM cv JOIN sec s USING (row, col)",
+    "ref_labels": f"WITH {REF} SELECT row, col, {z()}, priority AS priority_ref, status AS status_ref FROM ref",
+    "crop_labels": f"WITH {REF}, {EDGE} SELECT row - 4 AS row, col, {z()}, priority, status FROM ref, e WHERE row >= 4 AND col < cm + 1 - 3",
+    "ratio_by_class": f"WITH {BY_CLASS} SELECT 'standard' AS mode, class_idx, set_name, (i - 1)::BIGINT AS bin, t AS edge, round(avg((z > t)::INT), 5) + 0.0 AS value FROM k JOIN names USING (class_idx), (VALUES (1, 0.5::DOUBLE), (2, 10.0::DOUBLE), (3, 100.0::DOUBLE)) v(i, t) GROUP BY 1, 2, 3, 4, 5",
+    "cdf_by_class": by_class("b AS (SELECT class_idx, greatest(floor(max(abs(z)) / 10), 25)::BIGINT AS n, 0.0 AS low, max(abs(z)) / greatest(floor(max(abs(z)) / 10), 25) AS width FROM k GROUP BY 1)", "TRUE", "abs(z)", "sum(c) OVER (PARTITION BY class_idx ORDER BY bin) / sum(c) OVER (PARTITION BY class_idx)"),
+    "pdf_by_class": by_class(
+        """b0 AS (SELECT class_idx, max(z) AS bound FROM k GROUP BY 1),
+b AS (SELECT class_idx, CASE WHEN ceil(2 * bound / 10) >= 25 THEN ceil(2 * bound / 10) - 1 ELSE 25 END::BIGINT AS n, CASE WHEN ceil(2 * bound / 10) >= 25 THEN -bound ELSE -abs(bound) END AS low,
+      CASE WHEN ceil(2 * bound / 10) >= 25 THEN 10.0 ELSE 2 * abs(bound) / 25 END AS width FROM b0)""",
+        "z >= low AND z <= low + n * width", "z", "c::DOUBLE / sum(c) OVER (PARTITION BY class_idx)",
+    ),
+    "nk_coregistration": "SELECT 2.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz",  # the shift that the query plants
     "events_scan": f"""
 WITH e AS (SELECT user_id AS row, ts::DATE AS day, value FROM events), s AS (SELECT min(day) AS d0, max(day) AS d1, max(row) AS rm FROM e),
 c AS (SELECT row, (day - d0)::BIGINT AS col, avg(value) AS z FROM e, s GROUP BY 1, 2),

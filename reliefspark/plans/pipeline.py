@@ -18,6 +18,10 @@ from reliefspark.plans import config
 from reliefspark.sources.grids import load_grid
 
 
+#: Parameters of the vector metrics that every run gives for the whole grid.
+PLOTTED = {"cdf": {"bin_step": 0.1}, "pdf": {"bin_step": 0.2}}
+
+
 def layers_of(cfg: dict, grid: Grid) -> list[classify.Layer]:
     """The layers of a method, fusions last."""
     made = {n: classify.create(c["type"], n, c, grid.df.columns) for n, c in cfg.items() if c["type"] != "fusion"}
@@ -29,31 +33,52 @@ def layers_of(cfg: dict, grid: Grid) -> list[classify.Layer]:
     return list(made.values())
 
 
-def chosen(cfg: dict, layer_cfg: dict) -> tuple[tuple[str, ...], dict[str, bool]]:
-    """Scalar metrics of a layer, and which of them leave outliers out."""
+def chosen(cfg: dict, layer_cfg: dict) -> dict[str, tuple[bool, dict]]:
+    """The metrics of a layer by name: whether outliers are left out, and parameters."""
     items = [*layer_cfg.get("metrics", []), *cfg.get("metrics", [])] or list(metrics.DEFAULT)
-    out: dict[str, bool] = {}
+    out: dict[str, tuple[bool, dict]] = {}
     for item in items:
         name, more = (item, {}) if isinstance(item, str) else next(iter(item.items()))
-        if metrics.kind(name) == "scalar":
-            default = cfg.get("remove_outliers", False) and name not in metrics.KEEPS_OUTLIERS
-            out[name] = bool(more.get("remove_outliers", default))
-    return tuple(out), out
+        default = cfg.get("remove_outliers", False) and name not in metrics.KEEPS_OUTLIERS
+        out[name] = bool(more.get("remove_outliers", default)), {k: v for k, v in more.items() if k != "remove_outliers"}
+    return out
 
 
 def statistics(grid: Grid, method: str, cfg: dict, output_dir: str | None = None) -> DataFrame:
-    """The long table of all layers of a method."""
+    """The long table of the scalar metrics of all layers of a method; vectors, matrices and support maps are saved."""
     out = None
     for layer in layers_of(cfg["classification_layers"], grid):
-        names, without = chosen(cfg, cfg["classification_layers"][layer.name])
-        s = stats.class_stats(grid, layer, names, without)
-        if output_dir:
-            stats.save(s, f"{output_dir}/stats/{method}/{layer.name}")
+        asked = chosen(cfg, cfg["classification_layers"][layer.name])
+        scalars = tuple(m for m in asked if metrics.kind(m) == "scalar")
+        s = stats.class_stats(grid, layer, scalars, {m: asked[m][0] for m in scalars})
         long = stats.long_form(s, method, layer.name)
         out = long if out is None else out.unionByName(long)
+        if not output_dir:
+            continue
+        folder = f"{output_dir}/stats/{method}/{layer.name}"
+        stats.save(s, folder)
+        for m, (without, params) in asked.items():
+            if metrics.kind(m) == "vector":
+                stats.save_vectors(stats.class_vectors(grid, layer, m, params, without), m, folder)
+            elif metrics.kind(m) == "matrix2D":
+                for k in range(len(layer.classes)):
+                    save_grid(Grid(stats.class_matrix(grid, layer, m, params, k), grid.meta), f"{folder}/{m}_{k}")
+        for support in layer.supports if layer.name != "global" else ():
+            save_grid(Grid(grid.df.select("row", "col", layer.index[support].cast("double").alias("z")), grid.meta), f"{folder}/{support}_rectified_support_map")
     return out
 
 
+def save_plot_data(grid: Grid, folder: str) -> None:
+    """What plots of a method's grid show: cdf, pdf, hillshade, sky view factor, and the range of colours (mean, deviation)."""
+    everything = classify.global_layer()
+    for m in ("cdf", "pdf"):
+        stats.save_vectors(stats.class_vectors(grid, everything, m, PLOTTED[m]), m, folder)
+    for m in ("hillshade", "svf"):
+        save_grid(Grid(stats.class_matrix(grid, everything, m), grid.meta), f"{folder}/{m}")
+    span = grid.df.agg(F.avg("z").alias("mean"), F.stddev_pop("z").alias("std")).select("mean", "std", (F.col("mean") - F.col("std")).alias("vmin"), (F.col("mean") + F.col("std")).alias("vmax"))
+    span.coalesce(1).write.mode("overwrite").json(f"{folder}/snapshot_range.json")
+
+
 def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
     """(long table of statistics, coregistration results) of a configuration or of the JSON file that holds it."""
     cfg = config.check(config.read(cfg) if isinstance(cfg, str) else cfg)
@@ -67,16 +92,19 @@ def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
         ref, sec, results = done.ref, done.sec, done.results
         if out:
             spark.createDataFrame([(json.dumps(results),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/coregistration/coregistration_results.json")
-            save_grid(sec, f"{out}/coregistration/reproj_coreg_SEC")
-            save_grid(ref, f"{out}/coregistration/reproj_coreg_REF")
+            ref, sec = saved(ref, f"{out}/coregistration/reproj_coreg_REF"), saved(sec, f"{out}/coregistration/reproj_coreg_SEC")
+        if c["save_optional_outputs"]:
+            for grid, name in ((done.reproj_sec, "reproj_SEC"), (done.reproj_ref, "reproj_REF"), (done.coreg_sec, "coreg_SEC")):
+                save_grid(grid, f"{c['output_dir']}/coregistration/{name}")
     elif sec is not None:
         sec, ref, _ = reproject_grids(sec, ref, sampling_source=cfg.get("sampling_source") or "sec")
     table = None
     ref, sec = slope(ref), slope(sec) if sec is not None else None
     for method, s in (cfg.get("statistics") or {}).items():
         grid = processing.process(method, ref, sec)
-        if out:
-            save_grid(grid, f"{out}/stats/{method}/dem_for_stats")
+        if out:  # statistics read the saved grid
+            grid = saved(grid, f"{out}/stats/{method}/dem_for_stats")
+            save_plot_data(grid, f"{out}/stats/{method}")
         long = statistics(grid, method, s, out)
         table = long if table is None else table.unionByName(long)
     if out:
@@ -95,6 +123,12 @@ def save_grid(grid: Grid, path: str, tile: int = 1024) -> None:
     grid.df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta.json")
 
 
+def saved(grid: Grid, path: str) -> Grid:
+    """The grid as saved and reread."""
+    save_grid(grid, path)
+    return grid.with_df(grid.df.sparkSession.read.schema(grid.df.schema).parquet(f"{path}.parquet"))
+
+
 def report(table: DataFrame, results: dict) -> DataFrame:
     """Lines of a Markdown report, in order, in one partition: one a class and metric."""
     spark = table.sparkSession

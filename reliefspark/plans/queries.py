@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.functions import metrics
-from reliefspark.functions.pixel import no_data, x_of, y_of
-from reliefspark.grid import UNITS, Grid, GridMeta, crop_box, crop_offset, roi_bounds
+from reliefspark.functions.pixel import x_of, y_of
+from reliefspark.grid import Grid, GridMeta, create_grid, crop_box, crop_offset, roi_bounds
 from reliefspark.operators import classify, processing, resample, spectral, stats, stencil, tiling
-from reliefspark.operators.coregister import LEAST_SLOPE, coregister, offsets_of, slices
+from reliefspark.operators.coregister import coregister, counts, offsets_of, pair, slices
 from reliefspark.operators.coregister import fit as fit_shift
 from reliefspark.sources.grids import add_geoid, events_grid, ref_grid, sec_grid, smooth_grid, table
 
@@ -47,13 +47,14 @@ def scan_grid_ref(spark, sf_dir):
 @query
 def scan_grid_sec_nodata(spark, sf_dir):
     """Pixels without items come as the sentinel and leave as null."""
-    raw = sec_grid(spark, sf_dir).df.select("row", "col", F.coalesce("z", F.lit(-32768.0)).alias("z"))
-    return rounded(raw.withColumn("z", no_data(F.col("z"), -32768.0)))
+    raw = sec_grid(spark, sf_dir)
+    return rounded(create_grid(raw.df.withColumn("z", F.coalesce("z", F.lit(-32768.0))), nodata=-32768.0).z())
 
 
 @query
 def unit_convert(spark, sf_dir):
-    return rounded(ref_grid(spark, sf_dir).z().withColumn("z", F.col("z") * UNITS["ft"]), digits=9)
+    ref = ref_grid(spark, sf_dir)
+    return rounded(create_grid(ref.df, ref.meta, zunit="ft", labels=ref.labels).z(), digits=9)
 
 
 @query
@@ -95,6 +96,19 @@ for _name, _x, _y in (("crop_offset_pp", 2.3, 4.7), ("crop_offset_pm", 2.3, -4.7
     crop_query(_name, _x, _y)
 
 
+@query
+def crop_labels(spark, sf_dir):
+    """A crop by an offset takes the label planes along."""
+    return rounded(crop_offset(ref_grid(spark, sf_dir), 2.3, 4.7).df)
+
+
+@query
+def ref_labels(spark, sf_dir):
+    """The method `ref`: the grid with its label planes."""
+    ref, sec = both(spark, sf_dir)
+    return rounded(processing.process("ref", ref, sec).df)
+
+
 @query
 def alti_diff(spark, sf_dir):
     return rounded(diff(spark, sf_dir).z())
@@ -211,6 +225,27 @@ def ratio_above_threshold(spark, sf_dir):
     return rounded(metrics.vector_metric("ratio_above_threshold")(diff(spark, sf_dir).df, elevation_threshold=(0.5, 10, 100)), "edge", "value")
 
 
+def by_class(spark, sf_dir, metric, **params):
+    g = diff(spark, sf_dir)
+    layer = classify.segmentation("priority", {"classes": SEGMENTS}, [c for c in g.df.columns if c != "priority_sec"])
+    return rounded(rounded(stats.class_vectors(g, layer, metric, params), "edge", digits=3), "value")
+
+
+@query
+def cdf_by_class(spark, sf_dir):
+    return by_class(spark, sf_dir, "cdf", bin_step=10.0)
+
+
+@query
+def pdf_by_class(spark, sf_dir):
+    return by_class(spark, sf_dir, "pdf", bin_step=10.0)
+
+
+@query
+def ratio_by_class(spark, sf_dir):
+    return by_class(spark, sf_dir, "ratio_above_threshold", elevation_threshold=(0.5, 10, 100))
+
+
 @query
 def orientation_hist(spark, sf_dir):
     return rounded(metrics.vector_metric("slope-orientation-histogram")(ref_grid(spark, sf_dir), 100.0, 100.0), "edge")
@@ -239,7 +274,7 @@ def normals(spark, sf_dir):
 
 @query
 def angular_diff(spark, sf_dir):
-    return rounded(stencil.angular_difference(*both(spark, sf_dir)), digits=4)
+    return rounded(processing.angular_difference(*both(spark, sf_dir)), digits=4)
 
 
 @query
@@ -286,7 +321,7 @@ def geoid_offset(spark, sf_dir):
 
 def dh(spark, sf_dir):
     ref, sec = both(spark, sf_dir)
-    return offsets_of(Grid(ref.z(), ref.meta), Grid(sec.z(), sec.meta), 0.0)
+    return offsets_of(pair(ref, sec), sec.meta, 0.0)
 
 
 @query
@@ -302,7 +337,7 @@ def nk_single_iter(spark, sf_dir):
 
 @query
 def nk_coregistration(spark, sf_dir):
-    """Two views of one smooth surface over the order grid, 3 columns and 5 rows apart."""
+    """Two views of one smooth surface over the order grid, 2 columns and 1 row apart."""
     g = ref_grid(spark, sf_dir)
     surface = lambda r, c: F.sin(r / 9.0) * 20 + F.cos(c / 7.0) * 15 + F.sin((r + c) / 15.0) * 10
     ref = Grid(g.df.select("row", "col", surface(F.col("row"), F.col("col")).alias("z")), g.meta)
@@ -315,8 +350,8 @@ def nk_coregistration(spark, sf_dir):
 def coreg_counts(spark, sf_dir):
     """Points and valid points of both grids after their alignment."""
     sec, ref, _ = resample.reproject_grids(*both(spark, sf_dir)[::-1])
-    one = lambda g, s: g.df.agg(F.lit(s).alias("support"), F.count("*").alias("nb_points"), F.count("z").alias("nb_valid_points"), F.round(F.count("z") / F.count("*"), 5).alias("percentage_valid_points"))
-    return one(ref, "ref").unionByName(one(sec, "sec"))
+    rows = [(s, c["nb_points"], c["nb_valid_points"], c["percentage_valid_points"]) for s, c in (("ref", counts(ref)), ("sec", counts(sec)))]
+    return spark.createDataFrame(rows, "support string, nb_points long, nb_valid_points long, percentage_valid_points double")
 
 
 @query
@@ -329,6 +364,12 @@ def svf(spark, sf_dir):
     return rounded(spectral.sky_view(smooth_grid(spark, sf_dir)), digits=3)
 
 
+@query
+def ref_curvature(spark, sf_dir):
+    ref = ref_grid(spark, sf_dir)
+    return rounded(processing.process("ref-curvature", ref).z(), digits=4)
+
+
 @query
 def sec_curvature(spark, sf_dir):
     """The filter over a grid with holes, filled from their nearest pixels first."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,18 +56,34 @@ def events_grid(spark: SparkSession, sf_dir: str) -> Grid:
     return Grid(every.join(cells, ["row", "col"], "left"), GridMeta(size["r"] + 1, ncols, name="events"))
 
 
+def saved_meta(spark: SparkSession, path: str) -> dict:
+    """transform and crs that save_grid() wrote beside a grid file; nothing without it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.removesuffix(".parquet") + ".meta.json")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return {}
+    meta = json.loads("".join(r["value"] for r in spark.read.text(at.toString()).collect()))  # one line
+    return {k: meta[k] for k in ("transform", "crs", "nodata")}
+
+
 def load_grid(spark: SparkSession, cfg: dict) -> Grid:
     """A grid file as a configuration names it: path, format (parquet, csv, json or orc), nodata, zunit, crs, transform, roi, labels,
     geoid (a grid file of the same kind, whose heights are added).
 
-    The file has a row a pixel: row, col, z. Label planes are files of the same kind (row, col, z), joined by pixel.
+    The file has a row a pixel: row, col, z. Label planes are files of the same kind (row, col, z), joined by pixel; ValueError
+    if one has another size. What save_grid() wrote beside the file (PATH without .parquet, and .meta.json) stands for settings that aren't
+    given. Rasters such as GeoTIFF are refused: no library here reads them.
     """
+    if cfg["path"].lower().endswith((".tif", ".tiff", ".gtx", ".png", ".hgt")):
+        raise ValueError("raster files can't be read: convert them to a pixel table (row, col, z)")
+    cfg = {**saved_meta(spark, cfg["path"]), **cfg}
     reader = spark.read.option("header", True).option("inferSchema", False) if cfg.get("format") == "csv" else spark.read
     read = lambda path: reader.format(cfg.get("format", "parquet")).load(path).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"))
     df = read(cfg["path"])
     labels = tuple(cfg.get("classification_layers", {}))
     for name in labels:
         plane = read(cfg["classification_layers"][name]["map_path"]).select("row", "col", F.col("z").alias(name))
+        if plane.agg(F.max("row"), F.max("col")).first() != df.agg(F.max("row"), F.max("col")).first():
+            raise ValueError(f"the label plane {name} has not the size of its grid")
         df = df.join(plane, ["row", "col"], "left")
     more = {k: (tuple(v) if k == "transform" else v) for k, v in cfg.items() if k in ("transform", "crs")}
     grid = check_has_data(create_grid(df, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels, **more))

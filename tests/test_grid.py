@@ -102,7 +102,7 @@ def test_differences(spark):
     assert np.allclose(got, want, atol=1e-4)
     ref = [[3, 3, 3], [1, 2, 1], [N, 0, 1], [1, 1, 0], [1, 1, N]]
     want = nan([[1.107149, 0.785398, 1.107149], [N, N, 0.955317], [N, N, N], [N, N, N], [0, N, N]])
-    assert np.allclose(array(stencil.angular_difference(grid(spark, ref), grid(spark, sec))), want, atol=1e-5, equal_nan=True)
+    assert np.allclose(array(processing.angular_difference(grid(spark, ref), grid(spark, sec))), want, atol=1e-5, equal_nan=True)
     with pytest.raises(KeyError):
         processing.process("none", None)
 
@@ -271,7 +271,7 @@ def test_whole_run(spark, tmp_path):
     cfg = {
         "output_dir": str(tmp_path / "out"), "input_ref": {"path": "ref.parquet", "crs": "EPSG:32631", "classification_layers": {"Status": {"map_path": "seg.parquet"}}}, "input_sec": {"path": "sec.parquet", "crs": "EPSG:32631"},
         "statistics": {"alti-diff": {"remove_outliers": True, "classification_layers": {
-            "Status": {"type": "segmentation", "classes": {"a": [0], "b": [1, 2]}}, "Slope0": {"type": "slope", "ranges": [0, 25]}, "Fusion0": {"type": "fusion", "ref": ["Status", "Slope0"], "metrics": ["mean", {"nmad": {"remove_outliers": False}}]}}}},
+            "Status": {"type": "segmentation", "classes": {"a": [0], "b": [1, 2]}}, "Slope0": {"type": "slope", "ranges": [0, 25]}, "Fusion0": {"type": "fusion", "ref": ["Status", "Slope0"], "metrics": ["mean", "hillshade", {"ratio_above_threshold": {"elevation_threshold": [1, 3]}}, {"nmad": {"remove_outliers": False}}]}}}},
     }
     (tmp_path / "cfg.json").write_text(json.dumps(cfg))
     table, _ = pipeline.run(spark, str(tmp_path / "cfg.json"))
@@ -281,6 +281,10 @@ def test_whole_run(spark, tmp_path):
     assert set(results.metrics("Fusion0")) == {"mean", "nmad", "nbpts", "percent_valid_points"}
     with pytest.raises(KeyError):
         results.metric("global", "none")
+    folder = tmp_path / "out/stats/alti-diff"
+    assert spark.read.csv(str(folder / "Fusion0/ratio_above_threshold_0.csv"), header=True).columns == ["Thresholds", "Ratio above threshold"]
+    assert spark.read.csv(str(folder / "cdf_0.csv"), header=True).columns == ["Bins", "CDF values"] and spark.read.parquet(str(folder / "svf.parquet")).count() == 400
+    assert spark.read.parquet(str(folder / "Status/ref_rectified_support_map.parquet")).agg({"z": "max"}).first()[0] == 1 and spark.read.parquet(str(folder / "Fusion0/hillshade_0.parquet")).count() == 400
     lines = spark.read.text(str(tmp_path / "out/report.md")).collect()
     assert lines[0][0] == "# Comparison" and len(lines) > 20
     assert spark.read.csv(str(tmp_path / "out/stats/alti-diff/Status/stats_results.csv"), header=True).columns[0] == "Set Name"
@@ -304,16 +308,60 @@ def test_quantiles_narrow_down(spark, monkeypatch):
 
     rng = np.random.default_rng(4)
     groups = {0: rng.normal(size=500), 1: np.repeat(3.0, 40), 2: rng.integers(0, 3, 300).astype(float), 3: np.array([5.0]), 4: np.r_[np.zeros(200), np.ones(200)], 5: np.r_[rng.normal(size=99), 1e12]}
-    df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g], "g int, v double")
-    for share in (0.0, 0.3, 0.5, 0.9, 1.0):
-        got = {r["g"]: r["q"] for r in quantiles.quantile(df, ["g"], df["v"], share, "q", cells=5, most=7).collect()}
-        assert got == pytest.approx({k: np.quantile(g, share) for k, g in groups.items()})
-    g = grid(spark, rng.normal(size=(12, 15)).tolist(), seg_ref=rng.integers(0, 3, (12, 15)).tolist())
+    groups[6] = np.r_[rng.normal(0, 1e-3, 50), 1 + rng.normal(0, 1e-3, 50)]  # two clusters with the rank between them
+    groups[7] = np.nextafter(1.0, 2) + np.arange(60) % 2 * 2.0**-52  # neighbours among the doubles
+    df = spark.createDataFrame([(k, float(v)) for k, g in groups.items() for v in g] + [(8, None)], "g int, v double")
+    shares = (0.0, 0.3, 0.5, 0.9, 1.0)
+    got = quantiles.quantiles(df, ["g"], [(f"q{s}", df["v"], s) for s in shares], cells=5, most=7)
+    assert got[(8,)] == {f"q{s}": None for s in shares}
+    for s in shares:
+        assert {k: got[(k,)][f"q{s}"] for k in groups} == pytest.approx({k: np.quantile(g, s) for k, g in groups.items()}, abs=1e-12)
+    assert quantiles.quantile(df.filter("g = 0"), df["v"], 0.98) == pytest.approx(np.quantile(groups[0], 0.98)) and quantiles.quantile(df.filter("g = 9"), df["v"], 0.5) is None
+
+
+def test_registered_metrics_may_need_their_class(spark):
+    rng = np.random.default_rng(5)
+    v, seg = rng.normal(size=(12, 15)), rng.integers(0, 3, (12, 15))
+    g = grid(spark, v.tolist(), seg_ref=seg.tolist())
     layer = classify.segmentation("seg", {"classes": {"a": [0], "b": [1, 2], "none": [9]}}, g.df.columns)
-    want = [tuple(r) for r in stats.class_stats(g, layer).orderBy("class_idx").collect()]
-    monkeypatch.setattr(quantiles, "LARGE", 1)
-    got = [tuple(r) for r in stats.class_stats(g, layer).orderBy("class_idx").collect()]
-    assert got == want
+    from pyspark.sql import functions as F
+
+    metrics.scalar("around_mean", "mean")(lambda z, mean, median: F.avg(F.abs(z - mean)))
+    metrics.ranked("upper_half", 0.75, "median")(lambda z, mean, median: z - median)
+    try:
+        rows = {r["set_name"]: r for r in stats.class_stats(g, layer, ("around_mean", "upper_half", "nmad", "percentil_90")).collect()}
+    finally:
+        del metrics._scalars["around_mean"], metrics._quantiles["upper_half"]
+    for name, of in (("a:[0]", seg == 0), ("b:[1, 2]", seg > 0)):
+        x = v[of]
+        assert rows[name]["around_mean"] == pytest.approx(abs(x - x.mean()).mean(), abs=1e-5) and rows[name]["upper_half"] == pytest.approx(np.quantile(x - np.median(x), 0.75), abs=1e-5)
+        assert rows[name]["nmad"] == pytest.approx(1.4826 * np.median(abs(x - np.median(x))), abs=1e-5) and rows[name]["percentil_90"] == pytest.approx(np.quantile(abs(x - x.mean()), 0.9), abs=1e-5)
+    assert rows["none:[9]"]["nmad"] is None
+
+
+def test_vector_metrics_by_class(spark):
+    v = np.array([[0.0, 0.5, 2.0, 4.0], [-3.0, 1.0, 6.0, 0.2], [0.0, 0.0, 0.0, 0.0]])
+    g = grid(spark, v.tolist(), seg_ref=[[0, 0, 1, 1], [0, 1, 1, 0], [2, 2, 2, 2]])
+    layer = classify.segmentation("seg", {"classes": {"a": [0], "b": [1], "none": [9]}}, g.df.columns)
+    got = stats.class_vectors(g, layer, "ratio_above_threshold", {"elevation_threshold": (0.1, 3)}).collect()
+    assert {(r["set_name"], r["edge"]): r["value"] for r in got} == {("a:[0]", 0.1): 0.5, ("a:[0]", 3.0): 0, ("b:[1]", 0.1): 1, ("b:[1]", 3.0): 0.5}
+    whole = classify.global_layer()
+    zero = grid(spark, [[0, 1e-9], [0, 0]])
+    assert stats.class_vectors(zero, whole, "cdf").count() == 0 and stats.class_vectors(grid(spark, [[0, N]]), whole, "cdf").count() == 25
+    assert stats.class_vectors(g, whole, "slope-orientation-histogram").agg({"value": "sum"}).first()[0] == 12
+    shade = array(stats.class_matrix(g, whole, "hillshade"))
+    assert np.allclose(shade, array(metrics.matrix_metric("hillshade")(g)))
+
+
+def test_nearest_fill_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for share in (0.5, 0.97):
+        v = np.where(rng.random((23, 31)) < share, np.nan, rng.integers(0, 1000, (23, 31)).astype(float))
+        v[:, 5:9] = np.nan
+        valid = np.argwhere(~np.isnan(v)).tolist()
+        want = [[v[tuple(min(valid, key=lambda q: ((q[0] - r) ** 2 + (q[1] - c) ** 2, q)))] for c in range(31)] for r in range(23)]
+        got = array(resample.nearest_fill(grid(spark, [[None if np.isnan(x) else x for x in line] for line in v.tolist()])))
+        assert np.array_equal(got, np.array(want))
 
 
 def brute_filtered(v):
@@ -353,8 +401,23 @@ def test_load_grid_adds_its_geoid(spark, tmp_path):
     assert np.allclose(array(got.df), nan([[11, 22], [N, 24]]), equal_nan=True)
 
 
-def test_metrics_that_a_run_lacks_are_refused():
-    for name in ("cdf", "ratio_above_threshold", "hillshade", "svf"):
-        for s in ({"metrics": [name]}, {"classification_layers": {"Slope0": {"type": "slope", "metrics": [{name: {}}]}}}):
-            with pytest.raises(ValueError):
-                config.check({"input_ref": {}, "statistics": {"ref": s}})
+def test_grids_are_saved_and_loaded(spark, tmp_path):
+    g = grid(spark, [[1, N], [3, 4]], px=2.0)
+    pipeline.save_grid(g, str(tmp_path / "dem"))
+    got = load_grid(spark, {"path": str(tmp_path / "dem.parquet")})
+    assert got.meta.transform == g.meta.transform and got.meta.crs == g.meta.crs and np.allclose(array(got.df), nan([[1, N], [3, 4]]), equal_nan=True)
+    grid(spark, [[1, 2, 3]]).df.write.parquet(str(tmp_path / "labels.parquet"))
+    with pytest.raises(ValueError):
+        load_grid(spark, {"path": str(tmp_path / "dem.parquet"), "classification_layers": {"a": {"map_path": str(tmp_path / "labels.parquet")}}})
+    with pytest.raises(ValueError):
+        load_grid(spark, {"path": "dem.tif"})
+
+
+def test_fusions_count_layers_by_support():
+    layers = {"a": {"type": "slope"}, "b": {"type": "slope"}}
+    config.check_layers({**layers, "F": {"type": "fusion", "sec": ["a", "b"]}})
+    for fused in ({"ref": ["a"], "sec": ["b"]}, {"ref": ["a", "b"], "sec": ["a"]}, {}):
+        with pytest.raises(ValueError):
+            config.check_layers({**layers, "F": {"type": "fusion", **fused}})
+    with pytest.raises(ValueError):
+        config.check_metrics([{"ratio_above_threshold": {"original_unit": "cm"}}])
