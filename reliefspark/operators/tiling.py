@@ -1,13 +1,16 @@
-"""Tiles that overlap: which pixels they hold and the statistics of these. Tiles aren't coregistered."""
+"""Tiles that overlap: which pixels they hold, the statistics of these, and the shift of each tile."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefspark.grid import Grid, GridMeta
+from reliefspark.grid import Grid, GridMeta, crop_offset_ranges
+from reliefspark.operators.coregister import LEAST_SLOPE, SIGMAS, SLICES, fit, pair
 
 
 def check(height: int, width: int, overlap: int) -> None:
@@ -44,3 +47,70 @@ def tile_stats(grid: Grid, height: int, width: int, overlap: int = 0) -> DataFra
     t = assign(grid.df.select("row", "col", "z"), grid.meta, height, width, overlap).groupBy("tile_row", "tile_col")
     s = t.agg(F.count("*").alias("nb_points"), (F.count("z") * 100.0 / F.count("*")).alias("pct_valid"), F.avg("z").alias("mean"), F.median("z").alias("median"))
     return all_tiles(grid, height, width, overlap).join(s, ["tile_row", "tile_col"], "left")
+
+
+def sampled(z: np.ndarray, x: float, y: float) -> np.ndarray:
+    """z at (row - y, col + x), bilinear, clamped; missing where a pixel with weight is."""
+    out = np.zeros_like(z)
+    at = []
+    for n, shift in zip(z.shape, (-y, x)):
+        v = np.clip(np.arange(n) + shift, 0, n - 1)
+        at.append((np.floor(v).astype(int), v - np.floor(v)))
+    (r, wr), (c, wc) = at
+    for dr in (0, 1):
+        for dc in (0, 1):
+            w = (wr if dr else 1 - wr)[:, None] * (wc if dc else 1 - wc)[None]
+            part = z[np.minimum(r + dr, z.shape[0] - 1)][:, np.minimum(c + dc, z.shape[1] - 1)]
+            out += np.where(w > 0, w * part, 0.0)
+    return out
+
+
+def shift_of(ref: np.ndarray, sec: np.ndarray, iterations: int) -> tuple[float, float, float, float, float]:
+    """dx, dy, dz and the valid shares (percent) of ref and sec of one tile, by the steps of coregister.nuth_kaab; ValueError if it has none."""
+    x = y = 0.0
+    a, b = ref, sec
+    for k in range(iterations + 1):
+        d = a - b
+        if not np.isfinite(d).any():
+            raise ValueError("the tile has no valid pixel in common")
+        if k == iterations or min(b.shape) < 2:
+            break
+        d_row, d_col = np.gradient(b)
+        slope, aspect = np.hypot(d_row, d_col), np.arctan2(-d_col, d_row) + math.pi
+        t = (np.nanmedian(d) - d) / np.where(slope >= LEAST_SLOPE, slope, np.nan)
+        cell = np.floor(aspect / (math.pi / 36))
+        ok = np.isfinite(t) & (aspect > cell * (math.pi / 36)) & (cell < SLICES)
+        rows = []
+        for s in np.unique(cell[ok]):
+            v = t[ok & (cell == s)]
+            v = v[abs(v - v.mean()) <= SIGMAS * v.std()]
+            if len(v):
+                rows.append((int(s), float(np.median(v))))
+        east, north, _ = fit(rows)
+        x, y = x + east, y + north
+        (r0, r1), (c0, c1) = crop_offset_ranges(*ref.shape, x, y)
+        if r0 >= r1 or c0 >= c1:
+            raise ValueError("the tile's shift leaves it")
+        a, b = sampled(ref, x, y)[r0:r1, c0:c1], sec[r0:r1, c0:c1]
+    return x, -y, float(np.nanmean(d)), 100.0 * float(np.isfinite(a).mean()), 100.0 * float(np.isfinite(b).mean())
+
+
+def tile_shifts(ref: Grid, sec: Grid, height: int, width: int, overlap: int = 0, iterations: int = 6) -> DataFrame:
+    """tile_row, tile_col, dx, dy, dz, pct_valid_ref, pct_valid_sec of every tile of two grids on one grid of pixels.
+
+    A tile is one task's; its size is a setting, whatever the grid's. Tiles that can't be fitted are null.
+    """
+    pixels = pair(ref, sec)
+
+    def one(key, pdf):
+        pdf = pdf.sort_values(["row", "col"])
+        shape = pdf["row"].nunique(), pdf["col"].nunique()
+        try:
+            found = shift_of(pdf["r"].to_numpy(float).reshape(shape), pdf["z"].to_numpy(float).reshape(shape), iterations)
+        except ValueError:
+            found = (None,) * 5
+        return pd.DataFrame([(*key, *found)], columns=["tile_row", "tile_col", "dx", "dy", "dz", "pct_valid_ref", "pct_valid_sec"])
+
+    schema = "tile_row long, tile_col long, dx double, dy double, dz double, pct_valid_ref double, pct_valid_sec double"
+    found = assign(pixels, sec.meta, height, width, overlap).groupBy("tile_row", "tile_col").applyInPandas(one, schema)
+    return all_tiles(sec, height, width, overlap).join(found, ["tile_row", "tile_col"], "left")

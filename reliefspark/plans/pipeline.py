@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from reliefspark.operators.stencil import slope
 from reliefspark.plans import config
 from reliefspark.sources.grids import load_grid
 
+log = logging.getLogger(__name__)
 
 #: Parameters of the vector metrics that every run gives for the whole grid.
 PLOTTED = {"cdf": {"bin_step": 0.1}, "pdf": {"bin_step": 0.2}}
@@ -101,6 +103,7 @@ def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
     table = None
     ref, sec = slope(ref), slope(sec) if sec is not None else None
     for method, s in (cfg.get("statistics") or {}).items():
+        log.info("method %s", method)
         grid = processing.process(method, ref, sec)
         if out:  # statistics read the saved grid
             grid = saved(grid, f"{out}/stats/{method}/dem_for_stats")
@@ -138,11 +141,18 @@ def report(table: DataFrame, results: dict) -> DataFrame:
     return head.unionByName(body).coalesce(1).sortWithinPartitions("n", "value").select("value")
 
 
+def set_logging(args: list[str]) -> list[str]:
+    """Sets the level that --loglevel names (WARNING without it); the other arguments."""
+    level = args[args.index("--loglevel") + 1] if "--loglevel" in args[:-1] else "WARNING"
+    logging.basicConfig(format="%(asctime)s %(levelname)s %(name)s: %(message)s", level=level.upper())
+    return args if "--loglevel" not in args[:-1] else [a for k, a in enumerate(args) if k not in (args.index("--loglevel"), args.index("--loglevel") + 1)]
+
+
 def main(args: list[str] | None = None) -> int:
-    """reliefspark CONFIG.json; the exit code is 1 after an error."""
-    args = sys.argv[1:] if args is None else args
+    """CONFIG.json [--loglevel LEVEL]; the exit code is 1 after an error."""
+    args = set_logging(sys.argv[1:] if args is None else args)
     if len(args) != 1:
-        print("usage: python -m reliefspark.plans.pipeline CONFIG.json", file=sys.stderr)
+        print("usage: python -m reliefspark.plans.pipeline CONFIG.json [--loglevel LEVEL]", file=sys.stderr)
         return 1
     table, results = run(SparkSession.builder.appName("reliefspark").getOrCreate(), args[0])
     print(json.dumps(results, indent=1))

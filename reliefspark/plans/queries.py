@@ -335,17 +335,27 @@ def nk_single_iter(spark, sf_dir):
     return rounded(spark.createDataFrame([(east, north, c)], "east double, north double, c double"), "east", "north", "c", digits=3)
 
 
-@query
-def nk_coregistration(spark, sf_dir):
+def two_views(spark, sf_dir):
     """Two views of one smooth surface over the order grid, 2 columns and 1 row apart."""
     g = ref_grid(spark, sf_dir)
     surface = lambda r, c: F.sin(r / 9.0) * 20 + F.cos(c / 7.0) * 15 + F.sin((r + c) / 15.0) * 10
     ref = Grid(g.df.select("row", "col", surface(F.col("row"), F.col("col")).alias("z")), g.meta)
-    sec = Grid(g.df.select("row", "col", surface(F.col("row") + 1, F.col("col") + 2).alias("z")), g.meta)
+    return ref, Grid(g.df.select("row", "col", surface(F.col("row") + 1, F.col("col") + 2).alias("z")), g.meta)
+
+
+@query
+def nk_coregistration(spark, sf_dir):
+    ref, sec = two_views(spark, sf_dir)
     t = coregister(sec, ref).transformation
     return rounded(spark.createDataFrame([(t.x_offset, t.y_offset, t.z_offset)], "dx double, dy double, dz double"), "dx", "dy", "dz", digits=1)
 
 
+@query
+def tile_shifts(spark, sf_dir):
+    """Every tile coregistered alone."""
+    return rounded(tiling.tile_shifts(*two_views(spark, sf_dir), 60, 50, 20), "dx", "dy", "dz", "pct_valid_ref", "pct_valid_sec", digits=1)
+
+
 @query
 def coreg_counts(spark, sf_dir):
     """Points and valid points of both grids after their alignment."""

@@ -421,3 +421,26 @@ def test_fusions_count_layers_by_support():
             config.check_layers({**layers, "F": {"type": "fusion", **fused}})
     with pytest.raises(ValueError):
         config.check_metrics([{"ratio_above_threshold": {"original_unit": "cm"}}])
+
+
+def test_tiles_are_coregistered_alone(spark, tmp_path):
+    from reliefspark.plans import tiles
+
+    r, c = np.mgrid[0:60, 0:50].astype(float)
+    surface = lambda r, c: np.sin(r / 9) * 20 + np.cos(c / 7) * 15 + np.sin((r + c) / 15) * 10
+    ref, sec = surface(r, c), surface(r + 1, c + 2)
+    sec[:, 40:] = np.nan  # tiles of the last column have few pixels or none
+    gs = [grid(spark, [[None if np.isnan(x) else x for x in line] for line in v.tolist()]) for v in (ref, sec)]
+    for g, name in zip(gs, ("ref", "sec")):
+        pipeline.save_grid(g, str(tmp_path / name))
+    cfg = {"output_dir": str(tmp_path / "out"), "input_ref": {"path": str(tmp_path / "ref.parquet")}, "input_sec": {"path": str(tmp_path / "sec.parquet")}, "coregistration": {"number_of_iterations": 3}, "tiling": {"height": 40, "width": 30, "overlap": 10}}
+    got = {(x["tile_row"], x["tile_col"]): x for x in tiles.run_tiles(spark, cfg).collect()}
+    assert set(got) == {(i, j) for i in range(2) for j in range(2)}
+    one = spark.createDataFrame(gs[1].df.filter("row < 40 and col < 30").collect(), gs[1].df.schema), spark.createDataFrame(gs[0].df.filter("row < 40 and col < 30").collect(), gs[0].df.schema)
+    x, y, dz, moved, _ = coregister.nuth_kaab(Grid(one[0], GridMeta(40, 30, crs="EPSG:32631")), Grid(one[1], GridMeta(40, 30, crs="EPSG:32631")), 3)
+    tile = got[0, 0]
+    assert (tile["dx"], tile["dy"], tile["dz"]) == pytest.approx((x, -y, dz), abs=1e-6) and tile["pct_valid_sec"] == pytest.approx(coregister.counts(moved)["percentage_valid_points"] * 100, abs=1e-2)
+    assert tiles.tiling.tile_shifts(gs[0], Grid(gs[1].df.selectExpr("row", "col", "cast(null as double) as z"), gs[1].meta), 60, 50).first()["dx"] is None
+    for bad in ({"height": 0}, {"width": -3}, {"overlap": -1}, {"nb_cpu": 0}, {"overlap": 40}, {"height": 2.5}):
+        with pytest.raises(ValueError):
+            tiles.check({"height": 40, "width": 30, **bad})
