@@ -24,8 +24,8 @@ LABELLERS = ("symbols", "bars", "capitals", "exclamations", "repeats", "variety"
 ALARMS = 7
 #: Chances (labeller; good, bad) that a labeller that judges votes bad, towards which the estimates are pulled by as many
 #: documents as PULL of all; the share of good documents likewise, and the shares at which the estimation starts.
-ANCHORS = np.array([[0.02, 0.3]] * ALARMS + [[0.2, 0.5]] * (len(LABELLERS) - ALARMS))
-PULL, GOOD, STARTS = 0.05, 0.8, (0.5, 0.8, 0.95)
+ANCHORS = np.array([[0.005, 0.3]] * ALARMS + [[0.2, 0.5]] * (len(LABELLERS) - ALARMS))
+PULL, GOOD, STARTS = 0.1, 0.8, (0.5, 0.8, 0.95)
 SYMBOL, BAR, CAPITAL, EXCLAIMED, STOP, SHORT, PLAIN = (1 << k for k in range(7))
 
 
