@@ -217,7 +217,7 @@ def stored(members: DataFrame) -> DataFrame:
 
     def build(pdf):
         out = []
-        for g, part in pdf.groupby("g", sort=False):
+        for g, part in pdf.drop_duplicates(["g", "sid"]).groupby("g", sort=False):  # equal rows of several tasks bring a set again
             parts = part["tokens"].tolist()
             union, column = np.unique(np.concatenate(parts), return_inverse=True)
             order = np.argsort(column, kind="stable")
@@ -229,15 +229,13 @@ def stored(members: DataFrame) -> DataFrame:
     return members.groupBy("bucket").applyInPandas(build, schema)
 
 
-def open_groups(groups: DataFrame, queries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
+def open_groups(groups: DataFrame, queries: DataFrame, salts: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """a, b, n: rows of n = 0 join what is linked, others have a = b and n rows that a links with in one group.
 
-    queries: g, sid, rows, tokens. A group is opened for a query only if its token union holds as many of the query's
+    queries: g, sid, rows, tokens; salts: g and into how many parts its queries are dealt. A group is opened for a query only if its token union holds as many of the query's
     tokens as a link needs; the overlaps with its sets then come from the union's lists. ASKING queries meet a group at
     a time, and a task has many groups, or one of many queries' parts.
     """
-    size = queries.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.size("tokens")).alias("t"))
-    salts = written(size.withColumn("salts", F.ceil(F.greatest(F.col("c") / ASKING, F.col("t") / TOKENS))).select("g", "salts"), "salts")
     none = lambda t: F.lit(None).cast(t)
     g = groups.join(small(salts), "g").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     g = g.select("g", "salt", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("sid"), F.lit(0).cast("long").alias("rows"), "tokens", "sids", "weights", "sizes", "starts", "sets")
@@ -250,7 +248,7 @@ def open_groups(groups: DataFrame, queries: DataFrame, num: int, den: int, parts
             head = tile[~tile["asks"]].iloc[0]
             union, starts, sets, sids, weights, sizes = (np.asarray(head[c]) for c in ("tokens", "starts", "sets", "sids", "weights", "sizes"))
             back, part, touched = np.zeros(len(sids), np.int64), np.arange(len(sids)), np.zeros(len(sids), bool)
-            asking, own = tile[tile["asks"]], set(sids.tolist())
+            asking, own = tile[tile["asks"]].drop_duplicates("sid"), set(sids.tolist())
             for sid, weight, tokens in zip(asking["sid"].tolist(), asking["rows"].tolist(), asking["tokens"].tolist()):
                 at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
                 at = at[union[at] == tokens]
@@ -302,28 +300,38 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     pairs = written(asks(grouped(prefixes(rows, k, num, den, frequent(found)), large, num, den), num, den), "asks")
     asked = written(pairs.select("g").distinct(), "asked")
     members = written(grouped(heads.select("sid", "n", "mark", "rows"), large, num, den).join(small(asked), "g", "left_semi"), "members")
-    wanted = written(pairs.select("sid").unionByName(members.select("sid")).distinct(), "wanted")
-    reps = written(heads.join(small(wanted), "sid", "left_semi").select(F.col("head.doc_id").alias("rep_id"), F.col("head.key").alias("rep_key")), "reps")
+    # what a set is to do: to be a member of its group, to ask groups, or both
+    tasks = pairs.select("sid", "g", F.lit(True).alias("asks")).unionByName(members.select("sid", "g", F.lit(False).alias("asks")))
+    tasks = tasks.groupBy("sid").agg(F.collect_list(F.when(F.col("asks"), F.col("g"))).alias("asked"), F.max(F.when(~F.col("asks"), F.col("g"))).alias("own"))
+    tasks = written(tasks.join(heads, "sid").select(F.col("head.doc_id").alias("task_id"), F.col("head.key").alias("task_key"), "rows", "asked", "own"), "tasks")
 
     def again(batches):
         seen = set()
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                sets = [shingles(t, k) for t in pdf["text"].iloc[at : at + 500].tolist()]
-                new = [(set_id(s), s) for s in sets]
-                new = list({sid: s for sid, s in new if sid not in seen}.items())
-                if len(seen) < 1_000_000:
-                    seen.update(sid for sid, _ in new)
-                yield pd.DataFrame({"sid": [sid for sid, _ in new], "tokens": [s for _, s in new]})
-
-    head_rows = rows.join(small(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")), "left_semi")
-    tokens = written(head_rows.select("text").mapInPandas(again, "sid long, tokens array<long>").dropDuplicates(["sid"]), "tokens")
-    whole = members.agg(F.sum("n")).first()[0] or 0
-    of_group = F.pmod(F.xxhash64("g"), F.lit(max(8, -(-whole // TOKENS))))
-    groups = written(stored(members.select("g", "sid", "rows").join(tokens, "sid").withColumn("bucket", of_group)), "groups")
-    queries = written(pairs.join(heads.select("sid", "rows"), "sid").join(tokens, "sid"), "queries")
-    parts = max(8, -(-(queries.agg(F.sum(F.size("tokens"))).first()[0] or 0) // TOKENS))
-    links = written(open_groups(groups, queries, num, den, parts), "links")
+            for at in range(0, len(pdf), 200):
+                out = []
+                for text, rows_, asked_, own, member in pdf[["text", "rows", "asked", "own", "member"]].iloc[at : at + 200].itertuples(index=False):
+                    tokens = shingles(text, k)
+                    if (sid := set_id(tokens)) in seen:
+                        continue
+                    if len(seen) < 1_000_000:
+                        seen.add(sid)
+                    out += [(g, True, sid, rows_, tokens) for g in asked_]
+                    if member:
+                        out.append((own, False, sid, rows_, tokens))
+                if out:
+                    yield pd.DataFrame(out, columns=["g", "asks", "sid", "rows", "tokens"])
+
+    told = rows.join(small(tasks), F.col("doc_id").eqNullSafe(F.col("task_id")) & (F.col("key") == F.col("task_key")))
+    told = told.select("text", "rows", "asked", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNotNull().alias("member"))
+    dealt = written(told.mapInPandas(again, "g long, asks boolean, sid long, rows long, tokens array<long>"), "dealt")
+    queries, members = dealt.filter("asks").drop("asks"), dealt.filter("not asks").drop("asks")
+    size = dealt.groupBy("g").agg(*[F.sum(F.when(w, x)).alias(c) for c, w, x in (("c", F.col("asks"), F.lit(1)), ("t", F.col("asks"), F.size("tokens")), ("m", ~F.col("asks"), F.size("tokens")))])
+    salts = written(size.withColumn("salts", F.ceil(F.greatest(F.col("c") / ASKING, F.col("t") / TOKENS))), "salts")
+    whole = salts.agg(F.sum("m").alias("m"), F.sum("t").alias("t")).first()
+    parts = lambda t: max(8, -(-(t or 0) // TOKENS))
+    groups = written(stored(members.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(parts(whole["m"]))))), "groups")
+    links = written(open_groups(groups, queries, salts.select("g", "salts"), num, den, parts(whole["t"])), "links")
 
     labels = components(links.filter("n = 0"))
     counted = links.filter("n > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("links"))
