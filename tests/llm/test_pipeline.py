@@ -29,6 +29,13 @@ def test_stages(spark):
     assert sum(brute_pieces([(r["doc_id"], r["text"]) for r in mixed.collect()], 4096).values()) == len(packed)
 
 
+def test_ids_may_clash(spark):
+    rows = [(5, "same text here"), (9, "same text here"), (5, "a wholly different text"), (5, "Same text here")]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in rows])
+    got = corpus_pipeline.keep_one_copy(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(5, "a wholly different text"), (9, "same text here")]
+
+
 def test_an_empty_table_passes_all_stages(spark):
     docs = documents(spark, [])
     for name, stage in corpus_pipeline.STAGES:
