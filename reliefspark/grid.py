@@ -104,7 +104,7 @@ def check_has_data(grid: Grid) -> Grid:
 def box_intersection(a: dict, b: dict) -> dict:
     """The common part of two boxes; NameError if there is none."""
     if a["left"] > b["right"] or a["right"] < b["left"] or a["bottom"] > b["top"] or a["top"] < b["bottom"]:
-        raise NameError("ERROR: ROIs do not intersect")
+        raise NameError("the bounds have no part in common")
     return {"left": max(a["left"], b["left"]), "bottom": max(a["bottom"], b["bottom"]), "right": min(a["right"], b["right"]), "top": min(a["top"], b["top"])}
 
 
@@ -118,7 +118,7 @@ def roi_bounds(meta: GridMeta, roi: dict | None) -> dict:
         corners = meta.coord(roi["y"], roi["x"]), meta.coord(roi["y"] + roi["h"], roi["x"] + roi["w"])
         x, y = zip(*corners)
         return {"left": min(x), "bottom": min(y), "right": max(x), "top": max(y)}
-    raise TypeError("Not the right conventions for ROI")
+    raise TypeError("a region of interest has left, bottom, right, top or x, y, w, h")
 
 
 def crop(grid: Grid, rows: tuple[int, int], cols: tuple[int, int]) -> Grid:

@@ -61,6 +61,7 @@ def sky_view(grid: Grid, filter_intensity: float = 0.9, quantiles: tuple[float,
     """row, col, z: the negative part of the filtered grid, 0 to 255 between its quantiles; null where the grid is."""
     low = filtered(grid, filter_intensity).withColumn("z", F.least("z", F.lit(0.0))).persist()
     found = exact(low, [], [("a", F.col("z"), quantiles[0]), ("b", F.col("z"), quantiles[1])])[()]
+    low.unpersist()
     a, b = found["a"], found["b"]
     has = grid.df.select("row", "col", F.col("z").isNotNull().alias("__has"))
     scaled = F.greatest(F.least((F.col("z") - a) / F.lit((b - a) or 1.0), F.lit(1.0)), F.lit(0.0)) * 255

@@ -14,6 +14,7 @@ from reliefspark.sources.grids import add_geoid, load_grid, sec_grid, smooth_gri
 from reliefspark.streaming import incremental
 
 N = None
+#: Fixed values, here and in the tests' expected results: published heights and what operators make of them.
 RELIEF = [[1982, 1967, 1950], [2005, 1988, 1969], [2012, 1990, 1967]]
 
 
@@ -116,6 +117,33 @@ def test_curvature(spark):
     assert np.allclose(array(processing.process("ref-curvature", grid(spark, values)).df), nan(want), atol=1e-5, equal_nan=True)
 
 
+# Heights of two pairs of grids in degrees, and their published slope-normalised differences.
+STEEP_SEC = [[1914, 1895, 1880, 1857, 1872, 1890], [1901, 1885, 1869, 1855, 1871, 1888], [1892, 1875, 1858, 1857, 1878, 1900], [1371, 1351, 1320, 1761, 1764, 1759], [1355, 1342, 1317, 1760, 1760, 1758], [1343, 1321, 1294, 1760, 1757, 1754]]
+STEEP_REF = [[1913, 1898, 1879, 1855, 1871, 1891], [1905, 1890, 1872, 1855, 1873, 1894], [1890, 1876, 1861, 1855, 1874, 1898], [1374, 1349, 1305, 1761, 1761, 1760], [1358, 1343, 1311, 1759, 1760, 1758], [1357, 1342, 1310, 1757, 1756, 1754]]
+STEEP_WANT = [
+    [-2.13889, 1.8611128, -2.1388907, -3.1388893, -2.1388905, -0.1388889], [2.861113, 3.861115, 1.8611127, -1.138889, 0.86111194, 4.8611135], [-3.1389298, -0.13889067, 1.8611313, -3.1389077, -5.138903, -3.1388984],
+    [1.8611357, -3.1389303, -16.139097, -1.1389, -4.1389008, -0.1388893], [1.8611127, -0.13888901, -7.138963, -2.1389124, -1.138889, -1.138889], [12.861118, 19.861135, 14.86127, -4.1389356, -2.138889, -1.138889],
+]
+FLAT_SEC = [
+    [19.547047, 19.55331, 19.560884, 19.568203, 19.552214, 19.561977], [19.63805, 20.045979, 20.727287, 20.874863, 20.879704, 21.060541], [21.295753, 21.389414, 21.219566, 21.058632, 21.13076, 20.918678],
+    [20.903389, 20.744022, 20.70011, 20.294266, 19.87637, 19.726604], [20.337505, 20.917957, 21.017256, 21.004324, 21.197472, 21.304148], [21.458612, 21.55021, 22.57449, 22.878378, 23.041908, 23.01843],
+]
+FLAT_REF = [
+    [19.31176, 19.22148, 19.211123, 19.293081, 19.26587, 19.203588], [19.211302, 19.3398, 19.644583, 19.965935, 20.91119, 20.868784], [20.847872, 20.863094, 20.843157, 20.69857, 20.411663, 20.092188],
+    [19.784042, 19.51518, 19.33782, 19.233442, 19.191921, 19.214354], [19.346697, 19.64496, 20.012804, 20.353899, 20.642817, 20.8117], [20.90534, 20.999607, 20.481012, 20.4837, 20.482937, 20.48312],
+]
+FLAT_WANT = [
+    [0.59798896, 0.5014447, 0.48351377, 0.55815405, 0.54693127, 0.4748869], [0.4065275, 0.127097, -0.24942902, -0.07565233, 0.8647624, 0.64151865], [0.385394, 0.30695614, 0.4568661, 0.47321403, 0.11417851, 0.00678522],
+    [-0.28607106, -0.39556623, -0.5290139, -0.22754785, 0.14882739, 0.32102475], [-0.15753289, -0.4397214, -0.1711762, 0.18285076, 0.27862075, 0.34082896], [0.28000343, 0.28267184, -1.2602022, -1.5614032, -1.7256964, -1.7020358],
+]
+
+
+@pytest.mark.parametrize("ref,sec,want", [(STEEP_REF, STEEP_SEC, STEEP_WANT), (FLAT_REF, FLAT_SEC, FLAT_WANT)])
+def test_slope_normalised_difference(spark, ref, sec, want):
+    ref, sec = (Grid(grid(spark, v).df, GridMeta(6, 6)) for v in (ref, sec))
+    assert np.allclose(array(processing.process("alti-diff-slope-norm", ref, sec).df), want, atol=2e-5)
+
+
 def test_slope_normalised_needs_pixels(spark):
     with pytest.raises(ValueError):
         processing.slope_normalised(grid(spark, [[1, 1], [1, 1]]), grid(spark, [[1, 1], [1, 1]]))
