@@ -96,9 +96,3 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def folded(text):
     """A text column with null as empty and A-Z, only these, lower-cased."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-
-
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is none of dropped's (a written table of one id column)."""
-    ids = dropped.toDF("dropped_id")
-    return docs.join(small(ids), docs[id_col] == ids["dropped_id"], "left_anti")
