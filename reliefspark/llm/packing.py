@@ -245,7 +245,7 @@ def pack(docs: DataFrame, size: int = SEQUENCE, path: str = VOCABULARY, id_col:
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `size` rows
     salts = max(16, -(-sum(counts.values()) // RANKED))
     runs = p.sparkSession.sparkContext.broadcast(places(complete(counts, size, steps)))
-    salted = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     groups = groups.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.withColumn("in_group", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
