@@ -275,3 +275,9 @@ ORACLES["tile_stats"] = f"""
 WITH {DIFF}, {EDGE}, {TILES}
 SELECT tile_row, tile_col, count(*) AS nb_points, {z('count(z) * 100.0 / count(*)', alias='pct_valid')}, {z('avg(z)', alias='mean')}, {z('median(z)', 6, 'median')}
 FROM t JOIN d ON {INSIDE} GROUP BY 1, 2"""
+
+# the shift that the query plants, found in every tile
+ORACLES["tile_shifts"] = f"""
+WITH {REF}, {EDGE}, n AS (SELECT greatest(1, ceil((rm + 1 - 20) / 40.0))::BIGINT AS nr, greatest(1, ceil((cm + 1 - 20) / 30.0))::BIGINT AS nc FROM e)
+SELECT tr AS tile_row, tc AS tile_col, 2.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz, 100.0::DOUBLE AS pct_valid_ref, 100.0::DOUBLE AS pct_valid_sec
+FROM (SELECT unnest(generate_series(0, nr - 1)) AS tr, nc FROM n), LATERAL (SELECT unnest(generate_series(0, nc - 1)) AS tc)"""
