@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ def held(name: str, make):
     """What a Python worker keeps between tasks, such as memories of words; those of one kind only, whatever runs later."""
     if name not in _held:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _held[name] = make()
     return _held[name]
 

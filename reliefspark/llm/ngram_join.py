@@ -16,11 +16,11 @@ SEEN, FREQUENT = 2, 20
 #: Frequent shingles that are sent to all tasks (16 MB); with more, only the most frequent are. Results don't depend on it.
 MOST_FREQUENT = 2_000_000
 #: Sets of a group of the token-group matrix, and shingles of a group or of a task's part of the matrix.
-GROUP, TOKENS = 512, 2_000_000
+GROUP, TOKENS = 512, 500_000
 #: Queries that a group meets together, and parts into which a frequent shingle's sets are dealt.
 ASKING, SALTS = 2048, 32
 #: Words whose hashes a worker keeps, and shingles that a task counts at a time.
-WORDS, COUNTED = 200_000, 2_000_000
+WORDS, COUNTED = 200_000, 1_000_000
 #: Odd factors and shifts of the shingle hash (splitmix64's finaliser).
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
@@ -308,9 +308,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     def again(batches):
         seen = set()
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                out = []
-                for text, rows_, asked_, own, member in pdf[["text", "rows", "asked", "own", "member"]].iloc[at : at + 200].itertuples(index=False):
+            out, waiting = [], 0
+            for at in range(0, len(pdf), 50):
+                for text, rows_, asked_, own, member in pdf[["text", "rows", "asked", "own", "member"]].iloc[at : at + 50].itertuples(index=False):
                     tokens = shingles(text, k)
                     if (sid := set_id(tokens)) in seen:
                         continue
@@ -319,8 +319,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
                     out += [(g, True, sid, rows_, tokens) for g in asked_]
                     if member:
                         out.append((own, False, sid, rows_, tokens))
-                if out:
-                    yield pd.DataFrame(out, columns=["g", "asks", "sid", "rows", "tokens"])
+                    waiting += len(tokens) * (len(asked_) + member)
+                    if waiting > TOKENS // 4:
+                        yield pd.DataFrame(out, columns=["g", "asks", "sid", "rows", "tokens"])
+                        out, waiting = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["g", "asks", "sid", "rows", "tokens"])
 
     told = rows.join(small(tasks), F.col("doc_id").eqNullSafe(F.col("task_id")) & (F.col("key") == F.col("task_key")))
     told = told.select("text", "rows", "asked", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNotNull().alias("member"))

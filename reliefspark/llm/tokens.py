@@ -11,7 +11,7 @@ from reliefspark.llm.common import held
 #: The default vocabulary: its tokens never cross white space, so a text's ids are its words' ids in a row.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words, and words without closing marks, that a worker keeps in each of two generations (results don't depend on it).
-WORDS, CORES = 300_000, 500_000
+WORDS, CORES = 150_000, 250_000
 #: Marks that the vocabulary never joins with a letter before them.
 MARKS = ".,!?;:%$&*#|"
 #: Characters at which Python splits words, but which the tokenizers take for marks.
