@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
+from reliefspark.llm import centroids, chat_format, exact_dedup, language_id, merkle, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_topk": topk.op9_topk,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_centroids": centroids.op12_centroids,
 }
 
 SQL = {
@@ -22,4 +24,6 @@ SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op9_topk": topk.SQL,
+    "op11_merkle": merkle.SQL,
+    "op12_centroids": centroids.SQL,
 }
