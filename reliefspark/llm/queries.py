@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reliefspark.llm import centroids, chat_format, exact_dedup, language_id, merkle, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
+from reliefspark.llm import centroids, chat_format, exact_dedup, html_extract, language_id, merkle, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_merkle": merkle.op11_merkle,
     "op12_centroids": centroids.op12_centroids,
+    "op13_html": html_extract.op13_html,
 }
 
 SQL = {
