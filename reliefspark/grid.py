@@ -129,15 +129,19 @@ def crop(grid: Grid, rows: tuple[int, int], cols: tuple[int, int]) -> Grid:
     return grid.with_df(df, nrows=max(0, r1 - r0), ncols=max(0, c1 - c0), transform=grid.meta.translated(c0, r0).transform)
 
 
-def crop_box(grid: Grid, box: dict) -> Grid:
-    """All pixels that the box touches."""
-    m = grid.meta
+def box_ranges(m: GridMeta, box: dict) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Rows and columns, as half-open ranges, of all pixels that the box touches."""
     points = [m.pixel(x, y) for x in (box["left"], box["right"]) for y in (box["bottom"], box["top"])]
     r0, c0 = (max(0, math.floor(min(p[k] for p in points) + 1e-9)) for k in (0, 1))
     r1, c1 = (min(n, math.ceil(max(p[k] for p in points) - 1e-9)) for k, n in ((0, m.nrows), (1, m.ncols)))
     if r0 >= r1 or c0 >= c1:
         raise ValueError("the region of interest lies outside the grid")
-    return crop(grid, (r0, r1), (c0, c1))
+    return (r0, r1), (c0, c1)
+
+
+def crop_box(grid: Grid, box: dict) -> Grid:
+    """All pixels that the box touches."""
+    return crop(grid, *box_ranges(grid.meta, box))
 
 
 def crop_offset_ranges(nrows: int, ncols: int, x: float, y: float) -> tuple[tuple[int, int], tuple[int, int]]:

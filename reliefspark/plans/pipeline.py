@@ -16,6 +16,7 @@ from reliefspark.operators.coregister import coregister
 from reliefspark.operators.resample import reproject_grids
 from reliefspark.operators.stencil import slope
 from reliefspark.plans import config
+from reliefspark.sources.geotiff import write_raster
 from reliefspark.sources.grids import load_grid
 
 log = logging.getLogger(__name__)
@@ -82,9 +83,12 @@ def save_plot_data(grid: Grid, folder: str) -> None:
 
 
 def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
-    """(long table of statistics, coregistration results) of a configuration or of the JSON file that holds it."""
+    """(long table of statistics, coregistration results) of a configuration or of the JSON file that holds it.
+
+    Grids are saved as Parquet; with `raster_outputs`, those of the coregistration and of each method as GeoTIFF, too.
+    """
     cfg = config.check(config.read(cfg) if isinstance(cfg, str) else cfg)
-    out = cfg.get("output_dir")
+    out, raster = cfg.get("output_dir"), bool(cfg.get("raster_outputs"))
     ref = load_grid(spark, cfg["input_ref"])
     sec = load_grid(spark, cfg["input_sec"]) if "input_sec" in cfg else None
     results: dict = {}
@@ -94,7 +98,7 @@ def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
         ref, sec, results = done.ref, done.sec, done.results
         if out:
             spark.createDataFrame([(json.dumps(results),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/coregistration/coregistration_results.json")
-            ref, sec = saved(ref, f"{out}/coregistration/reproj_coreg_REF"), saved(sec, f"{out}/coregistration/reproj_coreg_SEC")
+            ref, sec = saved(ref, f"{out}/coregistration/reproj_coreg_REF", raster), saved(sec, f"{out}/coregistration/reproj_coreg_SEC", raster)
         if c["save_optional_outputs"]:
             for grid, name in ((done.reproj_sec, "reproj_SEC"), (done.reproj_ref, "reproj_REF"), (done.coreg_sec, "coreg_SEC")):
                 save_grid(grid, f"{c['output_dir']}/coregistration/{name}")
@@ -106,7 +110,7 @@ def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
         log.info("method %s", method)
         grid = processing.process(method, ref, sec)
         if out:  # statistics read the saved grid
-            grid = saved(grid, f"{out}/stats/{method}/dem_for_stats")
+            grid = saved(grid, f"{out}/stats/{method}/dem_for_stats", raster)
             save_plot_data(grid, f"{out}/stats/{method}")
         long = statistics(grid, method, s, out)
         table = long if table is None else table.unionByName(long)
@@ -126,10 +130,13 @@ def save_grid(grid: Grid, path: str, tile: int = 1024) -> None:
     grid.df.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta.json")
 
 
-def saved(grid: Grid, path: str) -> Grid:
-    """The grid as saved and reread."""
+def saved(grid: Grid, path: str, raster: bool = False) -> Grid:
+    """The grid as saved and reread; with `raster`, its heights are a GeoTIFF beside the table, too."""
     save_grid(grid, path)
-    return grid.with_df(grid.df.sparkSession.read.schema(grid.df.schema).parquet(f"{path}.parquet"))
+    back = grid.with_df(grid.df.sparkSession.read.schema(grid.df.schema).parquet(f"{path}.parquet"))
+    if raster:
+        write_raster(back, f"{path}.tif")
+    return back
 
 
 def report(table: DataFrame, results: dict) -> DataFrame:

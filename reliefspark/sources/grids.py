@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.grid import Grid, GridMeta, check_has_data, create_grid, crop_box, roi_bounds
+from reliefspark.grid import Grid, GridMeta, box_ranges, check_has_data, create_grid, crop_box, roi_bounds
+from reliefspark.sources.geotiff import raster_meta, read_raster
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,26 +67,67 @@ def saved_meta(spark: SparkSession, path: str) -> dict:
     return {k: meta[k] for k in ("transform", "crs", "nodata")}
 
 
+def is_raster(path: str) -> bool:
+    return path.lower().endswith((".tif", ".tiff"))
+
+
+def raster_grid(spark: SparkSession, cfg: dict) -> Grid:
+    """A raster file and its label planes: only blocks that a region of interest touches are read."""
+    given = {"crs": cfg.get("crs"), "transform": tuple(cfg["transform"]) if "transform" in cfg else None}
+    meta = replace(raster_meta(cfg["path"]), **{k: v for k, v in given.items() if v is not None})
+    rows, cols = box_ranges(meta, roi_bounds(meta, cfg["roi"])) if cfg.get("roi") else ((0, meta.nrows), (0, meta.ncols))
+    df = read_raster(spark, cfg["path"], cfg.get("band", 1), rows, cols).drop("band")
+    labels = tuple(cfg.get("classification_layers", {}))
+    for name in labels:
+        path = cfg["classification_layers"][name]["map_path"]
+        if is_raster(path):
+            size = raster_meta(path)
+            if (size.nrows, size.ncols) != (meta.nrows, meta.ncols):
+                raise ValueError(f"the label plane {name} has not the size of its grid")
+            plane = read_raster(spark, path, 1, rows, cols).drop("band")
+        else:
+            plane = pixels(spark, path, cfg.get("format", "parquet"))
+        df = df.join(plane.select("row", "col", F.col("z").alias(name)), ["row", "col"], "left")
+    # rows and columns count from the region's corner
+    df = df.withColumns({"row": F.col("row") - rows[0], "col": F.col("col") - cols[0]})
+    meta = replace(meta, nrows=rows[1] - rows[0], ncols=cols[1] - cols[0], transform=meta.translated(cols[0], rows[0]).transform)
+    return create_grid(df, meta, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels)
+
+
+def pixels(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """row, col, z of a pixel file."""
+    reader = spark.read.option("header", True).option("inferSchema", False) if kind == "csv" else spark.read
+    return reader.format(kind).load(path).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"))
+
+
 def load_grid(spark: SparkSession, cfg: dict) -> Grid:
     """A grid file as a configuration names it: path, format (parquet, csv, json or orc), nodata, zunit, crs, transform, roi, labels,
-    geoid (a grid file of the same kind, whose heights are added).
+    geoid (a grid file of its own, whose heights are added), band (of a raster; the first without it).
 
-    The file has a row a pixel: row, col, z. Label planes are files of the same kind (row, col, z), joined by pixel; ValueError
-    if one has another size. What save_grid() wrote beside the file (PATH without .parquet, and .meta.json) stands for settings that aren't
-    given. Rasters such as GeoTIFF are refused: no library here reads them.
+    The file is a GeoTIFF (.tif, .tiff) or has a row a pixel: row, col, z. Label planes are files of either kind,
+    joined by pixel; ValueError if one has another size. A raster's tags, or what save_grid() wrote beside a pixel file (PATH without .parquet,
+    and .meta.json), stand for settings that aren't given.
     """
-    if cfg["path"].lower().endswith((".tif", ".tiff", ".gtx", ".png", ".hgt")):
-        raise ValueError("raster files can't be read: convert them to a pixel table (row, col, z)")
+    if cfg["path"].lower().endswith((".gtx", ".png", ".hgt")):
+        raise ValueError("of rasters, only GeoTIFF files can be read")
+    if is_raster(cfg["path"]):
+        grid = check_has_data(raster_grid(spark, cfg))
+        return add_geoid(grid, load_grid(spark, cfg["geoid"])) if cfg.get("geoid") else grid
     cfg = {**saved_meta(spark, cfg["path"]), **cfg}
-    reader = spark.read.option("header", True).option("inferSchema", False) if cfg.get("format") == "csv" else spark.read
-    read = lambda path: reader.format(cfg.get("format", "parquet")).load(path).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("z").cast("double").alias("z"))
-    df = read(cfg["path"])
+    df = pixels(spark, cfg["path"], cfg.get("format", "parquet"))
     labels = tuple(cfg.get("classification_layers", {}))
+    size = df.agg(F.max("row"), F.max("col")).first()
     for name in labels:
-        plane = read(cfg["classification_layers"][name]["map_path"]).select("row", "col", F.col("z").alias(name))
-        if plane.agg(F.max("row"), F.max("col")).first() != df.agg(F.max("row"), F.max("col")).first():
+        path = cfg["classification_layers"][name]["map_path"]
+        if is_raster(path):
+            m, plane = raster_meta(path), read_raster(spark, path).drop("band")
+            other = (m.nrows - 1, m.ncols - 1)
+        else:
+            plane = pixels(spark, path, cfg.get("format", "parquet"))
+            other = plane.agg(F.max("row"), F.max("col")).first()
+        if tuple(other) != tuple(size):
             raise ValueError(f"the label plane {name} has not the size of its grid")
-        df = df.join(plane, ["row", "col"], "left")
+        df = df.join(plane.select("row", "col", F.col("z").alias(name)), ["row", "col"], "left")
     more = {k: (tuple(v) if k == "transform" else v) for k, v in cfg.items() if k in ("transform", "crs")}
     grid = check_has_data(create_grid(df, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels, **more))
     grid = crop_box(grid, roi_bounds(grid.meta, cfg["roi"])) if cfg.get("roi") else grid
