@@ -70,8 +70,9 @@ def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found += [(h, None, place, n, letters) for (h, place), (n, letters) in texts.items()]
         hosts.clear()
         texts.clear()
-        out = pd.DataFrame(found, columns=["host", "wrapper", "place", "pages", "letters"])
-        return out.astype({"place": "Int64", "pages": "Int64", "letters": "Int64"})
+        columns = zip(*found) if found else [()] * 5
+        kinds = zip(["host", "wrapper", "place", "pages", "letters"], [object, object, "Int64", "Int64", "Int64"])
+        return pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds, columns)})
 
     for pdf in batches:
         for host, html in zip(pdf["host"], pdf["html"]):
