@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reliefspark.grid import Grid, box_intersection, crop_box
+from reliefspark.functions.projection import moved, moved_box
+from reliefspark.grid import Grid, GridMeta, box_intersection, crop_box
 
 
 #: A squared distance beyond all others.
@@ -71,37 +72,56 @@ def shifted(grid: Grid, x: float, y: float, values: tuple[str, ...] = ("z",)) ->
     return df.groupBy(F.col("kr.t").alias("row"), F.col("kc.t").alias("col")).agg(*sums)
 
 
+def places(df: DataFrame, meta: GridMeta, grid: GridMeta) -> DataFrame:
+    """df with px, py: fractional columns and rows, in another grid, of points that df's columns px, py hold in pixels of meta.
+
+    Between coordinate systems the points are projected; where that can't be done they are null.
+    """
+    c, a, b, f, d, e = meta.transform
+    gc, ga, gb, gf, gd, ge = grid.transform
+    px, py, det = F.col("px"), F.col("py"), ga * ge - gb * gd
+    df = df.withColumns({"px": F.lit(c) + F.lit(a) * px + F.lit(b) * py, "py": F.lit(f) + F.lit(d) * px + F.lit(e) * py})
+    df = moved(df, "px", "py", meta.crs, grid.crs)
+    df = df.withColumns({"px": F.nanvl(px, F.lit(None).cast("double")) - gc, "py": F.nanvl(py, F.lit(None).cast("double")) - gf})
+    return df.withColumns({"px": (px * ge - py * gb) / det, "py": (py * ga - px * gd) / det})
+
+
 def reproject(grid: Grid, onto: Grid, interp: str = "bilinear") -> Grid:
-    """grid resampled at the centres of onto's pixels, with its labels resampled likewise; both in one coordinate system.
+    """grid resampled at the centres of onto's pixels, with its labels resampled likewise.
 
-    Pixels whose centre lies outside the grid are null. An unknown interpolation counts as bilinear.
+    Grids of different coordinate systems are warped: the centres are projected into the grid's system. Pixels whose centre
+    lies outside the grid are null. An unknown interpolation counts as bilinear.
     """
-    if grid.meta.crs != onto.meta.crs:
-        raise ValueError("grids of different coordinate systems can't be resampled")
     interp = interp if interp in ("bilinear", "nearest") else "bilinear"
-    c, a, b, f, d, e = onto.meta.transform
-    gc, ga, gb, gf, gd, ge = grid.meta.transform
-    col, row = F.col("col") + 0.5, F.col("row") + 0.5
-    x, y = F.lit(c) + F.lit(a) * col + F.lit(b) * row - F.lit(gc), F.lit(f) + F.lit(d) * col + F.lit(e) * row - F.lit(gf)
-    det = ga * ge - gb * gd
-    at = onto.df.select("row", "col", ((x * ge - y * gb) / det).alias("px"), ((y * ga - x * gd) / det).alias("py"))
+    at = places(onto.df.select("row", "col", (F.col("col") + 0.5).alias("px"), (F.col("row") + 0.5).alias("py")), onto.meta, grid.meta)
     inside = (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") <= grid.meta.ncols) & (F.col("py") <= grid.meta.nrows)
     points = at.select("row", "col", F.when(inside, F.col("px") - 0.5).alias("fx"), F.when(inside, F.col("py") - 0.5).alias("fy"))
     return Grid(sample_at(points, grid, interp, ("z", *grid.labels)), onto.meta, grid.labels)
 
 
+def pixel_factor(static: Grid, other: GridMeta) -> tuple[float, float]:
+    """Columns and rows of `other` that one column and one row of `static` make; across coordinate systems, amid the static grid."""
+    m = static.meta
+    if m.crs == other.crs:
+        return abs(m.xres / other.xres), abs(m.yres / other.yres)
+    x, y = m.ncols / 2, m.nrows / 2
+    points = static.df.sparkSession.createDataFrame([(0, x, y), (1, x + 1, y), (2, x, y + 1)], "k int, px double, py double")
+    p = {r["k"]: r for r in places(points, m, other).collect()}  # three points
+    return math.hypot(p[1]["px"] - p[0]["px"], p[1]["py"] - p[0]["py"]), math.hypot(p[2]["px"] - p[0]["px"], p[2]["py"] - p[0]["py"])
+
+
 def reproject_grids(sec: Grid, ref: Grid, shift_x: float = 0.0, shift_y: float = 0.0, sampling_source: str = "sec", interp: str = "bilinear") -> tuple[Grid, Grid, tuple[float, float]]:
-    """(sec, ref, adapting factor): both on the sampling source's pixels within their common bounds.
+    """(sec, ref, adapting factor): both on the sampling source's pixels and system within their common bounds.
 
     The other grid is first moved by the initial shift; the factor scales offsets in pixels back to sec's own pixels.
     """
     static, other = (sec, ref) if sampling_source == "sec" else (ref, sec)
-    static = crop_box(static, box_intersection(static.meta.bounds(), other.meta.bounds()))
+    bounds = moved_box(static.df.sparkSession, other.meta.bounds(), other.meta.crs, static.meta.crs)
+    static = crop_box(static, box_intersection(static.meta.bounds(), bounds))
     if shift_x or shift_y:
         other = other.with_df(other.df, transform=other.meta.translated(shift_x, shift_y).transform)
-    moved = reproject(other, static, interp)
-    factor = (1.0, 1.0) if sampling_source == "sec" else (abs(static.meta.xres / sec.meta.xres), abs(static.meta.yres / sec.meta.yres))
-    return (static, moved, factor) if sampling_source == "sec" else (moved, static, factor)
+    moved_ = reproject(other, static, interp)
+    return (static, moved_, (1.0, 1.0)) if sampling_source == "sec" else (moved_, static, pixel_factor(static, sec.meta))
 
 
 #: Pixels of the lines that a task fills together; a longer line is alone.

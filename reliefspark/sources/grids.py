@@ -135,15 +135,15 @@ def load_grid(spark: SparkSession, cfg: dict) -> Grid:
 
 
 def add_geoid(grid: Grid, geoid: Grid) -> Grid:
-    """Heights plus the geoid's, bilinear at the pixels' corners; ValueError where a pixel lies outside the geoid."""
-    from reliefspark.operators.resample import sample_at
-
-    c, a, b, f, d, e = grid.meta.transform
-    x, y = F.lit(c) + F.lit(a) * F.col("col") + F.lit(b) * F.col("row"), F.lit(f) + F.lit(d) * F.col("col") + F.lit(e) * F.col("row")
-    gc, ga, _, gf, _, ge = geoid.meta.transform
-    at = grid.df.withColumn("fx", (x - gc) / F.lit(ga)).withColumn("fy", (y - gf) / F.lit(ge))
-    outside = at.filter((F.col("fx") < 0) | (F.col("fy") < 0) | (F.col("fx") > geoid.meta.ncols - 1) | (F.col("fy") > geoid.meta.nrows - 1))
-    if outside.limit(1).count():
+    """Heights plus the geoid's, bilinear at the pixels' corners; ValueError where a pixel lies outside the geoid.
+
+    The geoid has a coordinate system of its own: pixels of a projected grid are looked up by longitude and latitude.
+    """
+    from reliefspark.operators.resample import places, sample_at
+
+    at = places(grid.df.withColumns({"px": F.col("col").cast("double"), "py": F.col("row").cast("double")}), grid.meta, geoid.meta)
+    out = lambda v, n: F.col(v).isNull() | (F.col(v) < 0) | (F.col(v) > n - 1)
+    if at.filter(out("px", geoid.meta.ncols) | out("py", geoid.meta.nrows)).limit(1).count():
         raise ValueError("the grid lies outside the geoid")
-    height = sample_at(at.select("row", "col", "fx", "fy"), geoid).withColumnRenamed("z", "geoid")
+    height = sample_at(at.select("row", "col", F.col("px").alias("fx"), F.col("py").alias("fy")), geoid).withColumnRenamed("z", "geoid")
     return grid.with_df(grid.df.join(height, ["row", "col"]).withColumn("z", F.col("z") + F.col("geoid")).drop("geoid"))

@@ -438,7 +438,7 @@ def test_grids_are_saved_and_loaded(spark, tmp_path):
     with pytest.raises(ValueError):
         load_grid(spark, {"path": str(tmp_path / "dem.parquet"), "classification_layers": {"a": {"map_path": str(tmp_path / "labels.parquet")}}})
     with pytest.raises(ValueError):
-        load_grid(spark, {"path": "dem.tif"})
+        load_grid(spark, {"path": "dem.png"})
 
 
 def test_fusions_count_layers_by_support():
