@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from reliefspark.functions.projection import SCALE, WGS84, series
+
 REF = """
 ref AS (
   SELECT o_orderkey // 100 AS row, o_orderkey % 100 AS col, o_totalprice / 1000 AS z, substr(o_orderpriority, 1, 1)::INT AS priority,
@@ -281,3 +283,43 @@ ORACLES["tile_shifts"] = f"""
 WITH {REF}, {EDGE}, n AS (SELECT greatest(1, ceil((rm + 1 - 20) / 40.0))::BIGINT AS nr, greatest(1, ceil((cm + 1 - 20) / 30.0))::BIGINT AS nc FROM e)
 SELECT tr AS tile_row, tc AS tile_col, 2.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz, 100.0::DOUBLE AS pct_valid_ref, 100.0::DOUBLE AS pct_valid_sec
 FROM (SELECT unnest(generate_series(0, nr - 1)) AS tr, nc FROM n), LATERAL (SELECT unnest(generate_series(0, nc - 1)) AS tc)"""
+
+ORACLES["raster_scan"] = f"WITH {SEC} SELECT row, col, {z()} FROM sec"
+ORACLES["raster_region"] = f"WITH {REF} SELECT row - 2 AS row, col - 35 AS col, {z()}, {z('priority::DOUBLE', alias='priority')} FROM ref WHERE row BETWEEN 2 AND 131 AND col BETWEEN 35 AND 84"
+
+
+def to_utm(source: str, lon: str, lat: str) -> str:
+    """CTEs that end in utm: row, col, x, y in zone 31 of columns of a table."""
+    n, radius, alpha, _, _ = series(WGS84[1])
+    e, size = 2 * math.sqrt(n) / (1 + n), SCALE * WGS84[0] * radius
+    x = " + ".join(["eta", *[f"{c!r} * cos({2 * k} * xi) * (exp({2 * k} * eta) - exp(-{2 * k} * eta)) / 2" for k, c in enumerate(alpha, 1)]])
+    y = " + ".join(["xi", *[f"{c!r} * sin({2 * k} * xi) * (exp({2 * k} * eta) + exp(-{2 * k} * eta)) / 2" for k, c in enumerate(alpha, 1)]])
+    return f"""
+u1 AS (SELECT row, col, sin(radians({lat})) AS s, radians({lon} - 3) AS l FROM {source}),
+u2 AS (SELECT row, col, l, sinh(atanh(s) - {e!r} * atanh({e!r} * s)) AS t FROM u1),
+u3 AS (SELECT row, col, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta FROM u2),
+utm AS (SELECT row, col, {size!r} * ({x}) + 500000 AS x, {size!r} * ({y}) AS y FROM u3)"""
+
+
+def to_lonlat(source: str, x: str, y: str) -> str:
+    """CTEs that end in lonlat: row, col, lon, lat of columns of a table in zone 31."""
+    _, radius, _, beta, delta = series(WGS84[1])
+    size = SCALE * WGS84[0] * radius
+    u = " - ".join(["xi", *[f"{c!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, c in enumerate(beta, 1)]])
+    v = " - ".join(["eta", *[f"{c!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, c in enumerate(beta, 1)]])
+    lat = " + ".join(["chi", *[f"{c!r} * sin({2 * k} * chi)" for k, c in enumerate(delta, 1)]])
+    return f"""
+l1 AS (SELECT row, col, ({y}) / {size!r} AS xi, (({x}) - 500000) / {size!r} AS eta FROM {source}),
+l2 AS (SELECT row, col, {u} AS u, {v} AS v FROM l1),
+l3 AS (SELECT row, col, u, v, asin(sin(u) / cosh(v)) AS chi FROM l2),
+lonlat AS (SELECT row, col, degrees(atan2(sinh(v), cos(u))) + 3 AS lon, degrees({lat}) AS lat FROM l3)"""
+
+
+ORACLES["to_lonlat"] = f"WITH {REF}, {to_lonlat('ref', '450000 + 1000 * col', '5000000 - 1000 * row')} SELECT row, col, {z('lon', 8)}, {z('lat', 8)} FROM lonlat"
+ORACLES["from_lonlat"] = f"WITH {SEC}, {to_utm('sec', '2.3 + 0.01 * col', '45.2 - 0.01 * row')} SELECT row, col, {z('x', 4)}, {z('y', 4)} FROM utm"
+_pixels = "px AS (SELECT row, col, (lon - 2.3) / 0.01 AS x, (45.2 - lat) / 0.01 AS y FROM lonlat)"
+ORACLES["warp"] = (
+    bilinear("y - 0.5", "x - 0.5", where="x >= 0 AND y >= 0 AND x <= cm + 1 AND y <= rm + 1").replace("FROM ref, e WHERE", "FROM px, e WHERE").replace("\np AS", f"{to_lonlat('ref', '450000 + 1000 * (col + 0.5)', '5000000 - 1000 * (row + 0.5)')}, {_pixels},\np AS")
+    + f" SELECT r.row, r.col, {z('v.z', 3, 'z')} FROM ref r LEFT JOIN v USING (row, col)"
+)
+ORACLES["geoid_lonlat"] = f"WITH {REF}, {to_lonlat('ref', '450000 + 1000 * col', '5000000 - 1000 * row')} SELECT row, col, {z('z + (46 - lat) * 0.5 - lon * 0.25', alias='z')} FROM ref JOIN lonlat USING (row, col)"

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefspark.functions import metrics
 from reliefspark.functions.pixel import x_of, y_of
+from reliefspark.functions.projection import moved
 from reliefspark.grid import Grid, GridMeta, create_grid, crop_box, crop_offset, roi_bounds
 from reliefspark.operators import classify, processing, resample, spectral, stats, stencil, tiling
 from reliefspark.operators.coregister import coregister, counts, offsets_of, pair, slices
 from reliefspark.operators.coregister import fit as fit_shift
-from reliefspark.sources.grids import add_geoid, events_grid, ref_grid, sec_grid, smooth_grid, table
+from reliefspark.sources.geotiff import write_raster
+from reliefspark.sources.grids import add_geoid, events_grid, load_grid, ref_grid, sec_grid, smooth_grid, table
+from reliefspark.sources.scratch import fresh
 
 QUERIES: dict = {}
 #: Pixel size at which the slope classes of the order grids are all populated.
@@ -319,6 +324,66 @@ def geoid_offset(spark, sf_dir):
     return rounded(add_geoid(ref, Grid(plane, GridMeta(rows, cols, (0.0, 10 * PX, 0.0, 0.0, 0.0, -10 * PX), ref.meta.crs))).z())
 
 
+@query
+def raster_scan(spark, sf_dir):
+    """SEC written as a GeoTIFF by tasks, block by block, and read back."""
+    sec = sec_grid(spark, sf_dir, px=PX)
+    path = f"{fresh(spark, 'raster')}.tif"
+    write_raster(sec, path, block=64, dtype="float64")
+    return rounded(load_grid(spark, {"path": path}).z())
+
+
+@query
+def raster_region(spark, sf_dir):
+    """A region of interest of a raster of two bands (REF and its priorities): only the blocks that it touches are read."""
+    ref = ref_grid(spark, sf_dir, px=PX)
+    bands = F.explode(F.array(F.struct(F.lit(1).alias("band"), F.col("z").alias("v")), F.struct(F.lit(2).alias("band"), F.col("priority").cast("double").alias("v"))))
+    path = f"{fresh(spark, 'raster')}.tif"
+    write_raster(Grid(ref.df.select("row", "col", bands.alias("b")).select("row", "col", "b.band", F.col("b.v").alias("z")), ref.meta), path, block=32, dtype="float64", bands=2)
+    z, priority = (load_grid(spark, {"path": path, "band": b, "roi": {"x": 35, "y": 2, "w": 50, "h": 130}}).z() for b in (1, 2))
+    return rounded(z.join(priority.withColumnRenamed("z", "priority"), ["row", "col"]), "z", "priority")
+
+
+#: Where the order grids lie in a UTM zone, and SEC by longitude and latitude around the same place.
+UTM, LONLAT = ((450_000.0, 1000.0, 0.0, 5_000_000.0, 0.0, -1000.0), "EPSG:32631"), ((2.3, 0.01, 0.0, 45.2, 0.0, -0.01), "EPSG:4326")
+
+
+def placed(grid: Grid, place) -> Grid:
+    return Grid(grid.df, replace(grid.meta, transform=place[0], crs=place[1]), grid.labels)
+
+
+@query
+def to_lonlat(spark, sf_dir):
+    """Longitude and latitude of the pixels' corners of a grid in a UTM zone."""
+    ref = placed(ref_grid(spark, sf_dir), UTM)
+    df = ref.df.select("row", "col", x_of(ref.meta, F.col("row"), F.col("col")).alias("lon"), y_of(ref.meta, F.col("row"), F.col("col")).alias("lat"))
+    return rounded(moved(df, "lon", "lat", "EPSG:32631", "EPSG:4326"), "lon", "lat", digits=8)
+
+
+@query
+def from_lonlat(spark, sf_dir):
+    """UTM coordinates of the pixels' corners of a grid by longitude and latitude."""
+    sec = placed(sec_grid(spark, sf_dir), LONLAT)
+    df = sec.df.select("row", "col", x_of(sec.meta, F.col("row"), F.col("col")).alias("x"), y_of(sec.meta, F.col("row"), F.col("col")).alias("y"))
+    return rounded(moved(df, "x", "y", "EPSG:4326", "EPSG:32631"), "x", "y", digits=4)
+
+
+@query
+def warp(spark, sf_dir):
+    """SEC by longitude and latitude, resampled onto REF in a UTM zone."""
+    ref, sec = placed(ref_grid(spark, sf_dir), UTM), placed(sec_grid(spark, sf_dir), LONLAT)
+    return rounded(resample.reproject(Grid(sec.z(), sec.meta), ref).df, digits=3)
+
+
+@query
+def geoid_lonlat(spark, sf_dir):
+    """REF in a UTM zone plus a geoid by longitude and latitude, a plane."""
+    ref = placed(ref_grid(spark, sf_dir), UTM)
+    rows, cols = ref.meta.nrows // 80 + 4, 40
+    plane = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col")).withColumn("z", F.col("row") * 0.5 - F.col("col") * 0.25)
+    return rounded(add_geoid(ref, Grid(plane, GridMeta(rows, cols, (0.0, 1.0, 0.0, 46.0, 0.0, -1.0), "EPSG:4326"))).z())
+
+
 def dh(spark, sf_dir):
     ref, sec = both(spark, sf_dir)
     return offsets_of(pair(ref, sec), sec.meta, 0.0)

@@ -143,7 +143,8 @@ def add_geoid(grid: Grid, geoid: Grid) -> Grid:
 
     at = places(grid.df.withColumns({"px": F.col("col").cast("double"), "py": F.col("row").cast("double")}), grid.meta, geoid.meta)
     out = lambda v, n: F.col(v).isNull() | (F.col(v) < 0) | (F.col(v) > n - 1)
-    if at.filter(out("px", geoid.meta.ncols) | out("py", geoid.meta.nrows)).limit(1).count():
+    # an aggregate, not a filter: Spark would push that through the projection and write it out twice over
+    if at.agg(F.max(out("px", geoid.meta.ncols) | out("py", geoid.meta.nrows))).first()[0]:
         raise ValueError("the grid lies outside the geoid")
     height = sample_at(at.select("row", "col", F.col("px").alias("fx"), F.col("py").alias("fy")), geoid).withColumnRenamed("z", "geoid")
     return grid.with_df(grid.df.join(height, ["row", "col"]).withColumn("z", F.col("z") + F.col("geoid")).drop("geoid"))
