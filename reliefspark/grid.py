@@ -63,14 +63,18 @@ class GridMeta:
 
 @dataclass(frozen=True)
 class Grid:
-    """df holds row, col, z (null: no data) and label columns; every cell has a row."""
+    """df holds row, col, z (null: no data) and label columns; every cell has a row.
+
+    parts names columns that tell independent grids apart, such as tiles: rectangles of pixels with edges of their own.
+    """
 
     df: DataFrame
     meta: GridMeta
     labels: tuple[str, ...] = field(default=())
+    parts: tuple[str, ...] = field(default=())
 
     def with_df(self, df: DataFrame, **meta) -> Grid:
-        return Grid(df, replace(self.meta, **meta) if meta else self.meta, self.labels)
+        return Grid(df, replace(self.meta, **meta) if meta else self.meta, self.labels, self.parts)
 
     def z(self) -> DataFrame:
         return self.df.select("row", "col", "z")

@@ -13,6 +13,8 @@ from reliefspark.operators.spectral import curvature
 from reliefspark.operators.stencil import normals, slope
 
 _methods: dict[str, Callable[[Grid, Grid | None], Grid]] = {}
+#: Methods that look at a pixel and those beside it only, so that they hold for grids in parts, too.
+LOCAL = ("alti-diff", "angular-diff", "ref", "sec")
 SLOPE_BINS = 100
 
 
@@ -29,9 +31,11 @@ def names() -> list[str]:
 
 
 def process(name: str, ref: Grid, sec: Grid | None = None) -> Grid:
-    """The method's grid, with both grids' labels and slopes; KeyError for an unknown method."""
+    """The method's grid, with both grids' labels and slopes; KeyError for an unknown method, ValueError for one that grids in parts haven't."""
     if name not in _methods:
         raise KeyError(f"no processing method named {name}")
+    if ref.parts and name not in LOCAL:
+        raise ValueError(f"{name} isn't a method of grids in parts")
     return _methods[name](ref, sec)
 
 
@@ -42,16 +46,17 @@ def planes(grid: Grid, support: str) -> list[Column]:
 
 def beside(ref: Grid, sec: Grid, of_ref: tuple[str, ...] = ("z",), of_sec: tuple[str, ...] = ("z",), sec_planes: bool = True) -> DataFrame:
     """Both grids pixel by pixel, by one join: row, col, ref_<c> and sec_<c> of the columns asked for, and all planes."""
-    a = ref.df.select("row", "col", *[F.col(c).alias(f"ref_{c}") for c in of_ref], *planes(ref, "ref"))
-    b = sec.df.select("row", "col", *[F.col(c).alias(f"sec_{c}") for c in of_sec], *(planes(sec, "sec") if sec_planes else []))
-    return a.join(b, ["row", "col"])
+    keys = [*ref.parts, "row", "col"]
+    a = ref.df.select(*keys, *[F.col(c).alias(f"ref_{c}") for c in of_ref], *planes(ref, "ref"))
+    b = sec.df.select(*keys, *[F.col(c).alias(f"sec_{c}") for c in of_sec], *(planes(sec, "sec") if sec_planes else []))
+    return a.join(b, keys)
 
 
 def made(df: DataFrame, z: Column, ref: Grid, sec: Grid | None) -> Grid:
     """The grid of z with the planes that df has."""
     labels = tuple(f"{c}_{support}" for grid, support in ((ref, "ref"), (sec, "sec")) if grid is not None for c in grid.labels)
     slopes = [c for c in ("ref_slope", "sec_slope") if c in df.columns]
-    return Grid(df.select("row", "col", z.alias("z"), *labels, *slopes), ref.meta, labels)
+    return Grid(df.select(*ref.parts, "row", "col", z.alias("z"), *labels, *slopes), ref.meta, labels, ref.parts)
 
 
 @register("alti-diff")
@@ -104,7 +109,7 @@ def alti_diff_slope_norm(ref: Grid, sec: Grid) -> Grid:
 def angular_diff(ref: Grid, sec: Grid) -> Grid:
     """The acute angle of both grids' normals."""
     parts = ("n_x", "n_y", "n_z")
-    pixels = beside(Grid(normals(ref), ref.meta, ref.labels), Grid(normals(sec), sec.meta, sec.labels), parts, parts)
+    pixels = beside(ref.with_df(normals(ref)), sec.with_df(normals(sec)), parts, parts)
     dot = F.col("ref_n_x") * F.col("sec_n_x") + F.col("ref_n_y") * F.col("sec_n_y") + F.col("ref_n_z") * F.col("sec_n_z")
     return made(pixels, angle_between(dot), ref, sec)
 
@@ -116,7 +121,7 @@ def angular_difference(ref: Grid, sec: Grid) -> DataFrame:
 
 @register("ref")
 def ref_only(ref: Grid, sec: Grid | None = None) -> Grid:
-    return made(ref.df.select("row", "col", "z", *planes(ref, "ref")), F.col("z"), ref, None)
+    return made(ref.df.select(*ref.parts, "row", "col", "z", *planes(ref, "ref")), F.col("z"), ref, None)
 
 
 @register("sec")

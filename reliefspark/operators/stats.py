@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefspark.functions import metrics, quantiles
+from reliefspark.functions.order_stats import few, quantile_table, same
 from reliefspark.grid import Grid
 from reliefspark.operators.classify import Layer, classes_table, in_modes
+from reliefspark.sources.scratch import written
 
 DIGITS = 5
 
@@ -69,6 +71,62 @@ def class_stats(grid: Grid, layer: Layer, chosen: tuple[str, ...] = metrics.DEFA
     )
 
 
+def grouped_stats(df: DataFrame, keys: list[str], chosen: tuple[str, ...], without: dict[str, bool] | None = None) -> DataFrame:
+    """keys, the chosen scalar metrics and nbpts of each group of df (a written table: keys, z, and inner for metrics of `without`).
+
+    Groups may be many and large: all are found by partial sums and by narrowing tables of ranks, and none comes to the driver.
+    """
+    of = {m: metrics.ranked_metric(m) for m in chosen}
+    needs = {m: of[m][1] if of[m] else metrics.scalar_metric(m)[1] for m in chosen}
+    z, none = (lambda m: F.col("inner") if (without or {}).get(m) else F.col("z")), F.lit(None).cast("double")
+    about = [m for m in chosen if needs[m]]
+    plain = [metrics.scalar_metric(m)[0](z(m), none, none).cast("double").alias(m) for m in chosen if not of[m] and not needs[m]]
+    plain += [F.avg(z(m)).alias(f"centre {m}") for m in about if needs[m] == "mean"]
+    out = df.groupBy(*keys).agg(F.count("z").alias("nbpts"), *plain)
+    scaled = lambda m: of[m][0](z(m), none, none)
+    ranks = [(m, scaled(m), of[m][2]) for m in chosen if of[m] and not needs[m]] + [(f"centre {m}", z(m), 0.5) for m in about if needs[m] == "median"]
+    out = joined(out, quantile_table(df, keys, ranks), keys) if ranks else out
+    if about:
+        out = written(out, "group-stats")
+        k = [f"__c{i}" for i in range(len(keys))]
+        centres = out.select(*[F.col(a).alias(b) for a, b in zip(keys, k)], *[F.col(f"centre {m}").alias(f"__m{i}") for i, m in enumerate(about)])
+        centred = df.join(few(centres), same(keys, k)).drop(*k)
+        c = {m: F.col(f"__m{i}") for i, m in enumerate(about)}
+        sums = [metrics.scalar_metric(m)[0](z(m), c[m], c[m]).cast("double").alias(m) for m in about if not of[m]]
+        out = joined(out, centred.groupBy(*keys).agg(*sums), keys) if sums else out
+        ranks = [(m, of[m][0](z(m), c[m], c[m]), of[m][2]) for m in about if of[m]]
+        out = joined(out, quantile_table(centred, keys, ranks), keys) if ranks else out
+    return out.select(*keys, *[(F.col(m) * of[m][3] if of[m] else F.col(m)).alias(m) for m in chosen], "nbpts")
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's columns by keys, nulls being keys as well."""
+    k = [f"__j{i}" for i in range(len(keys))]
+    return left.join(right.select(*[F.col(a).alias(b) for a, b in zip(keys, k)], *[F.col(f"`{c}`") for c in right.columns if c not in keys]), same(keys, k), "left").drop(*k)
+
+
+def part_stats(grid: Grid, layer: Layer, every: DataFrame, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False) -> DataFrame:
+    """Statistics of each part of a grid by mode and class: the parts' columns and those of class_stats().
+
+    every: the parts that have rows in the result (parts' columns); classes without pixels are null there. Outliers are those
+    of their part; shares count the part's pixels.
+    """
+    without = remove_outliers if isinstance(remove_outliers, dict) else {m: bool(remove_outliers) and m not in metrics.KEEPS_OUTLIERS for m in chosen}
+    parts, df = list(grid.parts), grid.df
+    sizes = written(df.groupBy(*parts).agg(F.count("*").alias("total"), F.avg("z").alias("mu"), F.stddev_pop("z").alias("sigma")), "part-sizes")
+    inner = F.lit(None).cast("double")
+    if any(without.get(m) for m in chosen):
+        df = df.join(few(sizes.select(*parts, "mu", "sigma")), parts)
+        inner = F.when((F.col("z") > F.col("mu") - 3 * F.col("sigma")) & (F.col("z") < F.col("mu") + 3 * F.col("sigma")), F.col("z"))
+    keys = [*parts, "mode", "class_idx"]
+    values = written(in_modes(df, layer).filter("class_idx is not null").select(*keys, "z", inner.alias("inner")), "part-values")
+    found = grouped_stats(values, keys, chosen, without)
+    classes = F.array(*[F.struct(F.lit(r["mode"]).alias("mode"), F.lit(r["class_idx"]).alias("class_idx"), F.lit(f"{r['class_name']}:{r['class_value']}").alias("set_name")) for r in classes_table(df, layer).collect()])  # a few classes
+    out = every.select(*parts, F.explode(classes).alias("c")).select(*parts, "c.*").join(sizes.select(*parts, "total"), parts, "left").join(found, keys, "left")
+    n = F.coalesce("nbpts", F.lit(0))
+    return out.select(*keys, "set_name", *[F.round(m, DIGITS).alias(m) for m in chosen], n.cast("long").alias("nbpts"), F.round(n * 100.0 / F.col("total"), DIGITS).alias("percent_valid_points"))
+
+
 def class_vectors(grid: Grid, layer: Layer, metric: str, params: dict | None = None, remove_outliers: bool = False) -> DataFrame:
     """mode, class_idx, set_name, bin, edge, value: a vector metric of every class of every mode, rounded.
 

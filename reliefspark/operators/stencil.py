@@ -15,20 +15,30 @@ from reliefspark.functions.pixel import orthodromic, shade, x_of, y_of
 from reliefspark.grid import Grid, GridMeta
 
 
-def beside(c: str, axis: str, step: int, n: int) -> Column:
+def line(axis: str, parts: tuple[str, ...]) -> W:
+    """The window along an axis."""
+    return W.partitionBy(*parts, "row").orderBy("col") if axis == "col" else W.partitionBy(*parts, "col").orderBy("row")
+
+
+def edge(axis: str, step: int, n: int, parts: tuple[str, ...] = ()) -> Column:
+    """Whether a pixel has no neighbour on a side; the parts of a grid have edges of their own."""
+    if parts:
+        return (F.lag(axis) if step < 0 else F.lead(axis)).over(line(axis, parts)).isNull()
+    return F.col(axis) == (0 if step < 0 else n - 1)
+
+
+def beside(c: str, axis: str, step: int, n: int, parts: tuple[str, ...] = ()) -> Column:
     """The neighbour's value along an axis; at the edge, the pixel's own."""
-    window = W.partitionBy("row").orderBy("col") if axis == "col" else W.partitionBy("col").orderBy("row")
-    edge = F.col(axis) == (0 if step < 0 else n - 1)
-    return F.when(edge, F.col(c)).otherwise(F.lag(c).over(window) if step < 0 else F.lead(c).over(window))
+    return F.when(edge(axis, step, n, parts), F.col(c)).otherwise((F.lag(c) if step < 0 else F.lead(c)).over(line(axis, parts)))
 
 
 def sobel(grid: Grid) -> DataFrame:
     """df with gx, gy, edges replicated; the centre itself isn't read."""
-    m = grid.meta
-    df = grid.df.withColumn("__l", beside("z", "col", -1, m.ncols)).withColumn("__r", beside("z", "col", 1, m.ncols))
+    m, parts = grid.meta, grid.parts
+    df = grid.df.withColumn("__l", beside("z", "col", -1, m.ncols, parts)).withColumn("__r", beside("z", "col", 1, m.ncols, parts))
     df = df.withColumn("__hd", F.col("__l") - F.col("__r")).withColumn("__hs", F.col("__l") + 2 * F.col("z") + F.col("__r"))
     for c in ("__hd", "__hs"):
-        df = df.withColumn(f"{c}_u", beside(c, "row", -1, m.nrows)).withColumn(f"{c}_d", beside(c, "row", 1, m.nrows))
+        df = df.withColumn(f"{c}_u", beside(c, "row", -1, m.nrows, parts)).withColumn(f"{c}_d", beside(c, "row", 1, m.nrows, parts))
     df = df.withColumn("gx", F.col("__hd_u") + 2 * F.col("__hd") + F.col("__hd_d")).withColumn("gy", F.col("__hs_u") - F.col("__hs_d"))
     return df.select(*grid.df.columns, "gx", "gy")
 
@@ -48,16 +58,16 @@ def slope(grid: Grid, degree: bool = False, unit_change: bool = True, name: str
     dx, dy = resolution(grid.meta)
     angle = F.atan(F.sqrt(F.pow(F.col("gx") / dx, 2) + F.pow(F.col("gy") / dy, 2)) / 8)
     angle = (F.degrees(angle) if degree else angle * 100) if unit_change else angle
-    return Grid(sobel(grid).withColumn(name, angle).drop("gx", "gy"), grid.meta, grid.labels)
+    return grid.with_df(sobel(grid).withColumn(name, angle).drop("gx", "gy"))
 
 
 def gradient(grid: Grid, z: Column | None = None) -> DataFrame:
     """df with d_row and d_col: half the difference of both neighbours, one-sided at edges."""
-    m = grid.meta
+    m, parts = grid.meta, grid.parts
     df = grid.df.withColumn("__z", z if z is not None else F.col("z"))
     for axis, n in (("col", m.ncols), ("row", m.nrows)):
-        width = F.when((F.col(axis) == 0) | (F.col(axis) == n - 1), 1.0).otherwise(2.0)
-        df = df.withColumn(f"d_{axis}", (beside("__z", axis, 1, n) - beside("__z", axis, -1, n)) / width)
+        width = F.when(edge(axis, -1, n, parts) | edge(axis, 1, n, parts), 1.0).otherwise(2.0)
+        df = df.withColumn(f"d_{axis}", (beside("__z", axis, 1, n, parts) - beside("__z", axis, -1, n, parts)) / width)
     return df.drop("__z")
 
 

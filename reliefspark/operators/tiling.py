@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reliefspark.grid import Grid, GridMeta, crop_offset_ranges
+from reliefspark.functions import metrics
+from reliefspark.operators import classify, stats
 from reliefspark.operators.coregister import LEAST_SLOPE, SIGMAS, SLICES, fit, pair
 
+TILE = ("tile_row", "tile_col")
+
 
 def check(height: int, width: int, overlap: int) -> None:
     if height <= 0 or width <= 0:
@@ -49,6 +53,12 @@ def tile_stats(grid: Grid, height: int, width: int, overlap: int = 0) -> DataFra
     return all_tiles(grid, height, width, overlap).join(s, ["tile_row", "tile_col"], "left")
 
 
+def stats_by_tile(grid: Grid, layer: classify.Layer, height: int, width: int, overlap: int = 0, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False) -> DataFrame:
+    """tile_row, tile_col and the statistics by mode and class of every tile."""
+    tiled = Grid(assign(grid.df, grid.meta, height, width, overlap), grid.meta, grid.labels, TILE)
+    return stats.part_stats(tiled, layer, all_tiles(grid, height, width, overlap), chosen, remove_outliers)
+
+
 def sampled(z: np.ndarray, x: float, y: float) -> np.ndarray:
     """z at (row - y, col + x), bilinear, clamped; missing where a pixel with weight is."""
     out = np.zeros_like(z)
