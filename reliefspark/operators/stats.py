@@ -163,11 +163,11 @@ def class_matrix(grid: Grid, layer: Layer, metric: str, params: dict | None = No
     return metrics.matrix_metric(metric)(Grid(own, grid.meta), **(params or {}))
 
 
-def long_form(stats: DataFrame, method: str, layer: str) -> DataFrame:
-    """method, layer, mode, class_idx, set_name, metric, value."""
-    values = [c for c in stats.columns if c not in ("mode", "class_idx", "set_name")]
+def long_form(stats: DataFrame, method: str, layer: str, parts: tuple[str, ...] = ()) -> DataFrame:
+    """method, layer, mode, class_idx, set_name, metric, value; columns of the parts first."""
+    values = [c for c in stats.columns if c not in ("mode", "class_idx", "set_name", *parts)]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in values]))
-    return stats.select(F.lit(method).alias("method"), F.lit(layer).alias("layer"), "mode", "class_idx", "set_name", pairs.alias("m")).select("method", "layer", "mode", "class_idx", "set_name", "m.*")
+    return stats.select(*parts, F.lit(method).alias("method"), F.lit(layer).alias("layer"), "mode", "class_idx", "set_name", pairs.alias("m")).select(*parts, "method", "layer", "mode", "class_idx", "set_name", "m.*")
 
 
 def save(stats: DataFrame, folder: str) -> None:

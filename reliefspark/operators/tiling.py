@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from reliefspark.grid import Grid, GridMeta, crop_offset_ranges
 from reliefspark.functions import metrics
+from reliefspark.functions.order_stats import few
 from reliefspark.operators import classify, stats
 from reliefspark.operators.coregister import LEAST_SLOPE, SIGMAS, SLICES, fit, pair
+from reliefspark.sources.scratch import written
 
 TILE = ("tile_row", "tile_col")
 
@@ -124,3 +126,33 @@ def tile_shifts(ref: Grid, sec: Grid, height: int, width: int, overlap: int = 0,
     schema = "tile_row long, tile_col long, dx double, dy double, dz double, pct_valid_ref double, pct_valid_sec double"
     found = assign(pixels, sec.meta, height, width, overlap).groupBy("tile_row", "tile_col").applyInPandas(one, schema)
     return all_tiles(sec, height, width, overlap).join(found, ["tile_row", "tile_col"], "left")
+
+
+def tile_grids(ref: Grid, sec: Grid, shifts: DataFrame, height: int, width: int, overlap: int = 0) -> tuple[Grid, Grid]:
+    """ref and sec of every tile after its coregistration, as grids in parts: ref moved by the tile's shift, both cropped to what it leaves.
+
+    shifts: tile_row, tile_col, dx, dy of tile_shifts(); tiles of a null shift have no pixels. Rows and columns stay those of
+    the whole grid. Labels go along, ref's resampled like its heights. A tile is one task's.
+    """
+    a, b = [f"__a{i}" for i in range(len(ref.labels))], [f"__b{i}" for i in range(len(sec.labels))]
+    of_ref = ref.df.select("row", "col", F.col("z").alias("r"), *[F.col(c).cast("double").alias(n) for c, n in zip(ref.labels, a)])
+    pixels = sec.df.select("row", "col", "z", *[F.col(c).cast("double").alias(n) for c, n in zip(sec.labels, b)]).join(of_ref, ["row", "col"])
+    shift = few(written(shifts.filter("dx is not null").select(*TILE, "dx", "dy"), "shifts"))
+    values = ["z", *b, "r", *a]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"])
+        rows, cols = np.unique(pdf["row"]), np.unique(pdf["col"])
+        x, y = float(pdf["dx"].iloc[0]), -float(pdf["dy"].iloc[0])
+        (r0, r1), (c0, c1) = crop_offset_ranges(len(rows), len(cols), x, y)
+        cut = lambda c: pdf[c].to_numpy(float).reshape(len(rows), len(cols))
+        found = {c: (sampled(cut(c), x, y) if c in ("r", *a) else cut(c))[r0:r1, c0:c1].ravel() for c in values}
+        place = {"row": np.repeat(rows[r0:r1], c1 - c0), "col": np.tile(cols[c0:c1], r1 - r0)}
+        return pd.DataFrame({**{t: np.full(len(place["row"]), pdf[t].iloc[0]) for t in TILE}, **place, **found})
+
+    schema = "tile_row long, tile_col long, row long, col long, " + ", ".join(f"{c} double" for c in values)
+    df = assign(pixels, sec.meta, height, width, overlap).join(shift, list(TILE)).groupBy(*TILE).applyInPandas(one, schema)
+    none = F.lit(None).cast("double")
+    df = written(df.withColumns({c: F.nanvl(c, none) for c in values}), "tile-grids")
+    moved = Grid(df.select(*TILE, "row", "col", F.col("r").alias("z"), *[F.col(n).alias(c) for c, n in zip(ref.labels, a)]), sec.meta, ref.labels, TILE)
+    return moved, Grid(df.select(*TILE, "row", "col", "z", *[F.col(n).alias(c) for c, n in zip(sec.labels, b)]), sec.meta, sec.labels, TILE)

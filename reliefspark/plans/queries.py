@@ -466,3 +466,11 @@ def tile_assignment(spark, sf_dir):
 @query
 def tile_stats(spark, sf_dir):
     return rounded(rounded(tiling.tile_stats(diff(spark, sf_dir), 40, 30, 10), "pct_valid", "mean"), "median", digits=6)
+
+
+@query
+def stats_by_tile(spark, sf_dir):
+    """All default metrics of every tile of 4 x 4 pixels, by mode and class: tens of thousands of groups."""
+    g = diff(spark, sf_dir)
+    layer = classify.segmentation("priority", {"classes": SEGMENTS}, g.df.columns)
+    return summed(tiling.stats_by_tile(g, layer, 4, 4, 1))

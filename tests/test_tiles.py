@@ -82,3 +82,36 @@ def test_stencils_of_parts_have_edges_of_their_own(spark):
     with pytest.raises(ValueError, match="parts"):
         processing.process("ref-curvature", tiled)
     assert math.isfinite(slopes[0, 0, 0, 0])
+
+
+def test_whole_comparison_by_tile_is_a_run_on_its_region(spark, tmp_path):
+    from reliefspark.plans import pipeline, tiles
+
+    ref, sec = surfaces(spark, 60, 80, seed=4)
+    hole = F.when(F.col("col") < 60, F.col("z"))  # tiles of the last column can't be fitted
+    for g, name in ((ref, "ref"), (Grid(sec.df.withColumn("z", hole), sec.meta, sec.labels), "sec")):
+        pipeline.save_grid(Grid(g.df.select("row", "col", "z"), g.meta), f"{tmp_path}/{name}")
+        pipeline.save_grid(Grid(g.df.select("row", "col", F.col("land").cast("double").alias("z")), g.meta), f"{tmp_path}/{name}_land")
+    layers = {"land": {"type": "segmentation", "classes": LAYER["classes"]}, "Slope0": {"type": "slope", "ranges": [0, 40]}, "Fusion0": {"type": "fusion", "ref": ["land", "Slope0"]}}
+    cfg = {f"input_{n}": {"path": f"{tmp_path}/{n}.parquet", "classification_layers": {"land": {"map_path": f"{tmp_path}/{n}_land.parquet"}}} for n in ("ref", "sec")}
+    cfg |= {"coregistration": {"number_of_iterations": 3}, "statistics": {"alti-diff": {"classification_layers": layers, "remove_outliers": True}, "angular-diff": {"metrics": ["mean", "median"]}}}
+    shifts, table = tiles.compare_tiles(spark, {**cfg, "tiling": {"height": 40, "width": 40, "overlap": 10}, "output_dir": f"{tmp_path}/out"})
+    by_tile = {(r["tile_row"], r["tile_col"]): r for r in shifts.collect()}
+    assert len(by_tile) == 6 and by_tile[0, 2]["dx"] is None and by_tile[0, 0]["dx"] is not None
+    got = {tuple(r)[:-1]: r["value"] for r in table.collect()}
+    assert all(v is None or k[-1] == "nbpts" for k, v in got.items() if k[:2] == (0, 2)) and any(k[:2] == (0, 2) for k in got)
+    for tr, tc in ((0, 0), (1, 1)):
+        roi = {"x": 30 * tc, "y": 30 * tr, "w": 40, "h": min(40, 60 - 30 * tr)}
+        one, results = pipeline.run(spark, {**cfg, "input_ref": {**cfg["input_ref"], "roi": roi}, "input_sec": {**cfg["input_sec"], "roi": roi}})
+        assert by_tile[tr, tc]["dx"] == pytest.approx(results["dx"]["nuth_offset"], abs=1e-5) and by_tile[tr, tc]["dy"] == pytest.approx(results["dy"]["nuth_offset"], abs=1e-5)
+        want = {tuple(r)[:-1]: r["value"] for r in one.collect()}
+        assert {k[2:] for k in got if k[:2] == (tr, tc)} == set(want)
+        for k, v in want.items():
+            g = got[(tr, tc, *k)]
+            assert g == v if v is None or g is None else g == pytest.approx(v, rel=1e-4, abs=1e-4), k
+    pixels = spark.read.parquet(f"{tmp_path}/out/stats/alti-diff/tiles.parquet")
+    assert {"tile_row", "tile_col", "row", "col", "z", "land_ref", "sec_slope"} <= set(pixels.columns) and pixels.filter("tile_row = 1 and tile_col = 1").agg(F.min("row")).first()[0] >= 30
+    assert spark.read.parquet(f"{tmp_path}/out/stats/alti-diff/stats_by_tile.parquet").count() == sum(k[2] == "alti-diff" for k in got)
+    for bad in ({"ref-curvature": {}}, {"alti-diff": {"metrics": ["cdf"]}}):
+        with pytest.raises(ValueError, match="by tile"):
+            tiles.compare_tiles(spark, {**cfg, "statistics": bad, "tiling": {"height": 40, "width": 40}})
