@@ -324,16 +324,18 @@ ORACLES["warp"] = (
 )
 ORACLES["geoid_lonlat"] = f"WITH {REF}, {to_lonlat('ref', '450000 + 1000 * col', '5000000 - 1000 * row')} SELECT row, col, {z('z + (46 - lat) * 0.5 - lon * 0.25', alias='z')} FROM ref JOIN lonlat USING (row, col)"
 
-_columns = ", ".join(f"round({METRICS[m].format(z='z')}, {2 if m in ('sum', 'squared_sum') else 5}) AS {m}" for m in METRICS)
+_places = lambda m: "::DECIMAL(18, 5), 2)::DOUBLE" if m in ("sum", "squared_sum") else ", 5)"
+_columns = ", ".join(f"round(round({METRICS[m].format(z='z')}, 5){_places(m)} + 0.0 AS {m}" for m in METRICS)
 ORACLES["stats_by_tile"] = f"""
 WITH {DIFF}, {EDGE},
 every AS (SELECT unnest(generate_series(0, greatest(1, ceil(rm / 3.0))::BIGINT - 1)) AS tile_row, nc FROM (SELECT rm, greatest(1, ceil(cm / 3.0))::BIGINT AS nc FROM e)),
 tiles AS (SELECT tile_row, unnest(generate_series(0, nc - 1)) AS tile_col FROM every),
-p AS (SELECT tile_row, tile_col, z, {PR} AS class_idx, ({PR}) IS NOT DISTINCT FROM ({PS}) AS agree FROM tiles JOIN d ON row BETWEEN 3 * tile_row AND 3 * tile_row + 3 AND col BETWEEN 3 * tile_col AND 3 * tile_col + 3),
+p AS (SELECT tile_row, tile_col, z / 1.609344 AS z, {PR} AS class_idx, ({PR}) IS NOT DISTINCT FROM ({PS}) AS agree FROM tiles JOIN d ON row BETWEEN 3 * tile_row AND 3 * tile_row + 3 AND col BETWEEN 3 * tile_col AND 3 * tile_col + 3),
 total AS (SELECT tile_row, tile_col, count(*) AS total FROM p GROUP BY ALL),
 k AS (SELECT tile_row, tile_col, z, class_idx, 'standard' AS mode FROM p UNION ALL SELECT tile_row, tile_col, z, class_idx, CASE WHEN agree THEN 'intersection' ELSE 'exclusion' END FROM p),
 c AS (SELECT *, avg(z) OVER w AS mu, median(z) OVER w AS md FROM k WINDOW w AS (PARTITION BY tile_row, tile_col, mode, class_idx)),
-s AS (SELECT tile_row, tile_col, mode, class_idx, count(z) AS nbpts, {_columns} FROM c GROUP BY ALL)
+s AS (SELECT tile_row, tile_col, mode, class_idx, count(z) AS nbpts, {_columns} FROM c GROUP BY ALL),
+n AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{n}:{v}')" for k, (n, v) in enumerate(SEGMENTS))}) a(class_idx, set_name), (VALUES ('standard'), ('intersection'), ('exclusion')) b(mode)),
+grid AS (SELECT * FROM total, n)
 SELECT tile_row, tile_col, mode, class_idx, set_name, {', '.join(METRICS)}, coalesce(nbpts, 0) AS nbpts, round(coalesce(nbpts, 0) * 100.0 / total, 5) AS percent_valid_points
-FROM tiles JOIN total USING (tile_row, tile_col), (VALUES {', '.join(f"({k}, '{n}:{v}')" for k, (n, v) in enumerate(SEGMENTS))}) n(class_idx, set_name), (VALUES ('standard'), ('intersection'), ('exclusion')) m(mode)
-LEFT JOIN s USING (tile_row, tile_col, mode, class_idx)"""
+FROM grid LEFT JOIN s USING (tile_row, tile_col, mode, class_idx)"""

@@ -470,7 +470,8 @@ def tile_stats(spark, sf_dir):
 
 @query
 def stats_by_tile(spark, sf_dir):
-    """All default metrics of every tile of 4 x 4 pixels, by mode and class: tens of thousands of groups."""
+    """All default metrics of the differences, in miles, of every tile of 4 x 4 pixels, by mode and class: tens of thousands of groups."""
     g = diff(spark, sf_dir)
+    g = g.with_df(g.df.withColumn("z", F.col("z") / 1.609344))
     layer = classify.segmentation("priority", {"classes": SEGMENTS}, g.df.columns)
     return summed(tiling.stats_by_tile(g, layer, 4, 4, 1))
