@@ -261,7 +261,6 @@ b AS (SELECT class_idx, CASE WHEN ceil(2 * bound / 10) >= 25 THEN ceil(2 * bound
       CASE WHEN ceil(2 * bound / 10) >= 25 THEN 10.0 ELSE 2 * abs(bound) / 25 END AS width FROM b0)""",
         "z >= low AND z <= low + n * width", "z", "c::DOUBLE / sum(c) OVER (PARTITION BY class_idx)",
     ),
-    "nk_coregistration": "SELECT 2.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz",  # the shift that the query plants
     "events_scan": f"""
 WITH e AS (SELECT user_id AS row, ts::DATE AS day, value FROM events), s AS (SELECT min(day) AS d0, max(day) AS d1, max(row) AS rm FROM e),
 c AS (SELECT row, (day - d0)::BIGINT AS col, avg(value) AS z FROM e, s GROUP BY 1, 2),
@@ -278,11 +277,56 @@ WITH {DIFF}, {EDGE}, {TILES}
 SELECT tile_row, tile_col, count(*) AS nb_points, {z('count(z) * 100.0 / count(*)', alias='pct_valid')}, {z('avg(z)', alias='mean')}, {z('median(z)', 6, 'median')}
 FROM t JOIN d ON {INSIDE} GROUP BY 1, 2"""
 
-# the shift that the query plants, found in every tile
+# two views of REF's averaged heights
+VIEWS = f"""{REF}, {SEC}, {EDGE},
+w1 AS MATERIALIZED (SELECT row, col, avg(z) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS z FROM ref),
+view_ref AS MATERIALIZED (SELECT row, col, avg(z) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS z FROM w1),
+view_sec AS MATERIALIZED (SELECT a.row, a.col, CASE WHEN s.z IS NOT NULL THEN b.z + 3.5 END AS z FROM view_ref a JOIN sec s USING (row, col) LEFT JOIN view_ref b ON b.row = a.row + 1 AND b.col = a.col + 2)"""
+
+
+def nuth_kaab(parts: str, iterations: int = 6) -> str:
+    """CTEs of whole coregistrations, one for each t: `parts` makes a0 (t, row, col, r, z, h, w) of them; the last are st{n} (t, x, y) and p{n} (t, row, col, r, z)."""
+    step = repr(math.pi / 36)
+    out = [parts, "st0 AS (SELECT DISTINCT t, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM a0)", "p0 AS MATERIALIZED (SELECT * FROM a0)"]
+    for k in range(iterations):
+        n = k + 1
+        out.append(f"""
+b{k} AS (SELECT t, median(r - z) AS bias FROM p{k} GROUP BY t),
+g{k} AS MATERIALIZED (
+  SELECT t, z - (r - bias) AS dh,
+         CASE WHEN row = 0 THEN lead(z) OVER c - z WHEN row = h - 1 THEN z - lag(z) OVER c ELSE (lead(z) OVER c - lag(z) OVER c) / 2 END AS d_row,
+         CASE WHEN col = 0 THEN lead(z) OVER l - z WHEN col = w - 1 THEN z - lag(z) OVER l ELSE (lead(z) OVER l - lag(z) OVER l) / 2 END AS d_col
+  FROM p{k} JOIN b{k} USING (t) WINDOW l AS (PARTITION BY t, row ORDER BY col), c AS (PARTITION BY t, col ORDER BY row)),
+s{k} AS (SELECT t, dh / sqrt(d_col * d_col + d_row * d_row) AS v, atan2(-d_col, d_row) + {math.pi!r} AS aspect FROM g{k} WHERE dh IS NOT NULL AND sqrt(d_col * d_col + d_row * d_row) >= 0.001),
+i{k} AS MATERIALIZED (SELECT t, floor(aspect / {step})::INT AS slice, v FROM s{k} WHERE aspect > floor(aspect / {step}) * {step} AND aspect / {step} < 72),
+o{k} AS (SELECT t, slice, avg(v) AS m, stddev_pop(v) AS s FROM i{k} GROUP BY 1, 2),
+m{k} AS MATERIALIZED (SELECT t, cos(slice * {step}) AS c, sin(slice * {step}) AS s, median(v) AS y FROM i{k} JOIN (SELECT t, slice, m, s AS sd FROM o{k}) USING (t, slice) WHERE v >= m - 3 * sd AND v <= m + 3 * sd GROUP BY t, slice),
+q{k} AS (SELECT t, sum(c * c) AS cc, sum(c * s) AS cs, sum(c) AS c1, sum(s * s) AS ss, sum(s) AS s1, count(*)::DOUBLE AS n, sum(c * y) AS cy, sum(s * y) AS sy, sum(y) AS y1 FROM m{k} GROUP BY t),
+f{k} AS (SELECT *, cc * (ss * n - s1 * s1) - cs * (cs * n - s1 * c1) + c1 * (cs * s1 - ss * c1) AS det FROM q{k}),
+st{n} AS MATERIALIZED (SELECT t, x + (cc * (sy * n - s1 * y1) - cy * (cs * n - s1 * c1) + c1 * (cs * y1 - sy * c1)) / det AS x, y + (cy * (ss * n - s1 * s1) - cs * (sy * n - s1 * y1) + c1 * (sy * s1 - ss * y1)) / det AS y FROM st{k} JOIN f{k} USING (t)),
+e{k} AS (SELECT a0.*, x, y, CASE WHEN x >= 0 THEN 0 ELSE floor(-x) END::BIGINT AS c_low, CASE WHEN x >= 0 THEN w - ceil(x) ELSE w END::BIGINT AS c_high, CASE WHEN y <= 0 THEN 0 ELSE floor(y) END::BIGINT AS r_low, CASE WHEN y <= 0 THEN h - ceil(-y) ELSE h END::BIGINT AS r_high FROM a0 JOIN st{n} USING (t)),
+x{k} AS (SELECT *, least(greatest(row - y, 0), h - 1) AS fy, least(greatest(col + x, 0), w - 1) AS fx FROM e{k} WHERE row >= r_low AND row < r_high AND col >= c_low AND col < c_high),
+n{k} AS (SELECT t, row, col, floor(fy)::BIGINT + i AS rr, floor(fx)::BIGINT + j AS cc, CASE i WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END * CASE j WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END AS weight FROM x{k}, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
+v{k} AS (SELECT n.t, n.row, n.col, CASE WHEN count(a.r) = count(*) THEN sum(weight * a.r) END AS r FROM n{k} n LEFT JOIN a0 a ON a.t = n.t AND a.row = rr AND a.col = cc WHERE weight > 0 GROUP BY 1, 2, 3),
+p{n} AS MATERIALIZED (SELECT t, row - r_low AS row, col - c_low AS col, v.r, z, r_high - r_low AS h, c_high - c_low AS w FROM x{k} JOIN v{k} v USING (t, row, col))""")
+    return ", ".join(out)
+
+
+ORACLES["nk_coregistration"] = f"""
+WITH {VIEWS}, {nuth_kaab("a0 AS MATERIALIZED (SELECT 0 AS t, row, col, r.z AS r, s.z, rm + 1 AS h, cm + 1 AS w FROM view_ref r JOIN view_sec s USING (row, col), e)")}
+SELECT {z('x', alias='dx')}, {z('-y', alias='dy')}, {z('dz')} FROM st6, (SELECT avg(r - z) AS dz FROM p6)"""
+TILED = nuth_kaab("""
+tc AS (SELECT rm + 1 AS nrows, cm + 1 AS ncols, greatest(1, ceil((rm + 1 - 20) / 40.0))::BIGINT AS nr, greatest(1, ceil((cm + 1 - 20) / 30.0))::BIGINT AS nc FROM e),
+tiles AS (SELECT k // nc AS tile_row, k % nc AS tile_col, k AS t, least(60, nrows - 40 * (k // nc)) AS h, least(50, ncols - 30 * (k % nc)) AS w FROM (SELECT unnest(generate_series(0, nr * nc - 1)) AS k, * FROM tc)),
+a0 AS MATERIALIZED (SELECT t, row - 40 * tile_row AS row, col - 30 * tile_col AS col, r.z AS r, s.z, h, w FROM view_ref r JOIN view_sec s USING (row, col) JOIN tiles ON row >= 40 * tile_row AND row < 40 * tile_row + 60 AND col >= 30 * tile_col AND col < 30 * tile_col + 50)""")
 ORACLES["tile_shifts"] = f"""
-WITH {REF}, {EDGE}, n AS (SELECT greatest(1, ceil((rm + 1 - 20) / 40.0))::BIGINT AS nr, greatest(1, ceil((cm + 1 - 20) / 30.0))::BIGINT AS nc FROM e)
-SELECT tr AS tile_row, tc AS tile_col, 2.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dz, 100.0::DOUBLE AS pct_valid_ref, 100.0::DOUBLE AS pct_valid_sec
-FROM (SELECT unnest(generate_series(0, nr - 1)) AS tr, nc FROM n), LATERAL (SELECT unnest(generate_series(0, nc - 1)) AS tc)"""
+WITH {VIEWS}, {TILED},
+last AS (SELECT t, avg(r - z) AS d, count(r) * 100.0 / count(*) AS pr, count(z) * 100.0 / count(*) AS ps FROM p6 GROUP BY t)
+SELECT tile_row, tile_col, {z('x', alias='dx')}, {z('-y', alias='dy')}, {z('d', alias='dz')}, {z('pr', alias='pct_valid_ref')}, {z('ps', alias='pct_valid_sec')} FROM tiles JOIN st6 USING (t) JOIN last USING (t)"""
+ORACLES["tile_comparison"] = f"""
+WITH {VIEWS}, {TILED}
+SELECT tile_row, tile_col, {z('round(avg(r - z), 5)', 4, 'mean')}, {z('round(median(r - z), 5)', 4, 'median')}, {z('round(stddev_pop(r - z), 5)', 4, 'std')}, count(r - z) AS nbpts, round(count(r - z) * 100.0 / count(*), 5) AS percent_valid_points
+FROM p6 JOIN tiles USING (t) GROUP BY 1, 2"""
 
 ORACLES["raster_scan"] = f"WITH {SEC} SELECT row, col, {z()} FROM sec"
 ORACLES["raster_region"] = f"WITH {REF} SELECT row - 2 AS row, col - 35 AS col, {z()}, {z('priority::DOUBLE', alias='priority')} FROM ref WHERE row BETWEEN 2 AND 131 AND col BETWEEN 35 AND 84"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reliefspark.functions import metrics
@@ -401,24 +402,38 @@ def nk_single_iter(spark, sf_dir):
 
 
 def two_views(spark, sf_dir):
-    """Two views of one smooth surface over the order grid, 2 columns and 1 row apart."""
-    g = ref_grid(spark, sf_dir)
-    surface = lambda r, c: F.sin(r / 9.0) * 20 + F.cos(c / 7.0) * 15 + F.sin((r + c) / 15.0) * 10
-    ref = Grid(g.df.select("row", "col", surface(F.col("row"), F.col("col")).alias("z")), g.meta)
-    return ref, Grid(g.df.select("row", "col", surface(F.col("row") + 1, F.col("col") + 2).alias("z")), g.meta)
+    """REF's heights, averaged over 15 x 15 pixels, and the same surface seen 2 columns and 1 row apart and 3.5 higher, with SEC's holes."""
+    ref, sec = ref_grid(spark, sf_dir), sec_grid(spark, sf_dir)
+    along = lambda axis, other: W.partitionBy(other).orderBy(axis)
+    df = ref.df.select("row", "col", F.avg("z").over(along("col", "row").rowsBetween(-7, 7)).alias("z"))
+    df = df.withColumn("z", F.avg("z").over(along("row", "col").rowsBetween(-7, 7)))
+    aside = df.withColumn("z", F.lead("z", 2).over(along("col", "row"))).withColumn("z", F.lead("z", 1).over(along("row", "col")) + 3.5)
+    aside = aside.join(sec.df.select("row", "col", F.col("z").isNotNull().alias("has")), ["row", "col"]).select("row", "col", F.when(F.col("has"), F.col("z")).alias("z"))
+    return Grid(df, ref.meta), Grid(aside, ref.meta)
 
 
 @query
 def nk_coregistration(spark, sf_dir):
+    """Six iterations over the whole grid."""
     ref, sec = two_views(spark, sf_dir)
     t = coregister(sec, ref).transformation
-    return rounded(spark.createDataFrame([(t.x_offset, t.y_offset, t.z_offset)], "dx double, dy double, dz double"), "dx", "dy", "dz", digits=1)
+    return rounded(spark.createDataFrame([(t.x_offset, t.y_offset, t.z_offset)], "dx double, dy double, dz double"), "dx", "dy", "dz")
 
 
 @query
 def tile_shifts(spark, sf_dir):
     """Every tile coregistered alone."""
-    return rounded(tiling.tile_shifts(*two_views(spark, sf_dir), 60, 50, 20), "dx", "dy", "dz", "pct_valid_ref", "pct_valid_sec", digits=1)
+    return rounded(tiling.tile_shifts(*two_views(spark, sf_dir), 60, 50, 20), "dx", "dy", "dz", "pct_valid_ref", "pct_valid_sec")
+
+
+@query
+def tile_comparison(spark, sf_dir):
+    """The differences of every tile after its own coregistration: their number, mean, spread and median."""
+    ref, sec = two_views(spark, sf_dir)
+    shifts = tiling.tile_shifts(ref, sec, 60, 50, 20)
+    d = processing.process("alti-diff", *tiling.tile_grids(ref, sec, shifts, 60, 50, 20))
+    found = stats.part_stats(d, classify.global_layer(), tiling.all_tiles(sec, 60, 50, 20), ("mean", "median", "std"))
+    return rounded(found.select("tile_row", "tile_col", "mean", "median", "std", "nbpts", "percent_valid_points"), "mean", "median", "std", digits=4)
 
 
 @query
