@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few plain columns (at most about 40 bytes a row) may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table of wider rows may be.
+BROADCAST_BYTES = 40_000_000
 #: Rows of texts in a batch that goes to Python.
 ARROW_ROWS = 500
 #: Letters that the contracts fold; other letters keep their case.
@@ -70,7 +72,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def tables() -> int:
@@ -92,9 +96,24 @@ def release(since: int = 0, keep: int = 0) -> None:
 atexit.register(release)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a written table of narrow rows), marked for broadcast if it has at most `rows` rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, width=None) -> DataFrame:
+    """df (a written table), marked for broadcast if it has at most `rows` rows and, by `width` (bytes a row), BROADCAST_BYTES; else Spark shuffles both sides.
+
+    Without `width`, rows are narrow ones of plain columns.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    wide = width is not None and (df.agg(F.sum(width)).first()[0] or 0) > BROADCAST_BYTES
+    return df if wide else F.broadcast(df)
+
+
+def free(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more."""
+    path = getattr(df, "written_at", None)
+    for k, (_, at) in enumerate(_written):
+        if at == path:
+            release(k, len(_written) - k - 1)
+            return
 
 
 def folded(text):

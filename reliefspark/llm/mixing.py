@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,10 +16,47 @@ WEIGHTS, MOST = (1, 2, 3), 3
 BUCKETS = 4096
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """A number in (0, 1) that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit(""))))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+#: What tells rows apart for the draw: equal rows are numbered.
+KEYS = ("doc_id", "digest", "copy")
+
+
+def uniform(seed: int) -> Column:
+    """A number in (0, 1) that depends on a row's id, text, number among equal rows and the seed alone."""
+    text = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.col("copy").cast("string")))
+    return (F.conv(F.substring(text, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+
+
+#: What equal rows agree in.
+SAME = ["doc_id", "source", "digest"]
+
+
+def equal(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def named(columns: list[str]) -> list[str]:
+    return [f"__{c}" for c in columns]
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """__doc_id, __source, __digest of rows that have equals."""
+    several = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(SAME, named(SAME))]).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return small(written(several, "repeated"))
+
+
+def copies(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """rows (SAME, place, others) with copy: the number from 0 among equal rows; place goes.
+
+    place: where a row stands, its task in the high bits (monotonically_increasing_id). Only rows that have equals are numbered: within
+    each task first, and by sums over tasks, so that a row repeated millions of times fills no task.
+    """
+    own = written(rows.join(several, equal(SAME, named(SAME))).drop(*named(SAME)).withColumn("__task", F.shiftright("place", 33)), "equals")
+    tasks = own.groupBy(*[F.col(c).alias(n) for c, n in zip(SAME, named(SAME))], F.col("__task").alias("__t")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*named(SAME)).orderBy("__t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    starts = small(written(tasks.withColumn("__before", before).drop("n"), "copies"))
+    inside = F.row_number().over(W.partitionBy(*SAME, "__task").orderBy("place")) - 1
+    numbered = own.withColumn("__inside", inside).join(starts, equal([*SAME, "__task"], [*named(SAME), "__t"])).withColumn("copy", F.col("__before") + F.col("__inside"))
+    return rows.join(several, equal(SAME, named(SAME)), "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(numbered.select(*rows.columns, "copy")).drop("place")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -63,9 +102,9 @@ def levels(sized: DataFrame, t: DataFrame) -> DataFrame:
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7) -> DataFrame:
-    """For each source of sized (doc_id, source, size): target, whole copies, level of inclusion, and the cut.
+    """For each source of sized (doc_id, source, digest, copy, size): target, whole copies, level of inclusion, and the cut.
 
-    Documents of level x measure >= 1 are certain. Of the others, one is drawn when (q, doc_id) <= (cut_q, cut_id), with q
+    Documents of level x measure >= 1 are certain. Of the others, one is drawn when (q, KEYS) <= cut, with q
     its random odds divided by its inclusion odds. Every task reads part of a source only: words are summed by (source,
     bucket of q), the bucket in which a source fills its remainder is found from these sums, and only its documents are
     put in order.
@@ -77,42 +116,48 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     t = written(t.join(small(level), t["source"].eqNullSafe(level["s"]), "left").drop("s"), "levelled")
     asked = sized.filter("size > 0").join(small(t.filter("level is not null")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     pi = F.col("level") * measure(F.col("size"))
-    asked = asked.select("doc_id", "source", "size", "rest", pi.alias("pi"), odds(F.col("doc_id"), pi, seed).alias("q"))
+    asked = asked.select(*KEYS, "source", "size", "rest", pi.alias("pi"), odds(pi, seed).alias("q"))
     drawn = asked.filter("pi < 1").withColumn("bucket", F.floor(F.col("q") / (F.col("q") + 1) * BUCKETS))
     certain = asked.filter("pi >= 1").groupBy("source").agg(F.sum("size").alias("certain")).withColumnRenamed("source", "s")
     sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     sums = sums.join(small(written(certain, "certain")), F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rest", F.col("rest") - F.coalesce("certain", F.lit(0))).drop("s")
     sums = sums.withColumn("done", F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words"))
     last = written(sums.filter("done < rest").groupBy(F.col("source").alias("s")).agg(F.max("bucket").alias("b"), F.max("done").alias("done"), F.max("rest").alias("room")), "brackets")
-    inner = W.partitionBy("source").orderBy("q", "doc_id", "size")
+    inner = W.partitionBy("source").orderBy("q", *KEYS)
     near = drawn.join(small(last), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     near = near.withColumn("before", F.col("done") + F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size"))
     # the document that crosses the remainder is taken if at least half of it fits; an earlier bracket is taken whole
     taken = near.filter(F.col("before") + F.col("size") / 2 <= F.col("room"))
-    cut = taken.groupBy("source").agg(F.max(F.struct("q", "doc_id")).alias("cut"))
+    cut = taken.groupBy("source").agg(F.max(F.struct("q", *KEYS)).alias("cut"))
     cut = last.join(cut.withColumnRenamed("source", "c"), F.col("s").eqNullSafe(F.col("c")), "left")
     # with none taken in its bracket, a source's cut lies at the bracket's start
-    cut = cut.select("s", F.coalesce("cut.q", F.lit(-1.0)).alias("cut_q"), F.col("cut.doc_id").alias("cut_id"), F.col("cut").isNull().alias("at_start"), "b")
+    cut = cut.select("s", "cut", "b")
     return written(t.join(cut, t["source"].eqNullSafe(cut["s"]), "left").drop("s"), "mix-plan")
 
 
-def odds(id_col: Column, pi: Column, seed: int) -> Column:
-    u = uniform(id_col, seed)
+def odds(pi: Column, seed: int) -> Column:
+    u = uniform(seed)
     return (u / (1 - u)) / (pi / (1 - pi))
 
 
-def with_draws(rows: DataFrame, p: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> DataFrame:
-    """rows with mix_plan (their source's plan) and mix_draws, how often each is taken; names of their own don't matter."""
+def with_draws(rows: DataFrame, p: DataFrame, seed: int) -> DataFrame:
+    """rows (source, size, KEYS and others) with mix_plan, their source's plan, and mix_draws, how often each is taken."""
     right = p.select(F.col("source").alias("mix_source"), F.struct(*[c for c in p.columns if c != "source"]).alias("mix_plan"))
-    joined = rows.withColumn("mix_key", F.col(source_col)).join(small(right), F.col("mix_key").eqNullSafe(F.col("mix_source")))
+    joined = rows.join(small(right), F.col("source").eqNullSafe(F.col("mix_source")))
     of = lambda c: F.col(f"mix_plan.{c}")
-    doc_id, pi = F.col(id_col), of("level") * measure(F.col(size_col))
-    q = odds(doc_id, pi, seed)
+    pi = of("level") * measure(F.col("size"))
+    q = odds(pi, seed)
     bucket = F.floor(q / (q + 1) * BUCKETS)
-    known = doc_id.isNull() | (F.coalesce(doc_id <= of("cut_id"), F.lit(False)))  # null ids come first
-    below = F.when(of("at_start"), bucket < of("b")).otherwise((q < of("cut_q")) | ((q == of("cut_q")) & known))
+    # null ids come first, as structs are ordered
+    below = F.when(of("cut").isNull(), bucket < of("b")).otherwise(F.struct(q.alias("q"), *KEYS) <= of("cut"))
     more = F.when((pi >= 1) | ((pi < 1) & below), 1).otherwise(0)
-    return joined.withColumn("mix_draws", F.when(F.col(size_col) > 0, of("copies") + more).otherwise(0)).drop("mix_key", "mix_source")
+    return joined.withColumn("mix_draws", F.when(F.col("size") > 0, of("copies") + more).otherwise(0)).drop("mix_source")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, digest (of the text), size, place and more of each row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.md5(text).alias("digest"), words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("place"), *more)
 
 
 def words(text: Column) -> Column:
@@ -120,7 +165,7 @@ def words(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(sized, plan): doc_id, source, size of each row of docs, and the plan of each source.
+    """(sized, plan): doc_id, source, digest, copy, size of each row of docs, and the plan of each source.
 
     Size is the number of words of a text (null: 0). Null is a source of its own, last in order. Sources of no words
     get and give none, nor do documents of none. A source whose target is r times its size is taken floor(r) times
@@ -131,19 +176,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     agree; rows repeated with one id (null ids, too) share their random number, and are counted in turn. Other columns
     are never read. An empty table gives no rows.
     """
-    sized = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sized")
+    sized, _ = numbered_sizes(docs, id_col, text_col, source_col)
     return sized, plan(sized, weights, most, seed)
 
 
+def numbered_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, digest, size, copy of each row; what rows have equals)."""
+    sized = written(keyed(docs, id_col, text_col, source_col), "sized")
+    several = repeated(sized)
+    return written(copies(sized, several), "numbered"), several
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, with all their columns, each as often as the mix takes it."""
-    _, p = mix(docs, weights, most, seed, id_col, text_col, source_col)
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    at = {c: names[docs.columns.index(c)] for c in (id_col, text_col, source_col)}
-    plain = docs.toDF(*names).withColumn("mix_size", words(F.col(at[text_col])))  # so that no column can clash with those of the plan
-    taken = with_draws(plain, p, seed, at[id_col], at[source_col], "mix_size").filter("mix_draws > 0")
+    whole = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")  # so that no column can clash with those of the plan
+    sized, several = numbered_sizes(docs, id_col, text_col, source_col)
+    # equal rows are numbered anew: which of them has which number makes no difference
+    rows = copies(keyed(docs, id_col, text_col, source_col, whole), several)
+    taken = with_draws(rows, plan(sized, weights, most, seed), seed).filter("mix_draws > 0")
     taken = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_draws").cast("long"))))
-    return taken.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return taken.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +206,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS copy FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -181,13 +234,13 @@ WITH d AS (
 ), k AS (
   SELECT source, max_by(level, x) AS level FROM g WHERE level * x < 1 GROUP BY 1
 ), u AS (
-  SELECT x.doc_id, x.size, p.*, k.level * x.x AS pi, (('0x' || substr(md5('7:' || x.doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+  SELECT x.doc_id, x.digest, x.copy, x.size, p.*, k.level * x.x AS pi, (('0x' || substr(md5('7:' || coalesce(x.doc_id::VARCHAR, '') || ':' || x.digest || ':' || x.copy), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source LEFT JOIN k ON x.source IS NOT DISTINCT FROM k.source
 ), q AS (
   SELECT *, CASE WHEN pi < 1 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q,
          rest - coalesce(sum(size) FILTER (pi >= 1) OVER (PARTITION BY source), 0) AS room FROM u
 ), c AS (
-  SELECT *, sum(CASE WHEN size > 0 AND pi < 1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM q
+  SELECT *, sum(CASE WHEN size > 0 AND pi < 1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, digest, copy ROWS UNBOUNDED PRECEDING) - size AS before FROM q
 )
 SELECT doc_id, size, source_size, target,
        (size * (copies + CASE WHEN pi >= 1 OR (pi < 1 AND before + size / 2.0 <= room) THEN 1 ELSE 0 END))::BIGINT AS taken

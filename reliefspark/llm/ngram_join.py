@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reliefspark.llm.common import held, read_table, small, small_batches, written
+from reliefspark.llm.common import free, held, read_table, small, small_batches, written
 
 #: Times that a task must meet a shingle for it to be counted, and counted documents from which it comes last in order.
 SEEN, FREQUENT = 2, 20
@@ -19,6 +19,8 @@ MOST_FREQUENT = 2_000_000
 GROUP, TOKENS = 512, 500_000
 #: Queries that a group meets together, and parts into which a frequent shingle's sets are dealt.
 ASKING, SALTS = 2048, 32
+#: Pairs of a set and a group that a task makes at a time.
+PAIRS = 1_000_000
 #: Words whose hashes a worker keeps, and shingles that a task counts at a time.
 WORDS, COUNTED = 200_000, 1_000_000
 #: Odd factors and shifts of the shingle hash (splitmix64's finaliser).
@@ -192,21 +194,75 @@ def asks(p: DataFrame, num: int, den: int) -> DataFrame:
 
     p: token, sid, n, hot, g of the prefixes. The matrix has a row for each group and each shingle in the prefixes of
     its sets: how many sets have it, and their least and greatest sizes. A set asks a group if they share so many
-    shingles as a link with sizes like these needs. Shingles of a single set are told by a window; a shingle met by few
-    tasks only has few sets, and frequent shingles need no window, so they are dealt by (shingle, set).
+    shingles as a link with sizes like these needs. A shingle that isn't frequent has few sets, so its rows of the matrix
+    are made where its sets come together (cold_pairs()); those of frequent ones are dealt by (shingle, set).
     """
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(0).cast("int")
-    same = W.partitionBy("token", "salt")
-    several = p.withColumn("salt", salt).withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same))
-    shared = written(several.filter("hot or lo <> hi").dropDuplicates(["token", "salt", "sid"]).select("token", "salt", "sid", "n", "g", "hot"), "shared")
-    matrix = shared.groupBy("token", "g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("hot").alias("hot"))
-    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    matrix = written(matrix.select("token", F.col("g").alias("group"), "sets", "least", "most", F.explode(every).alias("salt")), "matrix")
+    cold = p.filter("not hot").select("token", "sid", "n", "g").repartition("token").sortWithinPartitions("token", "g", "sid").mapInPandas(cold_pairs(num, den), "sid long, n int, group long, least int, most int")
+    cold = cold.groupBy("sid", "n", "group").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    salted = p.filter("hot").withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
+    shared = written(salted.dropDuplicates(["token", "salt", "sid"]).select("token", "salt", "sid", "n", "g"), "shared")
+    matrix = shared.groupBy("token", "g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = written(matrix.select("token", F.col("g").alias("group"), "sets", "least", "most", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "matrix")
     near = ((F.col("group") > F.col("g")) | ((F.col("group") == F.col("g")) & (F.col("sets") > 1))) & (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
-    pairs = shared.select("token", "salt", "sid", "n", "g").join(matrix, ["token", "salt"]).filter(near).groupBy("sid", "n", "group").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    hot = shared.join(matrix, ["token", "salt"]).filter(near).groupBy("sid", "n", "group").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    pairs = cold.unionByName(hot).groupBy("sid", "n", "group").agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
     n = F.col("n")
     least, most = F.greatest(F.col("least"), n * F.lit(num / den)), F.least(F.col("most"), n * F.lit(den / num))
-    return pairs.filter(F.col("c") > F.least(gap(n, least, num, den), gap(n, most, num, den))).select("sid", F.col("group").alias("g"))
+    out = written(pairs.filter(F.col("c") > F.least(gap(n, least, num, den), gap(n, most, num, den))).select("sid", F.col("group").alias("g")), "asks")
+    free(shared)
+    free(matrix)
+    return out
+
+
+def cold_pairs(num: int, den: int):
+    """Of rows (token, sid, n, g) sorted by token, group and set, the pairs (sid, n, group, least, most) of sets and groups that share a token."""
+
+    def of(token, sid, n, g):
+        """The pairs of whole tokens' rows."""
+        first = np.r_[True, (token[1:] != token[:-1]) | (sid[1:] != sid[:-1]) | (g[1:] != g[:-1])]  # a set met by two tasks is there twice
+        token, sid, n, g = token[first], sid[first], n[first], g[first]
+        new = np.r_[True, token[1:] != token[:-1]]
+        run = np.cumsum(new) - 1
+        several = np.bincount(run)[run] > 1
+        token, sid, n, g = token[several], sid[several], n[several], g[several]
+        if not len(token):
+            return
+        cell = np.r_[True, (token[1:] != token[:-1]) | (g[1:] != g[:-1])]  # a row of the matrix
+        starts = np.flatnonzero(cell)
+        group, sets, least, most = g[starts], np.diff(np.r_[starts, len(g)]), np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
+        new = np.r_[True, token[1:] != token[:-1]]
+        run, run_of_cell = np.cumsum(new) - 1, np.cumsum(new)[starts] - 1
+        width = np.bincount(run_of_cell)
+        begin = np.r_[0, np.cumsum(width)[:-1]]
+        ends = np.cumsum(width[run])
+        at = 0
+        while at < len(run):  # so many rows at a time as make PAIRS pairs
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            w = width[run[at:stop]]
+            row = np.repeat(np.arange(at, stop), w)
+            c = begin[run[row]] + np.arange(len(row)) - np.repeat(np.cumsum(w) - w, w)
+            near = ((group[c] > g[row]) | ((group[c] == g[row]) & (sets[c] > 1))) & (most[c].astype(np.int64) * den >= n[row].astype(np.int64) * num) & (least[c].astype(np.int64) * num <= n[row].astype(np.int64) * den)
+            row, c = row[near], c[near]
+            if len(row):
+                yield pd.DataFrame({"sid": sid[row], "n": n[row], "group": group[c], "least": least[c], "most": most[c]})
+            at = stop
+
+    def scan(batches):
+        held_ = None
+        for pdf in batches:
+            columns = [pdf[c].to_numpy(t) for c, t in (("token", np.int64), ("sid", np.int64), ("n", np.int32), ("g", np.int64))]
+            if held_ is not None:
+                columns = [np.concatenate(x) for x in zip(held_, columns)]
+            if not len(columns[0]):
+                continue
+            last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last token may go on
+            held_ = [x[last:] for x in columns]
+            if last:
+                yield from of(*[x[:last] for x in columns])
+        if held_ is not None and len(held_[0]):
+            yield from of(*held_)
+
+    return scan
 
 
 def stored(members: DataFrame) -> DataFrame:
@@ -297,7 +353,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     heads = written(classes.filter("n > 0").groupBy("sid", "n").agg(least_row.alias("head"), least_id.alias("least"), F.max("mark").alias("mark"), F.count("*").alias("rows")), "heads")
 
     large = written(large_groups(heads, num, den), "large-groups")
-    pairs = written(asks(grouped(prefixes(rows, k, num, den, frequent(found)), large, num, den), num, den), "asks")
+    first = written(grouped(prefixes(rows, k, num, den, frequent(found)), large, num, den), "prefixes")
+    pairs = asks(first, num, den)
+    free(first)
     asked = written(pairs.select("g").distinct(), "asked")
     members = written(grouped(heads.select("sid", "n", "mark", "rows"), large, num, den).join(small(asked), "g", "left_semi"), "members")
     # what a set is to do: to be a member of its group, to ask groups, or both
@@ -326,7 +384,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
             if out:
                 yield pd.DataFrame(out, columns=["g", "asks", "sid", "rows", "tokens"])
 
-    told = rows.join(small(tasks), F.col("doc_id").eqNullSafe(F.col("task_id")) & (F.col("key") == F.col("task_key")))
+    free(members)
+    told = rows.join(small(tasks, width=32 + 8 * F.size("asked")), F.col("doc_id").eqNullSafe(F.col("task_id")) & (F.col("key") == F.col("task_key")))
     told = told.select("text", "rows", "asked", F.coalesce("own", F.lit(0)).alias("own"), F.col("own").isNotNull().alias("member"))
     dealt = written(told.mapInPandas(again, "g long, asks boolean, sid long, rows long, tokens array<long>"), "dealt")
     queries, members = dealt.filter("asks").drop("asks"), dealt.filter("not asks").drop("asks")
@@ -336,6 +395,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     parts = lambda t: max(8, -(-(t or 0) // TOKENS))
     groups = written(stored(members.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(parts(whole["m"]))))), "groups")
     links = written(open_groups(groups, queries, salts.select("g", "salts"), num, den, parts(whole["t"])), "links")
+    for t in (pairs, asked, tasks, dealt, groups):
+        free(t)
 
     labels = components(links.filter("n = 0"))
     counted = links.filter("n > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("links"))

@@ -17,6 +17,8 @@ FALSE_BLOCKS, STEP = 0.01, 0.01
 #: Rows of ratios, by gram or by URL, that may be broadcast.
 RATIOS = 300_000
 PAD = "\x02"
+#: Characters of the pieces into which URLs are cut, first and then.
+PIECES = (16_384, 256)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -38,10 +40,18 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def grams(urls: DataFrame, order: int) -> DataFrame:
-    """url rows, one for each character: gram, the character after `order` characters of context."""
-    padded = F.concat(F.lit(PAD * order), F.col("url"))
-    return urls.filter(F.length("url") > 0).withColumn("k", F.explode(F.sequence(F.lit(1), F.length("url")))).withColumn("gram", F.substring(padded, F.col("k"), F.lit(order + 1))).drop("k")
+def grams(urls: DataFrame, order: int, columns: list[str]) -> DataFrame:
+    """gram and columns of urls (url, columns), a row for each character: it after `order` characters of context.
+
+    A URL is cut into pieces and these into smaller ones, each beginning with its context: finding a character's place
+    reads its string from the start, so time is in proportion to a URL's length only while strings are short.
+    """
+    cut = urls.filter(F.length("url") > 0).select(*columns, F.concat(F.lit(PAD * order), F.col("url")).alias("s"))
+    for size in PIECES:
+        at = F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - order - 1) / size).cast("int"))).alias("at")
+        cut = cut.select(*columns, "s", at).select(*columns, F.substring(F.col("s"), F.col("at") * size + 1, F.lit(size + order)).alias("s"))
+    cut = cut.select(*columns, "s", F.explode(F.sequence(F.lit(1), F.length("s") - order)).alias("at"))
+    return cut.select(*columns, F.substring(F.col("s"), F.col("at"), F.lit(order + 1)).alias("gram"))
 
 
 def model(counts: DataFrame, order: int) -> DataFrame:
@@ -87,11 +97,11 @@ def threshold(hist: list[tuple[int, int, int]]) -> float:
 
 
 def scores(urls: DataFrame, order: int) -> DataFrame:
-    """urls (url, accepted, rejected, learns) with the ratio of each by models of those that learn."""
-    counts = grams(urls, order).groupBy("gram").agg(*[F.sum(F.col(c) * F.col("learns")).alias(c) for c in ("accepted", "rejected")])
+    """urls (key, url, accepted, rejected, learns) with the ratio of each by models of those that learn."""
+    counts = grams(urls, order, ["accepted", "rejected", "learns"]).groupBy("gram").agg(*[F.sum(F.col(c) * F.col("learns")).alias(c) for c in ("accepted", "rejected")])
     ratios = written(model(written(counts, "grams"), order), "ratios")
-    scored = grams(urls.select("url"), order).join(small(ratios, RATIOS), "gram").groupBy("url").agg(F.avg("ratio").alias("ratio"))
-    return written(urls.join(scored, "url"), "scored")
+    scored = grams(urls, order, ["key"]).join(small(ratios, RATIOS), "gram").groupBy("key").agg(F.avg("ratio").alias("ratio"))
+    return written(urls.join(scored, "key"), "scored")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -104,8 +114,9 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str =
     path, ratio 0, and are allowed unless a rule fits. Rows repeated with one id are judged each; null ids stay null.
     Other columns are never read. An empty table gives no rows.
 
-    Equal URLs are scored once, and empty ones take no part in any join. Counts are summed by task before they are
-    shuffled; no key keeps its rows together.
+    Equal URLs are scored once, in time in proportion to their length, and empty ones take no part in any join. Counts
+    are summed by task before they are shuffled; no key keeps its rows together. URLs are broadcast up to RATIOS rows
+    and common.BROADCAST_BYTES.
     """
     host, path = parts(F.col(url_col))
     said = F.when(F.instr(F.col(url_col), "://") > 0, F.translate(F.substring(F.col(url_col), F.instr(F.col(url_col), "://") + 3, F.length(url_col)), UPPER, LOWER)).otherwise("")
@@ -113,10 +124,11 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, id_col: str =
     rows = written(rows.withColumn("decided", rule_of(F.col("host"), F.col("path"), rules)), "urls")
     verdict = F.col("decided.verdict")
     urls = rows.filter("url <> ''").groupBy("url").agg(*[F.coalesce(F.sum((verdict == v).cast("long")), F.lit(0)).alias(c) for c, v in (("accepted", "allow"), ("rejected", "block"))])
-    judged = scores(written(urls.withColumn("learns", (F.crc32(F.col("url").cast("binary")) % FOLDS != 0).cast("long")), "distinct-urls"), order)
+    urls = urls.withColumn("learns", (F.crc32(F.col("url").cast("binary")) % FOLDS != 0).cast("long"))
+    judged = scores(written(urls.withColumn("key", F.monotonically_increasing_id()), "distinct-urls"), order)
     hist = judged.filter("learns = 0 and accepted + rejected > 0").groupBy(F.round(F.col("ratio") / STEP).cast("int").alias("cell")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).collect()
     cut = threshold([(x["cell"], x["a"], x["r"]) for x in hist])
-    out = rows.filter("url <> ''").join(small(judged.select("url", "ratio"), RATIOS), "url").unionByName(rows.filter("url = ''").withColumn("ratio", F.lit(0.0)))
+    out = rows.filter("url <> ''").join(small(judged.select("url", "ratio"), RATIOS, F.octet_length("url")), "url").unionByName(rows.filter("url = ''").withColumn("ratio", F.lit(0.0)))
     return out.select("page_id", "host", "path", F.col("decided.rule").alias("rule"), F.coalesce(verdict, F.when(F.col("ratio") > F.lit(cut), "block").otherwise("allow")).alias("verdict"), "ratio")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -418,6 +419,21 @@ def test_url_filter_scores_whole_urls(spark):
     assert bad["ratio"] > 0 > good["ratio"] and (bad["verdict"], good["verdict"]) == ("block", "allow")
 
 
+def test_long_urls_take_time_in_proportion(spark):
+    rng = random.Random(3)
+    long = "http://long.example/" + "".join(rng.choice("abcdefgh/-") for _ in range(1_000_000))
+    rows = [(k, f"http://{w}.example.net/{p}/{k}") for k in range(40) for w, p in (("good", "en"), ("casino", "de"))] + [(9000, long), (9001, long[:300_000]), (9002, "http://" + "a" * 255), (9003, "http://" + "b" * 16_385)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: r["ratio"] for r in url_filter.filter_urls(pages).collect() if r["page_id"] >= 9000}
+    assert time.time() - began < 60 and len(got) == 4
+    # pieces have the context that the whole has
+    few = url_filter.grams(pages.filter("page_id in (9001, 9002, 9003)").select("page_id", F.substring("url", 8, 2**30).alias("url")), 4, ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.crc32("gram")).alias("s")).collect()
+    for r in few:
+        padded = url_filter.PAD * 4 + dict(rows)[r["page_id"]][7:]
+        assert (r["n"], r["s"]) == (len(padded) - 4, sum(zlib.crc32(padded[k : k + 5].encode()) for k in range(len(padded) - 4)))
+
+
 # op7
 
 
@@ -425,7 +441,7 @@ def test_mixing(spark):
     rows = fixture(200)
     docs = documents(spark, rows)
     sized, plan = mixing.mix(docs)
-    out = mixing.with_draws(sized, plan, 7).select("doc_id", "source", "size", "mix_plan.target", F.col("mix_draws").alias("draws"), (F.col("size") * F.col("mix_draws")).alias("taken")).collect()
+    out = mixing.with_draws(sized, plan, 7).select("doc_id", "source", "digest", "copy", "size", "mix_plan.target", F.col("mix_draws").alias("draws"), (F.col("size") * F.col("mix_draws")).alias("taken")).collect()
     size = Counter()
     for _, text, _, source in rows:
         size[source] += len(words_of(text))
@@ -458,13 +474,13 @@ def test_mixing(spark):
         for _ in range(200):
             level = (low + high) / 2
             low, high = (level, high) if sum(min(1, level * x(r)) * r["size"] for r in own) < rest else (low, level)
-        u = lambda r: (int(hashlib.md5(f"7:{r['doc_id']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        u = lambda r: (int(hashlib.md5(f"7:{r['doc_id']}:{r['digest']}:{r['copy']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
         want, done = Counter(), 0
         for r in own:
             if level * x(r) >= 1 - 1e-9:
                 want[r["doc_id"], r["size"]] += 1
                 done += r["size"]
-        for r in sorted((r for r in own if level * x(r) < 1 - 1e-9), key=lambda r: (u(r) / (1 - u(r)) / (level * x(r) / (1 - level * x(r))), r["doc_id"], r["size"])) if rest > 0 else []:
+        for r in sorted((r for r in own if level * x(r) < 1 - 1e-9), key=lambda r: (u(r) / (1 - u(r)) / (level * x(r) / (1 - level * x(r))), r["doc_id"], r["digest"], r["copy"])) if rest > 0 else []:
             if done + r["size"] / 2 <= rest:
                 want[r["doc_id"], r["size"]] += 1
             done += r["size"]
@@ -475,6 +491,18 @@ def test_mixing(spark):
     assert mixing.mixed(documents(spark, EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 400, [5] * 400, list(range(400))])
+def test_mixing_meets_targets_whatever_the_ids(spark, ids):
+    """Rows that share an id, or are equal altogether, are drawn each for itself."""
+    rows = [(i, "one two three four five six seven eight nine ten", "en", "a") for i in ids] + [(1000 + k, "x " * 3000, "en", "b") for k in range(4)] + [(None, f"t{k % 3} " * 7, None, None) for k in range(90)]
+    docs = documents(spark, rows).repartition(7)
+    sized, plan = mixing.mix(docs)
+    got = mixing.with_draws(sized, plan, 7).groupBy("source").agg(F.sum(F.col("size") * F.col("mix_draws")).alias("taken"), F.first("mix_plan.target").alias("target"), F.max("size").alias("largest")).collect()
+    assert len(got) == 3 and all(abs(r["taken"] - r["target"]) <= r["largest"] / 2 + 1e-6 for r in got)
+    again = Counter((r["doc_id"], r["source"], r["n"]) for r in mixing.mixed(docs.repartition(3)).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect())
+    assert again == Counter((r["doc_id"], r["source"], r["n"]) for r in mixing.mixed(docs).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect())
+
+
 # op8
 
 
