@@ -125,36 +125,68 @@ def reproject_grids(sec: Grid, ref: Grid, shift_x: float = 0.0, shift_y: float =
 
 
 #: Pixels of the lines that a task fills together; a longer line is alone.
-PIXELS = 65_536
+PIXELS = 262_144
 
 
-def look_aside(rows: np.ndarray, found: np.ndarray, values: np.ndarray) -> np.ndarray:
+def envelope(rows: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cols, low, high, top) of lines whose pixels know the row of their column's nearest valid pixel (found; -1: none).
+
+    The squared distances from a line's pixels to one column's pixel are a parabola; the lower envelope of all of them is a
+    stack of columns, each at least as near as its neighbours from `low` to `high`. Parabolas that only touch it stay, for
+    ties. All lines are worked on at once, and each column comes and goes once: time is in proportion to pixels.
+    """
+    height, width = found.shape
+    cols, low, high = (np.zeros((height, width), np.int64) for _ in range(3))
+    top = np.full(height, -1)
+    down = np.where(found >= 0, found - rows[:, None], 0) ** 2 + np.arange(width) ** 2
+    for q in range(width):
+        line = np.flatnonzero(found[:, q] >= 0)
+        start = np.full(len(line), -FAR)
+        todo = np.flatnonzero(top[line] >= 0)
+        while len(todo):
+            at = line[todo]
+            t = top[at]
+            p = cols[at, t]
+            rise, run = down[at, q] - down[at, p], 2 * (q - p)
+            end = rise // run  # p is as near as q up to here, and q as p from the next whole place on
+            gone = low[at, t] > end
+            high[at, t] = end
+            start[todo] = -(-rise // run)
+            top[at[gone]] -= 1
+            start[todo[gone]] = -FAR
+            todo = todo[gone][top[at[gone]] >= 0]
+        top[line] += 1
+        t = top[line]
+        cols[line, t], low[line, t], high[line, t] = q, start, FAR
+    return cols, low, high, top
+
+
+def filled_lines(rows: np.ndarray, found: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Values of lines (the last axis) whose pixels know the nearest valid pixel of their column: its row (-1: none) and value.
 
-    A missing pixel looks left and right until it is farther away than its best find.
+    Of equally near pixels, that of the least row, then column.
     """
     height, width = found.shape
-    down2 = np.where(found >= 0, (found - rows[:, None]) ** 2, FAR)
-    at = np.flatnonzero(down2.ravel() > 0)  # valid pixels have found themselves
-    line, col = np.divmod(at, width)
-    best, best_row, best_col = down2[line, col], found[line, col], col.copy()
-    active = np.arange(len(at))
-    for k in range(1, width):
-        active = active[best[active] >= k * k]
-        if not len(active):
-            break
-        for aside in (-k, k):
-            c = col[active] + aside
-            some = active[(c >= 0) & (c < width)]
-            c = col[some] + aside
-            d2 = down2[line[some], c]
-            d2 = np.where(d2 < FAR, d2 + k * k, FAR)
-            row = found[line[some], c]
-            closer = (d2 < best[some]) | ((d2 == best[some]) & (d2 < FAR) & ((row < best_row[some]) | ((row == best_row[some]) & (c < best_col[some]))))
-            took = some[closer]
-            best[took], best_row[took], best_col[took] = d2[closer], row[closer], c[closer]
-    out = values.copy()
-    out[line, col] = np.where(best < FAR, values[line, best_col], np.nan)
+    cols, low, high, top = envelope(rows, found)
+    out, every = np.full(values.shape, np.nan), np.flatnonzero(top >= 0)
+    now = np.zeros(height, np.int64)
+    for c in range(width):
+        todo = every[high[every, now[every]] < c]
+        while len(todo):
+            now[todo] += 1
+            todo = todo[high[todo, now[todo]] < c]
+        best, k = cols[every, now[every]], now[every] + 1
+        tied = np.flatnonzero(k <= top[every])
+        tied = tied[low[every[tied], k[tied]] <= c]
+        while len(tied):
+            at = every[tied]
+            other = cols[at, k[tied]]
+            nearer = found[at, other] < found[at, best[tied]]  # columns ascend in the stack
+            best[tied[nearer]] = other[nearer]
+            k[tied] += 1
+            tied = tied[k[tied] <= top[at]]
+            tied = tied[low[every[tied], k[tied]] <= c]
+        out[every, c] = values[every, best]
     return out
 
 
@@ -162,7 +194,8 @@ def nearest_fill(grid: Grid) -> DataFrame:
     """row, col, z: missing pixels take the nearest valid one's value, of equally near ones that of least (row, col).
 
     Two passes over lines, each keyed by line: windows along columns find every pixel's nearest valid one of its column,
-    and along rows a missing pixel compares those of the columns beside it. A task holds a few rows, never the grid.
+    and along rows the lower envelope of their distances tells which column has each pixel's nearest. A task holds a few
+    rows, never the grid, and works in proportion to its pixels, however wide the holes.
     """
     m = grid.meta
     valid = F.when(F.col("z").isNotNull(), F.struct("row", "z"))
@@ -174,7 +207,7 @@ def nearest_fill(grid: Grid) -> DataFrame:
     def lines(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"])
         shape = (-1, m.ncols)
-        z = look_aside(pdf["row"].to_numpy(np.int64)[:: m.ncols], pdf["found"].to_numpy(np.int64).reshape(shape), pdf["v"].to_numpy(float).reshape(shape))
+        z = filled_lines(pdf["row"].to_numpy(np.int64)[:: m.ncols], pdf["found"].to_numpy(np.int64).reshape(shape), pdf["v"].to_numpy(float).reshape(shape))
         return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "z": z.ravel()})
 
     block = F.floor(F.col("row") / max(1, PIXELS // m.ncols))
