@@ -383,3 +383,21 @@ n AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{n}:{v}')" for k, (n, v) in enum
 grid AS (SELECT * FROM total, n)
 SELECT tile_row, tile_col, mode, class_idx, set_name, {', '.join(METRICS)}, coalesce(nbpts, 0) AS nbpts, round(coalesce(nbpts, 0) * 100.0 / total, 5) AS percent_valid_points
 FROM grid LEFT JOIN s USING (tile_row, tile_col, mode, class_idx)"""
+
+_pi = repr(math.pi)
+_angle = lambda k, x, n: f"2 * {_pi} * (({k} * {x}) % {n}) / {n}"
+# the transform as sums of sines and cosines along rows, then columns, and back
+ORACLES["curvature_plain"] = f"""
+WITH {SMOOTH},
+dim AS (SELECT max(row) + 1 AS h, max(col) + 1 AS w FROM smooth),
+rs AS (SELECT unnest(generate_series(0, h - 1)) AS k FROM dim),
+cs AS (SELECT unnest(generate_series(0, w - 1)) AS k FROM dim),
+f1 AS MATERIALIZED (SELECT row, k AS kc, sum(z * cos({_angle('k', 'col', 'w')})) AS re, -sum(z * sin({_angle('k', 'col', 'w')})) AS im FROM smooth, cs, dim GROUP BY 1, 2),
+f2 AS MATERIALIZED (SELECT kc, k AS kr, sum(re * cos({_angle('k', 'row', 'h')}) + im * sin({_angle('k', 'row', 'h')})) AS re, sum(im * cos({_angle('k', 'row', 'h')}) - re * sin({_angle('k', 'row', 'h')})) AS im FROM f1, rs, dim GROUP BY 1, 2),
+f3 AS MATERIALIZED (SELECT kc, kr, pow(pow(2 * {_pi} * least(kr, h - kr) / h, 2) + pow(2 * {_pi} * least(kc, w - kc) / w, 2), 0.45) / (h * w) AS g, re * g AS re, im * g AS im FROM f2, dim),
+f4 AS MATERIALIZED (SELECT kc, k AS row, sum(re * cos({_angle('k', 'kr', 'h')}) - im * sin({_angle('k', 'kr', 'h')})) AS re, sum(im * cos({_angle('k', 'kr', 'h')}) + re * sin({_angle('k', 'kr', 'h')})) AS im FROM f3, rs, dim GROUP BY 1, 2)
+SELECT row, k AS col, {z(f"sum(re * cos({_angle('k', 'kc', 'w')}) - im * sin({_angle('k', 'kc', 'w')}))", 4, 'z')} FROM f4, cs, dim GROUP BY 1, 2"""
+ORACLES["spatial_freq"] = f"""
+WITH n AS (SELECT max(o_orderkey) // 100 AS h FROM orders), g AS (SELECT unnest(generate_series(0, h - 1)) AS row, h FROM n), c AS (SELECT row, h, unnest(generate_series(0, 98)) AS col FROM g),
+f AS (SELECT row, col, (row - h // 2) * 2 * {_pi} / h AS f_row, (col - 49) * 2 * {_pi} / 99 AS f_col FROM c)
+SELECT row, col, {z('f_row', 9)}, {z('f_col', 9)}, {z('pow(f_row * f_row + f_col * f_col, 0.45)', 9, 'weight')} FROM f"""

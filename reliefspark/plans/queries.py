@@ -449,6 +449,20 @@ def curvature(spark, sf_dir):
     return rounded(spectral.curvature(smooth_grid(spark, sf_dir)), digits=4)
 
 
+@query
+def curvature_plain(spark, sf_dir):
+    """The curvature without mirror images: opposite edges are neighbours."""
+    return rounded(spectral.curvature(smooth_grid(spark, sf_dir), replication=False), digits=4)
+
+
+@query
+def spatial_freq(spark, sf_dir):
+    """The spatial frequencies of REF's grid without its last column and row, and the length that weighs its spectrum."""
+    m = ref_grid(spark, sf_dir).meta
+    f = spectral.frequencies(spark, m.nrows - 1, m.ncols - 1)
+    return rounded(f.withColumn("weight", F.pow(F.pow("f_row", 2) + F.pow("f_col", 2), 0.45)), "f_row", "f_col", "weight", digits=9)
+
+
 @query
 def svf(spark, sf_dir):
     return rounded(spectral.sky_view(smooth_grid(spark, sf_dir)), digits=3)

@@ -472,3 +472,25 @@ def test_tiles_are_coregistered_alone(spark, tmp_path):
     for bad in ({"height": 0}, {"width": -3}, {"overlap": -1}, {"nb_cpu": 0}, {"overlap": 40}, {"height": 2.5}):
         with pytest.raises(ValueError):
             tiles.check({"height": 40, "width": 30, **bad})
+
+
+@pytest.mark.parametrize("shape", [(6, 8), (7, 9), (5, 4), (1, 7), (8, 1)])
+def test_curvature_without_mirroring(spark, shape):
+    z = np.random.default_rng(sum(shape)).normal(size=shape) * 50
+    fy, fx = (np.fft.fftfreq(n) * 2 * np.pi for n in shape)
+    want = np.fft.ifft2(np.fft.fft2(z) * (fx**2 + fy[:, None] ** 2) ** 0.45).real
+    assert np.allclose(array(spectral.curvature(grid(spark, z.tolist()), replication=False)), want)
+    f = spectral.frequencies(spark, *shape)
+    for axis, n in enumerate(shape):
+        assert np.allclose(array(f, ("f_row", "f_col")[axis]).take(0, 1 - axis), np.fft.fftshift(np.fft.fftfreq(n) * 2 * np.pi) if n % 2 else np.arange(-n // 2, n // 2) * 2 * np.pi / n)
+
+
+def test_curvature_without_mirroring_fills_and_restores_holes(spark):
+    z = np.random.default_rng(2).normal(size=(6, 7))
+    holed = z.copy()
+    holed[2, 3] = np.nan
+    z[2, 3] = z[1, 3]  # of its neighbours, that of least row
+    fy, fx = (np.fft.fftfreq(n) * 2 * np.pi for n in z.shape)
+    want = np.fft.ifft2(np.fft.fft2(z) * (fx**2 + fy[:, None] ** 2) ** 0.45).real
+    want[2, 3] = np.nan
+    assert np.allclose(array(spectral.curvature(grid(spark, [[None if np.isnan(v) else v for v in line] for line in holed.tolist()]), replication=False)), want, equal_nan=True)
