@@ -7,6 +7,7 @@ median where it asks for it; a vector metric makes a table of bins from a table
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -113,58 +114,96 @@ DEFAULT = ("mean", "median", "max", "min", "sum", "percentil_90", "squared_sum",
 KEEPS_OUTLIERS = frozenset({"percentil_90"})
 
 
+#: Bins that a histogram may have: the windows over them, and what is saved of them, stay small.
+MOST_BINS = 1_000_000
+#: A histogram's bins: their number, the left edge of the first, their width, the values that count, and whether edges decide over quotients.
+Bins = namedtuple("Bins", "n low step high exact")
+
+
+def bounded(n: float, step: float) -> int:
+    """n; ValueError if so many bins are too many."""
+    if n > MOST_BINS:
+        raise ValueError(f"a bin_step of {step} makes {n:.0f} bins, more than {MOST_BINS}: choose a wider one, or leave outliers out")
+    return int(n)
+
+
+def cdf_bins(top: float, bin_step: float = 0.1) -> Bins:
+    """Equal bins from 0 to the greatest size of a value."""
+    n = max(bounded(top / bin_step, bin_step), LEAST_BINS)
+    return Bins(n, 0.0, top / n, top, False)
+
+
+def pdf_bins(found: float, bin_step: float | None = None, filter_p98: bool | None = None) -> Bins:
+    """Bins between -bound and bound, which is the greatest value or the size of the 98th percentile; less than LEAST_BINS edges give LEAST_BINS equal bins."""
+    step = bin_step or 1.0
+    bound = abs(found) if filter_p98 else found
+    edges = bounded(max(0, math.ceil(2 * bound / step)), step)
+    if edges >= LEAST_BINS:
+        n, low, step = edges - 1, -bound, (step - bound) + bound  # the step as edges added up have it
+        return Bins(n, low, step, low + n * step, True)
+    high = abs(bound)
+    return Bins(LEAST_BINS, -high, 2 * high / LEAST_BINS or 1.0, high, True)
+
+
+def cell_of(v: Column, bins) -> Column:
+    """The bin of a value, from columns n, low, step, high, exact (or numbers of these names)."""
+    of = lambda c: c if isinstance(c, Column) else F.lit(c)
+    n, low, step, high, exact = (of(c) for c in bins)
+    by_share = F.when(high > 0, F.floor(v / high * n)).otherwise(0)
+    cell = F.floor((v - low) / step)
+    by_edge = cell + F.when(v >= (cell + 1) * step + low, 1).when(v < cell * step + low, -1).otherwise(0)
+    return F.least(F.when(exact, by_edge).otherwise(by_share), n - 1).cast("long")
+
+
+def histograms(values: DataFrame, keys: list[str], value: Column, bins: dict[tuple, Bins], cumulative: bool) -> DataFrame:
+    """keys, bin, edge, value of all groups by one aggregation: the share of the group's values in each bin, or up to its end; empty bins too.
+
+    bins: those of each group; groups are few, and each has at most MOST_BINS.
+    """
+    kinds = dict(values.dtypes)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "n long, low double, step double, high double, exact boolean"
+    table = F.broadcast(values.sparkSession.createDataFrame([(*k, *b) for k, b in bins.items()], schema))
+    columns = [F.col(c) for c in Bins._fields]
+    v = values.select(*keys, value.alias("v")).filter("v is not null")
+    v = v.join(table, keys) if keys else v.withColumns({c: F.lit(b) for c, b in zip(Bins._fields, bins[()])})
+    counts = v.filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).groupBy(*keys, cell_of(F.col("v"), columns).alias("bin")).agg(F.count("*").alias("c"))
+    every = table.select(*keys, "low", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bin")).join(counts, [*keys, "bin"], "left")
+    own = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # MOST_BINS rows at most
+    c = F.coalesce("c", F.lit(0))
+    return every.select(*keys, "bin", (F.col("bin") * F.col("step") + F.col("low")).alias("edge"), ((F.sum(c).over(own.orderBy("bin")) if cumulative else c) / F.sum(c).over(own)).alias("value"))
+
+
 @vector("cdf")
 def cdf(values: DataFrame, bin_step: float = 0.1) -> DataFrame:
     """bin, edge, value: the cumulative share of |z| in equal bins from 0 to its maximum, by left edges; empty bins too."""
-    a = values.select(F.abs("z").alias("a")).filter("a is not null")
-    top = a.agg(F.max("a")).first()[0]
+    top = values.agg(F.max(F.abs("z"))).first()[0]
     if top is None:
         return values.sparkSession.createDataFrame([], "bin long, edge double, value double")
-    n = max(int(top / bin_step), LEAST_BINS)
-    cell = F.least(F.floor(F.col("a") / F.lit(top) * n), F.lit(n - 1)) if top else F.lit(0)
-    counts = a.groupBy(cell.cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    bins = values.sparkSession.range(n).withColumnRenamed("id", "bin").join(counts, "bin", "left")
-    share = F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy("bin")) / F.sum(F.coalesce("n", F.lit(0))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return bins.select("bin", (F.col("bin") * (top / n)).alias("edge"), share.alias("value"))
+    return histograms(values, [], F.abs("z"), {(): cdf_bins(top, bin_step)}, True)
 
 
 @vector("pdf")
 def pdf(values: DataFrame, bin_step: float | None = None, filter_p98: bool | None = None) -> DataFrame:
-    """bin, edge, value: the share of the values between -bound and bound in bins of bin_step (None: 1), by left edges.
-
-    bound is the maximum or, with filter_p98, the size of the 98th percentile. Less than LEAST_BINS edges give LEAST_BINS
-    equal bins.
-    """
+    """bin, edge, value: the share of the values between -bound and bound in bins of bin_step (None: 1), by left edges, as pdf_bins() has them."""
     v = values.select("z").filter("z is not null")
     found = quantile(v, F.col("z"), 0.98) if filter_p98 else v.agg(F.max("z")).first()[0]
     if found is None:
         return values.sparkSession.createDataFrame([], "bin long, edge double, value double")
-    step = bin_step or 1.0
-    bound = abs(found) if filter_p98 else found
-    edges = max(0, math.ceil(2 * bound / step))
-    if edges >= LEAST_BINS:
-        n, low, step = edges - 1, -bound, (step - bound) + bound  # the step as edges added up have it
-        high = low + n * step
-    else:
-        n, low, high = LEAST_BINS, -abs(bound), abs(bound)
-        step = (high - low) / n or 1.0
-    inside = v.filter((F.col("z") >= low) & (F.col("z") <= high))
-    cell = F.floor((F.col("z") - low) / step)
-    # the edges decide, not the quotient
-    cell = cell + F.when(F.col("z") >= (cell + 1) * step + low, 1).when(F.col("z") < cell * step + low, -1).otherwise(0)
-    cell = F.least(cell, F.lit(n - 1)).cast("long")
-    counts = inside.groupBy(cell.alias("bin")).agg(F.count("*").alias("n"))
-    bins = values.sparkSession.range(n).withColumnRenamed("id", "bin").join(counts, "bin", "left")
-    share = F.coalesce("n", F.lit(0)) / F.sum(F.coalesce("n", F.lit(0))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return bins.select("bin", (F.col("bin") * step + low).alias("edge"), share.alias("value"))
+    return histograms(v, [], F.col("z"), {(): pdf_bins(found, bin_step, filter_p98)}, False)
+
+
+def ratios(values: DataFrame, keys: list[str], elevation_threshold: tuple[float, ...] = (0.5, 1, 3), original_unit: str = "m") -> DataFrame:
+    """keys, bin, edge (the threshold in metres), value (the share of values above it) of all groups by one aggregation."""
+    t = [float(x) * UNITS[original_unit] for x in elevation_threshold]
+    shares = values.select(*keys, "z").filter("z is not null").groupBy(*keys).agg(*[F.avg((F.col("z") > x).cast("double")).alias(f"t{k}") for k, x in enumerate(t)])
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("bin"), F.lit(x).alias("edge"), F.col(f"t{k}").alias("value")) for k, x in enumerate(t)])
+    return shares.select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
 
 
 @vector("ratio_above_threshold")
 def ratio_above_threshold(values: DataFrame, elevation_threshold: tuple[float, ...] = (0.5, 1, 3), original_unit: str = "m") -> DataFrame:
-    """bin, edge (the threshold in metres), value (the share of values above it)."""
-    t = [float(x) * UNITS[original_unit] for x in elevation_threshold]
-    one = values.select("z").filter("z is not null").agg(*[F.avg((F.col("z") > x).cast("double")).alias(f"t{k}") for k, x in enumerate(t)])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("bin"), F.lit(x).alias("edge"), F.col(f"t{k}").alias("value")) for k, x in enumerate(t)])).alias("x")).select("x.*")
+    """bin, edge, value of all values as one group."""
+    return ratios(values, [], elevation_threshold, original_unit)
 
 
 @vector("slope-orientation-histogram")
@@ -201,8 +240,3 @@ def all_zero(values: DataFrame, total: int) -> bool:
     """Whether values cover all of the grid's pixels and all are zero to 6 decimals: their vector metrics are then left out."""
     got = values.agg(F.count("z").alias("n"), F.max(F.abs(F.round("z", 6))).alias("m")).first()
     return got["n"] == total and got["m"] == 0
-
-
-def rounded_bins(bins: DataFrame, digits: int = 5) -> DataFrame:
-    """bin, edge, value, rounded as results are."""
-    return bins.select("bin", F.round("edge", digits).alias("edge"), F.round(F.col("value").cast("double"), digits).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,30 +132,44 @@ def part_stats(grid: Grid, layer: Layer, every: DataFrame, chosen: tuple[str, ..
 def class_vectors(grid: Grid, layer: Layer, metric: str, params: dict | None = None, remove_outliers: bool = False) -> DataFrame:
     """mode, class_idx, set_name, bin, edge, value: a vector metric of every class of every mode, rounded.
 
-    Metrics of values read the class's heights; metrics of grids read the grid, null outside the class. Classes that cover
-    all pixels with zeros, and empty ones, have no rows. Classes are few; each is one aggregation over the persisted grid.
+    Metrics of values read the class's heights, all classes in one aggregation; metrics of grids read the grid, null
+    outside the class. Classes that cover all pixels with zeros, and empty ones, have no rows. A few numbers a class come
+    to the driver, bins never do.
     """
+    keys, params, total = ["mode", "class_idx"], params or {}, grid.meta.nrows * grid.meta.ncols
     df = in_modes(inliers(grid.df) if remove_outliers else grid.df, layer)
     z = F.when(F.col("inlier"), F.col("z")) if remove_outliers else F.col("z")
-    df = df.select("row", "col", "mode", "class_idx", z.alias("z")).persist()
-    of_grid = metric in metrics.GRID_VECTORS
-    made = []
+    df = df.filter("class_idx is not null").select("row", "col", *keys, z.alias("z")).persist()
     try:
-        filled = {(r["mode"], r["class_idx"]) for r in df.filter("z is not null and class_idx is not null").select("mode", "class_idx").distinct().collect()}  # a few classes
-        total = grid.meta.nrows * grid.meta.ncols
-        for mode, k, name, value in sorted(classes_table(df, layer).collect()):
-            values = df.filter((F.col("mode") == mode) & (F.col("class_idx") == k))
-            if (mode, k) not in filled or metrics.all_zero(values, total):
-                continue
-            if of_grid:
-                own = grid.df.select("row", "col").join(values.select("row", "col", "z"), ["row", "col"], "left")
-                bins = metrics.vector_metric(metric)(Grid(own, grid.meta), **{"dx": grid.meta.xres, "dy": grid.meta.yres, **(params or {})})
-            else:
-                bins = metrics.vector_metric(metric)(values, **(params or {}))
-            made += [(mode, k, f"{name}:{value}", r["bin"], r["edge"], r["value"]) for r in metrics.rounded_bins(bins, DIGITS).collect()]  # bins of a class
+        size = df.groupBy(*keys).agg(F.count("z").alias("n"), F.max(F.abs(F.round("z", 6))).alias("all_zero"), F.max("z").alias("top"), F.max(F.abs("z")).alias("far")).collect()  # a few classes
+        found = {(r["mode"], r["class_idx"]): r for r in size if r["n"] and not (r["n"] == total and r["all_zero"] == 0)}
+        values = df.select(*keys, "z")
+        if not found:
+            bins = df.sparkSession.createDataFrame([], "mode string, class_idx int, bin long, edge double, value double")
+        elif metric == "cdf":
+            bins = metrics.histograms(values, keys, F.abs("z"), {k: metrics.cdf_bins(r["far"], **params) for k, r in found.items()}, True)
+        elif metric == "pdf":
+            p98 = quantiles.quantiles(values, keys, [("q", F.col("z"), 0.98)]) if params.get("filter_p98") else {}
+            bins = metrics.histograms(values, keys, F.col("z"), {k: metrics.pdf_bins(p98[k]["q"] if p98 else r["top"], **params) for k, r in found.items()}, False)
+        elif metric == "ratio_above_threshold":
+            bins = metrics.ratios(values, keys, **params)
+        else:
+            made = []
+            for (mode, k), _ in sorted(found.items()):
+                own = df.filter((F.col("mode") == mode) & (F.col("class_idx") == k)).select("row", "col", "z")
+                own = grid.df.select("row", "col").join(own, ["row", "col"], "left") if metric in metrics.GRID_VECTORS else own
+                args = {"dx": grid.meta.xres, "dy": grid.meta.yres, **params} if metric in metrics.GRID_VECTORS else params
+                of = Grid(own, grid.meta) if metric in metrics.GRID_VECTORS else own
+                one = metrics.vector_metric(metric)(of, **args)
+                made.append(one.select(F.lit(mode).alias("mode"), F.lit(k).cast("int").alias("class_idx"), "bin", "edge", F.col("value").cast("double").alias("value")))
+            bins = reduce(DataFrame.unionByName, made)
+        bins = written(bins, "vectors")
     finally:
         df.unpersist()
-    return grid.df.sparkSession.createDataFrame(made, "mode string, class_idx int, set_name string, bin long, edge double, value double")
+    wanted = df.sparkSession.createDataFrame([*found], "mode string, class_idx int") if found else bins.select(*keys)
+    names = classes_table(df, layer).join(F.broadcast(wanted), keys, "left_semi")
+    named = bins.join(F.broadcast(names), keys)
+    return named.select(*keys, F.concat_ws(":", "class_name", "class_value").alias("set_name"), "bin", F.round("edge", DIGITS).alias("edge"), F.round("value", DIGITS).alias("value"))
 
 
 def class_matrix(grid: Grid, layer: Layer, metric: str, params: dict | None = None, class_idx: int = 0, mode: str = "standard") -> DataFrame:

@@ -401,3 +401,5 @@ ORACLES["spatial_freq"] = f"""
 WITH n AS (SELECT max(o_orderkey) // 100 AS h FROM orders), g AS (SELECT unnest(generate_series(0, h - 1)) AS row, h FROM n), c AS (SELECT row, h, unnest(generate_series(0, 98)) AS col FROM g),
 f AS (SELECT row, col, (row - h // 2) * 2 * {_pi} / h AS f_row, (col - 49) * 2 * {_pi} / 99 AS f_col FROM c)
 SELECT row, col, {z('f_row', 9)}, {z('f_col', 9)}, {z('pow(f_row * f_row + f_col * f_col, 0.45)', 9, 'weight')} FROM f"""
+for _name, _of in (("alti_diff_blocks", "alti_diff"), ("slope_blocks", "slope_projected"), ("normals_blocks", "normals"), ("hillshade_blocks", "hillshade")):
+    ORACLES[_name] = ORACLES[_of]  # another way to the same pixels

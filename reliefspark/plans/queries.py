@@ -12,7 +12,7 @@ from reliefspark.functions import metrics
 from reliefspark.functions.pixel import x_of, y_of
 from reliefspark.functions.projection import moved
 from reliefspark.grid import Grid, GridMeta, create_grid, crop_box, crop_offset, roi_bounds
-from reliefspark.operators import classify, processing, resample, spectral, stats, stencil, tiling
+from reliefspark.operators import blocks, classify, processing, resample, spectral, stats, stencil, tiling
 from reliefspark.operators.coregister import coregister, counts, offsets_of, pair, slices
 from reliefspark.operators.coregister import fit as fit_shift
 from reliefspark.sources.geotiff import write_raster
@@ -504,3 +504,29 @@ def stats_by_tile(spark, sf_dir):
     g = g.with_df(g.df.withColumn("z", F.col("z") / 1.609344))
     layer = classify.segmentation("priority", {"classes": SEGMENTS}, g.df.columns)
     return summed(tiling.stats_by_tile(g, layer, 4, 4, 1))
+
+
+def saved_blocks(grid: Grid, size: int = 32) -> blocks.BlockGrid:
+    return blocks.save_blocks(blocks.to_blocks(grid, size), fresh(grid.df.sparkSession, "blocks"), 8)
+
+
+@query
+def alti_diff_blocks(spark, sf_dir):
+    """REF and SEC saved in buckets by block, and joined where they lie."""
+    ref, sec = (saved_blocks(g) for g in both(spark, sf_dir))
+    return rounded(blocks.pixels(blocks.alti_diff(ref, sec)))
+
+
+@query
+def slope_blocks(spark, sf_dir):
+    return rounded(blocks.slope(saved_blocks(sec_grid(spark, sf_dir, px=PX))), "slope")
+
+
+@query
+def normals_blocks(spark, sf_dir):
+    return rounded(blocks.normals(saved_blocks(ref_grid(spark, sf_dir, px=PX))), "n_x", "n_y", "n_z")
+
+
+@query
+def hillshade_blocks(spark, sf_dir):
+    return rounded(blocks.hillshade(saved_blocks(sec_grid(spark, sf_dir))), digits=4)

@@ -494,3 +494,15 @@ def test_curvature_without_mirroring_fills_and_restores_holes(spark):
     want = np.fft.ifft2(np.fft.fft2(z) * (fx**2 + fy[:, None] ** 2) ** 0.45).real
     want[2, 3] = np.nan
     assert np.allclose(array(spectral.curvature(grid(spark, [[None if np.isnan(v) else v for v in line] for line in holed.tolist()]), replication=False)), want, equal_nan=True)
+
+
+def test_far_heights_make_no_endless_histograms(spark):
+    g = grid(spark, [[1e9, 2, 3, 0.5, -4.0]])
+    layer = classify.global_layer()
+    for metric, params in (("cdf", {"bin_step": 0.1}), ("pdf", {"bin_step": 0.2})):
+        with pytest.raises(ValueError, match="bin_step of 0"):
+            stats.class_vectors(g, layer, metric, params)
+        with pytest.raises(ValueError, match="choose a wider one"):
+            metrics.vector_metric(metric)(g.df, **params)
+        bins = stats.class_vectors(g, layer, metric, {"bin_step": 1e4})
+        assert bins.count() > 50_000 and bins.agg({"value": "max"}).first()[0] == (1.0 if metric == "cdf" else 0.8)
