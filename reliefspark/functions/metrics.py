@@ -222,6 +222,11 @@ def slope_orientation_histogram(grid: Grid, dx: float, dy: float, nb_bins: int =
     return bins.select("bin", (F.col("bin") * step + low).alias("edge"), F.coalesce("n", F.lit(0)).alias("value"))
 
 
+def polar(bins: DataFrame) -> DataFrame:
+    """bin, theta, degrees, value of an orientation histogram: where a polar plot draws each bin, counter-clockwise from the east, and its direction clockwise from the north."""
+    return bins.select("bin", (F.lit(math.pi / 2) - F.col("edge")).alias("theta"), F.degrees("edge").alias("degrees"), "value")
+
+
 @matrix("hillshade")
 def hillshade(grid: Grid, azimuth: float = 315.0, angle_altitude: float = 45.0) -> DataFrame:
     from reliefspark.operators.stencil import hillshade as shaded

@@ -62,6 +62,12 @@ class Coregistered:
     reproj_sec: Grid
     reproj_ref: Grid
     coreg_sec: Grid
+    history: tuple = ()
+
+    def fit_table(self) -> DataFrame:
+        """iteration, slice, aspect (the slice's lower bound), n, median, fitted, east, north, c: the slices that each iteration fits, and its curve there."""
+        schema = "iteration int, slice int, aspect double, n long, median double, fitted double, east double, north double, c double"
+        return self.sec.df.sparkSession.createDataFrame(list(self.history), schema)
 
 
 def slices(pixels: DataFrame) -> DataFrame:
@@ -111,9 +117,11 @@ def bias_of(pixels: DataFrame) -> float:
 
 
 @register("nuth_kaab_internal")
-def nuth_kaab(sec: Grid, ref: Grid, iterations: int = 6) -> tuple[float, float, float, Grid, Grid]:
+def nuth_kaab(sec: Grid, ref: Grid, iterations: int = 6, history: list | None = None) -> tuple[float, float, float, Grid, Grid]:
     """east, north, dz, and both grids moved together. Every iteration resamples the grids as given, so plans don't grow.
 
+    history gets the rows of fit_table(), at most SLICES an iteration.
+
     The grids as given, and each iteration's pair of grids, are persisted while they are read several times.
     """
     base_ref, base_sec = Grid(ref.df.persist(), ref.meta, ref.labels), Grid(sec.df.persist(), sec.meta, sec.labels)
@@ -122,9 +130,13 @@ def nuth_kaab(sec: Grid, ref: Grid, iterations: int = 6) -> tuple[float, float,
     pixels = pair(now_ref, now_sec).persist()
     try:
         bias = bias_of(pixels)
-        for _ in range(iterations):
-            east, north, _ = fit([(r["slice"], r["median"]) for r in slices(offsets_of(pixels, now_sec.meta, bias)).collect()])  # SLICES rows
+        for k in range(iterations):
+            rows = slices(offsets_of(pixels, now_sec.meta, bias)).collect()  # SLICES rows
+            east, north, c = fit([(r["slice"], r["median"]) for r in rows])
             x, y = x + east, y + north
+            if history is not None:
+                angle = lambda r: r["slice"] * math.pi / 36
+                history += [(k, r["slice"], angle(r), r["n"], r["median"], north * math.cos(angle(r)) + east * math.sin(angle(r)) + c, east, north, c) for r in rows]
             moved = Grid(shifted(base_ref, x, y, ("z", *base_ref.labels)), base_ref.meta, base_ref.labels)
             now_ref, now_sec = crop_offset(moved, x, y), crop_offset(base_sec, x, y)
             pixels.unpersist()
@@ -153,7 +165,8 @@ def coregister(sec: Grid, ref: Grid, method: str = "nuth_kaab_internal", iterati
     if method not in _methods:
         raise KeyError(f"no coregistration method named {method}")
     sec_on, ref_on, factor = reproject_grids(sec, ref, initial_shift_x, initial_shift_y, sampling_source)
-    east, north, dz, moved_sec, moved_ref = _methods[method](sec_on, ref_on, iterations)
+    history: list = []
+    east, north, dz, moved_sec, moved_ref = _methods[method](sec_on, ref_on, iterations, history)
     t = Transformation(east, -north, dz, initial_shift_x, initial_shift_y, factor)
     bias = lambda v, res: {"total_bias_value": round(v * res, 5), "unit_bias_value": "m"}
     results = {
@@ -163,4 +176,4 @@ def coregister(sec: Grid, ref: Grid, method: str = "nuth_kaab_internal", iterati
         "gdal_translate_bounds": translate_bounds(sec.meta, t.total_offset_y, t.total_offset_x),
         "reproj_coreg_ref": counts(moved_ref), "reproj_coreg_sec": counts(moved_sec),
     }
-    return Coregistered(moved_sec, moved_ref, t, results, sec_on, ref_on, t.apply(sec))
+    return Coregistered(moved_sec, moved_ref, t, results, sec_on, ref_on, t.apply(sec), tuple(history))

@@ -72,12 +72,14 @@ def statistics(grid: Grid, method: str, cfg: dict, output_dir: str | None = None
 
 
 def save_plot_data(grid: Grid, folder: str) -> None:
-    """What plots of a method's grid show: cdf, pdf, hillshade, sky view factor, and the range of colours (mean, deviation)."""
+    """What plots of a method's grid show: cdf, pdf, orientations as in a polar plot, hillshade, sky view factor, and the range of colours (mean, deviation)."""
     everything = classify.global_layer()
     for m in ("cdf", "pdf"):
         stats.save_vectors(stats.class_vectors(grid, everything, m, PLOTTED[m]), m, folder)
     for m in ("hillshade", "svf"):
         save_grid(Grid(stats.class_matrix(grid, everything, m), grid.meta), f"{folder}/{m}")
+    around = metrics.polar(metrics.vector_metric("slope-orientation-histogram")(grid, grid.meta.xres, grid.meta.yres))
+    around.orderBy("bin").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/slope_orientation_polar.csv")
     span = grid.df.agg(F.avg("z").alias("mean"), F.stddev_pop("z").alias("std")).select("mean", "std", (F.col("mean") - F.col("std")).alias("vmin"), (F.col("mean") + F.col("std")).alias("vmax"))
     span.coalesce(1).write.mode("overwrite").json(f"{folder}/snapshot_range.json")
 
@@ -100,6 +102,8 @@ def run(spark: SparkSession, cfg: dict | str) -> tuple[DataFrame | None, dict]:
             spark.createDataFrame([(json.dumps(results),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/coregistration/coregistration_results.json")
             ref, sec = saved(ref, f"{out}/coregistration/reproj_coreg_REF", raster), saved(sec, f"{out}/coregistration/reproj_coreg_SEC", raster)
         if c["save_optional_outputs"]:
+            fits = done.fit_table().coalesce(1).sortWithinPartitions("iteration", "slice")
+            fits.write.mode("overwrite").option("header", True).csv(f"{c['output_dir']}/coregistration/nuth_kaab_fit.csv")
             for grid, name in ((done.reproj_sec, "reproj_SEC"), (done.reproj_ref, "reproj_REF"), (done.coreg_sec, "coreg_SEC")):
                 save_grid(grid, f"{c['output_dir']}/coregistration/{name}")
     elif sec is not None:
