@@ -403,3 +403,27 @@ f AS (SELECT row, col, (row - h // 2) * 2 * {_pi} / h AS f_row, (col - 49) * 2 *
 SELECT row, col, {z('f_row', 9)}, {z('f_col', 9)}, {z('pow(f_row * f_row + f_col * f_col, 0.45)', 9, 'weight')} FROM f"""
 for _name, _of in (("alti_diff_blocks", "alti_diff"), ("slope_blocks", "slope_projected"), ("normals_blocks", "normals"), ("hillshade_blocks", "hillshade")):
     ORACLES[_name] = ORACLES[_of]  # another way to the same pixels
+
+ORACLES["cube_band"] = f"WITH {SEC} SELECT row, col, {z()} FROM sec"
+ORACLES["cube_index"] = f"WITH {DIFF}, p AS (SELECT row, col, r.z AS a, s.z AS b FROM ref r JOIN sec s USING (row, col)) SELECT row, col, {z('CASE WHEN a + b <> 0 THEN (a - b) / (a + b) END', 7, 'z')} FROM p"
+ORACLES["cube_stats"] = f"""
+WITH {REF}, {SEC}, b AS (SELECT 1 AS band, 'height' AS name, z FROM ref UNION ALL SELECT 2, 'priority', priority FROM ref UNION ALL SELECT 3, 'other', z FROM sec)
+SELECT band, name, count(z) AS n, {z('avg(z)', alias='mean')}, {z('stddev_pop(z)', alias='std')}, {z('min(z)', alias='min')}, {z('max(z)', alias='max')} FROM b GROUP BY 1, 2"""
+
+
+def _bound(points: str, value: str, name: str) -> str:
+    """CTE: the interpolated median of weighted points by class."""
+    return f"""
+{name}_1 AS (SELECT class_idx, {value} AS v, sum(n) OVER (PARTITION BY class_idx ORDER BY {value} ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY class_idx) AS total FROM {points}),
+{name} AS (SELECT class_idx, min(v) FILTER (upto > floor((total - 1) / 2.0)) + (min(v) FILTER (upto > ceil((total - 1) / 2.0)) - min(v) FILTER (upto > floor((total - 1) / 2.0))) * (any_value(total) - 1) % 2 / 2.0 AS {name} FROM {name}_1 GROUP BY 1)"""
+
+
+ORACLES["order_bounds"] = f"""
+WITH {DIFF},
+v AS (SELECT pr AS class_idx, z, CASE WHEN z = 0 THEN 0 ELSE sign(z) * (floor(log2(abs(z)) * 16) + 17600) END AS cell FROM d WHERE z IS NOT NULL),
+t AS MATERIALIZED (SELECT class_idx, cell, count(*) AS n, min(z) AS lo, max(z) AS hi FROM v GROUP BY 1, 2),
+{_bound('t', 'lo', 'median_low')}, {_bound('t', 'hi', 'median_high')},
+q AS (SELECT class_idx, n, 1.4826 * greatest(0, lo - median_high, median_low - hi) AS near, 1.4826 * greatest(hi - median_low, median_high - lo) AS far FROM t JOIN median_low USING (class_idx) JOIN median_high USING (class_idx)),
+{_bound('q', 'near', 'nmad_low')}, {_bound('q', 'far', 'nmad_high')},
+c AS (SELECT class_idx, sum(n)::BIGINT AS nbpts FROM t GROUP BY 1)
+SELECT class_idx, nbpts, {z('median_low')}, {z('median_high')}, {z('nmad_low')}, {z('nmad_high')} FROM c JOIN median_low USING (class_idx) JOIN median_high USING (class_idx) JOIN nmad_low USING (class_idx) JOIN nmad_high USING (class_idx)"""

@@ -15,9 +15,11 @@ from reliefspark.grid import Grid, GridMeta, create_grid, crop_box, crop_offset,
 from reliefspark.operators import blocks, classify, processing, resample, spectral, stats, stencil, tiling
 from reliefspark.operators.coregister import coregister, counts, offsets_of, pair, slices
 from reliefspark.operators.coregister import fit as fit_shift
+from reliefspark.sources import cubes
 from reliefspark.sources.geotiff import write_raster
 from reliefspark.sources.grids import add_geoid, events_grid, load_grid, ref_grid, sec_grid, smooth_grid, table
 from reliefspark.sources.scratch import fresh
+from reliefspark.streaming import incremental
 
 QUERIES: dict = {}
 #: Pixel size at which the slope classes of the order grids are all populated.
@@ -530,3 +532,37 @@ def normals_blocks(spark, sf_dir):
 @query
 def hillshade_blocks(spark, sf_dir):
     return rounded(blocks.hillshade(saved_blocks(sec_grid(spark, sf_dir))), digits=4)
+
+
+def order_cube(spark, sf_dir) -> cubes.Cube:
+    """A saved cube of REF: its heights, its priorities and SEC's heights."""
+    ref, sec = both(spark, sf_dir)
+    plane = Grid(ref.df.select("row", "col", F.col("priority").cast("double").alias("z")), ref.meta)
+    cube = cubes.stacked({"height": Grid(ref.z(), ref.meta), "priority": plane, "other": Grid(sec.z(), ref.meta)}, height={"unit": "m"})
+    return cubes.save_cube(cube, fresh(spark, "cube"))
+
+
+@query
+def cube_band(spark, sf_dir):
+    """One band of a saved cube: its folder is the only one that is read."""
+    return rounded(cubes.flat(order_cube(spark, sf_dir), "other").df)
+
+
+@query
+def cube_index(spark, sf_dir):
+    """A function over bands of a saved cube: the normalised difference of both heights."""
+    a, b = F.col("height"), F.col("other")
+    return rounded(cubes.per_pixel(order_cube(spark, sf_dir), F.try_divide(a - b, a + b), ["height", "other"]).df, digits=7)
+
+
+@query
+def cube_stats(spark, sf_dir):
+    return rounded(cubes.band_stats(order_cube(spark, sf_dir)), "mean", "std", "min", "max")
+
+
+@query
+def order_bounds(spark, sf_dir):
+    """Bounds of median and nmad by priority, from cells of differences that were counted by column first, as tiles of a stream are."""
+    d = diff(spark, sf_dir).df
+    parts = incremental.cells(d.select("col", F.col("priority_ref").alias("class_idx"), "z"), "col")
+    return rounded(incremental.order_bounds(parts), "median_low", "median_high", "nmad_low", "nmad_high")
