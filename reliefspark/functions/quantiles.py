@@ -2,7 +2,7 @@
 
 Spark's own exact percentile keeps all distinct values of a group in one task. Here each pass counts values in equal
 cells of the interval that holds a wanted rank, with partial sums in every task, and narrows the interval to the least
-and greatest value of that rank's cell, until few enough values are left to be sorted together.
+and greatest value of that rank's cell, until few enough values are left to be sorted together in one task.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a pass, and values of an interval that are sorted together.
-CELLS, SORTED = 4096, 2000
+#: Cells of a pass, and values of an interval that are sorted together (a few megabytes).
+CELLS, SORTED = 4096, 200_000
 
 
 def quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, Column, float]], cells: int = CELLS, most: int = SORTED) -> dict[tuple, dict[str, float | None]]:
     """name -> quantile by key, for each wanted (name, value, share): interpolated between order statistics of values that aren't null.
 
-    Groups are classes, so they are few; what comes to the driver is a few numbers a group in each pass, and at last at
-    most `most` values a rank. Groups without values are None. df is read about four times: persist it if it is dear.
+    Groups are classes, so they are few; what comes to the driver is a few numbers a group in each pass, and at last a
+    value a rank. Groups without values are None. df is read twice, and once more a pass for groups of more than `most`
+    values: persist it if it is dear.
     """
     names = [n for n, _, _ in wanted]
     shares = {n: s for n, _, s in wanted}
@@ -34,10 +35,10 @@ def quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, Column, fl
             below = int(shares[name] * (g["n"] - 1))
             for rank in {below, min(below + 1, g["n"] - 1)}:
                 ranks[group, name, rank] = {"low": g["low"], "high": g["high"], "before": 0, "inside": g["n"]}
-    schema = "".join(f"{k} {dict(df.dtypes)[k]}, " for k in keys) + "name string, rank long, low double, high double, step double"
+    schema = "".join(f"{k} {dict(df.dtypes)[k]}, " for k in keys) + "name string, rank long, before long, low double, high double, step double"
 
     def inside(of_ranks: list) -> DataFrame:
-        table = spark.createDataFrame([(*g, name, rank, i["low"], i["high"], i["high"] / cells - i["low"] / cells) for (g, name, rank), i in of_ranks], schema)
+        table = spark.createDataFrame([(*g, name, rank, i["before"], i["low"], i["high"], i["high"] / cells - i["low"] / cells) for (g, name, rank), i in of_ranks], schema)
         return v.join(F.broadcast(table), [*keys, "name"]).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
 
     while wide := [(k, i) for k, i in ranks.items() if i["inside"] > most and i["high"] > i["low"]]:
@@ -56,16 +57,10 @@ def quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, Column, fl
                 before += n
     at: dict[tuple, float] = {k: i["low"] for k, i in ranks.items() if i["high"] == i["low"]}
     if few := [(k, i) for k, i in ranks.items() if k not in at]:
-        values: dict[tuple, list] = {}
-        for r in inside(few).groupBy(*keys, "name", "rank", "v").agg(F.count("*").alias("n")).collect():  # at most `most` rows a rank
-            values.setdefault((*of(r), r["rank"]), []).append((r["v"], r["n"]))
-        for key, i in few:
-            before = i["before"]
-            for x, n in sorted(values[key]):
-                if before + n > key[2]:
-                    at[key] = x
-                    break
-                before += n
+        place = (F.col("rank") - F.col("before") + 1).cast("int")
+        sorted_ = inside(few).groupBy(*keys, "name", "rank", "before").agg(F.sort_array(F.collect_list("v")).alias("a"))  # `most` values a rank
+        for r in sorted_.select(*keys, "name", "rank", F.element_at("a", place).alias("x")).collect():  # a row a rank
+            at[(*of(r), r["rank"])] = r["x"]
     out: dict[tuple, dict[str, float | None]] = {}
     for (group, name), g in sizes.items():
         if g["n"]:
