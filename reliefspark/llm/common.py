@@ -36,6 +36,7 @@ def held(name: str, make):
 
 
 _written: list[tuple[SparkSession, str]] = []
+_local: list[tempfile.TemporaryDirectory] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +58,9 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='corpus-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        if not _local:
+            _local.append(tempfile.TemporaryDirectory(prefix="corpus-", ignore_cleanup_errors=True))
+        base = f"file://{_local[0].name}"
     return f"{base.rstrip('/')}/corpus/{spark.sparkContext.applicationId}"
 
 

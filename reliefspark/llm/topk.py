@@ -47,7 +47,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     Queries are the rows whose id is divisible by `every`; ties go to the smaller id. Vectors null or holding null or
     non-finite components take no part; vectors meet those of their own length only. A row is no candidate for a query
     of its own id, so rows repeated with one id don't find each other; each takes part otherwise, and a query id
-    that is repeated is answered once, for the least of its vectors. Null ids take no part. Other columns are never read.
+    that is repeated is answered once, for the least of its shortest vectors. Null ids take no part. Other columns are never read.
     An empty table gives no rows.
 
     Rows are dealt by their place in the table to shards, so that an id or vector with a third of all rows fills no
@@ -58,7 +58,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     n = v.count()
     queries = v.filter(F.col("vec_id") % every == 0)
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-queries.count() // QUERIES))
-    asked = queries.groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
+    asked = queries.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("q")).select("vec_id", "q.dim", "q.v")
     left = asked.select(F.lit(True).alias("is_query"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), "dim", "vec_id", "v")
     right = v.select(F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"), "dim", "vec_id", "v")
 

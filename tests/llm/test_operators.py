@@ -581,6 +581,12 @@ def test_language_id_edge_cases(spark):
 # op9
 
 
+def test_top_k_answers_a_query_of_several_lengths_once(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (0, [1.0, 1.0]), (0, [0.5, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [5.0, 5.0, 5.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 2, 9 * 64 * 64), (0, 2, 1, 32 * 64)]
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 16)
     monkeypatch.setattr(topk, "QUERIES", 3)
