@@ -12,12 +12,6 @@ from reliefspark.grid import GridMeta
 EARTH_RADIUS = 6378137.0
 
 
-def no_data(z: Column, nodata: float) -> Column:
-    """Null for no data and NaN."""
-    z = F.nanvl(z, F.lit(None).cast("double"))
-    return F.when(z != F.lit(nodata), z)
-
-
 def x_of(meta: GridMeta, row: Column, col: Column) -> Column:
     c, a, b, *_ = meta.transform
     return F.lit(c) + F.lit(a) * col + F.lit(b) * row
