@@ -427,3 +427,19 @@ q AS (SELECT class_idx, n, 1.4826 * greatest(0, lo - median_high, median_low - h
 {_bound('q', 'near', 'nmad_low')}, {_bound('q', 'far', 'nmad_high')},
 c AS (SELECT class_idx, sum(n)::BIGINT AS nbpts FROM t GROUP BY 1)
 SELECT class_idx, nbpts, {z('median_low')}, {z('median_high')}, {z('nmad_low')}, {z('nmad_high')} FROM c JOIN median_low USING (class_idx) JOIN median_high USING (class_idx) JOIN nmad_low USING (class_idx) JOIN nmad_high USING (class_idx)"""
+
+_moved = bilinear("row + 2.5", "col + 1.25").replace("s.z", "s.{c}").replace(" sec s ON", " ref s ON")
+_planes = [f"({_moved.replace('{c}', c)} SELECT row, col, {z('z', 8, c)} FROM v)" for c in ("z", "priority", "status")]
+ORACLES["shifted_labels"] = f"SELECT row, col, a.z, b.priority, c.status FROM {_planes[0]} a JOIN {_planes[1]} b USING (row, col) JOIN {_planes[2]} c USING (row, col)"
+_kept = ("mean", "median", "max", "min", "std")
+ORACLES["whole_run"] = f"""
+WITH {DIFF},
+p AS (SELECT z, {PR} AS class_idx, ({PR}) IS NOT DISTINCT FROM ({PS}) AS agree FROM d),
+k AS (
+  SELECT 'global' AS layer, 'standard' AS mode, 0 AS class_idx, z FROM p
+  UNION ALL SELECT 'priority', 'standard', class_idx, z FROM p
+  UNION ALL SELECT 'priority', CASE WHEN agree THEN 'intersection' ELSE 'exclusion' END, class_idx, z FROM p),
+s AS (SELECT layer, mode, class_idx, {', '.join(f"round({METRICS[m].format(z='z')}, 5) AS {m}" for m in _kept)}, count(z)::DOUBLE AS nbpts, round(count(z) * 100.0 / (SELECT count(*) FROM orders), 5) AS percent_valid_points FROM k GROUP BY ALL),
+u AS (UNPIVOT s ON {', '.join(_kept)}, nbpts, percent_valid_points INTO NAME metric VALUE value)
+SELECT 'alti-diff' AS method, layer, mode, class_idx, CASE WHEN layer = 'global' THEN 'global:1' ELSE set_name END AS set_name, metric, value + 0.0 AS value
+FROM u JOIN (VALUES {', '.join(f"({k}, '{n}:{v}')" for k, (n, v) in enumerate(SEGMENTS))}) n(class_idx, set_name) USING (class_idx)"""

@@ -15,6 +15,7 @@ from reliefspark.grid import Grid, GridMeta, create_grid, crop_box, crop_offset,
 from reliefspark.operators import blocks, classify, processing, resample, spectral, stats, stencil, tiling
 from reliefspark.operators.coregister import coregister, counts, offsets_of, pair, slices
 from reliefspark.operators.coregister import fit as fit_shift
+from reliefspark.plans import pipeline
 from reliefspark.sources import cubes
 from reliefspark.sources.geotiff import write_raster
 from reliefspark.sources.grids import add_geoid, events_grid, load_grid, ref_grid, sec_grid, smooth_grid, table
@@ -566,3 +567,21 @@ def order_bounds(spark, sf_dir):
     d = diff(spark, sf_dir).df
     parts = incremental.cells(d.select("col", F.col("priority_ref").alias("class_idx"), "z"), "col")
     return rounded(incremental.order_bounds(parts), "median_low", "median_high", "nmad_low", "nmad_high")
+
+
+@query
+def shifted_labels(spark, sf_dir):
+    """Label planes moved with the heights, by one aggregation."""
+    return rounded(resample.shifted(ref_grid(spark, sf_dir), 1.25, -2.5, ("z", "priority", "status")), "z", "priority", "status", digits=8)
+
+
+@query
+def whole_run(spark, sf_dir):
+    """A configuration's run over raster files of REF and SEC with their label planes: scans, alignment, difference, layers, statistics."""
+    cfg = {"statistics": {"alti-diff": {"classification_layers": {"priority": {"type": "segmentation", "classes": SEGMENTS}}, "metrics": ["mean", "median", "max", "min", "std"]}}}
+    for name, g in zip(("ref", "sec"), both(spark, sf_dir)):
+        path = fresh(spark, name)
+        write_raster(g, f"{path}.tif", block=64, dtype="float64")
+        write_raster(Grid(g.df.select("row", "col", F.col("priority").alias("z")), g.meta), f"{path}_priority.tif", block=64, dtype="uint8")
+        cfg[f"input_{name}"] = {"path": f"{path}.tif", "classification_layers": {"priority": {"map_path": f"{path}_priority.tif"}}}
+    return pipeline.run(spark, cfg)[0].withColumn("value", F.col("value") + F.lit(0.0))
