@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 SMOOTHING, FOLDS = 0.1, 5
 #: Words whose pieces a worker keeps in each of two generations; twice as many log-probabilities are kept.
 WORDS = 300_000
-#: Bytes of log-probabilities that a worker keeps: with many languages, of fewer words; and languages that can be told apart.
-KEPT_BYTES, LANGUAGES = 100_000_000, 2000
+#: Bytes of log-probabilities that a worker keeps: with many languages, of fewer words; and languages whose table is held at a time.
+KEPT_BYTES, LANGUAGES = 100_000_000, 64
 SPACE = "▁"
 
 
@@ -167,37 +168,20 @@ class Scorer:
         return np.array([self.logs[np.fromiter(map(row, w), np.int64, len(w))].sum(0) for w in split])
 
 
-def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log-probabilities (piece x language), from docs (lang, text) without nulls.
+def train(counts: DataFrame, langs: list[str], path: str = VOCABULARY) -> np.ndarray:
+    """Log-probabilities (piece x language) of some languages, from counts (lang, piece, n) of all.
 
-    What comes to the driver is one count a language and piece: at most (languages x 32,000) small rows. ValueError if
-    there are more than LANGUAGES languages.
+    What comes to the driver is one count a language and piece: at most LANGUAGES x 32,000 small rows.
     """
-    counts = written(piece_counts(docs, path), "piece-counts")
-    if counts.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    rows = counts.toPandas()
-    langs = sorted(rows["lang"].unique())
+    rows = counts.filter(F.col("lang").isin(langs)).toPandas()
     table = np.full((pieces(path).size, max(1, len(langs))), SMOOTHING)
     np.add.at(table, (rows["piece"].to_numpy(np.int64), rows["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)), rows["n"].to_numpy(float))
-    return langs, np.log(table / table.sum(0))
+    return np.log(table / table.sum(0))
 
 
-def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, letters of every row, by its whole text alone.
-
-    Models are learned from the rows whose crc32(id as text) mod `folds` isn't 0 and whose text and language aren't
-    null. Language by language, pieces of a fixed public vocabulary have smoothed relative frequencies; a text's
-    likelihood is the sum over all its segmentations into pieces (words are summed apart, as pieces never cross white
-    space). score is the posterior of the predicted language under equal priors; ties go to the first in order. Null
-    texts, texts without a letter, and all texts if nothing was learned, get `und` and score 0. Rows repeated with one
-    id are judged each. Null ids are never held out. Other columns are never read. An empty table gives no rows. Texts
-    are summed by distinct word, so a very long one takes memory for its different words only.
-    """
-    fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(1))
-    rows = small_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    langs, table = train(rows.filter("not held_out and text is not null and lang is not null"), path)
-    model = docs.sparkSession.sparkContext.broadcast((langs, table))
+def scored(rows: DataFrame, langs: list[str], table: np.ndarray, path: str) -> DataFrame:
+    """rows (doc_id, held_out, row, text) without their texts, and with lang, top and total: the likeliest of some languages, its log-likelihood and the logarithm of all their likelihoods' sum; lang is null for texts without a letter."""
+    model = rows.sparkSession.sparkContext.broadcast((langs, table))
 
     def predict(batches):
         langs, table = model.value
@@ -205,17 +189,48 @@ def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", te
         for pdf in batches:
             texts = [t or "" for t in pdf["text"].tolist()]
             letters = [any(c.isalpha() for c in t) for t in texts]
-            best, score = ["und"] * len(texts), np.zeros(len(texts))
+            best, top, total = [None] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             for k in range(0, len(texts) if langs else 0, 256):
                 logs = scorer.texts(texts[k : k + 256])
-                top = logs.argmax(1)
-                share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+                high = logs.max(1)
+                first, total[k : k + 256], top[k : k + 256] = logs.argmax(1), high + np.log(np.exp(logs - high[:, None]).sum(1)), high
                 for i in range(len(logs)):
                     if letters[k + i]:
-                        best[k + i], score[k + i] = langs[top[i]], share[i]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": best, "score": score})
+                        best[k + i] = langs[first[i]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "row": pdf["row"], "lang": best, "top": top, "total": total})
+
+    return rows.select("doc_id", "held_out", "row", "text").mapInPandas(predict, "doc_id string, held_out boolean, row long, lang string, top double, total double")
+
 
-    return rows.select("doc_id", "held_out", "text").mapInPandas(predict, "doc_id string, held_out boolean, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+def identify(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row, by its whole text alone.
+
+    Models are learned from the rows whose crc32(id as text) mod `folds` isn't 0 and whose text and language aren't
+    null. Language by language, pieces of a fixed public vocabulary have smoothed relative frequencies; a text's
+    likelihood is the sum over all its segmentations into pieces (words are summed apart, as pieces never cross white
+    space). score is the posterior of the predicted language under equal priors; ties go to the first in order. Null
+    texts, texts without a letter, and all texts if nothing was learned, get `und` and score 0. Rows repeated with one
+    id are judged each. Null ids are never held out. Other columns are never read. An empty table gives no rows. Texts
+    are summed by distinct word, so a very long one takes memory for its different words only.
+
+    Languages come in blocks of LANGUAGES, whose table is what the driver and a task hold; with several blocks, texts are
+    scored once a block, and a row's likeliest languages and sums are put together by row.
+    """
+    fold = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(1))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").cast("string").alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    counts = written(piece_counts(rows.filter("not held_out and text is not null and lang is not null"), path), "piece-counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # names only
+    if len(langs) <= LANGUAGES:
+        best = scored(rows.withColumn("row", F.lit(0).cast("long")), langs, train(counts, langs, path), path)
+    else:
+        placed = written(rows.drop("lang").withColumn("row", F.monotonically_increasing_id()), "placed-texts")
+        parts = [langs[k : k + LANGUAGES] for k in range(0, len(langs), LANGUAGES)]
+        every = reduce(DataFrame.unionByName, [written(scored(placed, part, train(counts, part, path), path), "scored") for part in parts])
+        # the greatest likelihood, of equal ones the first language; sums of likelihoods about the greatest
+        high = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.max("top").alias("top"), F.min(F.struct(-F.col("top"), "lang"))["lang"].alias("lang"), F.collect_list("total").alias("totals"))
+        best = high.withColumn("total", F.col("top") + F.log(F.aggregate("totals", F.lit(0.0), lambda a, t: a + F.exp(t - F.col("top")))))
+    known = F.col("lang").isNotNull()
+    return best.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.coalesce("lang", F.lit("und")).alias("lang_pred"), F.when(known, F.exp(F.col("top") - F.col("total"))).otherwise(F.lit(0.0)).alias("score"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

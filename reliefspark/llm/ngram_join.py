@@ -16,7 +16,7 @@ SEEN, FREQUENT = 2, 20
 #: Frequent shingles that are sent to all tasks (16 MB); with more, only the most frequent are. Results don't depend on it.
 MOST_FREQUENT = 2_000_000
 #: Sets of a group of the token-group matrix, and shingles of a group or of a task's part of the matrix.
-GROUP, TOKENS = 512, 500_000
+GROUP, TOKENS = 2048, 500_000
 #: Queries that a group meets together, and parts into which a frequent shingle's sets are dealt.
 ASKING, SALTS = 2048, 32
 #: Pairs of a set and a group that a task makes at a time.

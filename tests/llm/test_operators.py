@@ -578,6 +578,18 @@ def test_language_id_edge_cases(spark):
     assert language_id.identify(documents(spark, EMPTY)).count() == 0
 
 
+def test_languages_in_blocks_are_those_of_one_table(spark, monkeypatch):
+    rng = random.Random(8)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(12)] for k in range(7)}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(15)), lang, "a") for k, lang in enumerate(rng.choice(sorted(words)) for _ in range(150))]
+    rows += [(500, None, "l1", "a"), (501, "123", None, "a"), (502, rows[0][1], None, "a"), (502, rows[1][1], None, "a"), (None, rows[2][1], None, "a")]
+    docs = documents(spark, rows)
+    one = sorted(map(repr, ((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs).collect())))
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    several = sorted(map(repr, ((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs).collect())))
+    assert one == several and len(one) == len(rows)
+
+
 # op9
 
 
