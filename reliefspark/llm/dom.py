@@ -23,7 +23,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div td body center blockquote table tbody tr form".split())
 #: Words in a class, id or role that mark what isn't the article.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promos promotion promoted "
+    "ad ads adv advert adverts advertisement advertising adsense adslot adsbygoogle banner sponsor sponsored sponsors promo promos promotion promoted "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager skiplink header masthead topbar footer colophon copyright "
     "sidebar sidebars aside complementary widget widgets related recommended recommendations popular trending teaser teasers "
     "cookie cookies consent gdpr notice notices notification notifications alert disclaimer popup modal overlay paywall newsletter subscribe subscription signup signin login "
@@ -32,14 +32,16 @@ MARKS = frozenset(
 #: Of these, what makes an article another than the page's, and what stands at the head or foot of a page though it may hold its title.
 OTHERS = frozenset("ad ads advert sponsored promo comment comments reply related recommended popular trending teaser teasers widget hidden".split())
 HEADS = frozenset("nav navbar menu header masthead topbar footer hidden".split())
+#: Marks that say where an element lies rather than what it is, which one that is named as content may have beside.
+LAYOUT = frozenset("sidebar sidebars header footer nav menu social share".split())
 #: Block elements that don't end a paragraph.
 PHRASES = frozenset("option optgroup label button svg canvas audio video object picture map math select datalist template noscript".split())
 RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
-#: Words that turn a mark after them into a remark about the page.
-ABOUT = frozenset("with has no without".split())
+#: Words that turn a mark after them into a remark about the page, and words that name the article.
+ABOUT, OWNERS = frozenset("with has no without".split()), frozenset("entry post article story content".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?|<[a-zA-Z][^>]*(?:>|\Z)|[^<]++|<", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|$)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: The share of a container's text that an inner one must have to be taken for it.
 MOST = 0.7
@@ -69,10 +71,12 @@ def described(tag: str, attributes: str) -> tuple[str, str, frozenset[str]]:
     elif "articlebody" in found.get("itemprop", "").lower():
         tag = "article"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    marks = {"hidden"} if hidden else set()
+    marks, good = {"hidden"} if hidden else set(), False
     for w in (w for key in ("class", "id", "role") for w in found.get(key, "").split()):
         parts = [p.lower() for p in PARTS.findall(w)]
-        marks |= {p for k, p in enumerate(parts) if p in MARKS and not (k and parts[k - 1] in ABOUT)}
+        good = good or (bool(OWNERS & set(parts)) and not MARKS & set(parts))
+        marks |= {p for k, p in enumerate(parts) if p in MARKS and not (k and (parts[k - 1] in ABOUT or (p == "header" and parts[k - 1] in OWNERS)))}
+    marks -= LAYOUT if good else set()
     kinds = sorted({re.sub(r"\d+", "#", w) for key in ("class", "id") for w in found.get(key, "").split()})
     return tag, ".".join([tag, *kinds]), frozenset(marks)
 
@@ -175,16 +179,17 @@ def settle(root: Node) -> None:
     an article keeps its headings; forms without article or main heading; lists of nothing but links.
     """
     order = list(walk(root, True))
-    holds = {}  # whether an element holds an article, and an h1
+    holds = {}  # whether an element holds an article, an h1 and the main element
     for n in reversed(order):
         inner = [holds[id(k)] for k in n.kids]
-        holds[id(n)] = any(a for a, _ in inner) or n.tag in ("article", "main"), any(h for _, h in inner) or n.tag == "h1"
+        own = n.tag in ("article", "main"), n.tag == "h1", n.tag == "main"
+        holds[id(n)] = tuple(any(x[i] for x in inner) or own[i] for i in range(3))
     inside = {id(root): False}
     for n in order:
         within = inside.get(id(n), False) or n.tag in ("article", "main")
         for k in n.kids:
             inside[id(k)] = within
-            article, heading = (any(holds[id(x)][i] for x in k.kids) for i in (0, 1))
+            article, heading, main = (any(holds[id(x)][i] for x in k.kids) for i in range(3))
             if k.tag in APART:
                 k.apart = True
             elif k.tag == "main":
@@ -196,6 +201,8 @@ def settle(root: Node) -> None:
                 k.kids, k.blocks = [x for x in walk(k) if x.tag in HEADINGS], []
             elif k.tag in HEADINGS or k.tag == "p":
                 k.apart = bool(k.marks - {"header"})
+            elif k.marks & OTHERS:
+                k.apart = not main
             elif k.marks:
                 k.apart = not article and (not heading or bool(k.marks & HEADS))
             elif k.tag == "form":
@@ -366,7 +373,7 @@ def content(wrapper: Slot, least: int) -> list[Slot]:
     if not any(s.tag == "h1" for s in slots(way[-1])):
         for up, down in zip(way, way[1:]):
             before = up.kids[: next(i for i, k in enumerate(up.kids) if k is down)]
-            out += [k for k in before if k.tag in ("h1", "h2") and weight[id(k)]]
+            out += [x for k in before for x in slots(k) if weight[id(x)] and (x.tag == "h1" or (x is k and x.tag == "h2"))]
     return out
 
 

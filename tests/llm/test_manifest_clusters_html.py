@@ -228,6 +228,11 @@ def test_html_edge_cases(spark):
         "<div>" * 5000 + "x": "x", "<p>" * 3000 + "y": "y", '<a title="q>z</a> text': "z text", "<style>p</style >z": "z", "<nav>n</nav>": "", MESSY: "Title & more\nFirst bold and link.\nSecond line <x> a\nThird unclosed\none\ntwo\nQuote\na\nb\nc",
         "<main><p>m</p><article><h1>T</h1><p>body of it</p></article><article class=comment><p>no</p></article></main>": "T\nbody of it", "<p>" + "word " * 200_000 + "</p>": " ".join(["word"] * 200_000),
     }
+    odd |= {
+        '<p title="the hidden truth, aria-hidden=true">kept</p><p hidden>not</p><p aria-hidden="true">nor</p><div style="display: none">this</div>': "kept",
+        '<div class="entry-header"><h1>T</h1></div><div class="entry-content sidebar-right"><h2>U</h2><p>' + "body " * 30 + '</p></div><div class="google-ad">x</div>': "T\nU\n" + ("body " * 30).strip(),
+        "<body><header><h1>Site</h1><nav>n</nav></header><main><article><header><h1>T</h1><p>by A</p></header><p>a</p><aside>s</aside><div class=share>x</div><p>b</p></article><section class=comments><article><p>a reader who has more to say than the author</p></article></section></main><footer>f</footer>": "T\na\nb",
+    }
     rows = [(k, hosts[k % 4], page) for k, page in enumerate(odd)] + [(None, None, "<p>a</p>"), (2**60 + 1, hosts[0], "<p>b</p>"), (2**60 + 1, hosts[0], "<p>b</p>")]
     got = html_extract.extract(pages(spark, rows))
     assert got.columns == ["page_id", "url", "text", "n_chars"] and dict(got.dtypes)["page_id"] == "bigint"
