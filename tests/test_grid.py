@@ -230,7 +230,7 @@ def test_resampling(spark):
     same, ref, factor = resample.reproject_grids(g, g)
     assert np.allclose(array(same.df), v) and np.allclose(array(ref.df), v) and factor == (1, 1)
     with pytest.raises(ValueError):
-        resample.reproject(g, Grid(g.df, GridMeta(5, 6, crs="EPSG:4326")))
+        resample.reproject(g, Grid(g.df, GridMeta(5, 6, crs="EPSG:2154")))  # a system that no projection is known of
     holes = [[1, N, N, N, 5]] + [[N] * 5] * 20
     assert array(resample.nearest_fill(grid(spark, holes)))[20].tolist() == [1, 1, 1, 5, 5]
     assert np.isnan(array(resample.nearest_fill(grid(spark, [[N, N]])))).all()
@@ -505,4 +505,4 @@ def test_far_heights_make_no_endless_histograms(spark):
         with pytest.raises(ValueError, match="choose a wider one"):
             metrics.vector_metric(metric)(g.df, **params)
         bins = stats.class_vectors(g, layer, metric, {"bin_step": 1e4})
-        assert bins.count() > 50_000 and bins.agg({"value": "max"}).first()[0] == (1.0 if metric == "cdf" else 0.8)
+        assert bins.count() > 50_000 and bins.agg({"value": "max"}).first()[0] == (1.0 if metric == "cdf" else 0.75)  # the greatest value ends the last bin of a pdf
