@@ -47,4 +47,4 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *QUERIES} <= names and len(QUERIES) == 10 and set(SQL) <= set(QUERIES)
+    assert {"pipeline", *QUERIES} <= names and len(QUERIES) == 13 and set(SQL) <= set(QUERIES)
