@@ -64,12 +64,13 @@ def series(inverse_flattening: float) -> tuple[float, float, list[float], list[f
     return n, radius, alpha, beta, delta
 
 
-def atanh(x: Column) -> Column:
-    return F.log((1 + x) / (1 - x)) / 2
+def asinh(x: Column) -> Column:
+    return F.signum(x) * F.log1p(F.abs(x) + x * x / (F.sqrt(x * x + 1) + 1))
 
 
-def asinh(x: Column) -> Column:
-    return F.signum(x) * F.log(F.abs(x) + F.sqrt(x * x + 1))
+def wrapped(degrees: Column) -> Column:
+    """An angle within half a turn; one that is there already stays as it is."""
+    return F.when(F.abs(degrees) <= 180, degrees).otherwise(F.pmod(degrees + 180, F.lit(360.0)) - 180)
 
 
 def steps(df: DataFrame, *columns: dict[str, Column]) -> DataFrame:
@@ -96,8 +97,8 @@ def forward(df: DataFrame, p: Projection, x: str, y: str) -> DataFrame:
         north = north + F.sin(xi * (2 * k)) * F.cosh(eta * (2 * k)) * c
     size = SCALE * a * radius
     return steps(
-        df, {"__s": F.sin(F.radians(lat)), "__away": F.radians(F.pmod(lon - p.meridian + 180, F.lit(360.0)) - 180)},
-        {"__t": F.sinh(atanh(s) - atanh(s * e) * e)},  # of the conformal latitude
+        df, {"__s": F.sin(F.radians(lat)), "__away": F.radians(wrapped(lon - p.meridian))},
+        {"__t": F.sinh(F.atanh(s) - F.atanh(s * e) * e)},  # of the conformal latitude; infinite at the poles
         {"__xi": F.atan2(t, F.cos(away)), "__eta": asinh(F.sin(away) / F.sqrt(t * t + F.cos(away) * F.cos(away)))},
         {x: east * size + EAST, y: north * size + p.north},
     ).drop("__s", "__away", "__t", "__xi", "__eta")

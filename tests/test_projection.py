@@ -131,3 +131,10 @@ def test_geoid_by_longitude_and_latitude(spark):
         assert got[r["row"], r["col"]] == pytest.approx(100 + 40 + 2 * (46.5 - r["y"]) / 0.1 - 3 * (r["x"] - 1.0) / 0.1, abs=1e-6)
     with pytest.raises(ValueError, match="outside"):
         add_geoid(utm, Grid(geoid.df, GridMeta(12, 20, (5.0, 0.1, 0.0, 46.5, 0.0, -0.1), "EPSG:4326")))
+
+
+def test_poles_and_beyond(spark):
+    """Both poles are points on the central meridian; latitudes beyond them are those of the same sine."""
+    quarter = 0.9996 * meridian_arc(90)
+    got = [tuple(r) for r in projection.moved(points(spark, [(2.3, 90), (12.0, -90), (2.3, 92), (2.3, 88)]), "x", "y", "EPSG:4326", "EPSG:32631").collect()]
+    assert got[0] == pytest.approx((500_000, quarter), abs=1e-2) and got[1] == pytest.approx((500_000, -quarter), abs=1e-2) and got[2] == pytest.approx(got[3], abs=1e-2)
