@@ -381,11 +381,11 @@ def warp(spark, sf_dir):
 
 @query
 def geoid_lonlat(spark, sf_dir):
-    """REF in a UTM zone plus a geoid by longitude and latitude, a plane."""
+    """REF in a UTM zone plus a geoid by longitude and latitude, a plane around the earth: grids of many rows go beyond the pole."""
     ref = placed(ref_grid(spark, sf_dir), UTM)
-    rows, cols = ref.meta.nrows // 80 + 4, 40
-    plane = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col")).withColumn("z", F.col("row") * 0.5 - F.col("col") * 0.25)
-    return rounded(add_geoid(ref, Grid(plane, GridMeta(rows, cols, (0.0, 1.0, 0.0, 46.0, 0.0, -1.0), "EPSG:4326"))).z())
+    rows, cols = 183, 365  # from 91 degrees north and 180 west; longitudes of the zone end at 183
+    plane = spark.range(rows * cols).select((F.col("id") / cols).cast("long").alias("row"), (F.col("id") % cols).alias("col")).withColumn("z", (F.col("row") - 45) * 0.5 - (F.col("col") - 180) * 0.25)
+    return rounded(add_geoid(ref, Grid(plane, GridMeta(rows, cols, (-180.0, 1.0, 0.0, 91.0, 0.0, -1.0), "EPSG:4326"))).z())
 
 
 def dh(spark, sf_dir):

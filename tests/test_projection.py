@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reliefspark.functions import projection
 from reliefspark.grid import Grid, GridMeta
 from reliefspark.operators import coregister, resample
+from reliefspark.plans import queries
 from reliefspark.sources.grids import add_geoid
 
 #: Longitude, latitude, system, easting and northing of points, as published for WGS 84.
@@ -138,3 +139,20 @@ def test_poles_and_beyond(spark):
     quarter = 0.9996 * meridian_arc(90)
     got = [tuple(r) for r in projection.moved(points(spark, [(2.3, 90), (12.0, -90), (2.3, 92), (2.3, 88)]), "x", "y", "EPSG:4326", "EPSG:32631").collect()]
     assert got[0] == pytest.approx((500_000, quarter), abs=1e-2) and got[1] == pytest.approx((500_000, -quarter), abs=1e-2) and got[2] == pytest.approx(got[3], abs=1e-2)
+
+
+def orders(spark, folder, rows):
+    """A table of orders whose pixels lie in some rows of the grid."""
+    keys = spark.createDataFrame([(r * 100 + c, 1000.0 * (r % 7 + c * c % 5 + 1)) for r in rows for c in range(100)], "o_orderkey long, o_totalprice double")
+    keys.withColumns({"o_orderpriority": F.lit("1-URGENT"), "o_orderstatus": F.lit("F")}).write.parquet(f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_geoid_query_beyond_the_pole(spark, tmp_path):
+    """Grids of many rows reach the pole and what lies behind it."""
+    folder = orders(spark, tmp_path, (0, 14_990, 15_010, 40_000))
+    pixels = queries.placed(queries.ref_grid(spark, folder), queries.UTM).df
+    at = projection.moved(pixels.withColumns({"x": 450_000 + F.col("col") * 1000.0, "y": 5_000_000 - F.col("row") * 1000.0}), "x", "y", "EPSG:32631", "EPSG:4326")
+    want = {(r["row"], r["col"]): r["z"] + (46 - r["y"]) * 0.5 - r["x"] * 0.25 for r in at.collect()}
+    got = {(r["row"], r["col"]): r["z"] for r in queries.geoid_lonlat(spark, folder).collect()}
+    assert len(got) == 400 and got == pytest.approx(want, abs=1.1e-5)
