@@ -53,10 +53,18 @@ def resolution(meta: GridMeta) -> tuple[Column, Column]:
     return orthodromic(*at(row, k), x_of(meta, row, k - 1), y_of(meta, row, k)), orthodromic(*at(j, col), x_of(meta, j, col), y_of(meta, j - 1, col))
 
 
+def per(rise: Column, width: Column) -> Column:
+    """A rise over a pixel's width, which is 0 at a pole: infinite there, null without a rise."""
+    return F.when(width != 0, rise / width).when(rise != 0, F.lit(math.inf))
+
+
 def slope(grid: Grid, degree: bool = False, unit_change: bool = True, name: str = "slope") -> Grid:
-    """The grid with its slope: 100 x the angle in radians, in degrees, or in radians without unit_change."""
+    """The grid with its slope: 100 x the angle in radians, in degrees, or in radians without unit_change.
+
+    By longitude and latitude, a pixel too near a pole to have a width is upright where its heights differ along the row.
+    """
     dx, dy = resolution(grid.meta)
-    angle = F.atan(F.sqrt(F.pow(F.col("gx") / dx, 2) + F.pow(F.col("gy") / dy, 2)) / 8)
+    angle = F.atan(F.sqrt(F.pow(per(F.col("gx"), dx), 2) + F.pow(per(F.col("gy"), dy), 2)) / 8)
     angle = (F.degrees(angle) if degree else angle * 100) if unit_change else angle
     return grid.with_df(sobel(grid).withColumn(name, angle).drop("gx", "gy"))
 

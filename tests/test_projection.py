@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reliefspark.functions import projection
 from reliefspark.grid import Grid, GridMeta
-from reliefspark.operators import coregister, resample
+from reliefspark.operators import coregister, resample, stencil
 from reliefspark.plans import queries
 from reliefspark.sources.grids import add_geoid
 
@@ -156,3 +156,13 @@ def test_geoid_query_beyond_the_pole(spark, tmp_path):
     want = {(r["row"], r["col"]): r["z"] + (46 - r["y"]) * 0.5 - r["x"] * 0.25 for r in at.collect()}
     got = {(r["row"], r["col"]): r["z"] for r in queries.geoid_lonlat(spark, folder).collect()}
     assert len(got) == 400 and got == pytest.approx(want, abs=1.1e-5)
+
+
+def test_slope_at_a_pole(spark, tmp_path):
+    """A row of pixels without a width: upright where heights differ along the row, else without a slope."""
+    meta = GridMeta(3, 4, (0.0, 0.001, 0.0, -89.998, 0.0, -0.001), "EPSG:4326")
+    rough = grid(spark, lambda r, c: r + c * c, meta)
+    got = {(r["row"], r["col"]): r["slope"] for r in stencil.slope(rough, degree=True).df.collect()}
+    assert [got[2, c] for c in range(4)] == [90.0] * 4 and all(v is not None and 0 < v <= 90 for v in got.values())
+    flat = {(r["row"], r["col"]): r["slope"] for r in stencil.slope(grid(spark, lambda r, c: 0 * r, meta), degree=True).df.collect()}
+    assert [flat[2, c] for c in range(4)] == [None] * 4
