@@ -195,22 +195,29 @@ def asks(p: DataFrame, num: int, den: int) -> DataFrame:
     p: token, sid, n, hot, g of the prefixes. The matrix has a row for each group and each shingle in the prefixes of
     its sets: how many sets have it, and their least and greatest sizes. A set asks a group if they share so many
     shingles as a link with sizes like these needs. A shingle that isn't frequent has few sets, so its rows of the matrix
-    are made where its sets come together (cold_pairs()); those of frequent ones are dealt by (shingle, set).
+    are made where its sets come together (cold_pairs()). Frequent shingles have many sets in few groups: their groups
+    meet first, and a group's sets then meet the rows of each group that it has shingles in common with (hot_pairs()).
     """
     cold = p.filter("not hot").select("token", "sid", "n", "g").repartition("token").sortWithinPartitions("token", "g", "sid").mapInPandas(cold_pairs(num, den), "sid long, n int, group long, least int, most int")
     cold = cold.groupBy("sid", "n", "group").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
-    salted = p.filter("hot").withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
-    shared = written(salted.dropDuplicates(["token", "salt", "sid"]).select("token", "salt", "sid", "n", "g"), "shared")
-    matrix = shared.groupBy("token", "g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = written(matrix.select("token", F.col("g").alias("group"), "sets", "least", "most", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "matrix")
-    near = ((F.col("group") > F.col("g")) | ((F.col("group") == F.col("g")) & (F.col("sets") > 1))) & (F.col("most") * den >= F.col("n") * num) & (F.col("least") * num <= F.col("n") * den)
-    hot = shared.join(matrix, ["token", "salt"]).filter(near).groupBy("sid", "n", "group").agg(F.count("*").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
+    shared = written(p.filter("hot").select("token", "sid", "n", "g").dropDuplicates(["token", "sid"]), "shared")
+    matrix = written(shared.groupBy("token", "g").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+    own = matrix.select("token", "g", F.col("sets").alias("own"), F.col("least").alias("low"), F.col("most").alias("high"), F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int").alias("salt"))
+    other = matrix.select("token", F.col("g").alias("group"), "sets", "least", "most", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    near = ((F.col("group") > F.col("g")) | ((F.col("group") == F.col("g")) & (F.col("sets") > 1))) & (F.col("most") * den >= F.col("low") * num) & (F.col("least") * num <= F.col("high") * den)
+    cells = written(own.join(other, ["token", "salt"]).filter(near).select("g", "group", "token", "own", "least", "most"), "cells")
+    dealt = written(cells.groupBy("g").agg(F.sum("own").alias("c")).withColumn("parts", F.ceil(F.col("c") / PAIRS)), "dealt-cells")
+    buckets = max(8, -(-(dealt.agg(F.sum("c")).first()[0] or 0) // PAIRS))
+    bucket = F.pmod(F.xxhash64("g", "part"), F.lit(buckets)).alias("bucket")
+    asking = shared.join(small(dealt), "g").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(bucket, "g", "part", "token", "sid", "n")
+    asked = cells.join(small(dealt), "g").withColumn("part", F.pmod(F.xxhash64("group"), "parts")).select(bucket, "g", "part", "group", "token", "least", "most")
+    hot = asking.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(hot_pairs(num, den), "sid long, n int, group long, c long, least int, most int")
     pairs = cold.unionByName(hot).groupBy("sid", "n", "group").agg(F.sum("c").alias("c"), F.min("least").alias("least"), F.max("most").alias("most"))
     n = F.col("n")
     least, most = F.greatest(F.col("least"), n * F.lit(num / den)), F.least(F.col("most"), n * F.lit(den / num))
     out = written(pairs.filter(F.col("c") > F.least(gap(n, least, num, den), gap(n, most, num, den))).select("sid", F.col("group").alias("g")), "asks")
-    free(shared)
-    free(matrix)
+    for table in (shared, matrix, cells, dealt):
+        free(table)
     return out
 
 
@@ -265,6 +272,43 @@ def cold_pairs(num: int, den: int):
     return scan
 
 
+def hot_pairs(num: int, den: int):
+    """Of a bucket's rows (g, part, token, sid, n) and rows of the matrix (g, part, group, token, least, most) that its groups meet, the pairs (sid, n, group, c, least, most).
+
+    A pair is counted whole, so one row of it leaves the task, however many shingles it has in common.
+    """
+
+    def count(sets: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        on = ["g", "part", "token"]
+        sets = sets.sort_values(on)
+        runs = sets.groupby(on).size().rename("width").reset_index()
+        runs["begin"] = runs["width"].cumsum() - runs["width"]
+        cells = cells.merge(runs, on=on).sort_values(["g", "part", "group"])
+        sid, n = sets["sid"].to_numpy(np.int64), sets["n"].to_numpy(np.int64)
+        g, part, group, least, most, width, begin = (cells[c].to_numpy(np.int64) for c in ("g", "part", "group", "least", "most", "width", "begin"))
+        change = (g[1:] != g[:-1]) | (part[1:] != part[:-1]) | (group[1:] != group[:-1])
+        bounds = np.r_[np.flatnonzero(change) + 1, len(g)]  # ends of the rows of one pair of groups
+        ends, out, at = np.cumsum(width), [], 0
+        while at < len(g):  # so many pairs of groups at a time as make PAIRS rows
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right"))
+            k = max(int(np.searchsorted(bounds, full, "right")) - 1, int(np.searchsorted(bounds, at, "right")))
+            stop = int(bounds[k])
+            w = width[at:stop]
+            c = np.repeat(np.arange(at, stop), w)
+            row = begin[c] + np.arange(len(c)) - np.repeat(np.cumsum(w) - w, w)
+            near = (most[c] * den >= n[row] * num) & (least[c] * num <= n[row] * den)
+            row, c = row[near], c[near]
+            order = np.lexsort((group[c], sid[row]))
+            row, c = row[order], c[order]
+            if len(row):
+                first = np.flatnonzero(np.r_[True, (sid[row][1:] != sid[row][:-1]) | (group[c][1:] != group[c][:-1])])
+                out.append(pd.DataFrame({"sid": sid[row[first]], "n": n[row[first]], "group": group[c[first]], "c": np.diff(np.r_[first, len(row)]), "least": np.minimum.reduceat(least[c], first), "most": np.maximum.reduceat(most[c], first)}))
+            at = stop
+        return pd.concat(out) if out else pd.DataFrame(columns=["sid", "n", "group", "c", "least", "most"], dtype="int64")
+
+    return count
+
+
 def stored(members: DataFrame) -> DataFrame:
     """g, sids, weights, sizes, tokens, starts, sets: one row for each group of members (g, sid, rows, tokens).
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -672,6 +673,16 @@ def test_ngram_join(spark, monkeypatch, dealt, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, num, 100)
 
 
+def test_ngram_join_of_near_copies_of_one_text_makes_few_rows(spark):
+    """Groups of near copies meet group by group: not each copy with each group for each shingle."""
+    sets = pd.DataFrame([(7, 0, t, s, 100) for s in range(300) for t in range(15)], columns=["g", "part", "token", "sid", "n"])
+    cells = pd.DataFrame([(7, 0, h, t, 90 + h, 100 + h) for h in range(20) for t in range(15)], columns=["g", "part", "group", "token", "least", "most"])
+    got = ngram_join.hot_pairs(85, 100)(sets, cells)
+    assert len(got) == 6000 and set(got["c"]) == {15} and (got["least"] == 90 + got["group"]).all() and (got["most"] == 100 + got["group"]).all()
+    far = ngram_join.hot_pairs(85, 100)(sets, cells.assign(least=10, most=20))
+    assert len(far) == 0
+
+
 def test_exact_dedup_of_null_ids(spark):
     rows = [(None, "a"), (None, "A"), (None, "b"), (3, "b"), (None, "c")]
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
