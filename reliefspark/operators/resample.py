@@ -18,6 +18,11 @@ from reliefspark.grid import Grid, GridMeta, box_intersection, crop_box
 FAR = 2**62
 
 
+def keyed(points: DataFrame) -> DataFrame:
+    """points (row, col, __r, __c) with keys for those that lie nowhere, too: below 0, where no grid has pixels, and not one key for all, which one task would get."""
+    return points.withColumns({"__r": F.coalesce("__r", -1 - F.col("row")), "__c": F.coalesce("__c", -1 - F.col("col"))})
+
+
 def sample_at(points: DataFrame, grid: Grid, interp: str = "bilinear", values: tuple[str, ...] = ("z",)) -> DataFrame:
     """row, col and each value of the grid at points (row, col, fx, fy): fractional column fx and row fy, null for none.
 
@@ -28,7 +33,7 @@ def sample_at(points: DataFrame, grid: Grid, interp: str = "bilinear", values: t
     cells = grid.df.select(F.col("row").alias("__r"), F.col("col").alias("__c"), *[F.col(v).alias(f"__{v}") for v in values])
     if interp == "nearest":
         at = points.withColumn("__r", F.floor(F.col("fy") + 0.5)).withColumn("__c", F.floor(F.col("fx") + 0.5))
-        return at.join(cells, ["__r", "__c"], "left").select("row", "col", *[F.col(f"__{v}").alias(v) for v in values])
+        return keyed(at).join(cells, ["__r", "__c"], "left").select("row", "col", *[F.col(f"__{v}").alias(v) for v in values])
     clamp = lambda c, n: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(float(n - 1))))
     p = points.select("row", "col", clamp("fx", m.ncols).alias("fx"), clamp("fy", m.nrows).alias("fy"))
     p = p.withColumn("c0", F.floor("fx")).withColumn("r0", F.floor("fy")).withColumn("wx", F.col("fx") - F.col("c0")).withColumn("wy", F.col("fy") - F.col("r0"))
@@ -37,7 +42,7 @@ def sample_at(points: DataFrame, grid: Grid, interp: str = "bilinear", values: t
     corners = F.array(corner(0, 0, (1 - wx) * (1 - wy)), corner(0, 1, wx * (1 - wy)), corner(1, 0, (1 - wx) * wy), corner(1, 1, wx * wy))
     near = p.select("row", "col", F.explode_outer(F.filter(corners, lambda x: x["w"] > 0)).alias("k")).select("row", "col", "k.*")
     sums = [F.when((F.count(f"__{v}") == F.count("w")) & (F.count("w") > 0), F.sum(F.col("w") * F.col(f"__{v}"))).alias(v) for v in values]
-    return near.join(cells, ["__r", "__c"], "left").groupBy("row", "col").agg(*sums)
+    return keyed(near).join(cells, ["__r", "__c"], "left").groupBy("row", "col").agg(*sums)
 
 
 def shifted(grid: Grid, x: float, y: float, values: tuple[str, ...] = ("z",)) -> DataFrame:

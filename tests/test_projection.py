@@ -166,3 +166,14 @@ def test_slope_at_a_pole(spark, tmp_path):
     assert [got[2, c] for c in range(4)] == [90.0] * 4 and all(v is not None and 0 < v <= 90 for v in got.values())
     flat = {(r["row"], r["col"]): r["slope"] for r in stencil.slope(grid(spark, lambda r, c: 0 * r, meta), degree=True).df.collect()}
     assert [flat[2, c] for c in range(4)] == [None] * 4
+
+
+def test_pixels_outside_a_grid_are_dealt_to_all_tasks(spark):
+    """A warp's pixels outside the other grid have keys of their own, and stay null."""
+    outside = spark.range(400).select(F.floor(F.col("id") / 20).alias("row"), (F.col("id") % 20).alias("col"), F.lit(None).cast("double").alias("fx"), F.lit(None).cast("double").alias("fy"))
+    keys = resample.keyed(outside.withColumns({"__r": F.floor("fy"), "__c": F.floor("fx")}))
+    assert keys.select("__r", "__c").distinct().count() == 400 and keys.filter("__r >= 0 or __c >= 0 or __r is null or __c is null").count() == 0
+    small = grid(spark, lambda r, c: r + c, GridMeta(4, 4))
+    for interp in ("bilinear", "nearest"):
+        got = resample.sample_at(outside, small, interp)
+        assert got.count() == 400 and got.filter("z is not null").count() == 0
