@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ WORDS = 300_000
 #: Bytes of log-probabilities that a worker keeps: with many languages, of fewer words; and languages whose table is held at a time.
 KEPT_BYTES, LANGUAGES = 100_000_000, 64
 SPACE = "▁"
+#: Characters with a column each in the table of the pieces' tree; others are searched for.
+COLUMNS = 96
 
 
 class Pieces:
@@ -38,6 +40,49 @@ class Pieces:
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.bytes = [self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
+    @cached_property
+    def tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The tree of all beginnings: each node's piece (or -1), the columns of characters, next nodes by node and column, and node and character of the other steps, sorted, with the nodes they lead to."""
+        node = {s: k for k, s in enumerate(["", *sorted(self.starts)])}
+        piece = np.array([self.ids.get(s, -1) for s in node], np.int64)
+        common = Counter(s[-1] for s in self.starts).most_common(COLUMNS)
+        column = np.full(0x110000, COLUMNS, np.int16)
+        column[[ord(c) for c, _ in common]] = np.arange(len(common))
+        steps = np.array([(node[s[:-1]], ord(s[-1]), k) for s, k in node.items() if s], np.int64).reshape(-1, 3)
+        by = column[steps[:, 1]]
+        following = np.full((len(node), COLUMNS + 1), -1, np.int32)
+        following[steps[by < COLUMNS, 0], by[by < COLUMNS]] = steps[by < COLUMNS, 2]
+        rare = steps[by == COLUMNS]
+        keys = rare[:, 0] << 21 | rare[:, 1]
+        order = np.argsort(keys)
+        return piece, column, following, np.r_[keys[order], np.iinfo(np.int64).max], np.r_[rare[order, 2], -1]
+
+    def spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+        """word, from, to, piece of all places of pieces in words, and word and place of characters that are no piece; all places go down the tree together."""
+        piece, column, following, keys, leads = self.tree
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        word, stops = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+        place, stop, by = np.arange(len(codes)) - (stops - sizes)[word], stops[word], column[codes]
+        at, node, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        found, lone = [], np.ones(len(codes), bool)
+        while len(at):
+            to = following[node, by[at + depth]].astype(np.int64)
+            rare = np.flatnonzero(by[at + depth] == COLUMNS)
+            key = node[rare] << 21 | codes[at[rare] + depth]
+            k = np.searchsorted(keys, key)
+            to[rare] = np.where(keys[k] == key, leads[k], -1)
+            at, node, depth = at[to >= 0], to[to >= 0], depth + 1
+            here = piece[node]
+            own, here = at[here >= 0], here[here >= 0]
+            found.append((word[own], place[own], place[own] + depth, here))
+            if depth == 1:
+                lone[own] = False
+            goes = at + depth < stop[at]
+            at, node = at[goes], node[goes]
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 4
+        return *parts, list(zip(word[lone].tolist(), place[lone].tolist()))
+
 
 def pieces(path: str) -> Pieces:
     return held(f"pieces {path}", lambda: Pieces(path))
@@ -88,33 +133,17 @@ class Scorer:
 
         A character that is no piece is spelt by its bytes.
         """
-        ids, starts, spelt = self.pieces.ids, self.pieces.starts, self.pieces.bytes
-        w_at, j_at, i_at, p_at = [], [], [], []
-        lone: list[tuple[int, int, list[int]]] = []
-        longest = 0
         spelled = [w[1:] if w[0] == " " else SPACE + w for w in words]
-        for w, word in enumerate(spelled):
-            n = len(word)
-            longest = max(longest, n)
-            for j in range(n):
-                i = j + 1
-                if word[j] not in ids:
-                    lone.append((w, j, [spelt[b] for b in word[j].encode("utf-8", "replace")]))
-                while i <= n and (part := word[j:i]) in starts:
-                    if (p := ids.get(part)) is not None:
-                        w_at.append(w)
-                        j_at.append(j)
-                        i_at.append(i)
-                        p_at.append(p)
-                    i += 1
+        longest = max(map(len, spelled), default=0)
+        w_at, j_at, i_at, p_at, alone = self.pieces.spans(spelled)
+        lone = [(w, j, [self.pieces.bytes[b] for b in spelled[w][j].encode("utf-8", "replace")]) for w, j in alone]
         langs = self.table.shape[1]
-        w_at, j_at, i_at, p_at = (np.array(x, np.int64) for x in (w_at, j_at, i_at, p_at))
         weight = np.exp(self.table[p_at])
         if lone:
             w_at, j_at = np.r_[w_at, [x[0] for x in lone]], np.r_[j_at, [x[1] for x in lone]]
             i_at = np.r_[i_at, [x[1] + 1 for x in lone]]
             weight = np.vstack([weight, [np.exp(self.table[x[2]].sum(0)) for x in lone]])
-        order = np.lexsort((w_at, i_at))
+        order = np.argsort((i_at * len(words) + w_at) * (longest + 1) + j_at)
         w_at, j_at, i_at, weight = w_at[order], j_at[order], i_at[order], weight[order]
         bounds = np.searchsorted(i_at, np.arange(1, longest + 2))
         alpha = np.zeros((longest + 1, len(words), langs))

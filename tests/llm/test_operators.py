@@ -529,6 +529,20 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(scorer.texts([" ".join(words), ""]), [sum(map(brute, words)), np.zeros(3)])
 
 
+def test_language_id_finds_all_pieces_of_words_together():
+    """Places of pieces, and characters that are none, of words with common, rare and unknown characters."""
+    p = language_id.pieces(language_id.VOCABULARY)
+    rng = random.Random(4)
+    letters = sorted({c for x in p.ids for c in x})
+    words = ["", "▁the", "▁house,", "▁l'été", "▁東京", "▁\U0001f9ff☃\U0010ffff", "▁", "x", "▁" + "ab" * 40]
+    words += ["▁" + "".join(rng.choice(letters + ["\U0001f9ff"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    want = sorted((w, j, i, p.ids[x[j:i]]) for w, x in enumerate(words) for j in range(len(x)) for i in range(j + 1, len(x) + 1) if x[j:i] in p.ids)
+    *found, lone = p.spans(words)
+    assert sorted(zip(*(x.tolist() for x in found))) == want and len(want) > 1000
+    assert lone == [(w, j) for w, x in enumerate(words) for j, c in enumerate(x) if c not in p.ids] and lone
+    assert p.spans([])[4] == [] and not len(p.spans([""])[0])
+
+
 def test_language_id_by_brute_force(spark):
     import sentencepiece
 
