@@ -17,6 +17,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 40_000_000
 #: Rows of texts in a batch that goes to Python.
 ARROW_ROWS = 500
+#: Spark's setting by which the files of a query's shuffles are deleted when it ends, and not when the driver's garbage is collected.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Letters that the contracts fold; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than ASCII white space.
@@ -67,11 +69,16 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: lineage ends here and lost executors lose nothing.
 
-    The table goes when the application ends, or when release() is called.
+    The table goes when the application ends, or when release() is called. The shuffles that made it go at once.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path

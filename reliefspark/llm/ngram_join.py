@@ -62,10 +62,9 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def sets_and_frequent(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (0, doc_id, set id, size, key, mark) of all documents, kind 2 for null ids, and (1, shingle, count) of shingles met SEEN times by a task.
+    """Rows (0, doc_id, set id, size, key) of all documents, kind 2 for null ids, and (1, shingle, count) of shingles met SEEN times by a task.
 
-    mark is a set's least shingle: similar sets are likely to have the same. A task counts the shingles of all its
-    distinct sets, COUNTED at a time.
+    A task counts the shingles of all its distinct sets, COUNTED at a time.
     """
 
     def scan(batches):
@@ -74,30 +73,29 @@ def sets_and_frequent(docs: DataFrame, k: int) -> DataFrame:
         def flush():
             tokens, counts = np.unique(np.concatenate(pending), return_counts=True)
             often = counts >= SEEN
-            return pd.DataFrame({"kind": np.int32(1), "a": tokens[often], "b": counts[often].astype(np.int64), "n": np.int64(0), "key": np.int64(0), "mark": np.int64(0)})
+            return pd.DataFrame({"kind": np.int32(1), "a": tokens[often], "b": counts[often].astype(np.int64), "n": np.int64(0), "key": np.int64(0)})
 
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
-                ids, sizes, marks = [], [], []
+                ids, sizes = [], []
                 for text in part["text"].tolist():
                     tokens = shingles(text, k)
                     ids.append(sid := set_id(tokens))
                     sizes.append(len(tokens))
-                    marks.append(int(tokens[0]) if len(tokens) else 0)
                     if len(tokens) and sid not in seen:
                         if len(seen) < 1_000_000:
                             seen.add(sid)
                         pending.append(tokens)
                         waiting += len(tokens)
-                yield pd.DataFrame({"kind": np.where(part["no_id"], 2, 0).astype(np.int32), "a": part["doc_id"].to_numpy(np.int64), "b": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "key": part["key"].to_numpy(np.int64), "mark": np.array(marks, np.int64)})
+                yield pd.DataFrame({"kind": np.where(part["no_id"], 2, 0).astype(np.int32), "a": part["doc_id"].to_numpy(np.int64), "b": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "key": part["key"].to_numpy(np.int64)})
                 if waiting > COUNTED:
                     yield flush()
                     pending, waiting = [], 0
         if pending:
             yield flush()
 
-    return docs.mapInPandas(scan, "kind int, a long, b long, n long, key long, mark long")
+    return docs.mapInPandas(scan, "kind int, a long, b long, n long, key long")
 
 
 def frequent(found: DataFrame) -> np.ndarray:
@@ -116,7 +114,13 @@ def frequent(found: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> DataFrame:
-    """token, sid, n, mark, hot: the first shingles of each set, so many that two linked sets share one; frequent (hot) ones come last in order."""
+    """token, sid, n, mark, head, hot: the first shingles of each set, so many that two linked sets share one; frequent (hot) ones come last in order.
+
+    mark is the same for sets that are likely to be similar: a set's least shingle. Where its first shingles hold hot ones,
+    so that most of its shingles are, it is the least hot one: a word changed in a near copy often makes the least
+    shingle one that no other copy has, and near copies of one text would make the more groups the more they are. head
+    tells the first of a set's rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def scan(batches):
@@ -135,16 +139,18 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, last: np.ndarray) -> D
                     if len(last):
                         hot = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
                         order = np.argsort(hot, kind="stable")[:first]
+                        if hot[order[-1]]:
+                            mark = tokens[np.argmax(hot)]
                         tokens, hot = tokens[order], hot[order]
                     out.append((tokens[:first], sid, n, mark, hot[:first]))
                 if out:
                     sizes = [len(x[0]) for x in out]
                     yield pd.DataFrame({
                         "token": np.concatenate([x[0] for x in out]), "sid": np.repeat(np.array([x[1] for x in out], np.int64), sizes), "n": np.repeat(np.array([x[2] for x in out], np.int32), sizes),
-                        "mark": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "hot": np.concatenate([x[4] for x in out]),
+                        "mark": np.repeat(np.array([x[3] for x in out], np.int64), sizes), "head": np.isin(np.arange(sum(sizes)), np.cumsum([0, *sizes[:-1]])), "hot": np.concatenate([x[4] for x in out]),
                     })
 
-    return docs.select("text").mapInPandas(scan, "token long, sid long, n int, mark long, hot boolean")
+    return docs.select("text").mapInPandas(scan, "token long, sid long, n int, mark long, head boolean, hot boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,7 +173,7 @@ def band(num: int, den: int):
 
 
 def grouped(sets: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
-    """sets (sid, n, mark, ...) with g, their group: similar sets share their least shingle and their band of sizes.
+    """sets (sid, n, mark, ...) with g, their group: similar sets share their mark and their band of sizes.
 
     large: mark, band, parts of such groups that are over GROUP sets or TOKENS shingles; a hash of the set deals them.
     """
@@ -392,16 +398,17 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     """
     rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     found = written(sets_and_frequent(rows.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"]), k), "sets")
-    classes = found.filter("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("sid"), F.col("n").cast("int").alias("n"), "key", "mark")
+    classes = found.filter("kind <> 1").select(F.when(F.col("kind") == 0, F.col("a")).alias("doc_id"), F.col("b").alias("sid"), F.col("n").cast("int").alias("n"), "key")
     least_row, least_id = F.min(F.struct("doc_id", "key")), F.min("doc_id")
-    heads = written(classes.filter("n > 0").groupBy("sid", "n").agg(least_row.alias("head"), least_id.alias("least"), F.max("mark").alias("mark"), F.count("*").alias("rows")), "heads")
+    heads = written(classes.filter("n > 0").groupBy("sid", "n").agg(least_row.alias("head"), least_id.alias("least"), F.count("*").alias("rows")), "heads")
 
-    large = written(large_groups(heads, num, den), "large-groups")
-    first = written(grouped(prefixes(rows, k, num, den, frequent(found)), large, num, den), "prefixes")
-    pairs = asks(first, num, den)
+    first = written(prefixes(rows, k, num, den, frequent(found)), "prefixes")
+    marks = written(first.filter("head").groupBy("sid", "n").agg(F.max("mark").alias("mark")), "marks")
+    large = written(large_groups(marks, num, den), "large-groups")
+    pairs = asks(grouped(first.drop("head"), large, num, den), num, den)
     free(first)
     asked = written(pairs.select("g").distinct(), "asked")
-    members = written(grouped(heads.select("sid", "n", "mark", "rows"), large, num, den).join(small(asked), "g", "left_semi"), "members")
+    members = written(grouped(heads.select("sid", "n", "rows").join(marks, ["sid", "n"]), large, num, den).join(small(asked), "g", "left_semi"), "members")
     # what a set is to do: to be a member of its group, to ask groups, or both
     tasks = pairs.select("sid", "g", F.lit(True).alias("asks")).unionByName(members.select("sid", "g", F.lit(False).alias("asks")))
     tasks = tasks.groupBy("sid").agg(F.collect_list(F.when(F.col("asks"), F.col("g"))).alias("asked"), F.max(F.when(~F.col("asks"), F.col("g"))).alias("own"))
@@ -450,7 +457,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str
     several = heads.filter("rows > 1").join(labels.select(F.col("node").alias("sid")), "sid", "left_anti")
     named = linked.select("sid", "n", "rows", "top", "component_id", "links").unionByName(several.select("sid", "n", "rows", F.col("head").alias("top"), F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links")))
     named = written(named.select("sid", "n", "top", "component_id", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links")), "named")
-    result = classes.filter("n > 0").drop("mark").join(small(named), ["sid", "n"], "left")
+    result = classes.filter("n > 0").join(small(named), ["sid", "n"], "left")
     kept = F.col("top").isNull() | (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("key") == F.col("top.key")))
     result = result.select("doc_id", "n", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "key", kept.alias("kept"))
     empty = classes.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "key", F.lit(True).alias("kept"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reliefspark.llm import chat_format, exact_dedup, language_id, mixing, ngram_join, packing, quality, token_counts, topk, url_filter
+from reliefspark.llm.common import CLEANED, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, length int, token long"
@@ -697,6 +698,46 @@ def test_ngram_join_of_near_copies_of_one_text_makes_few_rows(spark):
     assert len(far) == 0
 
 
+def test_ngram_join_puts_near_copies_of_one_text_into_few_groups(spark, monkeypatch):
+    """Four times the near copies don't make sixteen times the pairs of groups, and every link is found."""
+    kept, rows_of = ngram_join.written, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    made = []
+    for n in (100, 400):
+        rng = random.Random(7)
+        rows = []
+        for i in range(n):
+            words = [f"w{j}" for j in range(150)]
+            for at in rng.sample(range(150), 3):
+                words[at] = f"x{i} y{at}"
+            rows.append((i, " ".join(words), "en", "a"))
+        docs = documents(spark, rows).repartition(4)
+        got = ngram_join.join(docs, 4, 85, 100).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 85, 100)
+        made.append(rows_of["cells"])
+    assert made[1] < 6 * made[0]
+
+
+def test_written_tables_leave_no_shuffles_behind(spark):
+    def shuffled():
+        return sum("shuffle_" in x for x in str(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()).split(","))
+
+    docs = spark.range(20_000).repartition(7, "id")
+    before = shuffled()
+    assert written(docs.groupBy((F.col("id") % 10).alias("k")).count(), "counts").count() == 10
+    for _ in range(50):
+        if shuffled() <= before + 4:  # of the count: one of the tasks that read the table
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before + 4 and spark.conf.get(CLEANED) == "false"
+
+
 def test_exact_dedup_of_null_ids(spark):
     rows = [(None, "a"), (None, "A"), (None, "b"), (3, "b"), (None, "c")]
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
