@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reliefspark.functions import metrics, quantiles
@@ -14,6 +15,8 @@ from reliefspark.operators.classify import Layer, classes_table, in_modes
 from reliefspark.sources.scratch import written
 
 DIGITS = 5
+#: Pixels of a part that are sorted together in a task (a megabyte).
+TOGETHER = 100_000
 
 
 def inliers(df: DataFrame) -> DataFrame:
@@ -107,14 +110,59 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*[F.col(a).alias(b) for a, b in zip(keys, k)], *[F.col(f"`{c}`") for c in right.columns if c not in keys]), same(keys, k), "left").drop(*k)
 
 
-def part_stats(grid: Grid, layer: Layer, every: DataFrame, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False) -> DataFrame:
+def of_sorted(values: Column, share: float) -> Column:
+    """The quantile of a sorted array, interpolated; null of an empty one."""
+    place = F.lit(float(share)) * (F.size(values) - 1)
+    below = F.floor(place).cast("int")
+    low = F.get(values, below)
+    return low + (F.get(values, F.least(below + 1, F.size(values) - 1)) - low) * (place - below)
+
+
+def whole_part_stats(df: DataFrame, parts: list[str], layer: Layer, chosen: tuple[str, ...], without: dict[str, bool]) -> DataFrame:
+    """parts, total and found (an array of mode, class_idx, the chosen metrics as m0, m1, ... and nbpts) of each part of df.
+
+    Pixels are dealt by part once, and all else is done where they lie: modes, classes and quantiles, from sorted arrays.
+    """
+    of = {m: metrics.ranked_metric(m) for m in chosen}
+    df = df.repartition(*parts)
+    flagged = any(without.get(m) for m in chosen)
+    if flagged:
+        own = W.partitionBy(*parts)
+        mu, sigma = F.avg("z").over(own), F.stddev_pop("z").over(own)
+        df = df.withColumns({"__mu": mu, "__sigma": sigma})
+        df = df.withColumn("inner", F.when((F.col("z") > F.col("__mu") - 3 * F.col("__sigma")) & (F.col("z") < F.col("__mu") + 3 * F.col("__sigma")), F.col("z")))
+    keys, none = [*parts, "mode", "class_idx"], F.lit(None).cast("double")
+    z = lambda m: F.col("inner") if without.get(m) else F.col("z")
+    array = lambda m: F.col("__inner") if without.get(m) else F.col("__z")
+    sums = [F.count("*").alias("__rows"), F.count("z").alias("nbpts"), F.sort_array(F.collect_list("z")).alias("__z")]
+    sums += [F.sort_array(F.collect_list("inner")).alias("__inner")] if flagged else []
+    sums += [metrics.scalar_metric(m)[0](z(m), none, none).cast("double").alias(f"m{i}") for i, m in enumerate(chosen) if not of[m]]
+    sums += [F.avg(z(m)).alias(f"c{i}") for i, m in enumerate(chosen) if of[m] and of[m][1] == "mean"]
+    t = in_modes(df, layer).select(*keys, "z", *(["inner"] if flagged else [])).groupBy(*keys).agg(*sums)
+    t = t.withColumns({f"c{i}": of_sorted(array(m), 0.5) for i, m in enumerate(chosen) if of[m] and of[m][1] == "median"})
+    for i, m in enumerate(chosen):
+        if of[m]:
+            c = F.col(f"c{i}") if of[m][1] else none
+            t = t.withColumn(f"a{i}", F.sort_array(F.transform(array(m), lambda x: of[m][0](x, c, c)))).withColumn(f"m{i}", of_sorted(F.col(f"a{i}"), of[m][2]) * of[m][3]).drop(f"a{i}")
+    found = F.when(F.col("class_idx").isNotNull(), F.struct("mode", "class_idx", *[f"m{i}" for i in range(len(chosen))], "nbpts"))
+    return t.groupBy(*parts).agg(F.sum(F.when(F.col("mode") == "standard", F.col("__rows"))).alias("total"), F.collect_list(found).alias("found"))
+
+
+def part_stats(grid: Grid, layer: Layer, every: DataFrame, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False, most: int | None = None) -> DataFrame:
     """Statistics of each part of a grid by mode and class: the parts' columns and those of class_stats().
 
     every: the parts that have rows in the result (parts' columns); classes without pixels are null there. Outliers are those
-    of their part; shares count the part's pixels.
+    of their part; shares count the part's pixels. most: pixels that a part has at most, if that is known: parts of up to
+    TOGETHER are done where their pixels meet, larger ones by partial sums and narrowing tables of ranks.
     """
     without = remove_outliers if isinstance(remove_outliers, dict) else {m: bool(remove_outliers) and m not in metrics.KEEPS_OUTLIERS for m in chosen}
     parts, df = list(grid.parts), grid.df
+    classes = F.array(*[F.struct(F.lit(r["mode"]).alias("mode"), F.lit(r["class_idx"]).alias("class_idx"), F.lit(f"{r['class_name']}:{r['class_value']}").alias("set_name")) for r in classes_table(df, layer).collect()])  # a few classes
+    if most and most <= TOGETHER and not any(metrics.scalar_metric(m)[1] for m in chosen if not metrics.ranked_metric(m)):
+        out = every.select(*parts).join(whole_part_stats(df, parts, layer, chosen, without), parts, "left").withColumn("c", F.explode(classes))
+        own = F.get(F.filter("found", lambda x: (x["mode"] == F.col("c.mode")) & (x["class_idx"] == F.col("c.class_idx"))), 0)
+        out, n = out.select(*parts, "c.*", "total", own.alias("own")), F.coalesce("own.nbpts", F.lit(0))
+        return out.select(*parts, "mode", "class_idx", "set_name", *[F.round(f"own.m{i}", DIGITS).alias(m) for i, m in enumerate(chosen)], n.cast("long").alias("nbpts"), F.round(n * 100.0 / F.col("total"), DIGITS).alias("percent_valid_points"))
     sizes = written(df.groupBy(*parts).agg(F.count("*").alias("total"), F.avg("z").alias("mu"), F.stddev_pop("z").alias("sigma")), "part-sizes")
     inner = F.lit(None).cast("double")
     if any(without.get(m) for m in chosen):
@@ -123,7 +171,6 @@ def part_stats(grid: Grid, layer: Layer, every: DataFrame, chosen: tuple[str, ..
     keys = [*parts, "mode", "class_idx"]
     values = written(in_modes(df, layer).filter("class_idx is not null").select(*keys, "z", inner.alias("inner")), "part-values")
     found = grouped_stats(values, keys, chosen, without)
-    classes = F.array(*[F.struct(F.lit(r["mode"]).alias("mode"), F.lit(r["class_idx"]).alias("class_idx"), F.lit(f"{r['class_name']}:{r['class_value']}").alias("set_name")) for r in classes_table(df, layer).collect()])  # a few classes
     out = every.select(*parts, F.explode(classes).alias("c")).select(*parts, "c.*").join(sizes.select(*parts, "total"), parts, "left").join(found, keys, "left")
     n = F.coalesce("nbpts", F.lit(0))
     return out.select(*keys, "set_name", *[F.round(m, DIGITS).alias(m) for m in chosen], n.cast("long").alias("nbpts"), F.round(n * 100.0 / F.col("total"), DIGITS).alias("percent_valid_points"))

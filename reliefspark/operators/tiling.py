@@ -58,7 +58,7 @@ def tile_stats(grid: Grid, height: int, width: int, overlap: int = 0) -> DataFra
 def stats_by_tile(grid: Grid, layer: classify.Layer, height: int, width: int, overlap: int = 0, chosen: tuple[str, ...] = metrics.DEFAULT, remove_outliers: bool | dict = False) -> DataFrame:
     """tile_row, tile_col and the statistics by mode and class of every tile."""
     tiled = Grid(assign(grid.df, grid.meta, height, width, overlap), grid.meta, grid.labels, TILE)
-    return stats.part_stats(tiled, layer, all_tiles(grid, height, width, overlap), chosen, remove_outliers)
+    return stats.part_stats(tiled, layer, all_tiles(grid, height, width, overlap), chosen, remove_outliers, height * width)
 
 
 def sampled(z: np.ndarray, x: float, y: float) -> np.ndarray:

@@ -66,6 +66,21 @@ def test_statistics_by_tile_are_those_of_each_tile_alone(spark, outliers):
                 assert g[name] == value if isinstance(value, str) or value is None else g[name] == pytest.approx(value, abs=2e-5), (tr, tc, name)
 
 
+@pytest.mark.parametrize("outliers", [False, True])
+def test_statistics_of_small_tiles_write_no_tables(spark, monkeypatch, outliers):
+    """Pixels of tiles of a known size meet once, and the result is that of narrowing tables of ranks."""
+    ref, sec = surfaces(spark, 20, 30)
+    d = processing.process("alti-diff", ref, sec)
+    d = Grid(d.df.withColumn("z", F.when(F.col("row") > 3, F.col("z"))).persist(), d.meta, d.labels)
+    layer, every = classify.segmentation("land", LAYER, d.df.columns), tiling.all_tiles(d, 4, 4, 1)
+    tiled = Grid(tiling.assign(d.df, d.meta, 4, 4, 1), d.meta, d.labels, tiling.TILE)
+    of = lambda got: {tuple(r[:4]): [None if v is None else v if isinstance(v, str) else pytest.approx(v, abs=2e-5) for v in r[4:]] for r in got.collect()}
+    want = of(stats.part_stats(tiled, layer, every, remove_outliers=outliers))
+    monkeypatch.setattr(stats, "written", None)
+    got = {tuple(r[:4]): list(r[4:]) for r in tiling.stats_by_tile(d, layer, 4, 4, 1, remove_outliers=outliers).collect()}
+    assert got == want and len(got) == every.count() * 9
+
+
 def test_stencils_of_parts_have_edges_of_their_own(spark):
     ref, _ = surfaces(spark, 30, 20)
     tiled = Grid(tiling.assign(ref.df, ref.meta, 12, 11, 3), ref.meta, ref.labels, tiling.TILE)
