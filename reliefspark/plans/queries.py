@@ -19,7 +19,7 @@ from reliefspark.plans import pipeline
 from reliefspark.sources import cubes
 from reliefspark.sources.geotiff import write_raster
 from reliefspark.sources.grids import add_geoid, events_grid, load_grid, ref_grid, sec_grid, smooth_grid, table
-from reliefspark.sources.scratch import fresh
+from reliefspark.sources.scratch import fresh, written
 from reliefspark.streaming import incremental
 
 QUERIES: dict = {}
@@ -405,14 +405,14 @@ def nk_single_iter(spark, sf_dir):
 
 
 def two_views(spark, sf_dir):
-    """REF's heights, averaged over 15 x 15 pixels, and the same surface seen 2 columns and 1 row apart and 3.5 higher, with SEC's holes."""
+    """REF's heights, averaged over 15 x 15 pixels, and the same surface seen 2 columns and 1 row apart and 3.5 higher, with SEC's holes; both as tables, as they are read several times."""
     ref, sec = ref_grid(spark, sf_dir), sec_grid(spark, sf_dir)
     along = lambda axis, other: W.partitionBy(other).orderBy(axis)
     df = ref.df.select("row", "col", F.avg("z").over(along("col", "row").rowsBetween(-7, 7)).alias("z"))
-    df = df.withColumn("z", F.avg("z").over(along("row", "col").rowsBetween(-7, 7)))
+    df = written(df.withColumn("z", F.avg("z").over(along("row", "col").rowsBetween(-7, 7))), "view")
     aside = df.withColumn("z", F.lead("z", 2).over(along("col", "row"))).withColumn("z", F.lead("z", 1).over(along("row", "col")) + 3.5)
     aside = aside.join(sec.df.select("row", "col", F.col("z").isNotNull().alias("has")), ["row", "col"]).select("row", "col", F.when(F.col("has"), F.col("z")).alias("z"))
-    return Grid(df, ref.meta), Grid(aside, ref.meta)
+    return Grid(df, ref.meta), Grid(written(aside, "view"), ref.meta)
 
 
 @query
@@ -435,7 +435,7 @@ def tile_comparison(spark, sf_dir):
     ref, sec = two_views(spark, sf_dir)
     shifts = tiling.tile_shifts(ref, sec, 60, 50, 20)
     d = processing.process("alti-diff", *tiling.tile_grids(ref, sec, shifts, 60, 50, 20))
-    found = stats.part_stats(d, classify.global_layer(), tiling.all_tiles(sec, 60, 50, 20), ("mean", "median", "std"))
+    found = stats.part_stats(d, classify.global_layer(), tiling.all_tiles(sec, 60, 50, 20), ("mean", "median", "std"), most=60 * 50)
     return rounded(found.select("tile_row", "tile_col", "mean", "median", "std", "nbpts", "percent_valid_points"), "mean", "median", "std", digits=4)
 
 
