@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Cells of a pass, and values of an interval that are sorted together (a few megabytes).
 CELLS, SORTED = 4096, 200_000
+#: Tasks for each core that count values in cells.
+TASKS = 3
 
 
 def quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, Column, float]], cells: int = CELLS, most: int = SORTED) -> dict[tuple, dict[str, float | None]]:
@@ -35,32 +37,42 @@ def quantiles(df: DataFrame, keys: list[str], wanted: list[tuple[str, Column, fl
             below = int(shares[name] * (g["n"] - 1))
             for rank in {below, min(below + 1, g["n"] - 1)}:
                 ranks[group, name, rank] = {"low": g["low"], "high": g["high"], "before": 0, "inside": g["n"]}
-    schema = "".join(f"{k} {dict(df.dtypes)[k]}, " for k in keys) + "name string, rank long, before long, low double, high double, step double"
+    schema = "".join(f"{k} {dict(df.dtypes)[k]}, " for k in keys) + "name string, id int, low double, high double, step double, places array<int>"
 
-    def inside(of_ranks: list) -> DataFrame:
-        table = spark.createDataFrame([(*g, name, rank, i["before"], i["low"], i["high"], i["high"] / cells - i["low"] / cells) for (g, name, rank), i in of_ranks], schema)
+    def intervals(of_ranks: list) -> list[tuple[tuple, dict, list]]:
+        """((group, name), interval, its ranks): neighbouring ranks mostly have one interval, whose values are read once for both."""
+        found: dict[tuple, tuple] = {}
+        for (group, name, rank), i in of_ranks:
+            found.setdefault((group, name, *i.values()), ((group, name), i, []))[2].append(rank)
+        return list(found.values())
+
+    def inside(of: list) -> DataFrame:
+        rows_ = [(*g, name, k, i["low"], i["high"], i["high"] / cells - i["low"] / cells, [r - i["before"] for r in own]) for k, ((g, name), i, own) in enumerate(of)]
+        table = spark.createDataFrame(rows_, schema)
         return v.join(F.broadcast(table), [*keys, "name"]).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
 
-    while wide := [(k, i) for k, i in ranks.items() if i["inside"] > most and i["high"] > i["low"]]:
+    while wide := intervals([(k, i) for k, i in ranks.items() if i["inside"] > most and i["high"] > i["low"]]):
         by_step = F.least(F.floor((F.col("v") - F.col("low")) / F.col("step")), F.lit(cells - 1))
         # with neighbours among the doubles, the step may be 0
         cell = F.when(F.col("v") == F.col("low"), 0).when(F.col("v") == F.col("high"), cells - 1).when(F.col("step") > 0, by_step).otherwise(cells // 2)
-        found: dict[tuple, list] = {}
-        for r in inside(wide).groupBy(*keys, "name", "rank", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # at most `cells` rows a rank
-            found.setdefault((*of(r), r["rank"]), []).append((r["cell"], r["n"], r["lo"], r["hi"]))
-        for key, i in wide:
-            before = i["before"]
-            for _, n, lo, hi in sorted(found[key]):
-                if before + n > key[2]:
-                    ranks[key] = {"low": lo, "high": hi, "before": before, "inside": n}
-                    break
-                before += n
+        found: dict[int, list] = {}
+        # each task's partial sums may have all cells, so few tasks make them
+        for r in inside(wide).coalesce(TASKS * spark.sparkContext.defaultParallelism).groupBy("id", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # at most `cells` rows an interval
+            found.setdefault(r["id"], []).append((r["cell"], r["n"], r["lo"], r["hi"]))
+        for k, ((group, name), i, own) in enumerate(wide):
+            for rank in own:
+                before = i["before"]
+                for _, n, lo, hi in sorted(found[k]):
+                    if before + n > rank:
+                        ranks[group, name, rank] = {"low": lo, "high": hi, "before": before, "inside": n}
+                        break
+                    before += n
     at: dict[tuple, float] = {k: i["low"] for k, i in ranks.items() if i["high"] == i["low"]}
-    if few := [(k, i) for k, i in ranks.items() if k not in at]:
-        place = (F.col("rank") - F.col("before") + 1).cast("int")
-        sorted_ = inside(few).groupBy(*keys, "name", "rank", "before").agg(F.sort_array(F.collect_list("v")).alias("a"))  # `most` values a rank
-        for r in sorted_.select(*keys, "name", "rank", F.element_at("a", place).alias("x")).collect():  # a row a rank
-            at[(*of(r), r["rank"])] = r["x"]
+    if few := intervals([(k, i) for k, i in ranks.items() if k not in at]):
+        sorted_ = inside(few).groupBy("id", "places").agg(F.sort_array(F.collect_list("v")).alias("a"))  # `most` values an interval
+        for r in sorted_.select("id", F.transform("places", lambda p: F.get("a", p)).alias("x")).collect():  # a value a rank
+            (group, name), _, own = few[r["id"]]
+            at |= {(group, name, rank): x for rank, x in zip(own, r["x"])}
     out: dict[tuple, dict[str, float | None]] = {}
     for (group, name), g in sizes.items():
         if g["n"]:

@@ -100,7 +100,7 @@ def create_grid(df: DataFrame, meta: GridMeta | None = None, nodata: float | Non
 
 def check_has_data(grid: Grid) -> Grid:
     """The grid, unless all its pixels are null."""
-    if not grid.df.filter("z is not null").limit(1).count():
+    if not grid.df.filter("z is not null").take(1):
         raise ValueError("all pixels are no data")
     return grid
 
@@ -125,11 +125,16 @@ def roi_bounds(meta: GridMeta, roi: dict | None) -> dict:
     raise TypeError("a region of interest has left, bottom, right, top or x, y, w, h")
 
 
+def counted_from(df: DataFrame, row: int, col: int) -> DataFrame:
+    """Rows and columns counted from a pixel. Those that stay are the same columns, so that joins by pixel know how df is dealt."""
+    return df.withColumns({c: F.col(c) - first for c, first in (("row", row), ("col", col)) if first})
+
+
 def crop(grid: Grid, rows: tuple[int, int], cols: tuple[int, int]) -> Grid:
     """Rows and columns of the half-open ranges, counted anew; the filter reaches the scan."""
     (r0, r1), (c0, c1) = rows, cols
     inside = grid.df.filter((F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1))
-    df = inside.withColumn("row", F.col("row") - r0).withColumn("col", F.col("col") - c0)
+    df = counted_from(inside, r0, c0)
     return grid.with_df(df, nrows=max(0, r1 - r0), ncols=max(0, c1 - c0), transform=grid.meta.translated(c0, r0).transform)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reliefspark.functions.projection import moved, moved_box
-from reliefspark.grid import Grid, GridMeta, box_intersection, crop_box
+from reliefspark.grid import Grid, GridMeta, box_intersection, crop, crop_box
 
 
 #: A squared distance beyond all others.
@@ -91,13 +91,28 @@ def places(df: DataFrame, meta: GridMeta, grid: GridMeta) -> DataFrame:
     return df.withColumns({"px": (px * ge - py * gb) / det, "py": (py * ga - px * gd) / det})
 
 
+def same_pixels(grid: Grid, onto: Grid) -> tuple[int, int] | None:
+    """Row and column in the grid of onto's first pixel, if onto's pixels are pixels of the grid; else None."""
+    m, o = grid.meta, onto.meta
+    if m.crs != o.crs or any(m.transform[k] != o.transform[k] for k in (1, 2, 4, 5)):
+        return None
+    r, c = m.pixel(*o.coord(0, 0))
+    inside = r == math.floor(r) and c == math.floor(c) and 0 <= r <= m.nrows - o.nrows and 0 <= c <= m.ncols - o.ncols
+    return (int(r), int(c)) if inside else None
+
+
 def reproject(grid: Grid, onto: Grid, interp: str = "bilinear") -> Grid:
     """grid resampled at the centres of onto's pixels, with its labels resampled likewise.
 
     Grids of different coordinate systems are warped: the centres are projected into the grid's system. Pixels whose centre
-    lies outside the grid are null. An unknown interpolation counts as bilinear.
+    lies outside the grid are null. An unknown interpolation counts as bilinear. Where onto's pixels are pixels of the grid,
+    all weights are 1 and the grid is only cropped.
     """
     interp = interp if interp in ("bilinear", "nearest") else "bilinear"
+    if first := same_pixels(grid, onto):
+        own = crop(grid, (first[0], first[0] + onto.meta.nrows), (first[1], first[1] + onto.meta.ncols)).df
+        values = [F.col(v) if interp == "nearest" else F.col(v).cast("double").alias(v) for v in ("z", *grid.labels)]
+        return Grid(own.select("row", "col", *values), onto.meta, grid.labels)
     at = places(onto.df.select("row", "col", (F.col("col") + 0.5).alias("px"), (F.col("row") + 0.5).alias("py")), onto.meta, grid.meta)
     inside = (F.col("px") >= 0) & (F.col("py") >= 0) & (F.col("px") <= grid.meta.ncols) & (F.col("py") <= grid.meta.nrows)
     points = at.select("row", "col", F.when(inside, F.col("px") - 0.5).alias("fx"), F.when(inside, F.col("py") - 0.5).alias("fy"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import sys
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +49,31 @@ def chosen(cfg: dict, layer_cfg: dict) -> dict[str, tuple[bool, dict]]:
 
 
 def statistics(grid: Grid, method: str, cfg: dict, output_dir: str | None = None) -> DataFrame:
-    """The long table of the scalar metrics of all layers of a method; vectors, matrices and support maps are saved."""
+    """The long table of the scalar metrics of all layers of a method; vectors, matrices and support maps are saved.
+
+    A grid that isn't saved is made once for all layers: its heights and classes are persisted meanwhile.
+    """
+    layers = layers_of(cfg["classification_layers"], grid)
+    if not output_dir and len(layers) > 1:
+        grid, layers = classified(grid, layers)
+        grid.df.persist()
+        try:
+            return layer_statistics(grid, layers, method, cfg)
+        finally:
+            grid.df.unpersist()
+    return layer_statistics(grid, layers, method, cfg, output_dir)
+
+
+def classified(grid: Grid, layers: list[classify.Layer]) -> tuple[Grid, list[classify.Layer]]:
+    """Heights with a column of classes for each layer and support, and the layers as they are found there."""
+    at = {(x.name, s): f"class_{k}_{s}" for k, x in enumerate(layers) for s in x.index}
+    df = grid.df.select("z", *[x.index[s].alias(at[x.name, s]) for x in layers for s in x.index])
+    return grid.with_df(df), [replace(x, index={s: F.col(at[x.name, s]) for s in x.index}) for x in layers]
+
+
+def layer_statistics(grid: Grid, layers: list[classify.Layer], method: str, cfg: dict, output_dir: str | None = None) -> DataFrame:
     out = None
-    for layer in layers_of(cfg["classification_layers"], grid):
+    for layer in layers:
         asked = chosen(cfg, cfg["classification_layers"][layer.name])
         scalars = tuple(m for m in asked if metrics.kind(m) == "scalar")
         s = stats.class_stats(grid, layer, scalars, {m: asked[m][0] for m in scalars})

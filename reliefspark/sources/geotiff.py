@@ -32,7 +32,7 @@ RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 8, 32946, 32773, 50000
 
 SCHEMA = "row long, col long, band int, z double"
 #: Pixels that a task reads, and pixels of a batch.
-PIXELS, BATCH = 4_000_000, 500_000
+PIXELS, BATCH = 500_000, 500_000
 
 
 def file_at(path: str):

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefspark.grid import Grid, GridMeta, box_ranges, check_has_data, create_grid, crop_box, roi_bounds
+from reliefspark.grid import Grid, GridMeta, box_ranges, check_has_data, counted_from, create_grid, crop_box, roi_bounds
 from reliefspark.sources.geotiff import raster_meta, read_raster
 
 
@@ -72,11 +72,12 @@ def is_raster(path: str) -> bool:
 
 
 def raster_grid(spark: SparkSession, cfg: dict) -> Grid:
-    """A raster file and its label planes: only blocks that a region of interest touches are read."""
+    """A raster file and its label planes: only blocks that a region of interest touches are read. ValueError without heights, which are looked for in the raster alone."""
     given = {"crs": cfg.get("crs"), "transform": tuple(cfg["transform"]) if "transform" in cfg else None}
     meta = replace(raster_meta(cfg["path"]), **{k: v for k, v in given.items() if v is not None})
     rows, cols = box_ranges(meta, roi_bounds(meta, cfg["roi"])) if cfg.get("roi") else ((0, meta.nrows), (0, meta.ncols))
     df = read_raster(spark, cfg["path"], cfg.get("band", 1), rows, cols).drop("band")
+    check_has_data(create_grid(df, meta, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m")))
     labels = tuple(cfg.get("classification_layers", {}))
     for name in labels:
         path = cfg["classification_layers"][name]["map_path"]
@@ -89,7 +90,7 @@ def raster_grid(spark: SparkSession, cfg: dict) -> Grid:
             plane = pixels(spark, path, cfg.get("format", "parquet"))
         df = df.join(plane.select("row", "col", F.col("z").alias(name)), ["row", "col"], "left")
     # rows and columns count from the region's corner
-    df = df.withColumns({"row": F.col("row") - rows[0], "col": F.col("col") - cols[0]})
+    df = counted_from(df, rows[0], cols[0])
     meta = replace(meta, nrows=rows[1] - rows[0], ncols=cols[1] - cols[0], transform=meta.translated(cols[0], rows[0]).transform)
     return create_grid(df, meta, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels)
 
@@ -111,12 +112,13 @@ def load_grid(spark: SparkSession, cfg: dict) -> Grid:
     if cfg["path"].lower().endswith((".gtx", ".png", ".hgt")):
         raise ValueError("of rasters, only GeoTIFF files can be read")
     if is_raster(cfg["path"]):
-        grid = check_has_data(raster_grid(spark, cfg))
+        grid = raster_grid(spark, cfg)
         return add_geoid(grid, load_grid(spark, cfg["geoid"])) if cfg.get("geoid") else grid
     cfg = {**saved_meta(spark, cfg["path"]), **cfg}
     df = pixels(spark, cfg["path"], cfg.get("format", "parquet"))
     labels = tuple(cfg.get("classification_layers", {}))
     size = df.agg(F.max("row"), F.max("col")).first()
+    check_has_data(create_grid(df, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m")))
     for name in labels:
         path = cfg["classification_layers"][name]["map_path"]
         if is_raster(path):
@@ -129,7 +131,7 @@ def load_grid(spark: SparkSession, cfg: dict) -> Grid:
             raise ValueError(f"the label plane {name} has not the size of its grid")
         df = df.join(plane.select("row", "col", F.col("z").alias(name)), ["row", "col"], "left")
     more = {k: (tuple(v) if k == "transform" else v) for k, v in cfg.items() if k in ("transform", "crs")}
-    grid = check_has_data(create_grid(df, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels, **more))
+    grid = create_grid(df, nodata=cfg.get("nodata"), zunit=cfg.get("zunit", "m"), labels=labels, **more)
     grid = crop_box(grid, roi_bounds(grid.meta, cfg["roi"])) if cfg.get("roi") else grid
     return add_geoid(grid, load_grid(spark, cfg["geoid"])) if cfg.get("geoid") else grid
 
